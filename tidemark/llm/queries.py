@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sstable, token_counts
+from . import compaction, packing, sstable, token_counts, topk
 from .common import shared_dir
 
 
@@ -22,6 +22,16 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents arrive as a batch; the table is read back from the compacted version."""
+    store = compaction.ShardStore(spark, shared_dir(spark, "shards"))
+    store.append_batches(table(spark, sf_dir, "documents"), F.col("source"))
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", F.length(text).cast("long").alias("text_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -30,5 +40,28 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_sstable": op2_sstable, "op6_best_fit_packing": op6_best_fit_packing, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+QUERIES = {
+    "op2_sstable": op2_sstable,
+    "op3_compaction": op3_compaction,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
+    "op10_exact_topk": op10_exact_topk,
+}
+ORACLES = {
+    "op3_compaction": """
+        SELECT doc_id, lang, source, length(coalesce(text, '')) AS text_chars, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
+    "op10_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+            FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
