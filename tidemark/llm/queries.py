@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, minhash, packing, sstable, token_counts, topk
+from . import compaction, html_text, minhash, packing, pii, sstable, token_counts, topk
 from .common import shared_dir
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "sstable")
     manifest = sstable.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
@@ -32,6 +36,11 @@ def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", F.length(text).cast("long").alias("text_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,8 +58,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_sstable": op2_sstable,
     "op3_compaction": op3_compaction,
+    "op5_pii": op5_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
