@@ -91,15 +91,16 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text with A-Z lower-cased, as 64-bit hashes.
 
-    Returns (hash, byte start, byte end, row of the text) per word; starts and ends are positions in raw.
+    Returns (hash, byte start, byte end, row of the text) per word; starts and ends are positions in raw. Other bytes
+    than white space can separate words by ``separator``, a mask over byte values.
     """
     if not len(raw):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    inside = ~_SPACE[raw]
+    inside = ~separator[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts_of_text = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -174,18 +174,24 @@ def _gram(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+    """(row, item id, distance, start, end) over a batch of texts, in slices of about 4 MB."""
+    raw, at = text_buffers(texts)
+    i, rows, n = 0, [], len(texts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), side="right")) - 1)
+        words, _, _, row = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        if len(words) and items.words:
+            found = items.candidates(words, row, items.windows(words, row))
+            rows += [(r + i, items.ids[k], d, s, e) for r, k, d, s, e in items.verified(words, row, found)]
+        i = j
+    return rows
+
+
 def _matcher(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, at = text_buffers(b.column(1))
-            i, rows = 0, []
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), side="right")) - 1)
-                words, _, _, row = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                if len(words) and items.words:
-                    found = items.candidates(words, row, items.windows(words, row))
-                    rows += [(r + i, items.ids[k], d, s, e) for r, k, d, s, e in items.verified(words, row, found)]
-                i = j
+            rows = _leaks(items, b.column(1))
             if rows:
                 c = [np.array(x) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0])), *(pa.array(x.astype(np.int64)) for x in c[1:])], [x.split()[0] for x in OUT.split(", ")])
@@ -193,23 +199,37 @@ def _matcher(items: Items):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, start_word, end_word: the closest span of each item that leaks into a document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    group, held, out = [], 0, None
-    for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator():
+def _groups(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
+    group, held, any_ = [], 0, False
+    for r in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator():
         group.append((r[0], r[1]))
         held += len(r[1] or "")
         if held >= GROUP_BYTES:
-            part = texts.mapInArrow(_matcher(Items(group)), OUT)
-            out, group, held = (part if out is None else out.union(part)), [], 0
-    if group or out is None:
-        part = texts.mapInArrow(_matcher(Items(group)), OUT)
+            yield Items(group)
+            group, held, any_ = [], 0, True
+    if group or not any_:
+        yield Items(group)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, distance, start_word, end_word: the closest span of each item that leaks into a document."""
+    texts, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
+    for items in _groups(benchmark, item_col, item_text_col):
+        part = texts.mapInArrow(_matcher(items), OUT)
         out = part if out is None else out.union(part)
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents into which an item leaks; a document without an id is judged as all of those are."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows into whose text an item leaks; a filter within each task, without a join."""
+    schema, place = docs.schema, docs.columns.index(text_col)
+    for items in _groups(benchmark, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[r for r, *_ in _leaks(items, b.column(place))]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, html_text, minhash, packing, pii, sstable, token_counts, topk
+from . import compaction, decontaminate, html_text, minhash, packing, pii, sstable, token_counts, topk, toxicity
 from .common import shared_dir
 
 
@@ -36,6 +36,12 @@ def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", F.length(text).cast("long").alias("text_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -45,6 +51,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,15 +67,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_sstable": op2_sstable,
     "op3_compaction": op3_compaction,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_exact_topk": op10_exact_topk,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op3_compaction": """
