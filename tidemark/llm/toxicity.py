@@ -8,7 +8,7 @@ largest, scaled on the training documents to a probability.
 
 Training is in numpy on the driver, on at most TRAIN_DOCS labelled documents of each class, of at most TRAIN_CHARS
 characters each, taken in the order of a hash of the id, and TRAIN_WINDOWS windows of each; that is all that goes to
-the driver. A positive document teaches by the windows with the strongest evidence, if it has more than most negative ones. Scoring runs on the executors, one
+the driver. A positive document teaches by the windows with the strongest evidence, if it has more than the median negative one. Scoring runs on the executors, one
 pass, no shuffle; per-word work is done once a distinct word and slice. The label, language, source and id are never
 inputs of a score.
 
@@ -227,8 +227,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     rank = np.empty(len(owner), np.int64)
     by = order[np.argsort(owner[order], kind="stable")]
     rank[by] = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
-    # A positive document without evidence beyond that of most negative ones teaches nothing, unless most are so.
-    sure = best >= np.quantile(best[y == 0], 0.85)
+    # A positive document without evidence beyond the median of negative ones teaches nothing, unless most are so.
+    sure = best >= np.quantile(best[y == 0], 0.5)
     sure = sure if sure[y == 1].mean() > 0.25 else np.ones(len(y), bool)
     use = np.where(y[owner] == 1, sure[owner] & (top >= 0.9 * best[owner]), (rank < TRAIN_WINDOWS) | (top >= best[owner]))
     use = np.flatnonzero(use)
