@@ -397,10 +397,10 @@ def mean_reversion_score(s, d):
 _SUMS = ", ".join(f"CASE WHEN count(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN sum(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS s{n}" for n in (6, 24, 72))
 
 
-@query(f"WITH {_PANEL}, x AS (SELECT symbol, t, {_SUMS} FROM panel) SELECT symbol, t, round(CAST(0.5 * sign(s6) + 0.3 * sign(s24) + 0.2 * sign(s72) AS DOUBLE), 6) + 0.0 AS score FROM x")
+@query(f"WITH {_PANEL}, x AS (SELECT symbol, t, {_SUMS} FROM panel) SELECT symbol, t, round(CAST(0.5 * sign(round(s6, 9)) + 0.3 * sign(round(s24, 9)) + 0.2 * sign(round(s72, 9)) AS DOUBLE), 6) + 0.0 AS score FROM x")
 def multi_horizon_trend(s, d):
     r = F.col("r")
-    return _panel(s, d).select("symbol", "t", (F.round(sum(k * F.signum(wn.trailing_sum(r, n)) for n, k in ((6, 0.5), (24, 0.3), (72, 0.2))), 6) + 0.0).alias("score"))
+    return _panel(s, d).select("symbol", "t", (F.round(sum(k * F.signum(F.round(wn.trailing_sum(r, n), 9)) for n, k in ((6, 0.5), (24, 0.3), (72, 0.2))), 6) + 0.0).alias("score"))
 
 
 _NW = """, f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, symbol) AS a, row_number() OVER (PARTITION BY t ORDER BY score, symbol) AS b FROM panel),
