@@ -60,6 +60,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+SLICE = 1 << 20
+
+
+def slices(offsets: np.ndarray, most: int = SLICE):
+    """(from row, to row) of neighbouring rows of about ``most`` bytes, one row at least."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: 1,000 of them make a batch for Python, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -100,6 +118,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _S
     if not len(raw):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
+    if len(raw) > SLICE and len(offsets) > 2:  # whole rows at a time, for the size of what is made on the way
+        parts = []
+        for i, j in slices(offsets):
+            h, start, end, row = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], separator)
+            parts.append((h, start + offsets[i], end + offsets[i], row + i))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     inside = ~separator[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_buffers, word_hashes
+from .common import mix64, slices, small_batches, text_buffers, word_hashes
 
 EDITS, BITS, REPEATS, MIN_WORDS, GROUP_BYTES = 0.2, 2, 24, 8, 16 << 20
 OUT = "doc_id long, item_id long, distance long, start_word long, end_word long"
@@ -175,16 +175,14 @@ def _gram(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-    """(row, item id, distance, start, end) over a batch of texts, in slices of about 4 MB."""
+    """(row, item id, distance, start, end) over a batch of texts, by slices."""
     raw, at = text_buffers(texts)
-    i, rows, n = 0, [], len(texts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), side="right")) - 1)
+    rows = []
+    for i, j in slices(at):
         words, _, _, row = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         if len(words) and items.words:
             found = items.candidates(words, row, items.windows(words, row))
             rows += [(r + i, items.ids[k], d, s, e) for r, k, d, s, e in items.verified(words, row, found)]
-        i = j
     return rows
 
 
@@ -213,6 +211,7 @@ def _groups(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Item
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start_word, end_word: the closest span of each item that leaks into a document."""
+    small_batches(docs.sparkSession)
     texts, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
     for items in _groups(benchmark, item_col, item_text_col):
         part = texts.mapInArrow(_matcher(items), OUT)
@@ -222,6 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows into whose text an item leaks; a filter within each task, without a join."""
+    small_batches(docs.sparkSession)
     schema, place = docs.schema, docs.columns.index(text_col)
     for items in _groups(benchmark, item_col, item_text_col):
 

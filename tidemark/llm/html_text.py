@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_buffers, word_hashes, written
+from .common import mix64, small_batches, text_buffers, word_hashes, written
 
 MIN_TOKENS = 8
 BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
@@ -246,6 +246,7 @@ def _compose(size: int):
 
 def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page. Eager up to the parsed pages."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = written(rows.mapInArrow(_parse, PARSED), "parsed")
     open_ = parsed.where(F.exists("zones", lambda z: z == UNDECIDED)).select("row_id", "host", "texts", "zones", "stream")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, shingle_hashes, text_buffers, word_hashes, written
+from .common import drop_written, mix64, shingle_hashes, slices, small_batches, text_buffers, word_hashes, written
 from .components import components
 
 GROUPS, ROWS = 9, 2
@@ -40,15 +40,11 @@ SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, first array<long>
 
 
 def _sets(text: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, concatenated sets, offsets) over slices of about 4 MB of text."""
-    n = len(text)
+    """(from row, to row, concatenated sets, offsets) over slices of the texts."""
     raw, at = text_buffers(text)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), side="right")) - 1)
+    for i, j in slices(at):
         words, _, _, row = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         yield (i, j, *shingle_hashes(words, row, j - i, size))
-        i = j
 
 
 def _signatures(size: int):
@@ -93,6 +89,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links with 100 * intersection >= percent * union),
     kept. Eager up to the component tables."""
+    small_batches(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = written(texts.mapInArrow(_signatures(size), SIGNATURE), "signatures")
     classes = sigs.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("first").alias("first"), F.any_value("second").alias("second"))

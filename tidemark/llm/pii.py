@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_buffers, word_hashes, written
+from .common import mix64, slices, small_batches, text_buffers, word_hashes, written
 
 WINDOW, GENERALISE, REMOVE, BITS, SUPPORT = 8, 0.5, 0.9, 6.0, 4
 KINDS = ("email", "ip", "card", "phone")
@@ -128,19 +128,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(entity)[row]), pa.array(words.view(np.int64)), pa.array(context[row].view(np.int64))], ["entity", "term", "context"])
 
 
-def _slices(b: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, at = text_buffers(b.column(column))
-    i, n = 0, b.num_rows
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+    for i, j in slices(at):
         yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        i = j
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, _, raw, at in _slices(b, 0, 16 << 20):
-            words, n = np.unique(word_hashes(raw, at)[0], return_counts=True)
+        words, n = np.unique(word_hashes(*text_buffers(b.column(0)))[0], return_counts=True)
+        if len(words):
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
@@ -178,6 +175,7 @@ def _occurrences(held: np.ndarray):
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), spans (the same with terms'),
     text_hash (xxhash64 of the text). Eager up to the table of terms."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     base = texts.mapInArrow(_find, BASE)

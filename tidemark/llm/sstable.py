@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import encoder
 
 MAGIC = b"TMSST001"
@@ -173,6 +174,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encode every text, append end_id, write shards in ascending id order. Eager; returns one row per shard:
     shard (file), first_id, last_id, n_docs, n_ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_buffers, word_hashes
+from .common import mix64, slices, small_batches, text_buffers, word_hashes
 
 WINDOW, STRIDE = 64, 48
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, EPOCHS, BATCH, STEPS = 1200, 50_000, 8, 4, 128, 300
@@ -285,15 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = text_buffers(b.column(1))
-            out, i = np.zeros(b.num_rows), 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
+            out = np.zeros(b.num_rows)
+            for i, j in slices(at):
                 out[i:j] = model.prior if model.prior is not None else model.probability(logits(model, raw[at[i] : at[j]], at[i : j + 1] - at[i]))
-                i = j
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "score"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -303,18 +302,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that score the threshold or more. Scores follow the text, so they stay in the row:
     no join, no shuffle."""
+    small_batches(docs.sparkSession)
     model, schema = fit(docs, labels, id_col, text_col), docs.schema
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = text_buffers(b.column(place))
-            keep, i = np.ones(b.num_rows, bool), 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
+            keep = np.ones(b.num_rows, bool)
+            for i, j in slices(at):
                 if model.prior is None:
                     keep[i:j] = model.probability(logits(model, raw[at[i] : at[j]], at[i : j + 1] - at[i])) < threshold
-                i = j
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
