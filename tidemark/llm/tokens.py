@@ -18,6 +18,10 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 _BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
+# The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes follow from 256 on.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
 
 class _Memo(dict):
     def __init__(self, encode, most):
@@ -25,7 +29,7 @@ class _Memo(dict):
         self.encode, self.most = encode, most
 
     def __missing__(self, piece):
-        got = tuple(self.encode(piece, add_special_tokens=False).ids)
+        got = self.encode(piece)
         if len(self) < self.most and len(piece) <= 64:
             self[piece] = got
         return got
@@ -34,7 +38,7 @@ class _Memo(dict):
 class Encoder:
     """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids; memory is bounded by ``most`` pre-tokens."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +52,8 @@ class Encoder:
         elif normalizer == "None" and pre == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)":
             self.lower, self.pattern = False, _BYTES
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self.tokenizer.encode, most)
+        model = self.tokenizer.model
+        self.memo = _Memo(lambda piece: tuple(t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))), most)
 
     def _plain(self, text: str) -> bool:
         return self.pattern is not None and not any(s in text for s in self.special) and _PLAIN.match(text) is not None
