@@ -239,15 +239,17 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
     return manifest.select("shard", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("before"))
 
 
-def ids_digest(rows: DataFrame) -> DataFrame:
-    """doc_id, shard, place, n_tokens, ids_crc32 of read_shards()' rows."""
+def shard_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, shard, place, n_tokens, ids_crc32 of every record, from the files; the ids stay in the task."""
+    manifest = spark.read.parquet(f"{folder}/_manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(3)
-            flat = ids.flatten().to_numpy().astype("<u4")
-            ends = np.cumsum(ids.value_lengths().to_numpy())
-            crc = [zlib.crc32(flat[e - n : e].tobytes()) for e, n in zip(ends, ids.value_lengths().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), ids.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
+            for shard in b.column(0).to_pylist():
+                with _opened(f"{folder}/{shard}", "rb") as file:
+                    rows = [(ident, shard, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for ident, start, ids in Reader(file)]
+                if rows:
+                    c = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, shard string, place long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard").repartition("shard").mapInArrow(run, "doc_id long, shard string, place long, n_tokens long, ids_crc32 long")
