@@ -122,12 +122,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     alone = F.col("n") - F.count("*").over(Window.partitionBy("doc"))
     ranked = common.withColumn("at", alone + F.row_number().over(order) - 1)
     prefix = ranked.where(F.col("n") - F.col("at") >= F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("w", "doc", "n", "component", "at")
-    # Components are paired before members are, so that the members of a large component never meet each other.
-    owners = prefix.select("w", "component").distinct()
-    apart = owners.withColumnRenamed("component", "component1").join(owners.withColumnRenamed("component", "component2"), "w").where("component1 < component2")
+    # Components are paired before members are, by bounds that hold for all their members, so that the members of a
+    # large component never meet each other.
+    owners = prefix.groupBy("w", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room"))
+    one, two = (owners.select("w", *[F.col(c).alias(f"{c}{k}") for c in ("component", "low", "high", "room")]) for k in (1, 2))
+
+    def need(n1: str, n2: str):
+        return F.ceil((F.col(n1) + F.col(n2)) * percent / (100.0 + percent) - 1e-9)
+
+    apart = one.join(two, "w").where((F.col("component1") < F.col("component2")) & (F.col("high1") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low1") * percent) & (F.least("room1", "room2") >= need("low1", "low2")))
     left, right = (prefix.select("w", *[F.col(c).alias(f"{c}{k}") for c in ("doc", "n", "component", "at")]) for k in (1, 2))
-    need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100.0 + percent) - 1e-9)
-    pairs = apart.join(left, ["w", "component1"]).join(right, ["w", "component2"]).where((F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need))
+    pairs = apart.join(left, ["w", "component1"]).where(F.least(F.col("n1") - F.col("at1"), "room2") >= need("n1", "low2"))
+    pairs = pairs.join(right, ["w", "component2"]).where(F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= need("n1", "n2"))
     pairs = pairs.select(F.greatest("doc1", "doc2").alias("a"), F.least("doc1", "doc2").alias("b")).distinct()
     more = _confirm(pairs, sets, percent)
     last = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
