@@ -11,8 +11,9 @@ collection with group j of the second, so GROUPS^2 tables of 2*ROWS rows cost 2*
 4. The rest, exactly: where a bucket still holds members of different components, all members of such buckets go
    through a prefix-filter join (shingles in order of rarity; two sets that meet the threshold share one among their
    first few, at positions that leave room for the overlap needed), only across components; what it finds is confirmed
-   too. This has no cap, and is quadratic in no group: members of one component are never paired, and members with
-   too many shingles of their own share no prefix with the rest.
+   too. This has no cap. Components are paired by bounds on their members before members are, so members of one
+   component are never paired. Components that share a prefix shingle are compared by those bounds within the join,
+   which is quadratic in their number for that shingle; only pairs within the bounds leave it.
 5. Components of all confirmed links, spread over the classes' members.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer words than a shingle: the whole sequence is one.
