@@ -20,10 +20,8 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "sstable")
-    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
-    rows = sstable.shard_digests(spark, folder)
-    starts = sstable.shard_starts(manifest)
-    return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    sstable.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return sstable.shard_digests(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
 def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def read_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Dat
                     if held:
                         yield _batch(held)
 
-    return manifest.select("shard").repartition("shard").mapInArrow(run, f"{id_col} long, shard string, place long, ids array<int>")
+    return manifest.select("shard").repartition(max(1, manifest.count()), "shard").mapInArrow(run, f"{id_col} long, shard string, place long, ids array<int>")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -240,16 +240,18 @@ def shard_starts(manifest: DataFrame) -> DataFrame:
 
 
 def shard_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, shard, place, n_tokens, ids_crc32 of every record, from the files; the ids stay in the task."""
-    manifest = spark.read.parquet(f"{folder}/_manifest")
+    """doc_id, shard, start (ids of all records before it), n_tokens, ids_crc32 of every record, from the files; the ids
+    stay in the task. What precedes a shard goes to its task beside its name, so the records join nothing."""
+    starts = shard_starts(spark.read.parquet(f"{folder}/_manifest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard in b.column(0).to_pylist():
+            for shard, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with _opened(f"{folder}/{shard}", "rb") as file:
-                    rows = [(ident, shard, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for ident, start, ids in Reader(file)]
+                    rows = [(ident, shard, before + place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for ident, place, ids in Reader(file)]
                 if rows:
                     c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("shard").repartition("shard").mapInArrow(run, "doc_id long, shard string, place long, n_tokens long, ids_crc32 long")
+    # A count of partitions is given, as one row a shard looks small enough to be read by one task.
+    return starts.repartition(max(1, starts.count()), "shard").mapInArrow(run, "doc_id long, shard string, start long, n_tokens long, ids_crc32 long")
