@@ -76,3 +76,23 @@ def test_disclosure(spark):
     assert clean[311].text == texts[311].replace("qumquat", "<GENERALISE>").replace("+1 (743) 555-3824", "<PHONE>")
     assert sanitise(df).count() == len(rows)
     assert find_pii(df.limit(0)).count() == 0
+
+
+def test_few_mentions(spark):
+    """Two mentions in different passages are enough, and words with digits are terms; one passage and its copies are not."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices([f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], k=n))
+    rows = [(i, say(60)) for i in range(200)]
+    rows += [(300 + i, f"{say(12)} acct-4471 bob@site.example.com floriel {say(12)}") for i in range(2)]
+    rows += [(310 + i, f"{say(12)} user@17 +1 (743) 555-3824 {say(12)}") for i in range(3)] + [(320, f"{say(9)} user@17 {say(3)}")]
+    rows += [(330, f"{say(12)} seenonce 10.1.2.3 {say(12)}")]
+    rows += [(340, f"{say(12)} 10.1.2.4 between 10.1.2.4 {say(12)}")]  # one occurrence in two contexts
+    rows += [(350 + i, f"{say(12)} 10.1.2.5 10.1.2.6 {say(12)}") for i in range(2)]  # base spans are no terms
+    rows += [(360 + i, "never moved qx77 ann@site.example.com from its place") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = dict(rows)
+    for r in find_pii(df).collect():
+        t = texts[r.doc_id]
+        added = [(m[0], m.start(), m.end()) for m in re.finditer(r"acct-4471|floriel|user@17", t)]
+        want = sorted(("generalise" if w == "user@17" else "remove", s, e) for w, s, e in added)
+        assert r.spans == ",".join(filter(None, [r.base, *(f"{k}:{s}:{e}" for k, s, e in want)])), t

@@ -7,28 +7,35 @@ the WINDOW words on either side of each of its mentions. For a term t and an ent
     reveal(t, e) = occurrences of t in contexts of e / all occurrences of t in the corpus      (an estimate of p(e | t))
     bits(t, e)   = log2(reveal(t, e) / (tokens in contexts of e / all tokens))                 (pointwise information)
 
-A term discloses e when reveal >= GENERALISE, bits >= BITS, and it was seen in at least SUPPORT different contexts of
-e (copies of a passage are one context, so copying a document discloses nothing). All its occurrences in the corpus
-become spans: of kind "remove" from REMOVE on, else "generalise". Counts are over all tokens of all documents,
-pre-aggregated in each task.
+A term discloses e when reveal >= GENERALISE, bits >= BITS and chance(t, e) <= CHANCE. For a term in k different contexts
+of e and, at its reveal, in m = k / reveal contexts at all,
+
+    chance(t, e) = bound on P(at least k - 1 of m - 1 contexts are e's | a context is e's with p = e's share of tokens)
+
+The first context made t a candidate and shows nothing, so one passage and its copies (one context) disclose nothing;
+how many more it takes follows from the counts, two contexts being enough in all but the smallest tables. An occurrence
+beside several mentions of e counts once, with the first. Terms are words of any characters, digits and @ included,
+other than those a base span touches. All occurrences of a disclosing term in the corpus become spans: of kind "remove"
+from REMOVE on, else "generalise". Counts are over all tokens of all documents, pre-aggregated in each task.
 
 Null text: as empty. Repeated rows: one output row each. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, slices, small_batches, text_buffers, word_hashes, written
 
-WINDOW, GENERALISE, REMOVE, BITS, SUPPORT = 8, 0.5, 0.9, 6.0, 4
+WINDOW, GENERALISE, REMOVE, BITS, CHANCE = 8, 0.5, 0.9, 6.0, 0.01
 KINDS = ("email", "ip", "card", "phone")
 FILTER_BITS = 1 << 20
 
@@ -39,6 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -86,21 +94,21 @@ def _value(kind: str, found: str) -> str:
     return kind + ":" + (found.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", found))
 
 
-def _around(text: str, s: int, e: int) -> str:
-    """The words beside a span, without those that hold any other span's characters such as @ or digits."""
-    left, right, reach = [], [], 40
+def _beside(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """Where the WINDOW words on either side of a span stand."""
+    reach = 40
     while True:
         a, b = max(0, s - reach * WINDOW), min(len(text), e + reach * WINDOW)
-        left, right = text[a:s].split(), text[e:b].split()
-        left = left[1:] if a and not text[a - 1].isspace() and left else left
-        right = right[:-1] if b < len(text) and not text[b].isspace() and right else right
+        left, right = ([m.span() for m in _WORD.finditer(text, i, j)] for i, j in ((a, s), (e, b)))
+        left = left[1:] if a and left and left[0][0] == a else left  # may be the rest of a word
+        right = right[:-1] if b < len(text) and right and right[-1][1] == b else right
         if (a == 0 or len(left) > WINDOW) and (b == len(text) or len(right) > WINDOW):
             break
         reach *= 4
     # A word joined to the span (a bracket, say) is part of it.
-    left = left[:-1] if s and not text[s - 1].isspace() else left
-    right = right[1:] if e < len(text) and not text[e].isspace() else right
-    return " ".join(w for w in [*left[-WINDOW:], *right[:WINDOW]] if "@" not in w and not _DIGIT.search(w))
+    left = left[:-1] if left and left[-1][1] == s else left
+    right = right[1:] if right and right[0][0] == e else right
+    return left[-WINDOW:] + right[:WINDOW]
 
 
 BASE = "doc_id long, text_hash long, base string, n_email long, n_ip long, n_card long, n_phone long"
@@ -115,17 +123,30 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        entity, around = [], []
+        entity, around, fresh = [], [], []
         for t in b.column(2).to_pylist():
-            for k, s, e in base_spans(t or ""):
-                entity.append(int.from_bytes(hashlib.blake2b(_value(k, t[s:e]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                around.append(_around(t, s, e))
+            spans = sorted((s, e, k) for k, s, e in base_spans(t or ""))
+            starts, reach = [s for s, _, _ in spans], np.maximum.accumulate([e for _, e, _ in spans]) if spans else []
+            counted = set()
+            for s, e, k in spans:
+                one = int.from_bytes(hashlib.blake2b(_value(k, t[s:e]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                words = []
+                for i, j in _beside(t, s, e):
+                    before = bisect.bisect_left(starts, j)
+                    if not before or reach[before - 1] <= i:  # touches no base span
+                        words.append(t[i:j])
+                        fresh.append((one, i) not in counted)
+                        counted.add((one, i))
+                entity.append(one)
+                around.append(" ".join(words))
         words, _, _, row = word_hashes(*text_buffers(pa.array(around, pa.string())))
         if len(words):
             place = (np.arange(len(words)) - np.searchsorted(row, row)).astype(np.uint64)
             context = np.zeros(len(around), np.uint64)
             np.add.at(context, row, mix64(words + place * np.uint64(0x9E3779B97F4A7C15)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(entity)[row]), pa.array(words.view(np.int64)), pa.array(context[row].view(np.int64))], ["entity", "term", "context"])
+            at = np.flatnonzero(fresh)
+            row = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(entity)[row]), pa.array(words[at].view(np.int64)), pa.array(context[row].view(np.int64))], ["entity", "term", "context"])
 
 
 def _slices(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -141,19 +162,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
+def _chance(hits: Column, tries: Column, p: Column) -> Column:
+    """Chernoff's bound on at least ``hits`` of ``tries`` at probability p; exact where all hit."""
+    share = hits / tries
+    missed = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - p))).otherwise(0.0)
+    return F.when(share > p, F.exp(-tries * (share * F.ln(share / p) + missed))).otherwise(1.0)
+
+
 def disclosing_terms(texts: DataFrame) -> DataFrame:
     """(term hash, kind) of terms that disclose an entity; texts has doc_id, text_hash, text."""
     seen = texts.mapInArrow(_contexts, "entity long, term long, context long")
     seen = seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
     seen = written(seen, "contexts")
     entities = seen.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    pairs = seen.where(F.col("contexts") >= SUPPORT).withColumnRenamed("n", "n_pair").join(entities, "entity")
+    # One context is left to chance whatever the counts.
+    pairs = seen.where("contexts > 1").withColumnRenamed("n", "n_pair").join(entities, "entity")
     counts = texts.select("text").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     counts = written(counts, "term-counts")
     total = (counts.agg(F.sum("n_term")).first()[0] or 0) + 0.0
     reveal = F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term"))
     pairs = pairs.join(counts, "term").withColumn("reveal", reveal).withColumn("bits", F.log2(F.col("reveal") * F.lit(total) / F.col("n_entity")))
-    found = pairs.where((F.col("reveal") >= GENERALISE) & (F.col("bits") >= BITS)).groupBy("term").agg(F.max("reveal").alias("reveal"))
+    pairs = pairs.withColumn("chance", _chance(F.col("contexts") - 1, F.col("contexts") / F.col("reveal") - 1, F.col("n_entity") / F.lit(total)))
+    found = pairs.where((F.col("reveal") >= GENERALISE) & (F.col("bits") >= BITS) & (F.col("chance") <= CHANCE)).groupBy("term").agg(F.max("reveal").alias("reveal"))
     return found.select("term", F.when(F.col("reveal") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
 
 
