@@ -50,3 +50,20 @@ def test_host_boilerplate(spark):
     assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
     assert all(r.n_chars == len(r.text) for r in got)
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_near_copies_and_quotes_stay(spark):
+    """Of pages without an article, only what a share of the host's pages has is boilerplate, and in blocks made of it."""
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    notice, body, rows, want = "this site uses small files to keep your settings for next time", say(80), [], {}
+    for i in range(30):
+        own = f"{body} version{i}" if i < 2 else f"{say(20)} {' '.join(body.split()[10:30])} {say(20)}" if i == 2 else say(40)
+        own = f"{say(20)} {notice} {say(20)}" if i == 3 else own
+        rows.append((i, "https://a.example.com/", f"<div>{notice}</div><div>{own}</div>"))
+        want[i] = own
+    for i in range(2):  # a host of two near copies
+        rows.append((100 + i, "https://b.example.com/", f"<div>{body} edition{i}</div>"))
+        want[100 + i] = f"{body} edition{i}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in main_text(df).collect()} == want

@@ -4,13 +4,16 @@ Every page is cut into blocks in page order. Markup puts a block into one of thr
 footer, aside, form, a page header, or an element whose class or id names an advert, menu, notice, sidebar, comment
 list and the like), article (inside <article>, or <main> where the page has no article), or undecided. The token
 streams of undecided blocks go through the host suffix array: suffixes sorted, long common prefixes between pages
-found; tokens covered by a run of at least ``min_tokens`` that distinct pages of the host share are boilerplate, and
-the unique runs stay. Pages whose undecided streams are equal count as one, so a copied page does not erase itself.
+found. A run of at least ``min_tokens`` is boilerplate where it stands in SHARE of the host's different streams, PAGES
+at least: what two pages share is a quotation or a copy. A block mostly made of such runs loses them and keeps its own
+words; any other block stays whole. Pages whose undecided streams are equal count as one, so a copied page does not
+erase itself. A host with fewer than PAGES different streams keeps all undecided text; text near-copied on SHARE of a
+host's streams can't be told from boilerplate.
 
 A host can hold a third of all pages, so no host is gathered. Tasks build suffix arrays over their own pages and hand
-on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, one stream, whether there
-are more); these meet in a pre-aggregated groupBy, and prefixes shared by two streams are joined back to the places
-where they stand.
+on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, streams it stands in), one
+page a stream taking part; these meet in a pre-aggregated groupBy, and prefixes in enough streams are joined back to
+the places where they stand.
 
 Null or empty html: empty text. Repeated rows: one output row each. Null url: its own host. Empty table: empty result.
 Other columns are ignored.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, text_buffers, word_hashes, written
 
-MIN_TOKENS = 8
+MIN_TOKENS, SHARE, PAGES = 8, 0.3, 3
 BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -198,16 +201,15 @@ def _intervals(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, row = _streams(b)
-            hosts, stream = np.array(b.column("host").to_pylist(), object), b.column("stream").to_numpy()
+            hosts = np.array(b.column("host").to_pylist(), object)
             out = []
             for host in sorted(set(hosts[np.unique(row)])) if len(row) else []:
                 keep = np.flatnonzero(hosts[row] == host)
                 tokens, rows = words[keep], row[keep]
                 for at in shared_prefixes(tokens, rows, size):
-                    ids = stream[rows[at]]
-                    out.append((host, int(_prefix_hash(tokens, at[:1], size)[0]), int(ids.min()), int(ids.max())))
+                    out.append((host, int(_prefix_hash(tokens, at[:1], size)[0]), len(np.unique(rows[at]))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "prefix", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "prefix", "n"])
 
     return run
 
@@ -234,7 +236,8 @@ def _compose(size: int):
                 for t, z in zip(ts, zs, strict=True):
                     if z == UNDECIDED:
                         words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
-                        t = " ".join(w for k, w in enumerate(words) if at + k not in covered)
+                        own = [w for k, w in enumerate(words) if at + k not in covered]
+                        t = " ".join(own if 2 * len(own) < len(words) else words)
                         at += len(words)
                     if z != BOILERPLATE and t:
                         kept.append(t)
@@ -250,7 +253,11 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "pag
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = written(rows.mapInArrow(_parse, PARSED), "parsed")
     open_ = parsed.where(F.exists("zones", lambda z: z == UNDECIDED)).select("row_id", "host", "texts", "zones", "stream")
-    repeated = open_.mapInArrow(_intervals(min_tokens), "host string, prefix long, low long, high long").groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix")
+    one = open_.groupBy("host", "stream").agg(F.min("row_id").alias("row_id"))
+    enough = one.groupBy("host").agg(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * SHARE)).alias("enough"))
+    shared = open_.join(one.select("row_id"), "row_id", "left_semi").select(open_.columns)
+    shared = shared.mapInArrow(_intervals(min_tokens), "host string, prefix long, n long").groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
+    repeated = shared.join(enough, "host").where("n >= enough").select("host", "prefix")
     covered = open_.mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"], "left_semi").groupBy("row_id").agg(F.collect_set("place").alias("places"))
     covered = written(covered, "covered")
     # Pages that markup decides alone need no join.
