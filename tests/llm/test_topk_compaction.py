@@ -4,6 +4,7 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import topk
 from tidemark.llm.common import shared_dir
@@ -62,3 +63,19 @@ def test_two_writers_both_commit(spark, store):
     for t in work:
         t.join()
     assert store.read().count() == 60 and store.versions() == [1, 2, 3]
+
+
+def test_lone_run_and_no_batches(spark, store):
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 4) AS text")
+    store.append(df.repartition(16))
+    before = store.manifest()["runs"]
+    after = store.compact()["runs"]
+    assert before[0]["files"] == 16 and len(after) == 1 and after[0]["files"] <= -(-before[0]["bytes"] // store.target_bytes)
+    assert sorted(store.read().collect()) == sorted(df.collect())
+    version = store.manifest()["version"]
+    assert store.compact()["version"] == version  # nothing is left to do
+    empty = ShardStore(spark, shared_dir(spark, "t-empty"))
+    empty.append_batches(df.limit(0), F.col("text"))
+    empty.compact()
+    empty.vacuum()
+    assert empty.read().dtypes == df.dtypes and empty.read().count() == 0

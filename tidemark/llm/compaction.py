@@ -2,13 +2,14 @@
 
 An append writes its rows as a run (a folder of small shards) and commits a manifest version that lists it. Compaction
 groups runs into tiers by size (powers of ``fanout`` over ``base_bytes``); a tier with ``fanout`` runs or more is
-merged into one run of about target-sized files, until no tier is full. A version is one JSON file, written under a
+merged into one run of about target-sized files, until no tier is full. A run that stays alone in its tier is rewritten
+too if its files are less than half of the target on average and fewer would do. A version is one JSON file, written under a
 temporary name and renamed; the rename fails if the version exists, so of two writers one wins and the other retries.
 Readers see the runs of one version only; replaced runs stay until vacuum(). A merge moves no rows between executors:
 its tasks read neighbouring shards and write one file each. The manifest has one entry a run.
 
-Nulls in any column, empty and long texts, repeated rows and extra columns are kept as they are. Appending no rows
-commits a run without rows. Shards of different appends may differ in columns; missing ones read as null.
+Nulls in any column, empty and long texts, repeated rows and extra columns are kept as they are. Appending no rows,
+as one arrival or as batches, commits a run without rows. Shards of different appends may differ in columns; missing ones read as null.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ class ShardStore:
         group = f"batch-{uuid.uuid4().hex}"
         rows.withColumn(BATCH, F.coalesce(F.concat(F.lit("b"), batch.cast("string")), F.lit("none"))).write.partitionBy(BATCH).parquet(f"{self.root}/data/{group}")
         folders = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"data/{group}")) if s.isDirectory()]
-        entries = [self._entry(f"{group}/{f}", rows.schema) for f in sorted(folders)]
+        entries = [self._entry(f"{group}/{f}", rows.schema) for f in sorted(folders)] or [self._entry(group, rows.schema)]
         return self._commit(lambda runs: [*runs, *entries])
 
     def _tier(self, entry: dict) -> int:
@@ -104,17 +105,24 @@ class ShardStore:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
+    def _files(self, entries: list[dict]) -> int:
+        return max(1, -(-sum(e["bytes"] for e in entries) // self.target_bytes))
+
+    def _loose(self, entry: dict) -> bool:
+        return entry["files"] > self._files([entry]) and 2 * entry["bytes"] < entry["files"] * self.target_bytes
+
     def compact(self) -> dict:
-        """Merge full tiers until there is none. Each merge is one commit."""
+        """Merge full tiers, then the small files of single runs, until there is neither. Each merge is one commit."""
         while True:
             tiers: dict[int, list[dict]] = {}
             for e in self.manifest()["runs"]:
                 tiers.setdefault(self._tier(e), []).append(e)
             full = next((es for t, es in sorted(tiers.items()) if len(es) >= self.fanout), None)
+            full = full or next(([e] for _, es in sorted(tiers.items()) for e in es if self._loose(e)), None)
             if full is None:
                 return self.manifest()
             run, rows = f"run-{uuid.uuid4().hex}", self._read(full)
-            rows.coalesce(max(1, -(-sum(e["bytes"] for e in full) // self.target_bytes))).write.parquet(f"{self.root}/data/{run}")
+            rows.coalesce(self._files(full)).write.parquet(f"{self.root}/data/{run}")
             made, gone = self._entry(run, rows.schema), {e["run"] for e in full}
 
             def change(runs: list[dict], made=made, gone=gone) -> list[dict]:
