@@ -81,3 +81,11 @@ def test_edges(spark):
     none = tx.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in tx.score(docs, none).collect()} == {0.0}
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_accepted_agrees_with_scores_for_one_class(spark):
+    docs = spark.createDataFrame([(i, f"some words here {i}") for i in range(6)] + [(7, None)], "doc_id long, text string")
+    for y, left in ((1, 0), (0, 7)):
+        labels = spark.createDataFrame([(i, y) for i in range(6)], "doc_id long, toxic int")
+        scores = tx.score(docs, tx.fit(docs, labels))
+        assert scores.where("score < 0.7").count() == left == tx.accepted(docs, labels).count()

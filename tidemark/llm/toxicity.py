@@ -6,19 +6,21 @@ Words are runs of letters, A-Z lower-cased. A word's input is a hashed word vect
 in both directions, attention pools its states, a linear layer gives the window's logit; the text's logit is its
 largest, scaled on the training documents to a probability.
 
-Training is in numpy on the driver, on at most TRAIN_DOCS labelled documents of each class, of at most TRAIN_CHARS
-characters each, taken in the order of a hash of the id, and TRAIN_WINDOWS windows of each; that is all that goes to
-the driver. A positive document teaches by the windows with the strongest evidence, if it has more than the median negative one. Scoring runs on the executors, one
-pass, no shuffle; per-word work is done once a distinct word and slice. The label, language, source and id are never
-inputs of a score.
+Training is in numpy in one task, on at most TRAIN_DOCS labelled documents of each class, of at most TRAIN_CHARS
+characters each, taken in the order of a hash of the id, and TRAIN_WINDOWS windows of each; the driver gets the trained
+parameters alone (about 4 MB, whatever the input), and a lost executor repeats the training from the same rows. A
+positive document teaches by the windows with the strongest evidence, if it has more than the median negative one.
+Scoring runs on the executors, one pass, no shuffle; per-word work is done once a distinct word and slice. The label,
+language, source and id are never inputs of a score.
 
 Null or wordless text: a window without words, scored by the model's bias. Repeated rows: one output row each. Without
-labels of both classes the score is the share of toxic labels (0 if none). Empty table: empty result. Other columns
+labels of both classes the score is the share of toxic labels (0 if none), and accepted() decides by it too. Empty table: empty result. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, text_buffers, word_hashes
+from .common import mix64, slices, small_batches, text_buffers, word_hashes, written
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 16
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, EPOCHS, BATCH, STEPS = 1200, 50_000, 8, 4, 128, 300
 HIDDEN, DIM, TABLE, GRAM, EVIDENCE = 8, 7, 1 << 16, 4, 5
 _MASK = np.uint64(TABLE - 1)
@@ -194,6 +196,12 @@ def logits(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if model.prior is not None:
+        return np.full(len(offsets) - 1, model.prior)
+    return model.probability(logits(model, raw, offsets))
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     """A model from whole labelled texts."""
     model, y, r = Model(seed), np.array(labels, np.int64), np.random.default_rng(seed)
@@ -278,9 +286,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         part = ids.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_DOCS)
         picked = part if picked is None else picked.union(part)
-    found = short.join(picked, "__id").dropDuplicates(["__id"]).select("__id", "__text", "__y").collect()  # at most 2 * TRAIN_DOCS rows
-    found.sort(key=lambda r: r[0])
-    return train([r[1] for r in found], [r[2] for r in found])
+    sample = short.join(picked, "__id").dropDuplicates(["__id"]).select(F.col("__id").cast("string"), "__text", "__y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (len(r[0]), r[0]))
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # At most 2 * TRAIN_DOCS rows in one task.
+    found = written(sample.repartition(1).mapInArrow(run, "model binary"), "toxicity-model").collect()
+    return pickle.loads(found[0][0]) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +307,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             raw, at = text_buffers(b.column(1))
             out = np.zeros(b.num_rows)
             for i, j in slices(at):
-                out[i:j] = model.prior if model.prior is not None else model.probability(logits(model, raw[at[i] : at[j]], at[i : j + 1] - at[i]))
+                out[i:j] = _scores(model, raw[at[i] : at[j]], at[i : j + 1] - at[i])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "score"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
@@ -311,8 +326,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
             raw, at = text_buffers(b.column(place))
             keep = np.ones(b.num_rows, bool)
             for i, j in slices(at):
-                if model.prior is None:
-                    keep[i:j] = model.probability(logits(model, raw[at[i] : at[j]], at[i : j + 1] - at[i])) < threshold
+                keep[i:j] = _scores(model, raw[at[i] : at[j]], at[i : j + 1] - at[i]) < threshold
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
