@@ -7,12 +7,19 @@ few fillings a length. Executors then number the pieces of each length (counts p
 the number up in the plan, so no group of equal lengths is ever gathered.
 
 Reduction (Martello and Toth): a set of pieces that fits one sequence dominates another if the other's pieces can be
-put, each into one of the set's, without overlap; a sequence with a set that dominates every set holding the largest
-piece can be fixed. Checked here for sets of up to three pieces: the largest piece alone if the smallest does not fit
-beside it; the largest with a partner that fills it exactly; and the largest with the biggest partner that fits, if
-no two other pieces fit beside the largest instead. The remainder goes by best fit: sequences in order of their
-largest piece, each filled by the multiset that leaves the least space (an exact subset sum over the histogram,
-larger pieces first among equals).
+put, each into one of the set's, without overlap; if one set that holds piece j dominates all that hold j, some optimal
+packing has it, so it is fixed and taken out, and the rest is reduced again. Checked for every length, largest first,
+for sets of up to three pieces: j alone if nothing fits beside it; j with a partner that fills the sequence exactly, or
+with the largest partner that fits if that is no smaller than any two that fit together (and no three do); j with a
+pair that fits, if its larger piece is the largest that fits at all and its smaller one no smaller than the smaller one
+of any pair. A rule that holds keeps holding while pieces are only taken out, so as many equal sets as there are pieces
+for are fixed at once.
+
+The remainder goes by best fit: pieces in descending order, each into the sequence with the least room that holds it,
+over groups of equally filled sequences, so that the work is by lengths, not by pieces. A second plan fills sequences one
+by one, in order of their largest piece, by the multiset that leaves the least space (an exact subset sum); plans that
+do so down to some length and go on by best fit follow. The plan with the fewest sequences stands, the first among
+equals, and the search ends at the lower bound; best fit without the reduction is among them, so the plan never has more.
 
 A null text is as an empty one: one end id. Repeated rows are packed each. Empty table: empty result. Other columns
 are ignored.
@@ -88,37 +95,113 @@ def _fullest(counts: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[list[int], int]]:
-    """Fillings [(lengths in order, number of sequences)] that use every piece of the histogram once."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        counts[length] = n
-    out: list[tuple[list[int], int]] = []
+Filling = tuple[list[int], int]
+
 
-    def fix(filling: list[int]) -> None:
+def reduced(counts: np.ndarray) -> list[Filling]:
+    """Sets fixed by dominance, as many as the histogram has pieces for; takes them out of counts."""
+    capacity, out = len(counts) - 1, []
+
+    def fix(*filling: int) -> None:
         used = np.bincount(filling, minlength=capacity + 1)
         n = int((counts[used > 0] // used[used > 0]).min())
         counts[:] -= n * used
-        out.append((filling, n))
+        out.append((list(filling), n))
+
+    def rule(j: int) -> tuple[int, ...] | None:
+        room = capacity - j
+        counts[j] -= 1
+        have = np.flatnonzero(counts[: room + 1])
+        number = counts[have]
+        counts[j] += 1
+        if not len(have):
+            return (j,)
+        top = int(have[-1])
+        if top == room:
+            return (j, top)
+        small = np.repeat(have, np.minimum(number, 3))[:3]
+        if len(small) >= 3 and small.sum() <= room:
+            return None  # three fit beside j: none of these rules decides
+        # Pairs (x, y), x >= y, that fit beside j: for each y the largest x.
+        x = have[np.searchsorted(have, room - have, side="right") - 1]
+        ok = (have + have[0] <= room) & ((x > have) | (x == have) & (number > 1))
+        if not ok.any():
+            return (j, top)
+        y, x = have[ok], x[ok]
+        if top >= int((x + y).max()):
+            return (j, top)
+        if int(x[-1]) == top:  # the pair with the largest possible smaller piece has the largest piece of all, too
+            return (j, top, int(y[-1]))
+        return None
+
+    changed = True
+    while changed:
+        changed = False
+        for j in np.flatnonzero(counts)[::-1].tolist():
+            while counts[j] and (found := rule(j)):
+                fix(*found)
+                changed = True
+    return out
 
-    while counts.any():
+
+def best_fit(counts: np.ndarray) -> list[Filling]:
+    """Best-fit decreasing over a histogram."""
+    capacity = len(counts) - 1
+    room: dict[int, list[Filling]] = {}
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        for r in sorted(k for k in room if k >= length):
+            each = r // length
+            groups, room[r] = room[r], []
+            for filling, n in groups:
+                full = min(n, left // each)
+                left -= full * each
+                last = left if full < n else 0
+                left -= last
+                for made, k, m in ((filling + [length] * each, full, each), (filling + [length] * last, 1 if last else 0, last), (filling, n - full - (1 if last else 0), 0)):
+                    if k:
+                        room.setdefault(r - m * length, []).append((made, k))
+            if not left:
+                break
+        each = capacity // length
+        full, last = divmod(left, each)
+        for k, m in ((full, each), (1 if last else 0, last)):
+            if k:
+                room.setdefault(capacity - m * length, []).append(([length] * m, k))
+    return [f for fs in room.values() for f in fs]
+
+
+def fullest_first(counts: np.ndarray, down_to: int) -> list[Filling]:
+    """Sequences filled as full as can be in order of their largest piece, down to a length; best fit for the rest."""
+    counts, out = counts.copy(), []
+    while counts[down_to:].any():
         largest = int(np.flatnonzero(counts)[-1])
-        room = capacity - largest
         counts[largest] -= 1
-        fits = np.flatnonzero(counts[: room + 1])
+        filling = [largest, *_fullest(counts, len(counts) - 1 - largest)]
         counts[largest] += 1
-        if not len(fits):
-            fix([largest])  # nothing fits beside it
-        elif fits[-1] == room:
-            fix([largest, int(room)])  # an exact pair dominates every set that holds the largest
-        elif 2 * int(fits[0]) > room or len(fits) == 1 and counts[fits[0]] - (fits[0] == largest) == 1:
-            fix([largest, int(fits[-1])])  # no two others fit: the biggest partner dominates
-        else:
-            counts[largest] -= 1
-            rest = _fullest(counts, room)
-            counts[largest] += 1
-            fix([largest, *rest])
-    return out
+        used = np.bincount(filling, minlength=len(counts))
+        n = int((counts[used > 0] // used[used > 0]).min())
+        counts -= n * used
+        out.append((filling, n))
+    return out + best_fit(counts)
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024) -> list[Filling]:
+    """Fillings [(lengths in order, number of sequences)] that use every piece of the histogram once."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    whole, rest = counts.copy(), counts
+    fixed = reduced(rest)
+    size = lambda fillings: sum(n for _, n in fillings)
+    bound = -(-int(rest @ np.arange(capacity + 1)) // capacity)
+    made = best_fit(rest)
+    for down_to in (capacity // 2, capacity // 4, capacity // 8, 3 * capacity // 4, 1):
+        if size(made) == bound:
+            break
+        made = min(made, fullest_first(rest, down_to), key=size)
+    plain = best_fit(whole)
+    return plain if size(plain) < size(fixed) + size(made) else fixed + made
 
 
 def pack(made: DataFrame, capacity: int = 1024) -> DataFrame:
