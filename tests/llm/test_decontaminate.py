@@ -3,7 +3,12 @@
 import random
 import re
 
-from tidemark.llm.decontaminate import EDITS, MIN_WORDS, _myers, clean_documents, find_leaks
+import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import decontaminate as dc
+from tidemark.llm.common import text_buffers, word_hashes
+from tidemark.llm.decontaminate import EDITS, _myers, clean_documents, find_leaks
 
 
 def words(t):
@@ -33,7 +38,7 @@ def test_against_brute_force(spark):
     rng = random.Random(9)
     vocab = ["the", "of", "and", "in"] * 12 + [f"v{i}" for i in range(200)]
     say = lambda n: rng.choices(vocab, k=n)
-    items = [(i, " ".join(say(rng.randint(8, 60)))) for i in range(30)] + [(50, None), (51, ""), (52, "the of"), (53, "dup " * 9), (54, "dup " * 9)]
+    items = [(i, " ".join(say(rng.randint(8, 60)))) for i in range(30)] + [(50, None), (51, ""), (52, "the of"), (55, "v7"), (56, "v3 v3 in and"), (53, "dup " * 9), (54, "dup " * 9)]
     docs = []
     for i in range(400):
         w = say(rng.randint(0, 120))
@@ -57,8 +62,9 @@ def test_against_brute_force(spark):
         if d < 500:
             for i, x in items:
                 w = words(x)
-                if len(w) >= MIN_WORDS and (n := sellers(w, words(t))) <= int(EDITS * len(w) + 1e-9):
+                if w and (n := sellers(w, words(t))) <= int(EDITS * len(w) + 1e-9):
                     want[d, i] = n
+    assert any(i == 52 for _, i in want) and any(i == 55 for _, i in want)
     want |= {(502, 53): 0, (502, 54): 0, (503, 3): 0}
     assert set(got) <= set(want), "a pair over the limit"
     assert len(got) >= 0.98 * len(want), (len(got), len(want))
@@ -70,3 +76,22 @@ def test_against_brute_force(spark):
     kept = {r.doc_id for r in clean_documents(df, bench).collect()}
     assert kept == set(texts) - {d for d, _ in got} and 500 in kept
     assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+
+
+def test_keys_decide():
+    """Windows that the bounds leave are many more than those that share a key with an item, which hold all leaks."""
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocab, k=20))) for i in range(20)]
+    texts = [" ".join(rng.choices(vocab, k=300)) for _ in range(40)]
+    for i in range(0, 40, 4):
+        texts[i] += " " + items[i // 2][1]
+    w, _, _, row = word_hashes(*text_buffers(pa.array(texts)))
+    held = dc.Items(items)
+    windows = sum(len(s) for _, s in held.windows(w, row))
+    found = held.candidates(w, row)
+    assert windows > 2000 and len(np.unique(found[:, 1])) < 0.7 * windows
+    leaks = {(r, held.ids[i]) for r, i, *_ in held.verified(w, row, found)}
+    assert leaks >= {(i, i // 2) for i in range(0, 40, 4)}
+    held.tables = {n: [(k + np.uint64(1), i) for k, i in t] for n, t in held.tables.items()}
+    assert not len(held.candidates(w, row))  # nothing is found without the keys

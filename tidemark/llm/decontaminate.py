@@ -3,18 +3,22 @@
 Texts are sequences of words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased). An item of n words leaks into a document if some
 span of it is within k = floor(EDITS * n) word edits of the item.
 
-Windows: by the pigeonhole principle a span within k edits holds one of the item's k+1 equal pieces unchanged, so only
-starts within k words of such a piece's diagonal can matter; every one of these item-sized windows is taken, wherever
-it stands in the text. Each goes through REPEATS independent CGK walks (at step j the word under the cursor is put out,
-and the cursor moves on by a random bit of that word and j; 3n steps), which map edit distance to Hamming distance,
-and BITS sampled positions of each walk form its LSH key; a window with the item's key in any walk is a candidate.
-Candidates are verified by bit-parallel edit distance over their surroundings. For a window with half of the embedded
-positions unlike its item's, the chance to miss is (1 - 0.5^BITS)^REPEATS, about 0.1 %.
+Windows: for every length n of an item, the n words from every start in the text, fewer at its end. Each goes through
+REPEATS independent CGK walks (at step j the word under the cursor is put out, and the cursor moves on by a random bit
+of that word and j), which map edit distance to Hamming distance, and BITS sampled positions of each walk form its LSH
+key (among the first 7n/4 of its 3n; later on most cursors stand at the end, where all windows are alike); a window is a candidate for every item of its length that has its key in any walk. Candidates are
+verified by bit-parallel edit distance over their surroundings. For a window with half of the embedded positions unlike
+its item's, the chance to miss is (1 - 0.5^BITS)^REPEATS, below 0.2 %; the windows beside it get a chance each, too.
+
+Windows that cannot match are not embedded. Of a span within k edits of an item of n words, the window at its start
+holds at least n - 2k of the item's words and d - 2k of its d different words: k edits change as many words at most,
+and as many of the span's can lie beyond the window. So windows with fewer of the words, or different words, that any
+item of their length has are left out; this loses no span that starts a window, and needs no knowledge of the item.
 
 Items go to the executors in groups of at most GROUP_BYTES of text; a larger benchmark takes several passes over the
-documents. Documents are not shuffled. Null or empty texts and items without words match nothing; items of fewer than
-MIN_WORDS words match nothing either, as such phrases occur by chance. Equal items are reported each. Repeated rows
-give a row each. Empty tables: empty result. Other columns are ignored.
+documents. Documents are not shuffled. Null or empty texts and items without words match nothing; items below 1 / EDITS
+words match unchanged only. Equal items are reported each. Repeated rows give a row each. Empty tables: empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, small_batches, text_buffers, word_hashes
 
-EDITS, BITS, REPEATS, MIN_WORDS, GROUP_BYTES = 0.2, 2, 24, 8, 16 << 20
+EDITS, BITS, REPEATS, GROUP_BYTES = 0.2, 3, 48, 16 << 20
 OUT = "doc_id long, item_id long, distance long, start_word long, end_word long"
 _PAD = np.uint64(0x0DDBA11)
-_SEEN = 1 << 20
+_GROUPS = 64  # of lengths, for the first of the two bounds
 
 
 def _walk(x: np.ndarray, length: np.ndarray, repeat: int) -> np.ndarray:
     """LSH keys of rows of x (words, padded), one walk; rows of the same length get the same sampled positions."""
     w = np.arange(len(x))
     at, key = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
-    picks = np.stack([(mix64(np.array(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repeat * 64 + b)) % (3 * length).astype(np.uint64)).astype(np.int64) for b in range(BITS)], axis=1)
+    picks = np.stack([(mix64(np.array(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repeat * 64 + b)) % np.maximum(1, 7 * length // 4).astype(np.uint64)).astype(np.int64) for b in range(BITS)], axis=1)
     for j in range(int(picks.max(initial=-1)) + 1):
         c = np.where(at < length, x[w, np.minimum(at, x.shape[1] - 1)], _PAD)
         picked = (picks == j).sum(axis=1)
@@ -73,74 +77,92 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         words, _, _, row = word_hashes(*text_buffers(pa.array([t for _, t in rows], pa.string())))
-        self.ids, self.words, self.k = [], [], []
-        for i, (ident, _) in enumerate(rows):
-            w = words[row == i]
-            if len(w) >= MIN_WORDS and ident is not None:
-                self.ids.append(ident)
-                self.words.append(w)
-                self.k.append(int(EDITS * len(w) + 1e-9))
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, w in enumerate(self.words):
-            pieces = self.k[i] + 1
-            size = len(w) // pieces
-            for p in range(pieces):
-                found.setdefault(size, []).append((int(_gram(w[p * size : (p + 1) * size], size)[0]), i, p * size))
-        self.pieces = {}
-        for size, got in found.items():
-            h = np.array([x[0] for x in got], np.uint64)
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(_SEEN, bool)
-            seen[(h & np.uint64(_SEEN - 1)).astype(np.int64)] = True
-            self.pieces[size] = (h[order], np.array([x[1] for x in got])[order], np.array([x[2] for x in got])[order], seen)
+        at = np.searchsorted(row, np.arange(len(rows) + 1))
+        held = [i for i, (ident, _) in enumerate(rows) if ident is not None and at[i] < at[i + 1]]
+        self.ids, self.words = [rows[i][0] for i in held], [words[at[i] : at[i + 1]] for i in held]
         self.length = np.array([len(w) for w in self.words], np.int64)
-        self.keys = None
-        if self.words:
-            x = np.full((len(self.words), int(self.length.max())), _PAD)
-            for i, w in enumerate(self.words):
-                x[i, : len(w)] = w
-            self.keys = np.stack([_walk(x, self.length, r) for r in range(REPEATS)], axis=1)
-
-    def windows(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Distinct (item, first word, row) of windows that can lie within the edits of their item."""
-        out = []
-        first, last = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
-        for size, (h, item, offset, seen) in self.pieces.items():
-            g = _gram(words, size)
-            at = np.flatnonzero(seen[(g & np.uint64(_SEEN - 1)).astype(np.int64)])
-            at = at[row[at] == row[at + size - 1]]
-            lo, hi = np.searchsorted(h, g[at]), np.searchsorted(h, g[at], side="right")
-            at, lo, n = np.repeat(at, hi - lo), np.repeat(lo, hi - lo), hi - lo
-            if not len(at):
-                continue
-            which = lo + np.arange(len(lo)) - np.repeat(np.cumsum(n) - n, n)
-            i, start = item[which], at - offset[which]
-            k = np.array(self.k)[i]
-            each = np.repeat(np.arange(len(at)), 2 * k + 1)
-            shift = np.arange(len(each)) - np.repeat(np.cumsum(2 * k + 1) - (2 * k + 1), 2 * k + 1) - k[each]
-            start = np.clip(start[each] + shift, first[at[each]], last[at[each]] - 1)
-            out.append(np.unique(np.stack([i[each], start, row[at[each]]], axis=1), axis=0))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-
-    def candidates(self, words: np.ndarray, row: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Windows that share a key with their item in some walk."""
-        hit = np.zeros(len(windows), bool)
-        stop = np.searchsorted(row, row, side="right")
+        self.k = (EDITS * self.length + 1e-9).astype(np.int64)
+        self.lengths = np.unique(self.length)
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.different: dict[int, int] = {}
+        for n in self.lengths.tolist():
+            which = np.flatnonzero(self.length == n)
+            x = np.stack([self.words[i] for i in which])
+            self.different[n] = min(len(np.unique(w)) for w in x)
+            keys = [_walk(x, np.full(len(x), n), r) for r in range(REPEATS)]
+            self.tables[n] = [(k[o], which[o]) for k in keys for o in [np.argsort(k, kind="stable")]]
+        # For every word of an item, the groups of lengths that have it, as bits.
+        self.groups = [g for g in np.array_split(self.lengths, _GROUPS) if len(g)]
+        group = np.repeat(np.arange(len(self.groups)), [len(g) for g in self.groups])
+        word = np.concatenate(self.words) if held else np.zeros(0, np.uint64)
+        bit = np.uint64(1) << np.repeat(group[np.searchsorted(self.lengths, self.length)], self.length).astype(np.uint64) if held else word
+        self.vocabulary, inverse = np.unique(word, return_inverse=True)
+        self.bits = np.zeros(len(self.vocabulary), np.uint64)
+        np.bitwise_or.at(self.bits, inverse, bit)
+
+    def windows(self, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, starts) of the windows that the bounds leave."""
+        near = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        bits = np.where(self.vocabulary[near] == words, self.bits[near], np.uint64(0))
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        stop = np.repeat(np.append(begin[1:], len(words)), np.diff(np.append(begin, len(words))))
+        found, place = [], np.arange(len(words))
+        for g, lengths in enumerate(self.groups):
+            most = int(lengths[-1])
+            least = int((lengths - 2 * (EDITS * lengths + 1e-9).astype(np.int64)).min())
+            total = np.concatenate([[0], np.cumsum((bits >> np.uint64(g) & np.uint64(1)).astype(np.int32), dtype=np.int32)])
+            found.append(np.flatnonzero(total[np.minimum(place + most, stop)] - total[:-1] >= least))
+        if not any(len(s) for s in found):
+            return
+        # The place before of the same word in the same text, for texts with windows left.
+        rows = np.unique(row[np.concatenate(found)])
+        at = np.flatnonzero(np.isin(row, rows)) if len(rows) < row[-1] + 1 else place
+        order = at[np.lexsort((at, words[at], row[at]))]
+        same = (words[order[1:]] == words[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+        before = np.full(len(words), -1)
+        before[order[1:][same]] = order[:-1][same]
+        for g, lengths in enumerate(self.groups):
+            has = bits >> np.uint64(g) & np.uint64(1) > 0
+            for n in lengths.tolist():
+                k, left = int(EDITS * n + 1e-9), []
+                for i in range(0, len(found[g]), 1 << 15):
+                    s = found[g][i : i + (1 << 15)]
+                    span = s[:, None] + np.arange(n)
+                    ok = span < stop[s][:, None]
+                    span = np.where(ok, span, 0)
+                    ok &= has[span]
+                    ok[ok.sum(axis=1) < n - 2 * k] = False
+                    left.append(s[(ok & (before[span] < s[:, None])).sum(axis=1) >= max(1, self.different[n] - 2 * k)])
+                if left and sum(map(len, left)):
+                    yield n, np.concatenate(left)
+
+    def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Distinct (item, first word, row) of windows that share a key with an item of their length in some walk."""
+        out = [np.zeros((0, 3), np.int64)]
         padded = np.concatenate([words, np.full(int(self.length.max(initial=0)), _PAD)])
-        for a in range(0, len(windows), 8192):
-            item, start = windows[a : a + 8192, 0], windows[a : a + 8192, 1]
-            length = self.length[item]
-            span = np.arange(int(length.max()))
-            x = padded[start[:, None] + span]
-            x[(start[:, None] + span >= stop[start][:, None]) | (span >= length[:, None])] = _PAD
-            got, todo = np.zeros(len(item), bool), np.arange(len(item))
-            for r in range(REPEATS):
-                got[todo] = _walk(x[todo], length[todo], r) == self.keys[item[todo], r]
-                todo = np.flatnonzero(~got)
-                if not len(todo):
-                    break
-            hit[a : a + 8192] = got
-        return windows[hit]
+        stop = np.searchsorted(row, row, side="right")
+        for n, starts in self.windows(words, row):
+            for a in range(0, len(starts), 8192):
+                start = starts[a : a + 8192]
+                span = start[:, None] + np.arange(n)
+                x = np.where(span < stop[start][:, None], padded[span], _PAD)
+                got = [np.zeros((0, 2), np.int64)]
+                for r, (keys, item) in enumerate(self.tables[n]):
+                    key = _walk(x, np.full(len(x), n), r)
+                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                    count = hi - lo
+                    which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    got.append(np.stack([item[which], np.repeat(start, count)], axis=1))
+                pairs = np.unique(np.concatenate(got), axis=0)
+                if EDITS * n < 1:  # unchanged or not at all
+                    same = [bool((padded[s : s + n] == self.words[i]).all()) for i, s in pairs.tolist()]
+                    pairs = pairs[np.array(same, bool)]
+                out.append(np.column_stack([pairs, row[pairs[:, 1]]]))
+        found = np.concatenate(out)
+        # An item that matches unchanged has its closest span where it stands first.
+        found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+        again = (np.diff(found[:, 0], prepend=-1) == 0) & (np.diff(found[:, 2], prepend=-1) == 0) & (self.k[found[:, 0]] == 0)
+        return found[~again]
 
     def verified(self, words: np.ndarray, row: np.ndarray, found: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end) of the best span for every row and item with a candidate that holds."""
@@ -181,7 +203,7 @@ def _leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]
     for i, j in slices(at):
         words, _, _, row = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         if len(words) and items.words:
-            found = items.candidates(words, row, items.windows(words, row))
+            found = items.candidates(words, row)
             rows += [(r + i, items.ids[k], d, s, e) for r, k, d, s, e in items.verified(words, row, found)]
     return rows
 
