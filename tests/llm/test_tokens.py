@@ -61,17 +61,27 @@ def test_shards_round_trip(spark, docs):
     assert sstable.read_shards(spark, empty).count() == 0 and sstable.shard_digests(spark, empty).count() == 0
 
 
+def test_shards_null_and_repeated_ids(spark):
+    rows = [(None, "no key", 1), (None, None, 1), (7, "b", 1), (7, "a", 1), (-3, "", 1)]
+    folder = shared_dir(spark, "t-sst")
+    sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(3), folder, WORD)
+    got = sorted(sstable.shard_digests(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -3, 7, 7]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert sstable.read_shards(spark, folder, "key").where("key is null").count() == 2
+
+
 def test_shard_lookup():
     sink = io.BytesIO()
     w = sstable.Writer(sink, 2, block_bytes=64)
-    keys = [-5, -5, 0, 3, 3, 3, *range(10, 4000, 7), 2**62]
+    keys = [None, None, -5, -5, 0, 3, 3, 3, *range(10, 4000, 7), 2**62]
     for k in keys:
-        w.add(k, [abs(k) % 1000, 2])
+        w.add(k, [abs(k or 0) % 1000, 2])
     w.close()
     r = sstable.Reader(sink)
     assert [k for k, _, _ in r] == keys and r.records == len(keys)
     for k in {*keys, 1, 11, -6, 2**62 + 1}:
-        assert [list(x) for x in r.get(k)] == [[abs(k) % 1000, 2]] * keys.count(k)
+        assert [list(x) for x in r.get(k)] == [[abs(k or 0) % 1000, 2]] * keys.count(k)
     with pytest.raises(ValueError):
         w.add(1, [1])
 

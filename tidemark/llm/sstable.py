@@ -9,8 +9,8 @@ the index (binary search), and one block.
 
 Shards are written by the tasks of a range-partitioned, sorted table into one folder that executors share, each under
 a temporary name and then renamed, so that a task that runs twice leaves one complete file. Null text: as empty, so one
-end id. Rows with a null id have no key and are an error. Repeated ids stay as records of their own, in one shard.
-Empty table: no shards. Columns besides id and text are ignored.
+end id. Rows with a null id have the empty key, which precedes all others, and read back with a null id. Repeated ids
+stay as records of their own. Empty table: no shards. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,32 +34,36 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .tokens import encoder
 
-MAGIC = b"TMSST001"
+MAGIC = b"TMSST002"
 FOOTER = struct.Struct("<QQQQQQQB7x8s")  # index at, index bytes, filter at, filter bytes, hash count, records, ids, width, magic
 BLOCK_BYTES = 256 * 1024
 BITS_PER_KEY = 10
 
 
-def key_of(ident: int) -> bytes:
-    return struct.pack(">Q", (int(ident) + (1 << 63)) & ((1 << 64) - 1))
+def key_of(ident: int | None) -> bytes:
+    return b"" if ident is None else struct.pack(">Q", (int(ident) + (1 << 63)) & ((1 << 64) - 1))
 
 
-def ident_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def ident_of(key: bytes) -> int | None:
+    return None if not key else struct.unpack(">Q", key)[0] - (1 << 63)
 
 
-def _probes(key: bytes, k: int, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+def _hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+
+
+def _probes(a: int, b: int, k: int, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(k)]
 
 
 class Writer:
-    """Append records in ascending key order, then close; only one block is held in memory, besides 8 bytes a key."""
+    """Append records in ascending key order, then close; only one block is held in memory, besides the 8 bytes a key
+    that the filter needs."""
 
     def __init__(self, sink, width: int, block_bytes: int = BLOCK_BYTES):
         self.sink, self.width, self.block_bytes = sink, width, block_bytes
         self.at = self.ids = self.records = 0
-        self.keys, self.index = [], []
+        self.hashes, self.last, self.index = array("I"), None, []
         self._new()
 
     def _new(self):
@@ -65,15 +71,16 @@ class Writer:
 
     def add(self, ident: int, ids) -> None:
         key = key_of(ident)
-        if self.keys and key < self.keys[-1]:
+        if self.last is not None and key < self.last:
             raise ValueError("keys must ascend")
         shared = len(os.path.commonprefix([self.before, key]))
-        self.first = self.first or key
+        self.first = key if self.first is None else self.first
         value = np.asarray(ids, dtype=f"<u{self.width}").tobytes()
-        self.head += struct.pack("<BB", shared, 8 - shared) + key[shared:] + struct.pack("<IQ", len(ids), self.ids)
+        self.head += struct.pack("<BB", shared, len(key) - shared) + key[shared:] + struct.pack("<IQ", len(ids), self.ids)
         self.values.append(value)
         self.before, self.held, self.in_block = key, self.held + len(value), self.in_block + 1
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
+        self.last = key
         self.ids += len(ids)
         self.records += 1
         if self.held >= self.block_bytes:
@@ -90,12 +97,12 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        k, bits = 7, max(64, -(-len(self.keys) * BITS_PER_KEY // 8) * 8)
+        k, bits = 7, max(64, -(-self.records * BITS_PER_KEY // 8) * 8)
         bloom = np.zeros(bits, np.uint8)
-        for key in self.keys:
-            bloom[_probes(key, k, bits)] = 1
+        for i in range(0, len(self.hashes), 2):
+            bloom[_probes(self.hashes[i], self.hashes[i + 1], k, bits)] = 1
         bloom = np.packbits(bloom).tobytes()
-        index = b"".join(key + struct.pack("<QQ", at, n) for key, at, n in self.index)
+        index = b"".join(struct.pack("<B8sQQ", len(key), key, at, n) for key, at, n in self.index)
         self.sink.write(bloom + index)
         self.sink.write(FOOTER.pack(self.at + len(bloom), len(index), self.at, len(bloom), k, self.records, self.ids, self.width, MAGIC))
 
@@ -111,7 +118,7 @@ class Reader:
             raise ValueError("not a shard, or cut short")
         file.seek(self.index_at)
         raw = file.read(self.index_bytes)
-        self.index = [(raw[i : i + 8], *struct.unpack_from("<QQ", raw, i + 8)) for i in range(0, len(raw), 24)]
+        self.index = [(key[:n], at, size) for n, key, at, size in struct.iter_unpack("<B8sQQ", raw)]
 
     def _block(self, at: int, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
         self.file.seek(at)
@@ -131,12 +138,12 @@ class Reader:
         for _, at, n in self.index:
             yield from self._block(at, n)
 
-    def get(self, ident: int) -> list[np.ndarray]:
+    def get(self, ident: int | None) -> list[np.ndarray]:
         """Ids of every record with this key: filter, binary search of the index, then the blocks that may hold it."""
         key = key_of(ident)
         self.file.seek(self.bloom_at)
         bloom = np.frombuffer(self.file.read(self.bloom_bytes), np.uint8)
-        if any(not bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key, self.k, len(bloom) * 8)):
+        if any(not bloom[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(*_hashes(key), self.k, len(bloom) * 8)):
             return []
         firsts = [x[0] for x in self.index]
         i = max(0, bisect_right(firsts, key) - 1)
@@ -198,10 +205,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             out.close()
             file.close()
             _renamed(temp, f"{folder}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": [first], "last_id": [last], "n_docs": [out.records], "n_ids": [out.ids]})
+            ends = [pa.array([x], pa.int64()) for x in (first, last, out.records, out.ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *ends], ["shard", "first_id", "last_id", "n_docs", "n_ids"])
 
-    rows = docs.select(F.assert_true(F.col(id_col).isNotNull(), "null id").alias("ok"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("ok").isNull()).select("id", "text").repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id")  # nulls first
     made = rows.mapInArrow(run, "shard string, first_id long, last_id long, n_docs long, n_ids long")
     made.write.parquet(f"{folder}/_manifest")
     return spark.read.parquet(f"{folder}/_manifest")
@@ -219,18 +227,18 @@ def read_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Dat
                     for ident, start, ids in Reader(file):
                         held.append((ident, shard, start, ids.astype(np.int32)))
                         if len(held) == 256:
-                            yield _batch(held)
+                            yield _batch(held, id_col)
                             held = []
                     if held:
-                        yield _batch(held)
+                        yield _batch(held, id_col)
 
     return manifest.select("shard").repartition(max(1, manifest.count()), "shard").mapInArrow(run, f"{id_col} long, shard string, place long, ids array<int>")
 
 
-def _batch(rows: list) -> pa.RecordBatch:
+def _batch(rows: list, id_col: str) -> pa.RecordBatch:
     ident, shard, start, ids = zip(*rows, strict=True)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ident, pa.int64()), pa.array(shard), pa.array(start, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "shard", "place", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(ident, pa.int64()), pa.array(shard), pa.array(start, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], [id_col, "shard", "place", "ids"])
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
@@ -248,10 +256,13 @@ def shard_digests(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for shard, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with _opened(f"{folder}/{shard}", "rb") as file:
-                    rows = [(ident, shard, before + place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for ident, place, ids in Reader(file)]
-                if rows:
-                    c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
+                    rows = ((ident, shard, before + place, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for ident, place, ids in Reader(file))
+                    while held := list(islice(rows, 4096)):
+                        c = list(zip(*held, strict=True))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c[0], pa.int64()), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])],
+                            ["doc_id", "shard", "start", "n_tokens", "ids_crc32"],
+                        )
 
     # A count of partitions is given, as one row a shard looks small enough to be read by one task.
     return starts.repartition(max(1, starts.count()), "shard").mapInArrow(run, "doc_id long, shard string, start long, n_tokens long, ids_crc32 long")
