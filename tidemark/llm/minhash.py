@@ -17,8 +17,9 @@ collection with group j of the second, so GROUPS^2 tables of 2*ROWS rows cost 2*
 5. Components of all confirmed links, spread over the classes' members.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer words than a shingle: the whole sequence is one.
-Null or wordless text: empty set, linked with nothing, kept. A row that repeats an id counts once for its set; rows
-with a null id are left out. Empty table: empty result. Other columns are ignored.
+Null or wordless text: empty set, linked with nothing, kept. Rows that repeat an id are one document, whose text is the
+least of theirs (null: empty), and come back each. Rows with a null id are linked with nothing and come back with a null
+component, kept. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +92,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """doc_id, n_shingles, component_id (smallest id reachable over links with 100 * intersection >= percent * union),
     kept. Eager up to the component tables."""
     small_batches(docs.sparkSession)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts, nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    repeats = written(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    repeated = repeats.limit(1).count() > 0
+    if repeated:
+        many = texts.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        texts = texts.join(repeats, "doc_id", "left_anti").unionByName(many)
     sigs = written(texts.mapInArrow(_signatures(size), SIGNATURE), "signatures")
     classes = sigs.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("first").alias("first"), F.any_value("second").alias("second"))
     classes = written(classes, "classes")
@@ -146,4 +153,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     out = out.union(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     for t in (members, sets, links):
         drop_written(t)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if repeated:
+        again = rows.select("doc_id").join(repeats, "doc_id", "left_semi").join(out, "doc_id")
+        out = out.join(repeats, "doc_id", "left_anti").unionByName(again)
+    lone = nameless.mapInArrow(_signatures(size), SIGNATURE).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return out.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
