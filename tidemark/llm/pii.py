@@ -1,13 +1,16 @@
 """Personal data: patterns with checks, and terms whose co-occurrence in the corpus gives a protected value away.
 
 Base kinds: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits); leftmost and
-non-overlapping within a kind, failing matches dropped. A protected entity is a distinct base value. Its context is
-the WINDOW words on either side of each of its mentions. For a term t and an entity e,
+non-overlapping within a kind, failing matches dropped. A protected entity is a distinct base value, or what several
+values have in common and a term may as well give away: an email's domain, an address's network (three parts), a card's
+issuer (six digits), a phone's prefix (all but four digits). Its context is the WINDOW words on either side of each of
+its mentions. For a term t and an entity e,
 
     reveal(t, e) = occurrences of t in contexts of e / all occurrences of t in the corpus      (an estimate of p(e | t))
     bits(t, e)   = log2(reveal(t, e) / (tokens in contexts of e / all tokens))                 (pointwise information)
 
-A term discloses e when reveal >= GENERALISE, bits >= BITS and chance(t, e) <= CHANCE. For a term in k different contexts
+A term discloses e when reveal >= GENERALISE, bits >= BITS and chance(t, e) <= CHANCE (GROUP_CHANCE where e is shared by
+several values, as it has more contexts to be met in). For a term in k different contexts
 of e and, at its reveal, in m = k / reveal contexts at all,
 
     chance(t, e) = bound on P(at least k - 1 of m - 1 contexts are e's | a context is e's with p = e's share of tokens)
@@ -16,7 +19,12 @@ The first context made t a candidate and shows nothing, so one passage and its c
 how many more it takes follows from the counts, two contexts being enough in all but the smallest tables. An occurrence
 beside several mentions of e counts once, with the first. Terms are words of any characters, digits and @ included,
 other than those a base span touches. All occurrences of a disclosing term in the corpus become spans: of kind "remove"
-from REMOVE on, else "generalise". Counts are over all tokens of all documents, pre-aggregated in each task.
+from REMOVE on, else "generalise". sanitise() takes the former out and puts the class of the latter in its place: the
+more general term is <NUMBER>, <CODE> (letters and digits), <NAME> (a capital first) or <WORD>. Counts are over all
+tokens of all documents, pre-aggregated in each task.
+
+Up to TERMS_HELD terms go to the tasks, which then find, and replace, all spans of a text in one pass, without a
+shuffle; more terms meet the words of the texts in a join.
 
 Null text: as empty. Repeated rows: one output row each. Empty table: empty result. Other columns are ignored.
 """
@@ -35,7 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, small_batches, text_buffers, word_hashes, written
 
-WINDOW, GENERALISE, REMOVE, BITS, CHANCE = 8, 0.5, 0.9, 6.0, 0.01
+WINDOW, GENERALISE, REMOVE, BITS, CHANCE, GROUP_CHANCE = 8, 0.5, 0.9, 6.0, 0.01, 1e-4
+TERMS_HELD = 1 << 18
 KINDS = ("email", "ip", "card", "phone")
 FILTER_BITS = 1 << 20
 
@@ -90,8 +99,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _value(kind: str, found: str) -> str:
-    return kind + ":" + (found.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", found))
+def _entities(kind: str, found: str) -> tuple[str, str]:
+    """The value, and what it shares with others."""
+    if kind == "email":
+        return "email:" + found.lower(), "domain:" + found.lower().rpartition("@")[2]
+    if kind == "ip":
+        return "ip:" + found, "network:" + found.rpartition(".")[0]
+    digits = re.sub("[^0-9]", "", found)
+    return f"{kind}:{digits}", "issuer:" + digits[:6] if kind == "card" else "prefix:" + digits[:-4]
+
+
+def _number(entity: str, shared: bool) -> int:
+    """64-bit hash; odd for what several values share."""
+    h = int.from_bytes(hashlib.blake2b(entity.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return h | 1 if shared else h & ~1
 
 
 def _beside(text: str, s: int, e: int) -> list[tuple[int, int]]:
@@ -129,16 +150,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, reach = [s for s, _, _ in spans], np.maximum.accumulate([e for _, e, _ in spans]) if spans else []
             counted = set()
             for s, e, k in spans:
-                one = int.from_bytes(hashlib.blake2b(_value(k, t[s:e]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                words = []
+                beside = []
                 for i, j in _beside(t, s, e):
                     before = bisect.bisect_left(starts, j)
                     if not before or reach[before - 1] <= i:  # touches no base span
-                        words.append(t[i:j])
-                        fresh.append((one, i) not in counted)
-                        counted.add((one, i))
-                entity.append(one)
-                around.append(" ".join(words))
+                        beside.append((i, j))
+                for shared, named in enumerate(_entities(k, t[s:e])):
+                    one = _number(named, bool(shared))
+                    fresh += [(one, i) not in counted for i, _ in beside]
+                    counted |= {(one, i) for i, _ in beside}
+                    entity.append(one)
+                    around.append(" ".join(t[i:j] for i, j in beside))
         words, _, _, row = word_hashes(*text_buffers(pa.array(around, pa.string())))
         if len(words):
             place = (np.arange(len(words)) - np.searchsorted(row, row)).astype(np.uint64)
@@ -183,7 +205,8 @@ def disclosing_terms(texts: DataFrame) -> DataFrame:
     reveal = F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term"))
     pairs = pairs.join(counts, "term").withColumn("reveal", reveal).withColumn("bits", F.log2(F.col("reveal") * F.lit(total) / F.col("n_entity")))
     pairs = pairs.withColumn("chance", _chance(F.col("contexts") - 1, F.col("contexts") / F.col("reveal") - 1, F.col("n_entity") / F.lit(total)))
-    found = pairs.where((F.col("reveal") >= GENERALISE) & (F.col("bits") >= BITS) & (F.col("chance") <= CHANCE)).groupBy("term").agg(F.max("reveal").alias("reveal"))
+    limit = F.when(F.col("entity") % 2 == 0, CHANCE).otherwise(GROUP_CHANCE)
+    found = pairs.where((F.col("reveal") >= GENERALISE) & (F.col("bits") >= BITS) & (F.col("chance") <= limit)).groupBy("term").agg(F.max("reveal").alias("reveal"))
     return found.select("term", F.when(F.col("reveal") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
 
 
@@ -202,40 +225,115 @@ def _occurrences(held: np.ndarray):
     return run
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), spans (the same with terms'),
-    text_hash (xxhash64 of the text). Eager up to the table of terms."""
+def _term_spans(text: pa.Array, terms: np.ndarray, removed: np.ndarray, held: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
+    """Row to the spans of terms (sorted hashes) in it; held is their filter."""
+    out: dict[int, list[tuple[str, int, int]]] = {}
+    raw, offsets = text_buffers(text)
+    for i, j in slices(offsets):
+        part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        words, start, end, row = word_hashes(part, at)
+        hit = np.flatnonzero(held[(words & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
+        if len(hit):
+            near = np.minimum(np.searchsorted(terms, words[hit]), len(terms) - 1)
+            found = terms[near] == words[hit]
+            hit, near = hit[found], near[found]
+        if len(hit):
+            point = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            base = point[at[:-1]][row[hit]]
+            for r, gone, s, e in zip((row[hit] + i).tolist(), removed[near].tolist(), (point[start[hit]] - base).tolist(), (point[end[hit]] - base).tolist(), strict=True):
+                out.setdefault(r, []).append(("remove" if gone else "generalise", s, e))
+    return out
+
+
+def _joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+class _Held:
+    """Terms that go to the tasks."""
+
+    def __init__(self, rows: list):
+        pairs = sorted((r[0] & (1 << 64) - 1, r[1] == "remove") for r in rows)
+        self.terms, self.removed = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], bool)
+        self.filter = np.zeros(FILTER_BITS, bool)
+        self.filter[(self.terms & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+
+    def spans(self, text: pa.Array) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+        """(base, terms') spans of every text."""
+        added = _term_spans(text, self.terms, self.removed, self.filter) if len(self.terms) else {}
+        for i, t in enumerate(text.to_pylist()):
+            yield base_spans(t or ""), sorted(added.get(i, ()))
+
+
+def _terms_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, _Held | None]:
+    """(texts, terms, the terms for the tasks or None if they are too many)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    base = texts.mapInArrow(_find, BASE)
     terms = written(disclosing_terms(texts), "terms")
+    few = terms.count() <= TERMS_HELD
+    return texts, terms, _Held(terms.collect()) if few else None
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), spans (the same with terms'),
+    text_hash (xxhash64 of the text). Eager up to the table of terms."""
+    texts, terms, held = _terms_of(docs, id_col, text_col)
+    if held is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = list(held.spans(b.column(2)))
+                counts = [pa.array([sum(k == kind for k, _, _ in f) for f, _ in found], pa.int64()) for kind in KINDS]
+                lists = [pa.array(x, pa.string()) for x in ([_joined(f) for f, _ in found], [_joined(f + g) for f, g in found])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists[0], *counts, lists[1]], [x.split()[0] for x in (BASE + ", spans string").split(", ")])
+
+        return texts.mapInArrow(run, BASE + ", spans string")
+    base = texts.mapInArrow(_find, BASE)
     # At most FILTER_BITS numbers, whatever the number of terms; a fuller filter only passes more words to the join.
-    bits = [r[0] for r in terms.select(F.col("term").bitwiseAND(FILTER_BITS - 1)).distinct().collect()]
-    if not bits:
-        return base.withColumn("spans", F.col("base"))
-    held = np.zeros(FILTER_BITS, bool)
-    held[bits] = True
-    spans = texts.mapInArrow(_occurrences(held), "doc_id long, text_hash long, term long, start long, stop long").distinct().join(terms, "term")
+    filled = np.zeros(FILTER_BITS, bool)
+    filled[[r[0] for r in terms.select(F.col("term").bitwiseAND(FILTER_BITS - 1)).distinct().collect()]] = True
+    spans = texts.mapInArrow(_occurrences(filled), "doc_id long, text_hash long, term long, start long, stop long").distinct().join(terms, "term")
     spans = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("terms"))
     added = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
     out = base.join(spans.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return out.withColumn("spans", F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), added)).drop("d", "h", "terms")
 
 
+def _general(word: str) -> str:
+    if not re.search("[0-9]", word):
+        return "<NAME>" if word[:1].isupper() else "<WORD>"
+    return "<CODE>" if re.search(r"[^\W\d_]", word) else "<NUMBER>"
+
+
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with every span replaced; overlapping spans are one, named after the first."""
+    out, at = [], 0
+    for s, e, k in sorted((s, e, k) for k, s, e in spans):
+        if s >= at:
+            mark = "" if k == "remove" else _general(text[s:e]) if k == "generalise" else f"<{k.upper()}>"
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's spans replaced by <KIND>, or taken out for kind "remove"; overlapping spans are one, named
-    after the first. Null texts stay null. All columns of docs are kept."""
-    spans = find_pii(docs, id_col, text_col).where("spans <> ''").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).distinct()
-    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h")), "left")
-    list_ = F.transform(F.split("__spans", ","), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.split_part(s, F.lit(":"), F.lit(3)).cast("int").alias("e"), F.split_part(s, F.lit(":"), F.lit(1)).alias("k")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, x):
-        mark = F.when(x.k == "remove", "").otherwise(F.concat(F.lit("<"), F.upper(x.k), F.lit(">")))
-        text = F.col(text_col)
-        fresh = F.concat(acc.out, text.substr(acc.at + 1, x.s - acc.at), mark)
-        return F.when(x.s >= acc.at, F.struct(fresh.alias("out"), x.e.alias("at"))).otherwise(F.struct(acc.out.alias("out"), F.greatest(acc.at, x.e).alias("at")))
-
-    done = F.aggregate(F.array_sort(list_), start, step, lambda acc: F.concat(acc.out, F.col(text_col).substr(acc.at + 1, F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(done)).select(*docs.columns)
+    """docs with the text's spans replaced by <KIND>, by the class of the word for kind "generalise", or taken out for
+    kind "remove". Null texts stay null. All columns of docs are kept."""
+    _, _, held = _terms_of(docs, id_col, text_col)
+    place, schema = docs.columns.index(text_col), docs.schema
+    if held is None:
+        spans = find_pii(docs, id_col, text_col).where("spans <> ''").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).distinct()
+        docs = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__h")), "left").drop("__d", "__h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, columns = b.column(place).to_pylist(), list(b.columns[: len(schema)])
+            if held is not None:
+                spans = (f + g for f, g in held.spans(b.column(place)))
+            else:
+                spans = ([(k, int(s), int(e)) for k, s, e in (x.split(":") for x in (j or "").split(",") if x)] for j in b.column(len(schema)).to_pylist())
+            columns[place] = pa.array([t if t is None or not f else replaced(t, f) for t, f in zip(texts, spans, strict=True)], b.column(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(run, schema)
