@@ -4,11 +4,13 @@ import os
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import sellers, words
 from tests.llm.test_minhash import brute
+from tidemark.llm.common import written
 from tidemark.llm.decontaminate import EDITS
 from tidemark.llm.pii import base_spans
 
@@ -49,3 +51,26 @@ def test_stages(spark, tmp_path):
     assert got == total
     used = len({r.sequence_id for r in new})
     assert used <= -(-sum(total.values()) // 1024) * 1.03 + 1
+
+
+def test_stages_edges(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and clashing column names go through every stage; so does nothing."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(None, "no id, mail a.b@c.example.com", None, None, None), (10**6, None, "en", "x", 0), (10**6 + 1, "", None, "x", None)]
+    odd += [(10**6 + 2, "the same row twice", "en", None, 18)] * 2
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns({c: F.lit(1) for c in ("score", "kept", "start", "item_id", "component_id", "spans")})
+    folder = tmp_path / "sf"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(folder / f"{name}.parquet"))
+    for start in (docs, docs.limit(0)):
+        before = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = written(stage(spark, before, str(folder)), "edges")
+            if name != "packing":
+                assert after.columns == docs.columns
+                ids = [r.doc_id for r in after.select("doc_id").collect()]
+                if before.count():
+                    assert {None, 10**6, 10**6 + 1, 10**6 + 2} <= set(ids), name
+                    assert ids.count(10**6 + 2) == 2, name  # rows of one id are one document
+            before = after
+        assert (before.count() > 0) == (start is docs)
