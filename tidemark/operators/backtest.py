@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import DAY_MS
+from .windows import ranked
 
-def folds(times: DataFrame, train: int, test: int, embargo: int) -> DataFrame:
+
+def folds(times: DataFrame, train: int, test: int, embargo: int, width: int = DAY_MS) -> DataFrame:
     """Expanding training stretch, embargo, test stretch, stepped by the test length; an incomplete fold is dropped.
 
     times: one column t. Its distinct values are numbered once; folds has one row a fold."""
-    n = times.select("t").distinct().withColumn("i", F.row_number().over(Window.orderBy("t")) - 1)
+    n = ranked(times.select("t").distinct(), ["t"], "i", width)
     start = train + embargo
     inside = n.where(F.col("i") >= start).withColumn("fold", F.floor((F.col("i") - start) / test).cast("int"))
     f = inside.groupBy("fold").agg(F.min("t").alias("test_start"), F.max("t").alias("test_end"), F.count("*").alias("n"), F.min("i").alias("first")).where(F.col("n") == test)
     ends = n.select(F.col("i").alias("__i"), F.col("t").alias("train_end"))
-    return f.join(ends, F.col("first") - embargo - 1 == F.col("__i")).select("fold", "train_end", "test_start", "test_end")
+    begin = n.where("i = 0").select(F.col("t").alias("train_start"))
+    out = f.join(ends, F.col("first") - embargo - 1 == F.col("__i")).join(F.broadcast(begin))  # begin is one row
+    return out.select("fold", "train_start", "train_end", "test_start", "test_end")
 
 
 def accounting(w: DataFrame, fee: float, spread_bps: float, slippage_bps: float, multiplier: float = 1.0) -> DataFrame:

@@ -46,34 +46,47 @@ def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.agg(F.sum("c").alias("n_rows"), F.count("*").alias("distinct_keys"), (F.sum("c") - F.count("*")).alias("surplus_rows"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("rows_in_duplicate_groups"))
 
 
-def out_of_order(df: DataFrame, by: list[str], position: str, t: str) -> DataFrame:
-    """Rows per group whose time is before that of the row before them in source order."""
-    w = Window.partitionBy(*by).orderBy(position)
-    return df.withColumn("__back", F.col(t) < F.lag(t).over(w)).groupBy(*by).agg(F.sum(F.coalesce(F.col("__back"), F.lit(False)).cast("long")).alias("out_of_order"))
+def out_of_order(df: DataFrame, by: list[str], position: str, t: str, width: int = 1 << 20) -> DataFrame:
+    """Rows per group whose time is before that of the row before them in source order; position is a number."""
+    from .windows import previous
+
+    d = previous(df.select(*dict.fromkeys([*by, position, t])), by, [position], [t], width)
+    return d.groupBy(*by).agg(F.count_if(F.coalesce(F.col(t) < F.col(f"prev.{t}"), F.lit(False))).cast("long").alias("out_of_order"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_nulls") for c in df.columns])
 
 
-def audit_predicates(step_ms: int = HOUR_MS) -> dict[str, Column]:
-    """Named faults of a bar row."""
+def audit_predicates(step_ms: int = HOUR_MS, start_ms: int | None = None, end_ms: int | None = None) -> dict[str, Column]:
+    """Named faults of a bar row, over the columns that the bars have: a missing column's rule is left out by audit_bars."""
     o, h, lo, c, v, t = (F.col(x) for x in ("open", "high", "low", "close", "volume", "t"))
-    return {
+    out = {
         "not_finite": ~reduce(Column.__and__, [finite(x) for x in (o, h, lo, c, v)]),
-        "not_positive": F.least(o, h, lo, c) <= 0,
+        "negative_price": F.least(o, h, lo, c) < 0,
         "negative_volume": v < 0,
         "negative_trades": F.col("trades") < 0,
-        "high_below": h < F.greatest(o, c, lo),
-        "low_above": lo > F.least(o, c, h),
+        "invalid_ohlc": (lo > F.least(o, c)) | (h < F.greatest(o, c)) | (lo > h),
         "misaligned": t % step_ms != 0,
+        "close_not_after_open": F.col("close_t") <= t,
+        "negative_quote_volume": F.col("quote_volume") < 0,
+        "negative_taker_volume": F.least("taker_buy_volume", "taker_buy_quote_volume") < 0,
+        "taker_above_total": (F.col("taker_buy_volume") > v) | (F.col("taker_buy_quote_volume") > F.col("quote_volume")),
+        "not_closed": ~F.col("is_closed"),
         "empty_with_volume": (F.col("trades") == 0) & (v > 0),
     }
+    if start_ms is not None and end_ms is not None:
+        out["out_of_range"] = (t < start_ms) | (t > end_ms // step_ms * step_ms)
+    return out
+
+
+_AUDITED = {"negative_trades": ("trades",), "close_not_after_open": ("close_t",), "negative_quote_volume": ("quote_volume",), "negative_taker_volume": ("taker_buy_volume", "taker_buy_quote_volume"), "taker_above_total": ("taker_buy_volume", "taker_buy_quote_volume", "quote_volume"), "not_closed": ("is_closed",), "empty_with_volume": ("trades",)}
 
 
-def audit_bars(b: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
+def audit_bars(b: DataFrame, step_ms: int = HOUR_MS, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Counts of every fault by symbol in one aggregation."""
-    return b.groupBy("symbol").agg(F.count("*").alias("n_bars"), *[F.count_if(F.coalesce(p, F.lit(False))).alias(n) for n, p in audit_predicates(step_ms).items()])
+    rules = {n: p for n, p in audit_predicates(step_ms, start_ms, end_ms).items() if set(_AUDITED.get(n, ())) <= set(b.columns)}
+    return b.groupBy("symbol").agg(F.count("*").alias("n_bars"), *[F.count_if(F.coalesce(p, F.lit(False))).alias(n) for n, p in rules.items()])
 
 
 def gaps(b: DataFrame, start_ms: int, end_ms: int, step_ms: int = HOUR_MS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import DAY_MS
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, value: str) -> DataFrame:
     """Adds ``value`` of the latest right row with right_t <= left_t, and ``change`` against the one before it.
@@ -20,21 +22,29 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_t: str, righ
     return both.withColumn("__last", last).where("__side = 1").select("__row.*", F.col("__last.__v").alias(value), F.col("__last.__change").alias("change"))
 
 
-def interval_sum(left: DataFrame, right: DataFrame, key: str, start: str, end: str, right_t: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over right rows in (start, end], 0 if none.
-
-    Running totals of the right side are looked up as of both ends, so no left row meets more than one right row."""
-    total = Window.partitionBy(key).orderBy(right_t)
-    r = right.groupBy(key, right_t).agg(F.sum(value).alias("__x")).withColumn("__cum", F.sum("__x").over(total)).drop("__x")
-    out = left
-    for end_, at in ((start, "__a"), (end, "__b")):
-        out = asof_backward(out, r, key, end_, right_t, "__cum").withColumnRenamed("__cum", at).drop("change")
-    return out.withColumn(name, F.coalesce("__b", F.lit(0.0)) - F.coalesce("__a", F.lit(0.0))).drop("__a", "__b")
-
-
-def with_folds(df: DataFrame, folds: DataFrame, t: str, low: str, high: str) -> DataFrame:
-    """Rows joined with every fold whose closed interval holds their time; folds has one row a fold and stays small."""
-    return df.join(F.broadcast(folds), F.col(t).between(F.col(low), F.col(high)))
+def interval_sum(left: DataFrame, right: DataFrame, key: str, start: str, end: str, right_t: str, value: str, name: str, width: int) -> DataFrame:
+    """Adds the sum of ``value`` over right rows in (start, end], 0 if none or an end is missing. Times are integers.
+
+    Time is cut into buckets of ``width`` (about the length of an interval); both sides meet by key and bucket, so an
+    interval sees the rows near it only, and each sum is of its own rows: no running totals, whose differences lose
+    small values beside large ones and spread a NaN over all that follows."""
+    r = right.groupBy(F.col(key).alias("__k"), F.col(right_t).cast("long").alias("__t")).agg(F.sum(value).alias("__v"))
+    r = r.withColumn("__bucket", F.floor(F.col("__t") / width))
+    a, z = F.col(start).cast("long"), F.col(end).cast("long")
+    spans = left.select(F.col(key).alias("__k"), a.alias("__a"), z.alias("__z")).where("__a < __z").distinct()
+    near = spans.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__a") / width), F.floor(F.col("__z") / width))))
+    met = near.join(r, ["__k", "__bucket"]).where("__t > __a AND __t <= __z")
+    sums = met.groupBy("__k", "__a", "__z").agg(F.sum("__v").alias("__sum"))
+    out = left.join(sums, (F.col(key) == F.col("__k")) & (a == F.col("__a")) & (z == F.col("__z")), "left")
+    return out.withColumn(name, F.coalesce("__sum", F.lit(0.0))).drop("__k", "__a", "__z", "__sum")
+
+
+def with_folds(df: DataFrame, folds: DataFrame, t: str, low: str, high: str, width: int = 7 * DAY_MS) -> DataFrame:
+    """Rows joined with every fold whose closed interval holds their time. Folds are spread over the stretches of
+    ``width`` that they reach into, so this is an equality join, whatever their number."""
+    spread = folds.withColumn("__week", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    near = df.withColumn("__week", F.floor(F.col(t) / width))
+    return near.join(spread, "__week").where(F.col(t).between(F.col(low), F.col(high))).drop("__week")
 
 
 def dense_panel(df: DataFrame, symbols: list[str]) -> DataFrame:

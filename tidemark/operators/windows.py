@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import HOUR_MS, TINY, only_finite
+from ..functions.columns import DAY_MS, HOUR_MS, TINY, only_finite
 
 
 def by_symbol():
@@ -69,7 +71,7 @@ def rolling_beta(y: Column, x: Column, n: int, by=None) -> Column:
     return F.when((F.count(only_finite(x * y)).over(w) == n) & (v > 1e-18), F.covar_pop(y, x).over(w) / F.when(v > 1e-18, v))
 
 
-def benchmark(df: DataFrame, r: str = "r", first: str = "click", second: str = "view") -> DataFrame:
+def benchmark(df: DataFrame, r: str, first: str, second: str) -> DataFrame:
     """Mean of two leaders at each time; each leader is measured against the other."""
     a, b = (F.max(F.when(F.col("symbol") == s, F.col(r))).over(by_time()) for s in (first, second))
     return df.withColumn("bench", F.when(F.col("symbol") == first, b).when(F.col("symbol") == second, a).otherwise((a + b) / 2))
@@ -116,22 +118,54 @@ def drawdown(df: DataFrame, r: str, by: list[str], order: str) -> DataFrame:
 
 
 def drawdown_episodes(df: DataFrame, by: list[str], order: str, top: int = 5) -> DataFrame:
-    """The deepest episodes: peak, trough and last time, depth, rows; islands between running peaks."""
+    """The deepest episodes: start, trough, last time under water and recovery (null, and ongoing, if there is none),
+    depth, rows, and milliseconds from start to trough and to recovery or the last row; islands between peaks."""
     w = Window.partitionBy(*by).orderBy(order)
-    df = df.withColumn("__peak", (F.col("drawdown") >= 0).cast("int")).withColumn("__island", F.sum("__peak").over(w))
-    e = df.where("drawdown < 0").groupBy(*by, "__island").agg(F.min(order).alias("start"), F.min_by(order, F.struct("drawdown", order)).alias("trough"), F.max(order).alias("end"), F.min("drawdown").alias("depth"), F.count("*").alias("n_rows"))
+    df = df.withColumn("__peak", (F.col("drawdown") >= 0).cast("int")).withColumn("__island", F.sum("__peak").over(w)).withColumn("__next", F.lead(order).over(w))
+    e = df.where("drawdown < 0").groupBy(*by, "__island").agg(
+        F.min(order).alias("start"), F.min_by(order, F.struct("drawdown", order)).alias("trough"), F.max(order).alias("end"),
+        F.max_by("__next", order).alias("recovery"), F.min("drawdown").alias("depth"), F.count("*").alias("n_rows"),
+    )
+    e = e.withColumns({"ongoing": F.col("recovery").isNull(), "to_trough": F.col("trough") - F.col("start"), "duration": F.coalesce("recovery", "end") - F.col("start")})
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("depth", "start"))
     return e.withColumn("rank", rank).where(F.col("rank") <= top).drop("__island")
 
 
-def sequence_gaps(df: DataFrame, by: list[str], ident: str) -> DataFrame:
+def ranked(df: DataFrame, order: list[str], name: str, width: int) -> DataFrame:
+    """Numbers all rows from 0 in the order given, whose first column is a number, without sorting them in one task:
+    rows are numbered within stretches of ``width`` of that column, and a running count over the stretches is added."""
+    b = F.floor(F.col(order[0]) / width)
+    counts = df.groupBy(b.alias("__b")).agg(F.count("*").alias("__c"))
+    before = counts.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    rows = df.withColumn("__b", b).withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
+    out = rows.alias("l").join(before.alias("r"), F.col("l.__b").eqNullSafe(F.col("r.__b")))
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("__i") + F.col("__base")).alias(name))
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], values: list[str], width: int) -> DataFrame:
+    """Adds prev, the struct of ``values`` of the row before in each group; null for the first.
+
+    Groups may be few and long: rows meet within stretches of ``width`` of the first order column, a number, and each
+    stretch is handed the last row of the one before it, so no task sorts a whole group."""
+    b = F.floor(F.col(order[0]) / width)
+    rows = df.withColumn("__b", b)
+    inside = F.lag(F.struct(*values)).over(Window.partitionBy(*by, "__b").orderBy(*order))
+    last = rows.groupBy(*by, "__b").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b"))).drop("__last")
+    rows = rows.withColumn("__in", inside)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "__b")]
+    out = rows.alias("l").join(carried.alias("r"), reduce(Column.__and__, same))
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("__in", "__carry").alias("prev"))
+
+
+def sequence_gaps(df: DataFrame, by: list[str], ident: str, width: int = 1 << 20) -> DataFrame:
     """Ids missing between distinct neighbours."""
-    d = df.select(*by, ident).distinct()
-    lost = F.greatest(F.col(ident) - F.lag(ident).over(Window.partitionBy(*by).orderBy(ident)) - 1, F.lit(0))
+    d = previous(df.select(*by, ident).distinct(), by, [ident], [ident], width)
+    lost = F.greatest(F.col(ident) - F.col(f"prev.{ident}") - 1, F.lit(0))
     return d.withColumn("lost", lost).groupBy(*by).agg(F.coalesce(F.sum("lost"), F.lit(0)).cast("long").alias("missing_ids"))
 
 
-def regressions(df: DataFrame, by: list[str], ident: str, arrival: list[str]) -> DataFrame:
-    """Rows whose id is not above that of the row that arrived before."""
-    back = F.col(ident) <= F.lag(ident).over(Window.partitionBy(*by).orderBy(*arrival))
-    return df.withColumn("__b", F.coalesce(back, F.lit(False))).groupBy(*by).agg(F.count_if("__b").alias("regressions"))
+def regressions(df: DataFrame, by: list[str], ident: str, arrival: list[str], width: int = DAY_MS) -> DataFrame:
+    """Rows whose id is not above that of the row that arrived before; the first arrival column is a number."""
+    d = previous(df.select(*dict.fromkeys([*by, ident, *arrival])), by, arrival, [ident], width)
+    return d.groupBy(*by).agg(F.count_if(F.coalesce(F.col(ident) <= F.col(f"prev.{ident}"), F.lit(False))).alias("regressions"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import HOUR_MS, utc_date
+from ..functions.columns import DAY_MS, HOUR_MS, epoch_ms, utc_date
 from ..operators import aggregates as ag
 from ..operators import backtest as bt
 from ..operators import bars as br
@@ -69,8 +69,8 @@ def bars_hourly(s, d):
     return _round(_bars(s, d), "volume")
 
 
-@query(f"""WITH {_BARS} SELECT symbol, count(*) AS n_bars, 0::BIGINT AS not_finite, count_if(least(open, high, low, close) <= 0) AS not_positive, count_if(volume < 0) AS negative_volume,
-  count_if(trades < 0) AS negative_trades, count_if(high < greatest(open, close, low)) AS high_below, count_if(low > least(open, close, high)) AS low_above,
+@query(f"""WITH {_BARS} SELECT symbol, count(*) AS n_bars, 0::BIGINT AS not_finite, count_if(least(open, high, low, close) < 0) AS negative_price, count_if(volume < 0) AS negative_volume,
+  count_if(trades < 0) AS negative_trades, count_if(low > least(open, close) OR high < greatest(open, close) OR low > high) AS invalid_ohlc,
   count_if(t % 3600000 <> 0) AS misaligned, count_if(trades = 0 AND volume > 0) AS empty_with_volume FROM bars GROUP BY symbol""")
 def bar_audit(s, d):
     return br.audit_bars(_bars(s, d))
@@ -178,7 +178,7 @@ def path_efficiency(s, d):
   b AS (SELECT symbol, t, r, CASE symbol WHEN 'click' THEN v WHEN 'view' THEN c ELSE (c + v) / 2 END AS bench FROM a)
   SELECT symbol, t, round(bench, 6) AS bench, round(CASE WHEN count(r * bench) OVER {_w(11)} = 12 AND var_pop(bench) OVER {_w(11)} > 1e-18 THEN covar_pop(r, bench) OVER {_w(11)} / var_pop(bench) OVER {_w(11)} END, 5) AS beta FROM b""")
 def rolling_beta(s, d):
-    b = wn.benchmark(_rets(s, d))
+    b = wn.benchmark(_rets(s, d), "r", "click", "view")
     return b.select("symbol", "t", F.round("bench", 6).alias("bench"), F.round(wn.rolling_beta(F.col("r"), F.col("bench"), 12), 5).alias("beta"))
 
 
@@ -214,11 +214,13 @@ def drawdown(s, d):
 
 
 @query(f"""WITH {_PANEL}{_DD}, i AS (SELECT *, sum(CASE WHEN drawdown >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY t) AS island FROM dd),
-  x AS (SELECT symbol, min(t) AS start, max(t) AS "end", min(drawdown) AS depth, count(*) AS n_rows FROM i WHERE drawdown < 0 GROUP BY symbol, island),
-  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY depth, start) AS INTEGER) AS rank FROM x) SELECT symbol, start, "end", round(depth, 6) AS depth, n_rows, rank FROM k WHERE rank <= 5""")
+  j AS (SELECT *, lead(t) OVER (PARTITION BY symbol ORDER BY t) AS nxt FROM i),
+  x AS (SELECT symbol, min(t) AS start, arg_min(t, struct_pack(d := drawdown, t := t)) AS trough, max(t) AS "end", max_by(struct_pack(n := nxt), t).n AS recovery, min(drawdown) AS depth, count(*) AS n_rows FROM j WHERE drawdown < 0 GROUP BY symbol, island),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY depth, start) AS INTEGER) AS rank FROM x) SELECT symbol, start, trough, "end", recovery, recovery IS NULL AS ongoing, trough - start AS to_trough, coalesce(recovery, "end") - start AS duration,
+  round(depth, 6) AS depth, n_rows, rank FROM k WHERE rank <= 5""")
 def drawdown_episodes(s, d):
     e = wn.drawdown_episodes(wn.drawdown(_panel(s, d), "ret", ["symbol"], "t"), ["symbol"], "t")
-    return _round(e.select("symbol", "start", "end", "depth", "n_rows", "rank"), "depth")
+    return _round(e, "depth")
 
 
 @query("""WITH x AS (SELECT DISTINCT event_type, event_id FROM events), g AS (SELECT event_type, greatest(event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) - 1, 0) AS lost FROM x)
@@ -229,7 +231,7 @@ def sequence_gaps(s, d):
 
 @query("""WITH g AS (SELECT user_id, event_id <= lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count_if(coalesce(b, false)) AS regressions FROM g GROUP BY 1""")
 def sequence_regressions(s, d):
-    return wn.regressions(_events(s, d), ["user_id"], "event_id", ["ts", "event_id"])
+    return wn.regressions(_events(s, d).withColumn("ms", epoch_ms(F.col("ts"))), ["user_id"], "event_id", ["ms", "ts", "event_id"])
 
 
 @query("""WITH p AS (SELECT user_id, ts, sum(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), c AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS change FROM p)
@@ -243,21 +245,21 @@ def asof_join(s, d):
 @query("""SELECT e.event_id, round(coalesce(sum(p.value), 0), 4) AS spent FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup') e
   LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON p.user_id = e.user_id AND p.ts > e.ts AND p.ts <= e.ts + INTERVAL 3 DAY GROUP BY e.event_id""")
 def interval_sum_join(s, d):
-    e = _events(s, d)
-    left = e.where("event_type = 'signup'").select("event_id", "user_id", "ts", (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("until"))
-    out = jn.interval_sum(left, e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), "value"), "user_id", "ts", "until", "at", "value", "spent")
+    e = _events(s, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    left = e.where("event_type = 'signup'").select("event_id", "user_id", "us", (F.col("us") + 3 * DAY_MS * 1000).alias("until"))
+    out = jn.interval_sum(left, e.where("event_type = 'purchase'").select("user_id", F.col("us").alias("at"), "value"), "user_id", "us", "until", "at", "value", "spent", 3 * DAY_MS * 1000)
     return out.select("event_id", F.round("spent", 4).alias("spent"))
 
 
 _FOLDS = """, n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM panel)), k AS (SELECT t, i, CAST((i - 169) // 48 AS INTEGER) AS fold FROM n WHERE i >= 169),
-  folds AS (SELECT fold, min(t) AS test_start, max(t) AS test_end, (SELECT t FROM n WHERE n.i = min(k.i) - 2) AS train_end FROM k GROUP BY fold HAVING count(*) = 48)"""
+  folds AS (SELECT fold, (SELECT min(t) FROM n) AS train_start, min(t) AS test_start, max(t) AS test_end, (SELECT t FROM n WHERE n.i = min(k.i) - 2) AS train_end FROM k GROUP BY fold HAVING count(*) = 48)"""
 
 
 def _folds(p):
     return bt.folds(p.select("t"), 168, 48, 1)
 
 
-@query(f"WITH {_PANEL}{_FOLDS} SELECT fold, train_end, test_start, test_end FROM folds")
+@query(f"WITH {_PANEL}{_FOLDS} SELECT fold, train_start, train_end, test_start, test_end FROM folds")
 def walk_forward_folds(s, d):
     return _folds(_panel(s, d))
 
@@ -265,8 +267,9 @@ def walk_forward_folds(s, d):
 @query(f"WITH {_PANEL}{_FOLDS} SELECT fold, symbol, round(quantile_cont(vol, 0.8), 6) AS q80, count(*) AS n FROM panel JOIN folds ON t <= train_end GROUP BY fold, symbol")
 def frozen_train_quantiles(s, d):
     p = _panel(s, d)
-    j = jn.with_folds(p, _folds(p).withColumn("low", F.lit(0).cast("long")), "t", "low", "train_end")
-    return _round(j.groupBy("fold", "symbol").agg(F.percentile("vol", 0.8).alias("q80"), F.count("*").alias("n")), "q80")
+    j = jn.with_folds(p, _folds(p), "t", "train_start", "train_end")
+    q = ag.exact_quantiles(j, ["fold", "symbol"], "vol", {"q80": 0.8})
+    return _round(q.join(j.groupBy("fold", "symbol").agg(F.count("*").alias("n")), ["fold", "symbol"]), "q80")
 
 
 _G = "(SELECT DISTINCT t FROM bars) CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) v(symbol)"
@@ -323,10 +326,13 @@ def union_by_name(s, d):
 
 
 @query(f"""WITH {_PANEL}{_DD}, m AS (SELECT symbol, min(drawdown) AS mdd FROM dd GROUP BY 1), a AS (SELECT symbol, count(*) AS n, sum(ln(1 + ret)) AS l, avg(ret) AS mu, stddev_samp(ret) AS sd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM panel GROUP BY 1)
-  SELECT symbol, n, round(exp(l) - 1, 6) AS total_return, round(sd * sqrt(8760), 6) AS annual_volatility, round(mu / sd * sqrt(8760), 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(hit, 6) AS hit_rate FROM a JOIN m USING (symbol)""")
+  SELECT symbol, n, round(exp(l) - 1, 6) AS total_return, round(sd * sqrt(8760), 6) AS annual_volatility, round(mu / sd * sqrt(8760), 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(hit, 6) AS hit_rate,
+  round(ln(1 + (exp(l / n * 8760) - 1)), 6) AS log_annual_return, round(CASE WHEN mdd < 0 THEN ln(1 + greatest((exp(l / n * 8760) - 1) / abs(mdd), -0.999)) END, 5) AS log_calmar FROM a JOIN m USING (symbol)""")
 def return_statistics(s, d):
     cols = ("total_return", "annual_volatility", "sharpe", "max_drawdown", "hit_rate")
-    return _round(ag.return_statistics(_panel(s, d), ["symbol"], "ret", "t").select("symbol", "n", *cols), *cols)
+    got = ag.return_statistics(_panel(s, d), ["symbol"], "ret", "t")
+    logs = {"log_annual_return": F.log1p("annual_return"), "log_calmar": F.log1p(F.greatest("calmar", F.lit(-0.999)))}  # these can be huge
+    return _round(got.withColumns(logs).select("symbol", "n", *cols, *logs), *cols, "log_annual_return").withColumn("log_calmar", F.round("log_calmar", 5))
 
 
 @query("""SELECT event_type, min(value) AS minimum, quantile_cont(value, 0.25) AS p25, median(value) AS median, quantile_cont(value, 0.75) AS p75, max(value) AS maximum FROM events GROUP BY 1""".replace("quantile_cont(value, 0.25)", "round(quantile_cont(value, 0.25), 6)").replace("median(value)", "round(median(value), 6)").replace("quantile_cont(value, 0.75)", "round(quantile_cont(value, 0.75), 6)"))
@@ -370,8 +376,8 @@ def decision_step(s, d):
 @query("SELECT event_type, round(quantile_cont(lat, 0.5), 4) AS p50, round(quantile_cont(lat, 0.95), 4) AS p95, round(quantile_cont(lat, 0.99), 4) AS p99 FROM (SELECT event_type, value * 10 + CAST(json_extract(props, '$.k') AS DOUBLE) AS lat FROM events) GROUP BY 1")
 def latency_quantiles(s, d):
     e = _events(s, d).select("event_type", (F.col("value") * 10 + F.get_json_object("props", "$.k").cast("double")).alias("lat"))
-    q = e.groupBy("event_type").agg(F.percentile("lat", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q"))
-    return q.select("event_type", *[F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    q = ag.exact_quantiles(e, ["event_type"], "lat", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("event_type", *[F.round(n, 4).alias(n) for n in ("p50", "p95", "p99")])
 
 
 @query(f"WITH {_PANEL} SELECT symbol, CAST(make_date(1970, 1, 1) + CAST(t // 86400000 AS INTEGER) AS DATE) AS day, round(exp(sum(ln(1 + ret))) - 1, 6) AS daily_return, count(*) AS n FROM panel GROUP BY 1, 2")
@@ -480,7 +486,7 @@ def sparse_positions(s, d):
     return pf.sparse_state(x, ["fold", "symbol"], "entry", 6)
 
 
-@query(f"""SELECT event_type, event_id, CAST({_MS} AS BIGINT) AS t_ms, round(coalesce(greatest(0, ({_MS} - lag({_MS}) OVER (PARTITION BY event_type ORDER BY {_MS}, event_id)) / 100.0), 0), 6) AS delay_ms FROM events""")
+@query(f"""SELECT event_type, event_id, CAST({_MS} AS BIGINT) AS t_ms, round(coalesce(greatest(0, ({_MS} - lag({_MS}) OVER (ORDER BY {_MS}, event_id, event_type)) / 100.0), 0), 6) AS delay_ms FROM events""")
 def replay_schedule(s, d):
     return _round(sm.replay_schedule(_events(s, d), 100.0), "delay_ms")
 

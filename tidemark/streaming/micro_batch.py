@@ -5,24 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import epoch_ms
+from ..functions.columns import HOUR_MS, epoch_ms
+from ..operators.windows import previous
 
 
 def start_sink(stream: DataFrame, path: str, checkpoint: str, seconds: int = 30, once: bool = False):
-    """Append by event type, date and hour; rows are sorted within files, late rows land in their own partition."""
+    """By batch, event type, date and hour; rows are sorted within files, late rows land in their own partition.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch overwrites the folder of its number, so one that is replayed after a failure is there once."""
+
+    def write(batch: DataFrame, number: int) -> None:
         b = batch.withColumn("date", F.to_date("ts")).withColumn("hour", F.hour("ts"))
-        b.repartition("event_type", "date").sortWithinPartitions("event_type", "date", "hour", "ts", "event_id").write.mode("append").partitionBy("event_type", "date", "hour").parquet(path)
+        b = b.repartition("event_type", "date").sortWithinPartitions("event_type", "date", "hour", "ts", "event_id")
+        b.write.mode("overwrite").partitionBy("event_type", "date", "hour").parquet(f"{path}/batch={number}")
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def recovered(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """(whole batches, batches without a success mark): what a crash left half written is to be read by nobody, and the
+    stream writes it again under the same number."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")] if fs.exists(p) else []
+    done = {n.getName(): fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")) for n in names}
+    number = lambda want: sorted(int(n[6:]) for n, ok in done.items() if ok == want)
+    return number(True), number(False)
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the whole batches."""
+    whole, _ = recovered(spark, path)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in whole])
+
+
+def checkpoints(batches: DataFrame) -> DataFrame:
+    """Per type and symbol: rows, batches, and the last event written."""
+    last = F.max_by(F.struct("batch", "event_id", "ts"), F.struct("ts", "event_id"))
+    return batches.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.count_distinct("batch").alias("batches"), last.alias("x")).select("event_type", "n_rows", "batches", "x.*")
+
+
 def sequence_state(stream: DataFrame, key: str, ident: str) -> DataFrame:
     """Per key, after each micro-batch: last id, ids skipped, ids not above the last one."""
 
@@ -47,10 +74,23 @@ def windowed_bars(stream: DataFrame, width: str = "1 hour", late: str = "10 minu
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("trades"))
 
 
+REPLAY_ORDER = ["t_ms", "received", "event_id", "event_type"]
+
+
 def replay_schedule(events: DataFrame, speed: float) -> DataFrame:
-    """Deterministic replay order with the virtual delay before each event, in milliseconds."""
-    from pyspark.sql import Window
+    """The virtual delay before each event, in milliseconds, of one replay of all types: events in the order of time,
+    arrival (``received``; event_id where there is none), id and type, each waiting for the one before it."""
+    e = events.withColumn("t_ms", epoch_ms(F.col("ts")))
+    e = e if "received" in e.columns else e.withColumn("received", F.col("event_id"))
+    d = previous(e.select(*REPLAY_ORDER), [], REPLAY_ORDER, ["t_ms"], HOUR_MS)
+    wait = F.greatest(F.lit(0.0), (F.col("t_ms") - F.col("prev.t_ms")) / F.lit(float(speed)))
+    return d.select("event_type", "event_id", "t_ms", F.coalesce(wait, F.lit(0.0)).alias("delay_ms"))
+
+
+def replay_digest(events: DataFrame) -> DataFrame:
+    """Number of events and a digest of them in replay order; equal for every speed and every run."""
+    from ..operators.aggregates import ordered_digest
 
     e = events.withColumn("t_ms", epoch_ms(F.col("ts")))
-    d = F.greatest(F.lit(0.0), (F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("event_type").orderBy("t_ms", "event_id"))) / F.lit(float(speed)))
-    return e.select("event_type", "event_id", "t_ms", F.coalesce(d, F.lit(0.0)).alias("delay_ms"))
+    e = e if "received" in e.columns else e.withColumn("received", F.col("event_id"))
+    return ordered_digest(e, REPLAY_ORDER, HOUR_MS)
