@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans import research  # noqa: F401 (registers its queries)
 from tidemark.plans.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")

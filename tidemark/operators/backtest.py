@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_MS
+from ..functions.columns import DAY_MS, utc_date
 from .windows import ranked
 
 
@@ -23,34 +26,210 @@ def folds(times: DataFrame, train: int, test: int, embargo: int, width: int = DA
     return out.select("fold", "train_start", "train_end", "test_start", "test_end")
 
 
-def accounting(w: DataFrame, fee: float, spread_bps: float, slippage_bps: float, multiplier: float = 1.0) -> DataFrame:
-    """By fold and time: price P&L, costs, turnover, net, exposures. w: fold, t, symbol, weight, ret.
+@dataclass(frozen=True)
+class Costs:
+    """Rates on traded weight. A taker fee holds from a time on; a schedule is a table of fees (see positions)."""
+
+    fee: float = 0.0005
+    spread_bps: float = 1.0
+    slippage_bps: float = 1.0
+    multiplier: float = 1.0
+
+    def rates(self) -> dict[str, float]:
+        if self.multiplier < 0:
+            raise ValueError("cost multipliers are not negative")
+        return {"fee": self.fee * self.multiplier, "spread": self.spread_bps / 20000 * self.multiplier, "slippage": self.slippage_bps / 10000 * self.multiplier}
+
 
-    Trades are changes of weight, from 0 at a fold's start, and positions are closed on its last row."""
+def positions(w: DataFrame, costs: Costs = Costs(), delay: int = 0, capital: float = 10_000.0, schedule: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """Long frame of positions by fold, time and symbol: previous, target and traded weight, price and funding P&L,
+    allocated fee, spread and slippage, contributions, participation in the hour's volume, beta contribution.
+
+    w: fold, t, symbol, weight, ret, and, where there are such, funding_rate, volume, beta. Trades are changes of weight,
+    from 0 at a fold's start, and positions are closed on its last row. ``delay`` shifts weights by rows. ``schedule``
+    has fees by time (from_t, to_t or null, fee), a row a change of fees, in place of the one fee; a time it does not
+    cover is an error."""
+    s = Window.partitionBy("fold", "symbol").orderBy("t")
+    here = lambda c: F.col(c) if c in w.columns else F.lit(0.0)
+    rows = w.withColumn("weight", F.lag("weight", delay, 0.0).over(s)) if delay else w
+    rows = rows.withColumns({"previous_weight": F.lag("weight", 1, 0.0).over(s), "__last": F.lead("t").over(s).isNull()})
+    rate = costs.rates()
+    fee = F.lit(rate["fee"])
+    if schedule is not None:
+        spans = schedule.select("from_t", F.coalesce("to_t", F.lit(2**62)).alias("to_t"), F.col("fee").alias("__fee"))
+        rows = rows.join(F.broadcast(spans.limit(4096)), (F.col("t") >= F.col("from_t")) & (F.col("t") < F.col("to_t")), "left").drop("from_t", "to_t")  # a fee change a row, at most 4096
+        fee = F.when(F.col("__fee").isNull(), F.raise_error(F.lit("no fee for this time"))).otherwise(F.col("__fee") * costs.multiplier)
+    change = F.col("weight") - F.col("previous_weight")
+    rows = rows.withColumn("trade_weight", F.abs(change) + F.when(F.col("__last"), F.abs("weight")).otherwise(0.0))
+    rows = rows.withColumns({
+        "price_pnl": F.col("weight") * F.col("ret"), "funding_pnl": -F.col("weight") * here("funding_rate"),
+        "allocated_fee": F.col("trade_weight") * fee, "allocated_spread": F.col("trade_weight") * rate["spread"], "allocated_slippage": F.col("trade_weight") * rate["slippage"],
+        "beta_contribution": F.col("weight") * here("beta"),
+        "participation": F.when(here("volume") > 0, capital * F.abs(change) / F.when(here("volume") > 0, here("volume"))).otherwise(0.0),
+    })
+    gross = F.col("price_pnl") + F.col("funding_pnl")
+    cost = F.col("allocated_fee") + F.col("allocated_spread") + F.col("allocated_slippage")
+    return rows.withColumns({"gross_contribution": gross, "net_contribution": gross - cost}).drop("__last", "__fee")
+
+
+def curve(p: DataFrame) -> DataFrame:
+    """By fold and time: P&L, costs, net return, turnover, exposures, greatest participation, equity within the fold.
+    A net return of -1 or less is an error."""
+    g = p.groupBy("fold", "t").agg(
+        F.sum("price_pnl").alias("price_pnl"), F.sum("funding_pnl").alias("funding_pnl"), F.sum("allocated_fee").alias("trading_fees"),
+        F.sum("allocated_spread").alias("spread_cost"), F.sum("allocated_slippage").alias("slippage_cost"), F.sum("trade_weight").alias("turnover"),
+        F.sum(F.abs("weight")).alias("gross_exposure"), F.sum("weight").alias("net_exposure"), F.sum("beta_contribution").alias("beta_exposure"), F.max("participation").alias("participation"),
+    )
+    net = F.col("price_pnl") + F.col("funding_pnl") - F.col("trading_fees") - F.col("spread_cost") - F.col("slippage_cost")
+    g = g.withColumn("net_return", net)
+    g = g.withColumn("net_return", F.when(F.col("net_return") > -1, F.col("net_return")).otherwise(F.raise_error(F.lit("equity became non-positive"))))
+    w = Window.partitionBy("fold").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumn("equity", F.exp(F.sum(F.log1p("net_return")).over(w)))
+
+
+def oos_equity(c: DataFrame) -> DataFrame:
+    """Equity compounded across folds: within a fold as it is, times the final equity of all folds before, one row each."""
+    ends = c.groupBy("fold").agg(F.sum(F.log1p("net_return")).alias("l"), F.min("t").alias("first"))
+    before = ends.select("fold", F.coalesce(F.sum("l").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__l"))
+    return c.join(before, "fold").withColumn("oos_equity", F.col("equity") * F.exp("__l")).drop("__l")
+
+
+def curve_metrics(c: DataFrame, by: list[str], periods_a_year: float = 8760.0) -> DataFrame:
+    """The metrics of a curve (with rank_ic where it is known) by group, over its rows in order of time."""
+    from .aggregates import return_statistics
+
+    s = return_statistics(c, by, "net_return", "t", periods_a_year)
+    ic = [F.avg("rank_ic").alias("mean_rank_ic")] if "rank_ic" in c.columns else []
+    net = F.col("price_pnl") + F.col("funding_pnl") - F.col("trading_fees") - F.col("spread_cost") - F.col("slippage_cost")
+    g = c.groupBy(*by).agg(
+        *[F.sum(x).alias(x) for x in ("price_pnl", "funding_pnl", "trading_fees", "spread_cost", "slippage_cost", "turnover")], F.sum("net_return").alias("net_pnl"),
+        (F.sum("turnover") * periods_a_year / F.count("*")).alias("annual_turnover"), F.avg("gross_exposure").alias("mean_gross"), F.avg("net_exposure").alias("mean_net"),
+        F.max(F.abs("beta_exposure")).alias("max_beta"), F.max("participation").alias("max_participation"), F.max(F.abs(F.col("net_return") - net)).alias("accounting_error"), *ic,
+    )
+    if not by:
+        return s.join(F.broadcast(g))  # both are one row
+    same = reduce(Column.__and__, [F.col(f"l.{x}").eqNullSafe(F.col(f"r.{x}")) for x in by])
+    return s.alias("l").join(g.alias("r"), same).select("l.*", *[F.col(f"r.{x}") for x in g.columns if x not in by])
+
+
+def month(t: Column) -> Column:
+    return F.date_format(utc_date(t), "yyyy-MM")
+
+
+def attribution(p: DataFrame, by: list[str]) -> DataFrame:
+    """P&L and costs of positions by group, with each group's share of the summed magnitude of net contributions."""
+    g = p.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("price_pnl", "funding_pnl", "allocated_fee", "allocated_spread", "allocated_slippage", "net_contribution", "trade_weight")])
+    total = g.agg(F.sum(F.abs("net_contribution")).alias("__total"))
+    return g.join(F.broadcast(total)).withColumn("share", F.coalesce(F.try_divide(F.abs("net_contribution"), F.col("__total")), F.lit(0.0))).drop("__total")  # total is one row
+
+
+def position_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two strategies' weights by time and symbol: shared rows, cosine, share of rows with the same sign, overlap of
+    gross exposure (summed lesser magnitudes of equal sign over summed greater ones)."""
+    x, y = F.col("x"), F.col("y")
+    j = a.select("t", "symbol", F.col("weight").alias("x")).join(b.select("t", "symbol", F.col("weight").alias("y")), ["t", "symbol"])
+    both = F.when(F.signum(x) == F.signum(y), F.least(F.abs(x), F.abs(y))).otherwise(0.0)
+    return j.agg(F.count("*").alias("n"), F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))).alias("cosine"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("same_sign"), F.try_divide(F.sum(both), F.sum(F.greatest(F.abs(x), F.abs(y)))).alias("overlap"))
+
+
+def daily(c: DataFrame) -> DataFrame:
+    """By day: compounded net return, equity at the day's end, mean gross exposure."""
+    return c.groupBy(utc_date(F.col("t")).alias("day")).agg(F.expm1(F.sum(F.log1p("net_return"))).alias("net_return"), F.avg("gross_exposure").alias("mean_gross"), F.sum("turnover").alias("turnover"))
+
+
+def rolling_sharpe(d: DataFrame, days: int = 30) -> DataFrame:
+    """Annualised Sharpe of the last ``days`` days at each day's end; null before there are as many or without spread."""
+    w = Window.orderBy("day").rowsBetween(-(days - 1), 0)  # a row a day
+    sd = F.stddev_samp("net_return").over(w)
+    return d.withColumn("sharpe", F.when((F.count("net_return").over(w) == days) & (sd > 1e-15), F.avg("net_return").over(w) / F.when(sd > 1e-15, sd) * 365**0.5))
+
+
+def stress(w: DataFrame, multipliers: list[float], costs: Costs = Costs(), variants: dict[str, DataFrame] | None = None, full: bool = True) -> DataFrame:  # noqa: B008
+    """Total return and turnover by scenario: costs times each multiplier, weights one bar late, and variants of the
+    strategy (name to weights). The delayed weights are a second column of the same rows, so the panel is read once;
+    the discovery profile (full false) has the costs only."""
+    s = Window.partitionBy("fold", "symbol").orderBy("t")
+    rates = sum(costs.rates().values())
+
+    def scenarios(rows: DataFrame, name: str | None) -> DataFrame:
+        weights = {"": F.col("weight")} | ({"late": F.lag("weight", 1, 0.0).over(s)} if full and name is None else {})
+        rows = rows.withColumns({f"w{k}": c for k, c in weights.items()})
+        last = F.lead("t").over(s).isNull()
+        rows = rows.withColumns({f"x{k}": F.abs(F.col(f"w{k}") - F.lag(f"w{k}", 1, 0.0).over(s)) + F.when(last, F.abs(f"w{k}")).otherwise(0.0) for k in weights})
+        pnl = F.col("ret") - (F.col("funding_rate") if "funding_rate" in rows.columns else F.lit(0.0))
+        g = rows.groupBy("fold", "t").agg(*[F.struct(F.sum(F.col(f"w{k}") * pnl).alias("pnl"), F.sum(f"x{k}").alias("turnover")).alias(f"g{k}") for k in weights])
+        each = [(f"cost_x{m:g}" if name is None else name, "g", m) for m in (multipliers if name is None else [1.0])] + ([("delay_1", "glate", 1.0)] if "late" in weights else [])
+        one = [F.struct(F.lit(n).alias("scenario"), F.col(f"{k}.turnover").alias("turnover"), (F.col(f"{k}.pnl") - F.col(f"{k}.turnover") * (rates * m)).alias("net")) for n, k, m in each]
+        return g.select(F.explode(F.array(*one)).alias("s")).select("s.*")
+
+    out = scenarios(w, None)
+    for name, other in (variants or {}).items() if full else ():
+        out = out.union(scenarios(other, name))
+    return out.groupBy("scenario").agg(F.expm1(F.sum(F.log1p("net"))).alias("total_return"), F.sum("turnover").alias("turnover"))
+
+
+def trade_events(p: DataFrame, epsilon: float = 1e-15) -> DataFrame:
+    """Closed trades of positions(): one row a stretch of one sign by fold and symbol, with the reason of its end.
+
+    A trade's costs are those of its own turnover: opening, rebalances, and closing, which at a flip is on the next
+    trade's first row and at a fold's end on its own last. P&L is of the rows it is open."""
     s = Window.partitionBy("fold", "symbol").orderBy("t")
-    last = F.lead("t").over(s).isNull()
-    change = F.abs(F.col("weight") - F.lag("weight", 1, 0.0).over(s)) + F.when(last, F.abs("weight")).otherwise(0.0)
-    rate = (fee + spread_bps / 20000 + slippage_bps / 10000) * multiplier
-    rows = w.withColumn("trade", change)
-    g = rows.groupBy("fold", "t").agg(F.sum(F.col("weight") * F.col("ret")).alias("price_pnl"), F.sum("trade").alias("turnover"), F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net_exposure"))
-    return g.withColumn("cost", F.col("turnover") * rate).withColumn("net", F.col("price_pnl") - F.col("cost"))
-
-
-def stress(w: DataFrame, multipliers: list[float], fee: float, spread_bps: float, slippage_bps: float) -> DataFrame:
-    """Total return and turnover under each cost multiplier, and with weights one bar late: scenarios are rows."""
-    late = Window.partitionBy("fold", "symbol").orderBy("t")
-    base = accounting(w, fee, spread_bps, slippage_bps)
-    rate = fee + spread_bps / 20000 + slippage_bps / 10000
-    cost = F.explode(F.array(*[F.struct(F.lit(f"cost_x{m:g}").alias("scenario"), F.lit(m).alias("m")) for m in multipliers]))
-    scaled = base.select("fold", "t", "price_pnl", "turnover", cost.alias("s")).select("s.scenario", "turnover", (F.col("price_pnl") - F.col("turnover") * rate * F.col("s.m")).alias("net"))
-    delayed = accounting(w.withColumn("weight", F.lag("weight", 1, 0.0).over(late)), fee, spread_bps, slippage_bps).select(F.lit("delay_1").alias("scenario"), "turnover", "net")
-    return scaled.union(delayed).groupBy("scenario").agg(F.expm1(F.sum(F.log1p("net"))).alias("total_return"), F.sum("turnover").alias("turnover"))
-
-
-def trade_episodes(w: DataFrame) -> DataFrame:
+    side = F.when(F.abs("weight") > epsilon, F.signum("weight")).otherwise(0.0)
+    before = F.when(F.abs("previous_weight") > epsilon, F.signum("previous_weight")).otherwise(0.0)
+    cost = F.col("allocated_fee") + F.col("allocated_spread") + F.col("allocated_slippage")
+    rate = F.when(F.col("trade_weight") > epsilon, cost / F.when(F.col("trade_weight") > epsilon, F.col("trade_weight"))).otherwise(0.0)
+    rows = p.withColumns({"side": side, "before": before, "rate": rate, "next_t": F.lead("t").over(s)})
+    rows = rows.withColumns({"next_side": F.lead("side").over(s), "next_rate": F.lead("rate").over(s), "new": ((F.col("side") != F.col("before")) & (F.col("side") != 0)).cast("int")})
+    rows = rows.withColumn("trade", F.sum("new").over(s)).where("side <> 0")
+    last = F.col("next_t").isNull() | (F.col("next_side") != F.col("side"))
+    opened = F.when(F.col("new") == 1, F.abs("weight")).otherwise(F.abs(F.col("weight") - F.col("previous_weight")))
+    closed = F.when(last, F.abs("weight")).otherwise(0.0)
+    close_rate = F.when(F.col("next_t").isNull(), F.col("rate")).otherwise(F.col("next_rate"))
+    reason = F.when(F.col("next_t").isNull(), "fold_close").when(F.col("next_side") == 0, "signal_exit").otherwise("direction_flip")
+    end = F.coalesce("next_t", F.col("label_end_t") if "label_end_t" in p.columns else F.col("t"))
+    g = rows.groupBy("fold", "symbol", "trade").agg(
+        F.max("side").alias("side"), F.min("t").alias("entry"), F.max_by(end, "t").alias("exit"), F.max_by(reason, "t").alias("exit_reason"), F.min_by("weight", "t").alias("entry_weight"), F.max(F.abs("weight")).alias("maximum_weight"),
+        F.sum("price_pnl").alias("price_return"), F.sum("funding_pnl").alias("funding_return"), F.sum(opened * F.col("rate") + F.coalesce(closed * close_rate, F.lit(0.0))).alias("explicit_cost"), F.sum(opened + closed).alias("turnover"), F.count("*").alias("n_rows"),
+    )
+    return g.withColumn("net_return", F.col("price_return") + F.col("funding_return") - F.col("explicit_cost"))
+
+
+def pair_diagnostics(p: DataFrame, pairs: DataFrame) -> DataFrame:
+    """P&L and own turnover of each pair by fold. p: positions(); pairs: fold, t, symbol, other, pair_weight (dense)."""
+    cost = F.col("allocated_fee") + F.col("allocated_spread") + F.col("allocated_slippage")
+    rate = F.when(F.col("trade_weight") > 1e-15, cost / F.when(F.col("trade_weight") > 1e-15, F.col("trade_weight"))).otherwise(0.0)
+    s = Window.partitionBy("fold", "other", "symbol").orderBy("t")
+    funding = F.col("funding_rate") if "funding_rate" in p.columns else F.lit(0.0)
+    rows = pairs.join(p.select("fold", "t", "symbol", "ret", funding.alias("funding_rate"), rate.alias("rate")), ["fold", "t", "symbol"])
+    moved = F.abs(F.col("pair_weight") - F.lag("pair_weight", 1, 0.0).over(s)) + F.when(F.lead("t").over(s).isNull(), F.abs("pair_weight")).otherwise(0.0)
+    g = rows.withColumn("moved", moved).groupBy("other", "fold").agg(F.sum(F.col("pair_weight") * F.col("ret")).alias("price_pnl"), F.sum(-F.col("pair_weight") * F.col("funding_rate")).alias("funding_pnl"), F.sum(F.col("moved") * F.col("rate")).alias("explicit_cost"), F.sum("moved").alias("turnover"))
+    return g.withColumn("net_pnl", F.col("price_pnl") + F.col("funding_pnl") - F.col("explicit_cost"))
+
+
+def netted(parts: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
+    """Sleeves held apart against one netted portfolio, by fold and time. parts: sleeve, share, fold, t, symbol, weight,
+    ret. The netted portfolio trades summed weights; offset is the turnover that sleeves would trade against each
+    other, and savings its cost."""
+    rates = sum(costs.rates().values())
+    scaled = parts.withColumn("weight", F.col("share") * F.col("weight"))
+
+    def moved(rows: DataFrame, keys: list[str]) -> DataFrame:
+        s = Window.partitionBy("fold", *keys).orderBy("t")
+        trade = F.abs(F.col("weight") - F.lag("weight", 1, 0.0).over(s)) + F.when(F.lead("t").over(s).isNull(), F.abs("weight")).otherwise(0.0)
+        return rows.withColumn("trade", trade)
+
+    apart = moved(scaled, ["sleeve", "symbol"]).groupBy("fold", "t").agg(F.sum("trade").alias("sleeve_turnover"), F.sum(F.col("weight") * F.col("ret")).alias("price_pnl"))
+    one = scaled.groupBy("fold", "t", "symbol").agg(F.sum("weight").alias("weight"))
+    one = moved(one, ["symbol"]).groupBy("fold", "t").agg(F.sum("trade").alias("netted_turnover"), F.sum(F.abs("weight")).alias("netted_gross"))
+    out = apart.join(one, ["fold", "t"])
+    saved = F.col("sleeve_turnover") - F.col("netted_turnover")
+    return out.withColumns({"offset": saved, "offset_ratio": F.coalesce(F.try_divide(saved, F.col("sleeve_turnover")), F.lit(0.0)), "savings": saved * rates, "sleeve_net": F.col("price_pnl") - F.col("sleeve_turnover") * rates, "netted_net": F.col("price_pnl") - F.col("netted_turnover") * rates})
+
+
+def trade_episodes(w: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     """One row for each stretch of one sign by fold and symbol: entry, exit, rows, P&L, peak weight."""
     s = Window.partitionBy("fold", "symbol").orderBy("t")
-    side = F.signum("weight")
+    side = F.when(F.abs("weight") > epsilon, F.signum("weight")).otherwise(0.0)
     rows = w.withColumn("side", side).withColumn("__new", (F.col("side") != F.lag("side", 1, 0.0).over(s)).cast("int")).withColumn("episode", F.sum("__new").over(s))
     return rows.where("side <> 0").groupBy("fold", "symbol", "episode", "side").agg(F.min("t").alias("entry"), F.max("t").alias("exit"), F.count("*").alias("n_rows"), F.sum(F.col("weight") * F.col("ret")).alias("pnl"), F.max(F.abs("weight")).alias("peak_weight"))
 

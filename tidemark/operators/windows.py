@@ -102,9 +102,9 @@ def segments(df: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     return df.withColumn("__gap", F.coalesce(gap, F.lit(0))).withColumn("seg", F.sum("__gap").over(by_symbol())).drop("__gap")
 
 
-def segmented_sum(df: DataFrame, x: str, n: int, name: str) -> DataFrame:
+def segmented_sum(df: DataFrame, x: str, n: int, name: str, step_ms: int = HOUR_MS) -> DataFrame:
     """Full-window sum within unbroken segments, then the last valid value carried on across breaks."""
-    df = segments(df)
+    df = segments(df, step_ms)
     inner = Window.partitionBy("symbol", "seg").orderBy("t")
     df = df.withColumn("__s", trailing_sum(F.col(x), n, 0, inner))
     return df.withColumn(name, F.last("__s", ignorenulls=True).over(by_symbol())).drop("__s")

@@ -410,12 +410,14 @@ def multi_horizon_trend(s, d):
 
 
 _NW = """, f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, symbol) AS a, row_number() OVER (PARTITION BY t ORDER BY score, symbol) AS b FROM panel),
-  w0 AS (SELECT *, CASE WHEN a = 1 THEN 1.0 WHEN b = 1 THEN -1.0 ELSE 0.0 END AS raw FROM f),
+  w0 AS (SELECT *, CASE WHEN a = 1 THEN 1.0 ELSE 0.0 END - CASE WHEN b = 1 THEN 1.0 ELSE 0.0 END AS raw FROM f),
   w1 AS (SELECT *, count(*) OVER w AS n, sum(beta) OVER w AS sb, sum(beta * beta) OVER w AS sbb, sum(raw * beta) OVER w AS srb FROM w0 WINDOW w AS (PARTITION BY t)),
-  w2 AS (SELECT *, CASE WHEN n * sbb - sb * sb > 1e-12 THEN raw - n * srb / (n * sbb - sb * sb) * (beta - sb / n) END AS fit FROM w1),
-  w3 AS (SELECT *, bool_and(raw * fit > 1e-12 OR raw = 0) OVER (PARTITION BY t) AND fit IS NOT NULL AS good FROM w2),
+  w2 AS (SELECT *, raw - CASE WHEN n * sbb - sb * sb > 1e-12 THEN (n * beta - sb) * srb / (n * sbb - sb * sb) ELSE 0 END AS fit FROM w1),
+  w3 AS (SELECT *, coalesce(min(CASE WHEN raw <> 0 THEN raw * fit END) OVER w > 0, false) AND sum(abs(fit)) OVER w > 1e-12 AS good FROM w2 WINDOW w AS (PARTITION BY t)),
   w4 AS (SELECT *, CASE WHEN good THEN fit ELSE raw END AS ww FROM w3),
-  nw AS (SELECT symbol, t, ret, CASE WHEN sum(abs(ww)) OVER (PARTITION BY t) > 0 THEN ww / sum(abs(ww)) OVER (PARTITION BY t) ELSE 0 END AS weight FROM w4)"""
+  w5 AS (SELECT *, CASE WHEN sum(abs(ww)) OVER w > 1e-15 THEN ww / sum(abs(ww)) OVER w ELSE 0 END AS u FROM w4 WINDOW w AS (PARTITION BY t)),
+  w6 AS (SELECT *, u * CASE WHEN sum(u * u * vol * vol * 365) OVER w > 0 THEN least(0.5, 0.15 / sqrt(sum(u * u * vol * vol * 365) OVER w)) ELSE 0.5 END AS v FROM w5 WINDOW w AS (PARTITION BY t)),
+  nw AS (SELECT symbol, t, ret, v * CASE WHEN max(abs(v)) OVER (PARTITION BY t) > 0.25 THEN 0.25 / max(abs(v)) OVER (PARTITION BY t) ELSE 1 END AS weight FROM w6)"""
 
 
 @query(f"WITH {_PANEL}{_NW} SELECT symbol, t, round(weight, 5) AS weight FROM nw")
@@ -423,30 +425,41 @@ def neutral_weights(s, d):
     return pf.neutral_weights(_panel(s, d)).select("symbol", "t", F.round("weight", 5).alias("weight"))
 
 
-@query(f"WITH {_PANEL}, x AS (SELECT *, CASE WHEN score > 0 THEN 1 ELSE 0 END / vol AS raw FROM panel), y AS (SELECT symbol, t, least(0.5, raw / nullif(sum(raw) OVER (PARTITION BY t), 0)) AS v FROM x), z AS (SELECT symbol, t, coalesce(v, 0) AS weight, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS n FROM y) SELECT symbol, t, round(weight, 6) AS weight, round(last_value(CASE WHEN n % 8 = 0 THEN weight END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t), 6) AS held FROM z")
+def _limited(raw: str) -> str:
+    return f"""x AS (SELECT *, {raw} / vol AS raw FROM panel), u0 AS (SELECT *, CASE WHEN sum(abs(raw)) OVER w > 1e-15 THEN raw / sum(abs(raw)) OVER w ELSE 0 END AS u FROM x WINDOW w AS (PARTITION BY t)),
+  v0 AS (SELECT *, u * CASE WHEN sum(u * u * vol * vol * 365) OVER w > 0 THEN least(0.5, 0.15 / sqrt(sum(u * u * vol * vol * 365) OVER w)) ELSE 0.5 END AS v FROM u0 WINDOW w AS (PARTITION BY t)),
+  lw AS (SELECT symbol, t, v * CASE WHEN max(abs(v)) OVER (PARTITION BY t) > 0.25 THEN 0.25 / max(abs(v)) OVER (PARTITION BY t) ELSE 1 END AS weight FROM v0)"""
+
+
+@query(f"""WITH RECURSIVE {_PANEL}, {_limited("CASE WHEN score > 0 THEN 1 ELSE 0 END")}, ts AS (SELECT DISTINCT t FROM panel), rb AS (SELECT min(t) AS t FROM ts UNION ALL SELECT (SELECT min(t) FROM ts WHERE ts.t >= rb.t + 28800000) FROM rb WHERE rb.t IS NOT NULL),
+  p AS (SELECT ts.t, max(rb.t) AS rt FROM ts JOIN rb ON rb.t <= ts.t GROUP BY ts.t)
+  SELECT lw.symbol, lw.t, round(lw.weight, 6) AS weight, round(h.weight, 6) AS held FROM lw JOIN p USING (t) JOIN lw h ON h.t = p.rt AND h.symbol = lw.symbol""")
 def long_flat_held(s, d):
-    return _round(pf.hold(pf.long_flat(_panel(s, d), "score", "vol"), "weight", 8).select("symbol", "t", "weight", "held"), "weight", "held")
+    w = pf.long_flat(_panel(s, d), "score", "vol").withColumn("fold", F.lit(0))
+    return _round(pf.hold(w, ["fold"], 8 * HOUR_MS).select("symbol", "t", "weight", "held"), "weight", "held")
 
 
-@query(f"WITH {_PANEL}, x AS (SELECT *, CASE WHEN abs(score) > 0.5 THEN sign(score) ELSE 0 END / vol AS raw FROM panel), y AS (SELECT symbol, t, raw / nullif(sum(abs(raw)) OVER (PARTITION BY t), 0) AS v FROM x) SELECT symbol, t, round(coalesce(greatest(-0.5, least(0.5, v)), 0), 6) AS weight FROM y")
+@query(f"""WITH {_PANEL}, {_limited("CASE WHEN abs(score) > 0.5 THEN sign(score) ELSE 0 END")} SELECT symbol, t, round(weight, 6) AS weight FROM lw""")
 def directional_weights(s, d):
     return _round(pf.directional(_panel(s, d), "score", "vol", 0.5).select("symbol", "t", "weight"), "weight")
 
 
 def _weights(s, d):
-    w = pf.neutral_weights(_panel(s, d))
+    w = files.staged(pf.neutral_weights(_panel(s, d)))
     return jn.with_folds(w, _folds(w), "t", "test_start", "test_end").select("fold", "symbol", "t", "weight", "ret")
 
 
 _W = _NW + _FOLDS + ", fw AS (SELECT fold, symbol, t, weight, ret FROM nw JOIN folds ON t BETWEEN test_start AND test_end)"
 _ACC = _W + """, tr AS (SELECT *, abs(weight - lag(weight, 1, 0) OVER q) + CASE WHEN lead(t) OVER q IS NULL THEN abs(weight) ELSE 0 END AS trade FROM fw WINDOW q AS (PARTITION BY fold, symbol ORDER BY t)),
-  acc AS (SELECT fold, t, sum(weight * ret) AS price_pnl, sum(trade) AS turnover, sum(abs(weight)) AS gross, sum(weight) AS net_exposure, sum(trade) * 0.0008 AS cost, sum(weight * ret) - sum(trade) * 0.0008 AS net FROM tr GROUP BY fold, t)"""
+  acc AS (SELECT fold, t, sum(weight * ret) AS price_pnl, sum(trade) AS turnover, sum(abs(weight)) AS gross_exposure, sum(weight) AS net_exposure, sum(trade) * 0.0005 AS trading_fees, sum(trade) * 0.0001 AS spread_cost, sum(trade) * 0.0002 AS slippage_cost, sum(weight * ret) - sum(trade) * 0.0008 AS net_return FROM tr GROUP BY fold, t),
+  cv AS (SELECT *, exp(sum(ln(1 + net_return)) OVER (PARTITION BY fold ORDER BY t)) AS equity, exp(sum(ln(1 + net_return)) OVER (ORDER BY fold, t)) AS oos_equity FROM acc)"""
+_COSTS = bt.Costs(0.0005, 2.0, 2.0)
 
 
-@query(f"WITH {_PANEL}{_ACC} SELECT fold, t, round(price_pnl, 5) AS price_pnl, round(turnover, 5) AS turnover, round(gross, 5) AS gross, round(cost, 5) AS cost, round(net, 5) AS net FROM acc")
+@query(f"WITH {_PANEL}{_ACC} SELECT fold, t, {', '.join(f'round({c}, 6) AS {c}' for c in ('price_pnl', 'turnover', 'gross_exposure', 'trading_fees', 'spread_cost', 'slippage_cost', 'net_return', 'equity', 'oos_equity'))} FROM cv")
 def period_accounting(s, d):
-    cols = ("price_pnl", "turnover", "gross", "cost", "net")
-    return bt.accounting(_weights(s, d), 0.0005, 2.0, 2.0).select("fold", "t", *[F.round(c, 5).alias(c) for c in cols])
+    cols = ("price_pnl", "turnover", "gross_exposure", "trading_fees", "spread_cost", "slippage_cost", "net_return", "equity", "oos_equity")
+    return bt.oos_equity(bt.curve(bt.positions(_weights(s, d), _COSTS))).select("fold", "t", *[F.round(c, 6).alias(c) for c in cols])
 
 
 @query(f"""WITH {_PANEL}{_ACC}, sc AS (SELECT 'cost_x' || m AS scenario, turnover, price_pnl - turnover * 0.0008 * CAST(m AS DOUBLE) AS net FROM acc, (VALUES ('1'), ('1.5'), ('2')) v(m)),
@@ -455,10 +468,10 @@ def period_accounting(s, d):
   la AS (SELECT 'delay_1' AS scenario, sum(trade) AS turnover, sum(weight * ret) - sum(trade) * 0.0008 AS net FROM lt GROUP BY fold, t)
   SELECT scenario, round(exp(sum(ln(1 + net))) - 1, 5) AS total_return, round(sum(turnover), 4) AS turnover FROM (SELECT * FROM sc UNION ALL SELECT * FROM la) GROUP BY scenario""")
 def stress_scenarios(s, d):
-    return bt.stress(_weights(s, d), [1.0, 1.5, 2.0], 0.0005, 2.0, 2.0).select("scenario", F.round("total_return", 5).alias("total_return"), F.round("turnover", 4).alias("turnover"))
+    return bt.stress(_weights(s, d), [1.0, 1.5, 2.0], _COSTS).select("scenario", F.round("total_return", 5).alias("total_return"), F.round("turnover", 4).alias("turnover"))
 
 
-@query(f"""WITH {_PANEL}{_W}, a AS (SELECT *, sign(weight) AS side FROM fw), b AS (SELECT *, CASE WHEN side <> lag(side, 1, 0) OVER q THEN 1 ELSE 0 END AS nw_ FROM a WINDOW q AS (PARTITION BY fold, symbol ORDER BY t)),
+@query(f"""WITH {_PANEL}{_W}, a AS (SELECT *, CASE WHEN abs(weight) > 1e-9 THEN sign(weight) ELSE 0 END AS side FROM fw), b AS (SELECT *, CASE WHEN side <> lag(side, 1, 0) OVER q THEN 1 ELSE 0 END AS nw_ FROM a WINDOW q AS (PARTITION BY fold, symbol ORDER BY t)),
   c AS (SELECT *, CAST(sum(nw_) OVER (PARTITION BY fold, symbol ORDER BY t) AS BIGINT) AS episode FROM b)
   SELECT fold, symbol, episode, CAST(side AS DOUBLE) AS side, min(t) AS entry, max(t) AS "exit", count(*) AS n_rows, round(sum(weight * ret), 5) AS pnl, round(max(abs(weight)), 5) AS peak_weight FROM c WHERE side <> 0 GROUP BY 1, 2, 3, 4""")
 def trade_episodes(s, d):
@@ -473,16 +486,30 @@ def trade_leg_summary(s, d):
     return bt.trade_legs(_weights(s, d)).groupBy("kind").agg(F.round(F.sum("size"), 4).alias("total"))
 
 
-@query()
-def sticky_pair_choice(s, d):
+_FP = _FOLDS + ", fp AS (SELECT fold, symbol, t, score FROM panel JOIN folds ON t BETWEEN test_start AND test_end WHERE t IN (SELECT t FROM panel GROUP BY t HAVING count(*) = 5))"
+
+
+def _fold_panel(s, d):
     p = _panel(s, d)
-    return pf.sticky_pair(jn.with_folds(p, _folds(p), "t", "test_start", "test_end"), ["fold"], 0.25)
+    return jn.with_folds(br.complete_times(p, 5), _folds(p), "t", "test_start", "test_end")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PANEL}{_FP},
+  b AS (SELECT fold, t, row_number() OVER (PARTITION BY fold ORDER BY t) AS n, arg_max(symbol, struct_pack(a := score, b := -ascii(symbol))) AS best, arg_min(symbol, struct_pack(a := score, b := ascii(symbol))) AS worst, max(score) AS hi, min(score) AS lo, map_from_entries(list((symbol, score))) AS m FROM fp GROUP BY fold, t),
+  st AS (SELECT fold, n, t, best AS top, worst AS bottom FROM b WHERE n = 1
+    UNION ALL SELECT b.fold, b.n, b.t, CASE WHEN b.hi - b.m[st.top] <= 0.25 THEN st.top ELSE b.best END, CASE WHEN b.m[st.bottom] - b.lo <= 0.25 THEN st.bottom ELSE b.worst END FROM st JOIN b ON b.fold = st.fold AND b.n = st.n + 1)
+  SELECT fold, t, top, bottom FROM st""")
+def sticky_pair_choice(s, d):
+    return pf.sticky_pair(_fold_panel(s, d), ["fold"], 0.25).drop("at")
+
+
+@query(f"""WITH RECURSIVE {_PANEL}{_FP}, e AS (SELECT fold, symbol, t, CASE WHEN abs(score) > 1 THEN CAST(sign(score) AS DOUBLE) ELSE 0.0 END AS entry, row_number() OVER (PARTITION BY fold, symbol ORDER BY t) AS n FROM fp),
+  st AS (SELECT fold, symbol, t, n, entry, entry AS position, CASE WHEN entry <> 0 THEN 5 ELSE 0 END AS remaining FROM e WHERE n = 1
+    UNION ALL SELECT e.fold, e.symbol, e.t, e.n, e.entry, CASE WHEN st.position <> 0 THEN CASE WHEN st.remaining <= 0 THEN 0.0 ELSE st.position END ELSE e.entry END,
+      CASE WHEN st.position <> 0 THEN CASE WHEN st.remaining <= 0 THEN 0 ELSE st.remaining - 1 END WHEN e.entry <> 0 THEN 5 ELSE 0 END FROM st JOIN e ON e.fold = st.fold AND e.symbol = st.symbol AND e.n = st.n + 1)
+  SELECT fold, symbol, t, entry, position FROM st""")
 def sparse_positions(s, d):
-    p = _panel(s, d)
-    x = jn.with_folds(p, _folds(p), "t", "test_start", "test_end").select("fold", "symbol", "t", F.when(F.abs("score") > 1, F.signum("score")).otherwise(0.0).alias("entry"))
+    x = _fold_panel(s, d).select("fold", "symbol", "t", F.when(F.abs("score") > 1, F.signum("score")).otherwise(0.0).alias("entry"))
     return pf.sparse_state(x, ["fold", "symbol"], "entry", 6)
 
 
@@ -529,9 +556,9 @@ def snapshot_as_of(s, d):
     return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-@query(f"WITH {_PANEL}{_ACC} SELECT fold, round(exp(sum(ln(1 + net))) - 1, 5) AS total_return, count(*) AS n, round(sum(turnover), 4) AS turnover FROM acc GROUP BY fold")
+@query(f"WITH {_PANEL}{_ACC} SELECT fold, round(exp(sum(ln(1 + net_return))) - 1, 5) AS total_return, count(*) AS n, round(sum(turnover), 4) AS turnover FROM acc GROUP BY fold")
 def flagship(s, d):
     """Events to bars to scores to neutral weights to out-of-sample accounting, by fold."""
-    return bt.accounting(_weights(s, d), 0.0005, 2.0, 2.0).groupBy("fold").agg(F.round(F.expm1(F.sum(F.log1p("net"))), 5).alias("total_return"), F.count("*").alias("n"), F.round(F.sum("turnover"), 4).alias("turnover"))
+    return bt.curve(bt.positions(_weights(s, d), _COSTS)).groupBy("fold").agg(F.round(F.expm1(F.sum(F.log1p("net_return"))), 5).alias("total_return"), F.count("*").alias("n"), F.round(F.sum("turnover"), 4).alias("turnover"))
 
 
