@@ -36,20 +36,34 @@ EDITS, BITS, REPEATS, GROUP_BYTES = 0.2, 3, 48, 16 << 20
 OUT = "doc_id long, item_id long, distance long, start_word long, end_word long"
 _PAD = np.uint64(0x0DDBA11)
 _GROUPS = 64  # of lengths, for the first of the two bounds
-
-
-def _walk(x: np.ndarray, length: np.ndarray, repeat: int) -> np.ndarray:
-    """LSH keys of rows of x (words, padded), one walk; rows of the same length get the same sampled positions."""
-    w = np.arange(len(x))
-    at, key = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint64)
-    picks = np.stack([(mix64(np.array(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(repeat * 64 + b)) % np.maximum(1, 7 * length // 4).astype(np.uint64)).astype(np.int64) for b in range(BITS)], axis=1)
-    for j in range(int(picks.max(initial=-1)) + 1):
-        c = np.where(at < length, x[w, np.minimum(at, x.shape[1] - 1)], _PAD)
-        picked = (picks == j).sum(axis=1)
-        if picked.any():
-            key = np.where(picked > 0, mix64(key * np.uint64(0x2545F4914F6CDD1D) + c), key)
-        at += (mix64(c ^ np.uint64((repeat << 32) + j)) & np.uint64(1)).astype(np.int64)
-    return key
+_SLOTS = 1 << 20
+
+
+_rng = np.random.default_rng(0xC6)
+_WALK = _rng.integers(0, 2**64, REPEATS, dtype=np.uint64)
+
+
+def _keys(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """LSH keys [row, walk] of rows of x, words padded beyond their length; rows of one length have the same sampled
+    positions, and all walks take their steps together."""
+    out = np.zeros((len(x), REPEATS), np.uint64)
+    x = np.concatenate([x, np.full((len(x), 1), _PAD)], axis=1)
+    number = np.arange(REPEATS * BITS, dtype=np.uint64).reshape(REPEATS, BITS)
+    for a in range(0, len(x), 512):
+        rows, n = x[a : a + 512], length[a : a + 512].astype(np.uint64)
+        picks = (mix64(n[:, None, None] * np.uint64(0x9E3779B97F4A7C15) + number) % np.maximum(1, 7 * n // 4)[:, None, None]).astype(np.int16 if n.max() < 1 << 14 else np.int64)
+        at, key, row = np.zeros((len(rows), REPEATS), np.int64), np.zeros((len(rows), REPEATS), np.uint64), np.arange(len(rows))[:, None]
+        for j in range(int(picks.max()) + 1):
+            c = rows[row, at]
+            picked = (picks == j).any(axis=2)
+            key = np.where(picked, mix64(key * np.uint64(0x2545F4914F6CDD1D) + c), key) if picked.any() else key
+            # A random bit of the word, the step and the walk moves the cursor, up to the padding at the end.
+            h = (c ^ (_WALK + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            at += ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, x.shape[1] - 1, out=at)
+        out[a : a + 512] = key
+    return out
 
 
 def _myers(item: list[int], text: list[int], anywhere: bool) -> list[int]:
@@ -89,70 +103,96 @@ class Items:
             which = np.flatnonzero(self.length == n)
             x = np.stack([self.words[i] for i in which])
             self.different[n] = min(len(np.unique(w)) for w in x)
-            keys = [_walk(x, np.full(len(x), n), r) for r in range(REPEATS)]
+            keys = _keys(x, np.full(len(x), n)).T
             self.tables[n] = [(k[o], which[o]) for k in keys for o in [np.argsort(k, kind="stable")]]
-        # For every word of an item, the groups of lengths that have it, as bits.
+        # Lengths in groups of neighbours; which groups have a word, by its place in the vocabulary (one more for others).
         self.groups = [g for g in np.array_split(self.lengths, _GROUPS) if len(g)]
-        group = np.repeat(np.arange(len(self.groups)), [len(g) for g in self.groups])
-        word = np.concatenate(self.words) if held else np.zeros(0, np.uint64)
-        bit = np.uint64(1) << np.repeat(group[np.searchsorted(self.lengths, self.length)], self.length).astype(np.uint64) if held else word
-        self.vocabulary, inverse = np.unique(word, return_inverse=True)
-        self.bits = np.zeros(len(self.vocabulary), np.uint64)
-        np.bitwise_or.at(self.bits, inverse, bit)
+        self.vocabulary = np.unique(np.concatenate(self.words)) if held else np.zeros(0, np.uint64)
+        self.has = np.zeros((len(self.groups), len(self.vocabulary) + 1), np.uint8)
+        for g, lengths in enumerate(self.groups):
+            for i in np.flatnonzero(np.isin(self.length, lengths)):
+                self.has[g, np.searchsorted(self.vocabulary, self.words[i])] = 1
+        # A table of places by a word's low bits; words that share them with another one of the vocabulary are searched.
+        slot = (self.vocabulary & np.uint64(_SLOTS - 1)).astype(np.int64)
+        self.slots = np.full(_SLOTS, len(self.vocabulary), np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.shared = np.unique(slot[np.bincount(slot, minlength=1)[slot] > 1]) if held else slot
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Place of every word in the vocabulary, its length for others."""
+        slot = (words & np.uint64(_SLOTS - 1)).astype(np.int32)
+        at = self.slots[slot]
+        known = np.append(self.vocabulary, np.uint64(0))
+        at[known[at] != words] = len(self.vocabulary)
+        if len(self.shared):
+            some = np.flatnonzero(np.isin(slot, self.shared))
+            near = np.minimum(np.searchsorted(self.vocabulary, words[some]), len(self.vocabulary) - 1)
+            at[some] = np.where(self.vocabulary[near] == words[some], near, len(self.vocabulary))
+        return at
 
     def windows(self, words: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(length, starts) of the windows that the bounds leave."""
-        near = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        bits = np.where(self.vocabulary[near] == words, self.bits[near], np.uint64(0))
-        begin = np.flatnonzero(np.diff(row, prepend=-1))
-        stop = np.repeat(np.append(begin[1:], len(words)), np.diff(np.append(begin, len(words))))
-        found, place = [], np.arange(len(words))
+        at, n_words = self.places(words), len(words)
+        found = []
         for g, lengths in enumerate(self.groups):
-            most = int(lengths[-1])
+            most = min(int(lengths[-1]), n_words)
             least = int((lengths - 2 * (EDITS * lengths + 1e-9).astype(np.int64)).min())
-            total = np.concatenate([[0], np.cumsum((bits >> np.uint64(g) & np.uint64(1)).astype(np.int32), dtype=np.int32)])
-            found.append(np.flatnonzero(total[np.minimum(place + most, stop)] - total[:-1] >= least))
+            total = np.zeros(n_words + most, np.int32)
+            np.cumsum(self.has[g][at], dtype=np.int32, out=total[:n_words])
+            total[n_words:] = total[n_words - 1]
+            count = total[most - 1 :][:n_words].copy()
+            count[1:] -= total[: n_words - 1]
+            found.append(np.flatnonzero(count >= least))  # counts run into the next text, so they are no less than the window's
         if not any(len(s) for s in found):
             return
         # The place before of the same word in the same text, for texts with windows left.
-        rows = np.unique(row[np.concatenate(found)])
-        at = np.flatnonzero(np.isin(row, rows)) if len(rows) < row[-1] + 1 else place
-        order = at[np.lexsort((at, words[at], row[at]))]
-        same = (words[order[1:]] == words[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-        before = np.full(len(words), -1)
-        before[order[1:][same]] = order[:-1][same]
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        stop = np.repeat(np.append(begin[1:], n_words), np.diff(np.append(begin, n_words)))
+        mark = np.zeros(row[-1] + 1, bool)
+        mark[row[np.concatenate(found)]] = True
+        some = np.flatnonzero(mark[row])
+        key = mix64(words[some] + row[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        before = np.full(n_words, -1, np.int32)
+        before[some[order[1:][same]]] = some[order[:-1][same]]
         for g, lengths in enumerate(self.groups):
-            has = bits >> np.uint64(g) & np.uint64(1) > 0
-            for n in lengths.tolist():
+            has = self.has[g][at] > 0
+            for n in lengths.tolist() if len(found[g]) else ():
                 k, left = int(EDITS * n + 1e-9), []
-                for i in range(0, len(found[g]), 1 << 15):
-                    s = found[g][i : i + (1 << 15)]
+                for i in range(0, len(found[g]), 1 << 14):
+                    s = found[g][i : i + (1 << 14)]
                     span = s[:, None] + np.arange(n)
                     ok = span < stop[s][:, None]
                     span = np.where(ok, span, 0)
                     ok &= has[span]
-                    ok[ok.sum(axis=1) < n - 2 * k] = False
+                    enough = ok.sum(axis=1) >= n - 2 * k
+                    s, span, ok = s[enough], span[enough], ok[enough]
                     left.append(s[(ok & (before[span] < s[:, None])).sum(axis=1) >= max(1, self.different[n] - 2 * k)])
                 if left and sum(map(len, left)):
                     yield n, np.concatenate(left)
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Distinct (item, first word, row) of windows that share a key with an item of their length in some walk."""
-        out = [np.zeros((0, 3), np.int64)]
-        padded = np.concatenate([words, np.full(int(self.length.max(initial=0)), _PAD)])
-        stop = np.searchsorted(row, row, side="right")
-        for n, starts in self.windows(words, row):
-            for a in range(0, len(starts), 8192):
-                start = starts[a : a + 8192]
-                span = start[:, None] + np.arange(n)
-                x = np.where(span < stop[start][:, None], padded[span], _PAD)
-                got = [np.zeros((0, 2), np.int64)]
-                for r, (keys, item) in enumerate(self.tables[n]):
-                    key = _walk(x, np.full(len(x), n), r)
-                    lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+        out, left = [np.zeros((0, 3), np.int64)], list(self.windows(words, row))
+        if not left:
+            return out[0]
+        longest = int(self.length.max())
+        padded = np.concatenate([words, np.full(longest, _PAD)])
+        starts, lengths = np.concatenate([s for _, s in left]), np.repeat([n for n, _ in left], [len(s) for _, s in left])
+        stops = np.minimum(starts + lengths, np.searchsorted(row, row[starts], side="right"))
+        for a in range(0, len(starts), 8192):
+            start, length = starts[a : a + 8192], lengths[a : a + 8192]
+            span = start[:, None] + np.arange(int(length.max()))
+            keys = _keys(np.where(span < stops[a : a + 8192][:, None], padded[span], _PAD), length)
+            for n in np.unique(length).tolist():
+                of = np.flatnonzero(length == n)
+                got = []
+                for r, (table, item) in enumerate(self.tables[n]):
+                    lo, hi = np.searchsorted(table, keys[of, r]), np.searchsorted(table, keys[of, r], side="right")
                     count = hi - lo
                     which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    got.append(np.stack([item[which], np.repeat(start, count)], axis=1))
+                    got.append(np.stack([item[which], np.repeat(start[of], count)], axis=1))
                 pairs = np.unique(np.concatenate(got), axis=0)
                 if EDITS * n < 1:  # unchanged or not at all
                     same = [bool((padded[s : s + n] == self.words[i]).all()) for i, s in pairs.tolist()]
