@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -72,6 +73,15 @@ def slices(offsets: np.ndarray, most: int = SLICE):
         i = j
 
 
+def release() -> None:
+    """Hand memory that is free again back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call outside of glibc
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts are long rows: 1,000 of them make a batch for Python, unless the session says otherwise."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

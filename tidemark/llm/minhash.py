@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, shingle_hashes, slices, small_batches, text_buffers, word_hashes, written
+from .common import drop_written, mix64, release, shingle_hashes, slices, small_batches, text_buffers, word_hashes, written
 from .components import components
 
 GROUPS, ROWS = 9, 2
@@ -68,6 +68,7 @@ def _signatures(size: int):
                         groups[full, g] = h
                 lists = [pa.ListArray.from_arrays(pa.array(np.where(np.arange(n + 1), np.concatenate([[0], np.cumsum((count > 0) * GROUPS)]), 0).astype(np.int32)), pa.array(groups[full, c * GROUPS : (c + 1) * GROUPS].ravel().view(np.int64))) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(count.astype(np.int64)), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), *lists], [x.split()[0] for x in SIGNATURE.split(", ")])
+        release()
 
     return run
 
@@ -77,6 +78,7 @@ def _shingles(size: int):
         for b in batches:
             for i, j, sets, at in _sets(b.column(1), size):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "shingles"])
+        release()
 
     return run
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, text_buffers, word_hashes, written
+from .common import mix64, release, slices, small_batches, text_buffers, word_hashes, written
 
 WINDOW, STRIDE = 64, 16
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WINDOWS, EPOCHS, BATCH, STEPS = 1200, 50_000, 8, 4, 128, 300
@@ -291,6 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (len(r[0]), r[0]))
         model = train([r[1] for r in rows], [r[2] for r in rows])
+        del rows
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # At most 2 * TRAIN_DOCS rows in one task.
@@ -309,6 +311,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for i, j in slices(at):
                 out[i:j] = _scores(model, raw[at[i] : at[j]], at[i : j + 1] - at[i])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "score"])
+        release()
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
     return found.select(F.col("id").alias(id_col), "score")
@@ -328,5 +331,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
             for i, j in slices(at):
                 keep[i:j] = _scores(model, raw[at[i] : at[j]], at[i : j + 1] - at[i]) < threshold
             yield b.filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, schema)
