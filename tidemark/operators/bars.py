@@ -114,10 +114,14 @@ def contract_faults(b: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     return each.join(F.broadcast(grid)).select("symbol", "repeated", "broken_steps", (F.col("n_times") == F.col("grid")).alias("full_grid"))  # grid is one row
 
 
-def universe(candidates: DataFrame, snapshots: DataFrame, cap: int) -> DataFrame:
+def universe(candidates: DataFrame, snapshots: DataFrame, cap: int, contract: str = "PERPETUAL", quote: str = "USDT") -> DataFrame:
     """Seed symbols with the first reason that excludes them; at most ``cap`` are included, in seed order."""
     j = candidates.join(snapshots, "symbol", "left")
-    reason = F.when(F.col("status").isNull(), "missing").when(F.col("status") != "TRADING", "status").when(F.col("listed_days") < F.col("min_days"), "listing_days")
+    rule = lambda c, want: (F.col(c) != want) if c in snapshots.columns else F.lit(False)
+    reason = (
+        F.when(F.col("status").isNull(), "missing").when(rule("contract_type", contract), "contract").when(rule("quote_asset", quote), "quote")
+        .when(F.col("status") != "TRADING", "status").when(F.col("listed_days") < F.col("min_days"), "listing_days")
+    )
     j = j.withColumn("why", reason)
     ahead = F.sum(F.col("why").isNull().cast("long")).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     j = j.withColumn("why", F.when(F.col("why").isNull() & (ahead > cap), "cap").otherwise(F.col("why")))

@@ -48,10 +48,28 @@ def with_folds(df: DataFrame, folds: DataFrame, t: str, low: str, high: str, wid
 
 
 def dense_panel(df: DataFrame, symbols: list[str]) -> DataFrame:
-    """All times by all (configured) symbols, with ``available`` and the reason why not."""
+    """All times by all (configured) symbols, with ``available`` and the first reason why not: a row that is missing, or
+    one of the flags is_available, lookback_ok, quality_ok, liquidity_ok where df has it and it is not true."""
     grid = df.select("t").distinct().withColumn("symbol", F.explode(F.array(*map(F.lit, symbols))))
     out = grid.join(df.withColumn("__there", F.lit(True)), ["t", "symbol"], "left")
-    return out.withColumn("available", F.coalesce("__there", F.lit(False))).withColumn("reason", F.when(~F.col("available"), "missing_panel_row")).drop("__there")
+    reason = F.when(F.col("__there").isNull(), "missing_panel_row")
+    for flag in ("is_available", "lookback_ok", "quality_ok", "liquidity_ok"):
+        if flag in df.columns:
+            reason = reason.when(~F.coalesce(F.col(flag), F.lit(False)), flag)
+    return out.withColumn("reason", reason).withColumn("available", F.col("reason").isNull()).drop("__there")
+
+
+def masked_correlation(a: DataFrame, b: DataFrame, x: str, mask: str, least: int = 30) -> DataFrame:
+    """Correlation of x over rows of both (t, symbol) whose masks hold on both sides; null under ``least`` or without spread."""
+    j = a.where(mask).select("t", "symbol", F.col(x).alias("l")).join(b.where(mask).select("t", "symbol", F.col(x).alias("r")), ["t", "symbol"])
+    ok = (F.count("*") >= least) & (F.stddev_pop("l") > 1e-18) & (F.stddev_pop("r") > 1e-18)
+    return j.agg(F.count("*").alias("n"), F.when(ok, F.corr("l", "r")).alias("correlation"))
+
+
+def with_features(trades: DataFrame, features: DataFrame, at: str = "entry", t: str = "execution_time_ms") -> DataFrame:
+    """Trades with the features of their symbol at their time; a trade without any stays."""
+    f = features.withColumnsRenamed({t: "__t", "symbol": "__s"})
+    return trades.join(f, (F.col(at) == F.col("__t")) & (F.col("symbol") == F.col("__s")), "left").drop("__t", "__s")
 
 
 def to_matrix(df: DataFrame, value: str, symbols: list[str]) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +22,110 @@ def read_parquet_union(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_bar_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Archive bars with or without a header line, which is known by its first field; strict casts raise on bad values."""
-    schema = ", ".join(f"{c.strip()} string" for c in KLINE_CSV.split(","))
-    raw = spark.read.schema(schema).csv(path).where(F.col("open_time").rlike("^[0-9]+$") | ~F.lower("open_time").isin("open_time"))
+    """Archive bars, with or without a header line in each file; strict casts raise on bad values. A row is a header if
+    its first field is the name of the first column. Rows of another number of fields are an error."""
+    names = [c.strip() for c in KLINE_CSV.split(",")]
+    raw = spark.read.text(path).select(F.split(F.rtrim("value"), ",").alias("x")).where(F.lower(F.trim(F.get("x", F.lit(0)))) != names[0])
+    whole = F.when(F.size("x") == len(names), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("a bar has 12 fields, not "), F.size("x").cast("string"))))
+    raw = raw.select(whole.alias("x")).select(*[F.trim(F.get("x", F.lit(i))).alias(c) for i, c in enumerate(names)])
     number = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_volume", "taker_buy_quote_volume")]
     return raw.select(F.lit(symbol).alias("symbol"), F.col("open_time").cast("long").alias("t"), F.col("close_time").cast("long").alias("close_t"), *number, F.col("count").cast("long").alias("trades"))
 
 
+def bounded(df: DataFrame, symbols: list[str], start: int, end: int, t: str = "t", **equal) -> DataFrame:
+    """Rows of the symbols with start <= t <= end and the given equal values: all reach the Parquet scan as filters."""
+    out = df.where(F.col("symbol").isin(symbols) & F.col(t).between(start, end))
+    for c, v in equal.items():
+        out = out.where(F.col(c) == v)
+    return out
+
+
+def stream_views(spark: SparkSession, paths: dict[str, list[str]], prefix: str = "") -> list[str]:
+    """A temporary view a stream over its files, by column name; a stream without files loses its view."""
+    made = []
+    for name, files in paths.items():
+        if files:
+            read_parquet_union(spark, *files).createOrReplaceTempView(prefix + name)
+            made.append(prefix + name)
+        else:
+            spark.catalog.dropTempView(prefix + name)
+    return made
+
+
+def describe(spark: SparkSession, path: str) -> dict:
+    """Schema and number of rows of a Parquet path, from the footers alone."""
+    df = spark.read.parquet(path)
+    return {"schema": json.loads(df.schema.json()), "n_rows": df.count()}
+
+
+def write_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """A small file written whole under a temporary name and renamed: True if written, False if the same is there; other
+    content is an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    final, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = final.getFileSystem(conf)
+    if fs.exists(final):
+        stream = fs.open(final)
+        try:
+            same = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) == content
+        finally:
+            stream.close()
+        if not same:
+            raise ValueError(f"{path} holds something else")
+        return False
+    out = fs.create(temp)
+    out.write(bytearray(content))
+    out.close()
+    if not fs.rename(temp, final):
+        fs.delete(temp, False)
+        raise OSError(f"could not write {path}")
+    return True
+
+
+def persist_dataset(df: DataFrame, path: str, facts: dict) -> dict:
+    """Rows under path/data and, written last, path/manifest.json: schema, digest, number of rows and the given facts.
+    A dataset without a manifest is unfinished."""
+    write_immutable(df, f"{path}/data")
+    from ..operators.aggregates import content_digest
+
+    spark = df.sparkSession
+    stored = spark.read.parquet(f"{path}/data")
+    d = content_digest(stored).first()
+    manifest = {"schema": json.loads(stored.schema.json()), "n_rows": d.n_rows, "digest": d.digest, **facts}
+    write_once(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True).encode())
+    return manifest
+
+
+def extract_archives(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """Lines of zip archives of one flat CSV each: archive, line, and for a refused archive its fault (no line). Names
+    with folders, links, several members and members over ``most_bytes`` are refused; files are read by tasks."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines, fault = [None], None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        members = z.infolist()
+                        m = members[0] if len(members) == 1 else None
+                        if m is None or m.is_dir() or "/" in m.filename or "\\" in m.filename or m.filename.startswith(".."):
+                            fault = "not one flat file"
+                        elif not m.filename.endswith(".csv") or (m.external_attr >> 16) & 0o170000 == 0o120000:
+                            fault = "not a csv file"
+                        elif m.file_size > most_bytes:
+                            fault = "too large"
+                        else:
+                            lines = z.read(m).decode().splitlines()
+                except (zipfile.BadZipFile, UnicodeDecodeError) as e:
+                    fault = type(e).__name__
+                for i in range(0, len(lines), 65_536):
+                    part = lines[i : i + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.string()), pa.array([fault] * len(part), pa.string())], ["archive", "line", "fault"])
+
+    return raw.mapInArrow(run, "archive string, line string, fault string")
+
+
 def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     """Wire messages {"stream": "sym@kind", "data": {...}} as typed rows; what fails a rule is kept with its reason."""
     j = raw.withColumn("m", F.from_json(value, "stream string, data struct<E:bigint,s:string,p:string>"))
@@ -52,14 +154,21 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def write_immutable(df: DataFrame, path: str) -> bool:
-    """Write once: True if written, False if the same rows are there already; other rows there are an error."""
+    """Write once: True if written, False if the same rows are there already; other rows there are an error.
+
+    Rows go to a temporary folder that is renamed when whole, so what is at the path is complete; of two writers one
+    wins the rename, and the other compares."""
     from ..operators.aggregates import content_digest
 
     spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        df.write.mode("errorifexists").parquet(path)
-        return True
+    p, temp = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        df.write.parquet(temp.toString())
+        fs.mkdirs(p.getParent())
+        if not fs.exists(p) and fs.rename(temp, p):
+            return True
+        fs.delete(temp, True)
     if content_digest(spark.read.parquet(path)).first() != content_digest(df).first():
         raise ValueError(f"{path} holds other rows")
     return False
