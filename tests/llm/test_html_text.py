@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from tidemark.llm.html_text import ARTICLE, BOILERPLATE, UNDECIDED, blocks_of, main_text, shared_prefixes, suffix_array
+from tidemark.llm import html_text
+from tidemark.llm.html_text import ARTICLE, GUARDED, UNDECIDED, blocks_of, main_text, shared_prefixes, suffix_array
 
 
 def text_of(html):
@@ -19,7 +21,7 @@ def test_markup():
       <form><input value="x">go</form><footer>&copy; x</footer></body></html>"""
     assert text_of(page) == "Head line & more\nOpen bold.\nTwo words <b> café €\nA < B and middle\none\ntwo\nend"
     assert {t for t, z in blocks_of(page) if z == UNDECIDED} == set()
-    assert [t for t, z in blocks_of(page) if z == BOILERPLATE] == ["menu", "Buy now", "side", "reader", "go", "© x"]
+    assert [t for t, z in blocks_of(page) if z == GUARDED] == ["menu", "Buy now", "side", "reader", "go", "© x"]
     assert text_of("<main><p>a</p></main><p>b") == "a" and blocks_of("plain <b>text") == [("plain text", UNDECIDED)]
     assert blocks_of("") == [] and blocks_of("<p>a<script>never ends") == [("a", UNDECIDED)]
     assert text_of("<article>x" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "y</article>") == "x\ndeep\ny"
@@ -34,7 +36,9 @@ def test_suffix_array():
     assert sorted(sorted(x.tolist()) for x in shared_prefixes(t, s, 3)) == [[0, 4], [1], [5], [6]]
 
 
-def test_host_boilerplate(spark):
+@pytest.mark.parametrize("runs", [html_text.RUNS, 0])
+def test_host_boilerplate(spark, monkeypatch, runs):
+    monkeypatch.setattr(html_text, "RUNS", runs)
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     notice, rows, want = "this site uses small files to keep your settings for next time", [], {}
@@ -67,3 +71,32 @@ def test_near_copies_and_quotes_stay(spark):
         want[100 + i] = f"{body} edition{i}"
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     assert {r.page_id: r.text for r in main_text(df).collect()} == want
+
+
+@pytest.mark.parametrize("runs", [html_text.RUNS, 0])
+def test_the_array_decides(spark, monkeypatch, runs):
+    """Blocks without a mark beside articles go where they repeat on some pages of the host, not where they are a page's
+    own; without the array they would stay. Marked blocks that repeat are counted as the array's."""
+    monkeypatch.setattr(html_text, "RUNS", runs)
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    adverts, quote, rows, want = [say(12) for _ in range(10)], say(20), [], {}
+    for i in range(60):
+        body, own = f"{say(30)} {quote} {say(5)}", say(9)
+        rows.append((i, "https://a.example.com/", f"<nav>{say(3)}</nav><div>{adverts[i % 10]}</div><article>{body}</article><div>{own}</div><footer>{adverts[(i + 3) % 10]}</footer>"))
+        want[i] = f"{body}\n{own}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in main_text(df).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    if runs:
+        assert all((r.n_repeated, r.n_guarded) == (2, 1) for r in got.values())
+
+    def nothing(size):
+        def run(batches):
+            for _ in batches:
+                yield from ()
+
+        return run
+
+    monkeypatch.setattr(html_text, "_intervals", nothing)
+    assert all(r.text == f"{adverts[r.page_id % 10]}\n{want[r.page_id]}" for r in main_text(df).collect())

@@ -1,19 +1,21 @@
-"""Main text of web pages: markup decides what it can, a suffix array over each host's pages decides the rest.
-
-Every page is cut into blocks in page order. Markup puts a block into one of three zones: boilerplate (inside nav,
-footer, aside, form, a page header, or an element whose class or id names an advert, menu, notice, sidebar, comment
-list and the like), article (inside <article>, or <main> where the page has no article), or undecided. The token
-streams of undecided blocks go through the host suffix array: suffixes sorted, long common prefixes between pages
-found. A run of at least ``min_tokens`` is boilerplate where it stands in SHARE of the host's different streams, PAGES
-at least: what two pages share is a quotation or a copy. A block mostly made of such runs loses them and keeps its own
-words; any other block stays whole. Pages whose undecided streams are equal count as one, so a copied page does not
-erase itself. A host with fewer than PAGES different streams keeps all undecided text; text near-copied on SHARE of a
-host's streams can't be told from boilerplate.
+"""Main text of web pages: a suffix array over each host's pages finds what repeats, markup guards the rest.
+
+Every page is cut into blocks in page order. Markup puts a block into one of three zones: guarded (inside nav, footer,
+aside, form, a page header, or an element whose class or id names an advert, menu, notice, sidebar, comment list and the
+like), article (inside <article>, or <main> where the page has no article), or undecided. The token streams of all
+blocks outside of articles go through the host suffix array: suffixes sorted, long common prefixes between pages found.
+A run of at least ``min_tokens`` that stands in PAGES of the host's different streams is repeated. A block mostly made
+of repeated runs is boilerplate and loses them, and keeps its own words; any other undecided block stays whole. Text
+inside an article is never looked at: what repeats there is a quotation or a copy. On pages without an article the text
+may be in any block, so there a run must stand in SHARE of the host's different streams, too. Guarded blocks that do
+not repeat (a menu of its own page) go by their markup; the counts of blocks that went either way are returned. Pages
+whose streams are equal count as one, so a copied page does not erase itself.
 
 A host can hold a third of all pages, so no host is gathered. Tasks build suffix arrays over their own pages and hand
 on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, streams it stands in), one
-page a stream taking part; these meet in a pre-aggregated groupBy, and prefixes in enough streams are joined back to
-the places where they stand.
+page a stream taking part; these meet in a pre-aggregated groupBy. Up to RUNS repeated prefixes go to the tasks, which
+look their pages' places up and write the texts without a shuffle; more of them meet the places of pages with undecided
+blocks in a join, and n_repeated and n_guarded are then null.
 
 Null or empty html: empty text. Repeated rows: one output row each. Null url: its own host. Empty table: empty result.
 Other columns are ignored.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, text_buffers, word_hashes, written
 
-MIN_TOKENS, SHARE, PAGES = 8, 0.3, 3
-BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
+MIN_TOKENS, SHARE, PAGES, RUNS = 8, 0.3, 3, 1 << 20
+GUARDED, UNDECIDED, ARTICLE = 0, 1, 2
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -62,7 +64,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             parts.clear()
             if text:
                 _, skipped, article, main = stack[-1] if stack else ("", False, False, False)
-                out.append([text, BOILERPLATE if skipped else ARTICLE if article else UNDECIDED, main and not skipped])
+                out.append([text, GUARDED if skipped else ARTICLE if article else UNDECIDED, main and not skipped])
 
     at, n, articles = 0, len(html), False
     while at < n:
@@ -171,7 +173,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         found = [blocks_of(h or "") for h in b.column(2).to_pylist()]
         hosts = [re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*).*", r"\1", (u or "").strip().lower(), flags=re.S) for u in b.column(1).to_pylist()]
-        raw = pa.array(["\n".join(t for t, z in f if z == UNDECIDED) for f in found], pa.string())
+        raw = pa.array(["\n".join(t for t, z in f if z != ARTICLE) for f in found], pa.string())
         words, _, _, row = word_hashes(*text_buffers(raw))
         place = np.arange(len(words)) - np.searchsorted(row, row)
         stream = np.zeros(n, np.uint64)
@@ -184,8 +186,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _streams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Undecided tokens of (host, texts, zones) rows, and the row of each."""
-    raw = pa.array(["\n".join(t for t, z in zip(ts, zs, strict=True) if z == UNDECIDED) for ts, zs in zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), strict=True)], pa.string())
+    """Tokens outside of articles of (host, texts, zones) rows, and the row of each."""
+    raw = pa.array(["\n".join(t for t, z in zip(ts, zs, strict=True) if z != ARTICLE) for ts, zs in zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), strict=True)], pa.string())
     words, _, _, row = word_hashes(*text_buffers(raw))
     return words, row
 
@@ -226,43 +228,94 @@ def _places(size: int):
     return run
 
 
+def _kept(ts: list[str], zs: list[int], covered: set[int]) -> tuple[str, int, int]:
+    """(text, blocks that repeat, guarded blocks that do not) of a page with the covered places of its stream."""
+    kept, at, repeated, guarded = [], 0, 0, 0
+    for t, z in zip(ts, zs, strict=True):
+        if z != ARTICLE:
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+            own = [w for k, w in enumerate(words) if at + k not in covered]
+            gone = 2 * len(own) < len(words)
+            repeated, guarded = repeated + gone, guarded + (z == GUARDED and not gone)
+            t = "" if z == GUARDED else " ".join(own if gone else words)
+            at += len(words)
+        if t:
+            kept.append(t)
+    return "\n".join(kept), repeated, guarded
+
+
+def _host_hash(hosts: pa.Array) -> np.ndarray:
+    raw, at = text_buffers(hosts)
+    out = np.zeros(len(hosts), np.uint64)
+    words, _, _, row = word_hashes(raw, at, np.zeros(256, bool))  # a host is one word
+    out[row] = words
+    return out
+
+
+TEXT = "page_id long, url string, text string, n_repeated long, n_guarded long"
+
+
+def _look_up(size: int, narrow: np.ndarray, wide: np.ndarray):
+    """Texts with the repeated prefixes at hand: sorted hashes of (host, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, row = _streams(b)
+            texts, zones = b.column("texts").to_pylist(), b.column("zones").to_pylist()
+            places: dict[int, set[int]] = {}
+            at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.zeros(0, np.int64)
+            if len(at) and len(narrow):
+                key = mix64(_host_hash(b.column("host"))[row[at]] ^ _prefix_hash(words, at, size).view(np.uint64))
+                article = np.array([ARTICLE in z for z in zones])
+                hit = np.zeros(len(at), bool)
+                for known, where in ((narrow, article[row[at]]), (wide, ~article[row[at]])):
+                    if len(known):
+                        hit |= where & (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
+                begin = np.searchsorted(row, np.arange(b.num_rows))
+                for r, p in zip(row[at[hit]].tolist(), (at[hit] - begin[row[at[hit]]]).tolist(), strict=True):
+                    places.setdefault(r, set()).update(range(p, p + size))
+            out = [_kept(t, z, places.get(i, set())) for i, (t, z) in enumerate(zip(texts, zones, strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [x.split()[0] for x in TEXT.split(", ")])
+
+    return run
+
+
 def _compose(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for ts, zs, places in zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), b.column("places").to_pylist(), strict=True):
-                covered = {p + k for p in places or () for k in range(size)}
-                kept, at = [], 0
-                for t, z in zip(ts, zs, strict=True):
-                    if z == UNDECIDED:
-                        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
-                        own = [w for k, w in enumerate(words) if at + k not in covered]
-                        t = " ".join(own if 2 * len(own) < len(words) else words)
-                        at += len(words)
-                    if z != BOILERPLATE and t:
-                        kept.append(t)
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            rows = zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), b.column("places").to_pylist(), strict=True)
+            texts = [_kept(ts, zs, {p + k for p in places or () for k in range(size)})[0] for ts, zs, places in rows]
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), none, none], [x.split()[0] for x in TEXT.split(", ")])
 
     return run
 
 
 def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page. Eager up to the parsed pages."""
+    """page_id, url, text, n_chars of every page; n_repeated blocks that the suffix array took out, n_guarded blocks that
+    markup alone did. Eager up to the repeated prefixes."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = written(rows.mapInArrow(_parse, PARSED), "parsed")
-    open_ = parsed.where(F.exists("zones", lambda z: z == UNDECIDED)).select("row_id", "host", "texts", "zones", "stream")
-    one = open_.groupBy("host", "stream").agg(F.min("row_id").alias("row_id"))
+    outside = parsed.where(F.exists("zones", lambda z: z != ARTICLE)).select("row_id", "host", "texts", "zones", "stream")
+    one = outside.groupBy("host", "stream").agg(F.min("row_id").alias("row_id"))
     enough = one.groupBy("host").agg(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * SHARE)).alias("enough"))
-    shared = open_.join(one.select("row_id"), "row_id", "left_semi").select(open_.columns)
+    shared = outside.join(one.select("row_id"), "row_id", "left_semi").select(outside.columns)
     shared = shared.mapInArrow(_intervals(min_tokens), "host string, prefix long, n long").groupBy("host", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
-    repeated = shared.join(enough, "host").where("n >= enough").select("host", "prefix")
-    covered = open_.mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"], "left_semi").groupBy("row_id").agg(F.collect_set("place").alias("places"))
-    covered = written(covered, "covered")
+    repeated = written(shared.join(enough, "host").select("host", "prefix", (F.col("n") >= F.col("enough")).alias("wide")), "repeated")
+    if repeated.count() <= RUNS:
+        found = repeated.toArrow()
+        key = mix64(_host_hash(found.column("host").combine_chunks()) ^ found.column("prefix").to_numpy().view(np.uint64))
+        every = found.column("wide").to_numpy()
+        out = parsed.mapInArrow(_look_up(min_tokens, np.sort(key), np.sort(key[every.astype(bool)])), TEXT)
+        return out.withColumn("n_chars", F.length("text").cast("long"))
+    open_ = F.exists("zones", lambda z: z == UNDECIDED)
+    articled = F.exists("zones", lambda z: z == ARTICLE)
+    places = parsed.where(open_).mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"])
+    places = places.join(parsed.where(open_).select("row_id", articled.alias("articled")), "row_id").where("wide OR articled")
+    covered = written(places.groupBy("row_id").agg(F.collect_set("place").alias("places")), "covered")
     # Pages that markup decides alone need no join.
-    done = parsed.where(~F.exists("zones", lambda z: z == UNDECIDED)).withColumn("places", F.lit(None).cast("array<int>"))
-    rest = parsed.where(F.exists("zones", lambda z: z == UNDECIDED)).join(covered, "row_id", "left")
+    done = parsed.where(~open_).withColumn("places", F.lit(None).cast("array<int>"))
+    rest = parsed.where(open_).join(covered, "row_id", "left")
     both = done.select("page_id", "url", "texts", "zones", "places").union(rest.select("page_id", "url", "texts", "zones", "places"))
-    out = both.mapInArrow(_compose(min_tokens), "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    return both.mapInArrow(_compose(min_tokens), TEXT).withColumn("n_chars", F.length("text").cast("long"))
