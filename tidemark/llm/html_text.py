@@ -9,7 +9,7 @@ of repeated runs is boilerplate and loses them, and keeps its own words; any oth
 inside an article is never looked at: what repeats there is a quotation or a copy. On pages without an article the text
 may be in any block, so there a run must stand in SHARE of the host's different streams, too. Guarded blocks that do
 not repeat (a menu of its own page) go by their markup; the counts of blocks that went either way are returned. Pages
-whose streams are equal count as one, so a copied page does not erase itself.
+whose texts are equal, articles included, count as one, so a copied page does not erase itself.
 
 A host can hold a third of all pages, so no host is gathered. Tasks build suffix arrays over their own pages and hand
 on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, streams it stands in), one
@@ -173,7 +173,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         found = [blocks_of(h or "") for h in b.column(2).to_pylist()]
         hosts = [re.sub(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*).*", r"\1", (u or "").strip().lower(), flags=re.S) for u in b.column(1).to_pylist()]
-        raw = pa.array(["\n".join(t for t, z in f if z != ARTICLE) for f in found], pa.string())
+        raw = pa.array(["\n".join(t for t, _ in f) for f in found], pa.string())
         words, _, _, row = word_hashes(*text_buffers(raw))
         place = np.arange(len(words)) - np.searchsorted(row, row)
         stream = np.zeros(n, np.uint64)
