@@ -267,3 +267,11 @@ def test_small_joins(spark):
     m = spark.createDataFrame([("r2", "sharpe", 1.0), ("r2", "annual_return", 0.2), ("r2", "max_drawdown", -0.1), ("r4", "sharpe", 2.0)], "run_id string, name string, value double")
     got = [(r.experiment_id, r.run_id, r.calmar, r.peers) for r in rg.catalogue(e, runs, m).collect()]
     assert got == [("e2", "r4", None, 2), ("e1", "r2", 2.0, 2), ("e3", None, None, 1)]
+
+
+def test_blend_means(spark):
+    x = np.random.default_rng(2).normal(size=(50, 3))
+    df = spark.createDataFrame([(*map(float, r),) for r in x] + [(None, 1.0, 1.0)], "a double, b double, c double").repartition(3)
+    w = [[0.5, 0.5, 0.0], [0.0, -1.0, 2.0]]
+    got = {r.trial: r.mean_abs for r in fx.blend_means(df, ["a", "b", "c"], w).collect()}
+    assert [got[0], got[1]] == pytest.approx(np.abs(x @ np.array(w).T).mean(axis=0).tolist())
