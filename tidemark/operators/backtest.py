@@ -137,6 +137,26 @@ def daily(c: DataFrame) -> DataFrame:
     return c.groupBy(utc_date(F.col("t")).alias("day")).agg(F.expm1(F.sum(F.log1p("net_return"))).alias("net_return"), F.avg("gross_exposure").alias("mean_gross"), F.sum("turnover").alias("turnover"))
 
 
+def daily_positions(p: DataFrame) -> DataFrame:
+    """Mean weight and summed trades of each symbol by day."""
+    return p.groupBy(utc_date(F.col("t")).alias("day"), "symbol").agg(F.avg("weight").alias("mean_weight"), F.sum("trade_weight").alias("turnover"))
+
+
+def curve_faults(c: DataFrame, tolerance: float = 1e-12, width: int = 30 * DAY_MS) -> DataFrame:
+    """One row: repeated times, folds that begin before the one before ends, values that are not finite, and rows whose
+    net return is not P&L less costs within the tolerance. A sound curve has none."""
+    from ..functions.columns import finite
+    from .windows import previous
+
+    net = F.col("price_pnl") + F.col("funding_pnl") - F.col("trading_fees") - F.col("spread_cost") - F.col("slippage_cost")
+    rows = previous(c, [], ["t", "fold"], ["t", "fold"], width)
+    bad = [~finite(F.col(x)) for x in ("price_pnl", "funding_pnl", "trading_fees", "spread_cost", "slippage_cost", "net_return", "turnover")]
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.coalesce(F.col("t") == F.col("prev.t"), F.lit(False))).alias("repeated_times"), F.count_if(F.coalesce(F.col("fold") < F.col("prev.fold"), F.lit(False))).alias("unordered_folds"),
+        F.count_if(reduce(Column.__or__, bad)).alias("not_finite"), F.count_if(F.coalesce(F.abs(F.col("net_return") - net) > tolerance, F.lit(True))).alias("unreconciled"),
+    )
+
+
 def rolling_sharpe(d: DataFrame, days: int = 30) -> DataFrame:
     """Annualised Sharpe of the last ``days`` days at each day's end; null before there are as many or without spread."""
     w = Window.orderBy("day").rowsBetween(-(days - 1), 0)  # a row a day

@@ -658,3 +658,39 @@ def backfill_targets(s, d):
 def trial_plan(s, d):
     grid = jn.parameter_grid(s, {"a": [0.0, 0.25, 0.5, 0.75], "b": [0.25, 0.5, 1.0]}).drop("ordinal")
     return rg.trial_plan(grid, F.abs(F.col("a") + F.col("b") - 1) <= 1e-9, ["a", "b"])
+
+
+@query(f"WITH RECURSIVE {_POS} SELECT count(*) AS n_rows, count(*) - count(DISTINCT t) AS repeated_times, 0::BIGINT AS unordered_folds, count_if(NOT isfinite(net_return)) AS not_finite, count_if(abs(net_return - (price_pnl + funding_pnl - trading_fees - spread_cost - slippage_cost)) > 1e-12) AS unreconciled FROM cv")
+def curve_contract(s, d):
+    return bt.curve_faults(_curve(s, d))
+
+
+@query(f"WITH RECURSIVE {_POS} SELECT CAST(make_date(1970, 1, 1) + CAST(t // 86400000 AS INTEGER) AS DATE) AS day, symbol, round(avg(weight), 5) + 0.0 AS mean_weight, round(sum(trade), 5) + 0.0 AS turnover FROM po GROUP BY 1, 2")
+def daily_positions(s, d):
+    return bt.daily_positions(_positions(s, d)).select("day", "symbol", (F.round("mean_weight", 5) + 0.0).alias("mean_weight"), (F.round("turnover", 5) + 0.0).alias("turnover"))
+
+
+@query(f"WITH {_FEAT}, j AS (SELECT a.log_return_1h AS x, b.log_return_1h AS y FROM ft a JOIN ft b ON a.t = b.t AND a.symbol = 'click' AND b.symbol = 'view' WHERE a.quote_volume_1h > 0 AND b.quote_volume_1h > 0 AND a.log_return_1h IS NOT NULL AND b.log_return_1h IS NOT NULL) SELECT count(*) AS n, round(corr(x, y), 6) AS correlation FROM j")
+def masked_correlation(s, d):
+    x = _features(s, d, ["log_return_1h", "quote_volume_1h"]).withColumn("ok", (F.col("quote_volume_1h") > 0) & F.col("log_return_1h").isNotNull())
+    side = lambda k: x.where(F.col("symbol") == k).select("t", F.lit("x").alias("symbol"), "log_return_1h", "ok")
+    return _round(jn.masked_correlation(side("click"), side("view"), "log_return_1h", "ok"), "correlation")
+
+
+_WIRE = """WITH m AS (SELECT event_id, event_type, value, CASE WHEN event_id % 11 = 0 THEN 'symbol' WHEN event_id % 19 = 0 THEN 'event type' WHEN event_id % 13 = 0 THEN 'field p' WHEN event_id % 17 = 0 THEN 'field m' END AS why FROM events WHERE event_id % 23 <> 0)"""
+
+
+@query(f"{_WIRE} SELECT 'aggregate_trades' AS kind, upper(event_type) AS symbol, coalesce(why, 'accepted') AS outcome, count(*) AS n, round(sum(CASE WHEN why IS NULL THEN value END), 4) AS total FROM m GROUP BY 2, 3")
+def wire_trades(s, d):
+    """Events as trade messages, some of them faulty or acknowledgements, parsed with the reasons of their rejection."""
+    from ..sources import wire
+
+    e, k = _events(s, d), F.col("event_id")
+    data = F.struct(
+        F.when((k % 19 == 0), "trade").otherwise("aggTrade").alias("e"), k.alias("E"), F.when(k % 11 == 0, "OTHER").otherwise(F.upper("event_type")).alias("s"), k.alias("a"),
+        F.when(k % 13 == 0, "NaN").otherwise(F.col("value").cast("string")).alias("p"), F.lit("1").alias("q"), k.alias("f"), k.alias("l"), k.alias("T"), F.when(k % 17 != 0, F.lit(True)).alias("m"),
+    )
+    text = F.when(k % 23 == 0, F.lit('{"result": null, "id": 1}')).otherwise(F.to_json(F.struct(F.concat("event_type", F.lit("@aggTrade")).alias("stream"), data.alias("data"))))
+    p = wire.parse(e.select(text.alias("value")))
+    g = p.groupBy("kind", "symbol", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+    return g.agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("reject_reason").isNull(), F.col("aggregate_trades.price"))), 4).alias("total"))
