@@ -85,6 +85,18 @@ QUERIES = {
     "pipeline": pipeline,
 }
 ORACLES = {
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+        n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+        ab AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, ab.b FROM r JOIN ab ON ab.a = r.reach)
+        SELECT node AS doc_id, any_value(n) AS n_shingles, min(reach) AS component_id, node = min(reach) AS kept FROM r JOIN n ON n.doc_id = node GROUP BY node""",
     "op3_compaction": """
         SELECT doc_id, lang, source, length(coalesce(text, '')) AS text_chars, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
