@@ -128,15 +128,15 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return [(t, ARTICLE if z == UNDECIDED and main and not articles else z) for t, z, main in out]
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a sequence, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of the suffixes of a sequence, by prefix doubling; by their first ``depth`` tokens at least, if given."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     order, k = np.argsort(rank, kind="stable"), 1
-    while k < n:
+    while k < min(n, depth or n):
         second = np.full(n, -1, np.int64)
         second[:-k] = rank[k:]
-        order = np.lexsort((second, rank))
+        order = np.argsort(rank * (n + 1) + second, kind="stable")
         step = (np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0)
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(step)])
@@ -146,23 +146,23 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
-def shared_prefixes(tokens: np.ndarray, stream: np.ndarray, size: int) -> list[np.ndarray]:
-    """Intervals of the suffix array: places whose next ``size`` tokens are equal and of one stream each (no run over
-    a stream's end), one array a distinct prefix."""
-    order = suffix_array(tokens)
+def shared_prefixes(tokens: np.ndarray, stream: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of the suffix array whose suffixes have a common prefix of ``size`` tokens: (places in their order, the
+    number of each one's interval). No run goes over a stream's end."""
+    order = suffix_array(tokens, size)
     room = np.zeros(len(tokens), bool)
     if len(tokens) >= size:
         room[: len(tokens) - size + 1] = stream[: len(tokens) - size + 1] == stream[size - 1 :]
     order = order[room[order]]
     if not len(order):
-        return []
+        return order, order
     same = np.ones(len(order) - 1, bool)  # neighbours with a common prefix of size tokens
     for k in range(size):
         same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-    return np.split(order, np.flatnonzero(~same) + 1)
+    return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-PARSED = "row_id long, page_id long, url string, host string, texts array<string>, zones array<int>, stream long"
+PARSED = "row_id long, page_id long, url string, host string, texts array<string>, zones array<int>, beside string, stream long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +179,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = np.zeros(n, np.uint64)
         np.add.at(stream, row, mix64(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(at, at + n), pa.int64()), b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32())), pa.array(stream.view(np.int64))],
+            [pa.array(range(at, at + n), pa.int64()), b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[z for _, z in f] for f in found], pa.list_(pa.int32())),
+             pa.array(["\n".join(t for t, z in f if z != ARTICLE) for f in found], pa.string()), pa.array(stream.view(np.int64))],
             [x.split()[0] for x in PARSED.split(", ")],
         )
         at += n
 
 
 def _streams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens outside of articles of (host, texts, zones) rows, and the row of each."""
-    raw = pa.array(["\n".join(t for t, z in zip(ts, zs, strict=True) if z != ARTICLE) for ts, zs in zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), strict=True)], pa.string())
-    words, _, _, row = word_hashes(*text_buffers(raw))
+    """Tokens outside of articles, and the row of each."""
+    words, _, _, row = word_hashes(*text_buffers(b.column("beside")))
     return words, row
 
 
@@ -203,15 +203,13 @@ def _intervals(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, row = _streams(b)
-            hosts = np.array(b.column("host").to_pylist(), object)
-            out = []
-            for host in sorted(set(hosts[np.unique(row)])) if len(row) else []:
-                keep = np.flatnonzero(hosts[row] == host)
-                tokens, rows = words[keep], row[keep]
-                for at in shared_prefixes(tokens, rows, size):
-                    out.append((host, int(_prefix_hash(tokens, at[:1], size)[0]), len(np.unique(rows[at]))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "prefix", "n"])
+            # One array for all hosts of the batch: a token is a host's own.
+            order, interval = shared_prefixes(mix64(words ^ _host_hash(b.column("host"))[row]), row, size)
+            if len(order):
+                pairs = np.unique(interval * (b.num_rows + 1) + row[order])  # streams of each interval
+                first = order[np.searchsorted(interval, np.arange(interval[-1] + 1))]
+                n = np.bincount(pairs // (b.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(row[first])), pa.array(_prefix_hash(words, first, size)), pa.array(n)], ["host", "prefix", "n"])
 
     return run
 
@@ -297,7 +295,7 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "pag
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = written(rows.mapInArrow(_parse, PARSED), "parsed")
-    outside = parsed.where(F.exists("zones", lambda z: z != ARTICLE)).select("row_id", "host", "texts", "zones", "stream")
+    outside = parsed.where("beside <> ''").select("row_id", "host", "beside", "stream")
     one = outside.groupBy("host", "stream").agg(F.min("row_id").alias("row_id"))
     enough = one.groupBy("host").agg(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * SHARE)).alias("enough"))
     shared = outside.join(one.select("row_id"), "row_id", "left_semi").select(outside.columns)
