@@ -79,3 +79,59 @@ def test_lone_run_and_no_batches(spark, store):
     empty.compact()
     empty.vacuum()
     assert empty.read().dtypes == df.dtypes and empty.read().count() == 0
+
+
+def test_vacuum_leaves_what_another_writer_is_about_to_commit(spark, store):
+    df = spark.range(20).selectExpr("id AS doc_id", "'t' AS text")
+    store.append(df)
+    commit, other = store._commit, ShardStore(spark, store.root)
+
+    def late(change, made, attempts=20):  # the other writer vacuums between the run and its commit
+        other.append(df)
+        other.vacuum()
+        return commit(change, made, attempts)
+
+    store._commit = late
+    store.append(df)
+    store._commit = commit
+    assert store.read().count() == 60 and len(store.manifest()["runs"]) == 3
+    for _ in range(3):
+        store.append(df)
+    store.compact()
+    other.vacuum(orphan_hours=0.0)  # replaced runs go, live ones stay
+    assert store.read().count() == 120 and store.versions() == [store.manifest()["version"]]
+    left = [s.getPath().getName() for s in store.fs.listStatus(store._path("data"))]
+    assert sorted(left) == sorted(e["run"] for e in store.manifest()["runs"])
+    store.fs.mkdirs(store._path("data/run-lost"))
+    other.vacuum()
+    assert store.fs.exists(store._path("data/run-lost"))
+    store.spark.sparkContext._jvm.Thread.sleep(20)
+    other.vacuum(orphan_hours=0.0)
+    assert not store.fs.exists(store._path("data/run-lost"))
+
+
+def test_a_commit_whose_run_has_gone_fails(spark, store):
+    df = spark.range(5).selectExpr("id AS doc_id", "'t' AS text")
+    entry = {"run": "run-gone", "files": 1, "bytes": 1, "schema": {}}
+    with pytest.raises(RuntimeError, match="run-gone"):
+        store._commit(lambda runs: [*runs, entry], [entry])
+    store.append(df)
+    assert store.read().count() == 5 and store.versions() == [1]
+
+
+def test_wide_components_by_whole_numbers():
+    """Rows whose sums floats do not hold, beside rows of any other size; scores beyond 64 bits are held at its ends."""
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(400, 16)) * 10.0 ** rng.integers(0, 12, (400, 1)))
+    x[7] *= 1e290
+    x[8], x[9] = x[10], x[10] + 1
+    ids = np.arange(400)
+    got = topk.block_topk(ids[::20], list(x[::20]), ids, list(x), 9)
+    exact = [[int(v) for v in r] for r in x]
+    want = []
+    for q in range(0, 400, 20):
+        each = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(exact[q], exact[j], strict=True)))), j) for j in range(400) if j != q)[:9]
+        want += [(q, j, -s) for s, j in each]
+    assert got == want
+    few = topk.block_topk(np.array([1]), [x[0]], np.array([1, 2]), [x[0], x[1]], 9)
+    assert [r[:2] for r in few] == [(1, 2)]

@@ -5,7 +5,9 @@ groups runs into tiers by size (powers of ``fanout`` over ``base_bytes``); a tie
 merged into one run of about target-sized files, until no tier is full. A run that stays alone in its tier is rewritten
 too if its files are less than half of the target on average and fewer would do. A version is one JSON file, written under a
 temporary name and renamed; the rename fails if the version exists, so of two writers one wins and the other retries.
-Readers see the runs of one version only; replaced runs stay until vacuum(). A merge moves no rows between executors:
+Readers see the runs of one version only; replaced runs stay until vacuum(), which deletes what an older version listed and
+the newest does not, and leaves runs that no version lists, which another writer may be about to commit, until they are
+older than ``orphan_hours``. A commit fails if its run has gone. A merge moves no rows between executors:
 its tasks read neighbouring shards and write one file each. The manifest has one entry a run.
 
 Nulls in any column, empty and long texts, repeated rows and extra columns are kept as they are. Appending no rows,
@@ -49,9 +51,13 @@ class ShardStore:
         finally:
             stream.close()
 
-    def _commit(self, change, attempts: int = 20) -> dict:
-        """Apply change(runs) -> runs to the newest version and commit the next; retried if another writer came first."""
+    def _commit(self, change, made: list[dict], attempts: int = 20) -> dict:
+        """Apply change(runs) -> runs to the newest version and commit the next; retried if another writer came first.
+        The runs ``made`` for it must be there."""
         for _ in range(attempts):
+            lost = [e["run"] for e in made if not self.fs.exists(self._path(f"data/{e['run']}"))]
+            if lost:
+                raise RuntimeError(f"runs went before their commit: {lost}")
             old = self.manifest()
             new = {"version": old["version"] + 1, "runs": change(old["runs"])}
             temp, final = self._path(f"manifest/_{uuid.uuid4().hex}"), self._path(f"manifest/v{new['version']:08d}.json")
@@ -78,7 +84,7 @@ class ShardStore:
         run = f"run-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/data/{run}")
         entry = self._entry(run, rows.schema)
-        return self._commit(lambda runs: [*runs, entry])
+        return self._commit(lambda runs: [*runs, entry], [entry])
 
     def append_batches(self, rows: DataFrame, batch) -> dict:
         """Many arrivals in one pass over rows: one run for each value of the column ``batch``, one commit."""
@@ -86,7 +92,7 @@ class ShardStore:
         rows.withColumn(BATCH, F.coalesce(F.concat(F.lit("b"), batch.cast("string")), F.lit("none"))).write.partitionBy(BATCH).parquet(f"{self.root}/data/{group}")
         folders = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"data/{group}")) if s.isDirectory()]
         entries = [self._entry(f"{group}/{f}", rows.schema) for f in sorted(folders)] or [self._entry(group, rows.schema)]
-        return self._commit(lambda runs: [*runs, *entries])
+        return self._commit(lambda runs: [*runs, *entries], entries)
 
     def _tier(self, entry: dict) -> int:
         tier, size = 0, self.base_bytes
@@ -130,7 +136,7 @@ class ShardStore:
                     raise RuntimeError("another writer merged these runs")
                 return [*(e for e in runs if e["run"] not in gone), made]
 
-            self._commit(change)
+            self._commit(change, [made])
 
     def read(self, version: int | None = None) -> DataFrame:
         runs = self.manifest(version)["runs"]
@@ -138,21 +144,21 @@ class ShardStore:
             raise ValueError("nothing was appended")
         return self._read(runs)
 
-    def vacuum(self) -> None:
-        """Delete runs and manifest versions that the newest version does not use."""
+    def vacuum(self, orphan_hours: float = 168.0) -> None:
+        """Delete runs that an older version lists and the newest does not, runs that no version lists and that nobody
+        has written to for ``orphan_hours``, and the older versions."""
         now = self.manifest()
+        older = [v for v in self.versions() if v < now["version"]]
         live = {e["run"] for e in now["runs"]}
-        if self.fs.exists(self._path("data")):
-            for s in self.fs.listStatus(self._path("data")):
-                name = s.getPath().getName()
-                if name in live:
-                    continue
-                if not any(x.startswith(f"{name}/") for x in live):
-                    self.fs.delete(s.getPath(), True)
-                else:
-                    for f in self.fs.listStatus(s.getPath()):
-                        if f.isDirectory() and f"{name}/{f.getPath().getName()}" not in live:
-                            self.fs.delete(f.getPath(), True)
-        for v in self.versions():
-            if v < now["version"]:
-                self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False)
+        retired = {e["run"] for v in older for e in self.manifest(v)["runs"]} - live
+        for run in sorted(retired):
+            self.fs.delete(self._path(f"data/{run}"), True)
+        oldest = self.jvm.System.currentTimeMillis() - int(orphan_hours * 3_600_000)
+        for top in self.fs.listStatus(self._path("data")) if self.fs.exists(self._path("data")) else ():
+            name = top.getPath().getName()
+            inner = [s for s in self.fs.listStatus(top.getPath()) if s.isDirectory()]
+            used = name in live or any(f"{name}/{s.getPath().getName()}" in live for s in inner)
+            if not used and max([top.getModificationTime(), *(s.getModificationTime() for s in inner)]) < oldest:
+                self.fs.delete(top.getPath(), True)
+        for v in older:
+            self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False)

@@ -14,8 +14,8 @@ whose texts are equal, articles included, count as one, so a copied page does no
 A host can hold a third of all pages, so no host is gathered. Tasks build suffix arrays over their own pages and hand
 on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, streams it stands in), one
 page a stream taking part; these meet in a pre-aggregated groupBy. Up to RUNS repeated prefixes go to the tasks, which
-look their pages' places up and write the texts without a shuffle; more of them meet the places of pages with undecided
-blocks in a join, and n_repeated and n_guarded are then null.
+look their pages' places up and write the texts without a shuffle; more of them meet the pages' places in a join. Texts and
+counts are the same on either way.
 
 Null or empty html: empty text. Repeated rows: one output row each. Null url: its own host. Empty table: empty result.
 Other columns are ignored.
@@ -253,6 +253,11 @@ def _host_hash(hosts: pa.Array) -> np.ndarray:
 TEXT = "page_id long, url string, text string, n_repeated long, n_guarded long"
 
 
+def _texts(b: pa.RecordBatch, kept: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    counts = [pa.array([x[k] for x in kept], pa.int64()) for k in (1, 2)]
+    return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([x[0] for x in kept], pa.string()), *counts], [x.split()[0] for x in TEXT.split(", ")])
+
+
 def _look_up(size: int, narrow: np.ndarray, wide: np.ndarray):
     """Texts with the repeated prefixes at hand: sorted hashes of (host, prefix)."""
 
@@ -273,7 +278,7 @@ def _look_up(size: int, narrow: np.ndarray, wide: np.ndarray):
                 for r, p in zip(row[at[hit]].tolist(), (at[hit] - begin[row[at[hit]]]).tolist(), strict=True):
                     places.setdefault(r, set()).update(range(p, p + size))
             out = [_kept(t, z, places.get(i, set())) for i, (t, z) in enumerate(zip(texts, zones, strict=True))]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], [x.split()[0] for x in TEXT.split(", ")])
+            yield _texts(b, out)
 
     return run
 
@@ -282,9 +287,7 @@ def _compose(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), b.column("places").to_pylist(), strict=True)
-            texts = [_kept(ts, zs, {p + k for p in places or () for k in range(size)})[0] for ts, zs, places in rows]
-            none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), none, none], [x.split()[0] for x in TEXT.split(", ")])
+            yield _texts(b, [_kept(ts, zs, {p + k for p in places or () for k in range(size)}) for ts, zs, places in rows])
 
     return run
 
@@ -307,13 +310,8 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "pag
         every = found.column("wide").to_numpy()
         out = parsed.mapInArrow(_look_up(min_tokens, np.sort(key), np.sort(key[every.astype(bool)])), TEXT)
         return out.withColumn("n_chars", F.length("text").cast("long"))
-    open_ = F.exists("zones", lambda z: z == UNDECIDED)
     articled = F.exists("zones", lambda z: z == ARTICLE)
-    places = parsed.where(open_).mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"])
-    places = places.join(parsed.where(open_).select("row_id", articled.alias("articled")), "row_id").where("wide OR articled")
-    covered = written(places.groupBy("row_id").agg(F.collect_set("place").alias("places")), "covered")
-    # Pages that markup decides alone need no join.
-    done = parsed.where(~open_).withColumn("places", F.lit(None).cast("array<int>"))
-    rest = parsed.where(open_).join(covered, "row_id", "left")
-    both = done.select("page_id", "url", "texts", "zones", "places").union(rest.select("page_id", "url", "texts", "zones", "places"))
-    return both.mapInArrow(_compose(min_tokens), TEXT).withColumn("n_chars", F.length("text").cast("long"))
+    places = outside.select("row_id", "host", "beside").mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"])
+    places = places.join(parsed.select("row_id", articled.alias("articled")), "row_id").where("wide OR articled")
+    covered = places.groupBy("row_id").agg(F.collect_set("place").alias("places"))
+    return parsed.join(covered, "row_id", "left").mapInArrow(_compose(min_tokens), TEXT).withColumn("n_chars", F.length("text").cast("long"))

@@ -36,20 +36,41 @@ def _sketch(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
+def _wide_topk(qid: np.ndarray, qi: np.ndarray, xid: np.ndarray, xi: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """As block_topk, for components whose sums of products floats do not hold: products of rows scaled by powers of two
+    bound each score from both sides, and only pairs that may be among the k best are summed as whole numbers."""
+    out, most = [], 2.0**63
+    whole = lambda r: [int(v) for v in r]
+    (qe, xe) = (np.frexp(np.abs(v).max(axis=1, initial=0))[1] for v in (qi, xi))
+    qs, xs = np.ldexp(qi, -qe[:, None]), np.ldexp(xi, -xe[:, None])
+    off = (qi.shape[1] + 2) * 2.0**-52
+    for i0 in range(0, len(qid), 256):
+        ids, q = qid[i0 : i0 + 256], qs[i0 : i0 + 256]
+        mid, slack = q @ xs.T, np.abs(q) @ np.abs(xs).T * off
+        power = qe[i0 : i0 + 256, None] + xe[None, :]
+        with np.errstate(over="ignore"):
+            low, high = (np.clip(np.ldexp(m, power), -most, most) for m in (mid - slack, mid + slack))
+        own = ids[:, None] == xid[None, :]
+        low[own], high[own] = -np.inf, -np.inf
+        floor = np.partition(low, len(xid) - k, axis=1)[:, len(xid) - k] if len(xid) >= k else np.full(len(ids), -np.inf)
+        for i in range(len(ids)):
+            row = whole(qi[i0 + i])
+            may = np.flatnonzero((high[i] >= floor[i]) & ~own[i])
+            got = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(row, whole(xi[j]), strict=True)))), int(xid[j])) for j in may)[:k]
+            out += [(int(ids[i]), j, -s) for s, j in got]
+    return out
+
+
 def block_topk(qid: np.ndarray, q: list, xid: np.ndarray, x: list, k: int) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best within the block; a query's own id is left out."""
     qi, xi = np.array(q, np.float64), np.array(x, np.float64)
-    top = max(np.abs(qi).max(initial=0), np.abs(xi).max(initial=0))
+    top = float(max(np.abs(qi).max(initial=0), np.abs(xi).max(initial=0)))
     if qi.ndim < 2 or qi.shape[1] == 0:
         qi, xi = np.zeros((len(q), 1)), np.zeros((len(x), 1))
     exact_float = top * top * qi.shape[1] < 2**53
     out: list[tuple[int, int, int]] = []
     if not exact_float:
-        qo, xo = [[int(v) for v in r] for r in qi], [[int(v) for v in r] for r in xi]
-        for i, row in zip(qid, qo, strict=True):
-            got = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(row, r, strict=True)))), int(j)) for j, r in zip(xid, xo, strict=True) if j != i)[:k]
-            out += [(int(i), j, -s) for s, j in got]
-        return out
+        return _wide_topk(qid, qi, xid, xi, k)
     slack = 1e-9 * (top * top * qi.shape[1] + 1)
     sketches = [(_sketch(qi, s), _sketch(xi, s)) for s in LEVELS]
     for i0 in range(0, len(qid), 256):
