@@ -12,15 +12,16 @@ HOURS_A_YEAR = 8760.0
 
 
 def return_statistics(df: DataFrame, by: list[str], r: str, order: str, periods_a_year: float = HOURS_A_YEAR) -> DataFrame:
-    """n, total, annualised return, volatility and Sharpe, max drawdown, Calmar and hit rate by group."""
-    from .windows import drawdown
+    """n, total, annualised return, volatility and Sharpe, max drawdown, Calmar and hit rate by group, which may be one
+    long series: states of stretches of time are merged (windows.worst_drawdown)."""
+    from .windows import worst_drawdown
 
-    d = drawdown(df.where(F.col(r).isNotNull()), r, by, order)
-    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.log1p(r)).alias("__l"), F.avg(r).alias("__m"), F.stddev_samp(r).alias("__s"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col(r) > 0).cast("double")).alias("hit_rate"))
-    annual = F.expm1(F.col("__l") / F.col("n") * periods_a_year)
+    g = worst_drawdown(df, r, by, order)
+    annual = F.expm1(F.col("log_sum") / F.col("n") * periods_a_year)
+    s = F.col("deviation")
     return g.select(
-        *by, "n", F.expm1("__l").alias("total_return"), annual.alias("annual_return"), (F.col("__s") * periods_a_year**0.5).alias("annual_volatility"),
-        F.when(F.col("__s") > 1e-15, F.col("__m") / F.col("__s") * periods_a_year**0.5).alias("sharpe"), "max_drawdown",
+        *by, "n", F.expm1("log_sum").alias("total_return"), annual.alias("annual_return"), (s * periods_a_year**0.5).alias("annual_volatility"),
+        F.when(s > 1e-15, F.col("mean") / F.when(s > 1e-15, s) * periods_a_year**0.5).alias("sharpe"), "max_drawdown",
         F.when(F.col("max_drawdown") < 0, annual / F.abs("max_drawdown")).alias("calmar"), "hit_rate",
     )
 

@@ -2,8 +2,9 @@
 
 Bars (symbol, t, open, high, low, close, quote_volume, taker_quote_volume; t the opening time) are first folded into
 decision rows, one for each symbol and hour of ``hour`` bars. All windows of the bundles are over decision rows by
-symbol, so bars and features share one shuffle; only the market benchmark and regime are windows by time. A bundle is a
-function from decision rows to decision rows with more columns.
+symbol; only the market benchmark and regime are windows by time. Series are cut into parts that carry the rows that their
+windows reach back to (windows.with_halo), bars as well as decision rows, so few long series are many tasks. A bundle is
+a function from decision rows to decision rows with more columns.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MINUTE_MS, TINY, only_finite
+from ..functions.columns import DAY_MS, MINUTE_MS, TINY, only_finite
 from . import windows as wn
 
 HOURS_A_YEAR = 8760.0
+#: Decision rows go to neighbouring parts of their series by stretches of a week.
+HALO_MS = 7 * DAY_MS
 
 
 def decision_rows(bars: DataFrame, hour: int = 60, step_ms: int = MINUTE_MS) -> DataFrame:
@@ -30,7 +33,8 @@ def decision_rows(bars: DataFrame, hour: int = 60, step_ms: int = MINUTE_MS) ->
     after it for labels (opening prices one bar and one hour and a bar later, volume of the hour between).
 
     t is the close of the hour's last bar. An hour without all its bars gives no row."""
-    w = wn.by_symbol()
+    bars = wn.with_halo(bars, 15, hour + 1)
+    w = wn.by_symbol(bars)
     close, start = F.ln("close"), F.ln("open")
     signed = 2 * F.col("taker_quote_volume") - F.col("quote_volume")
     step = close - F.lag(close).over(w)
@@ -38,7 +42,7 @@ def decision_rows(bars: DataFrame, hour: int = 60, step_ms: int = MINUTE_MS) ->
     quarter = phase % (hour // 4) == 0
     ahead = w.rowsBetween(1, hour)
     rows = bars.select(
-        "symbol", "t", "open", "high", "low", "close", "quote_volume", "taker_quote_volume",
+        "symbol", "t", wn.PART, wn.OWN, "open", "high", "low", "close", "quote_volume", "taker_quote_volume",
         close.alias("ln_close"), (step * step).alias("r2"),
         *[(close - F.lag(close, m).over(w)).alias(f"ret_{m}") for m in (5, 15)],
         F.when(quarter, signed).alias("q_signed"), F.when(quarter, F.col("quote_volume")).alias("q_volume"),
@@ -50,7 +54,7 @@ def decision_rows(bars: DataFrame, hour: int = 60, step_ms: int = MINUTE_MS) ->
     )
     last = ["close", "ln_close", "ret_5", "ret_15", "execution_t", "execution_open", "label_end_t", "label_open", "ahead_volume"]
     total = ["r2", "signed", "quote_volume", "taker_quote_volume", "q_signed", "q_volume", "o_signed", "o_volume", "q_return"]
-    g = rows.groupBy("symbol", F.floor(F.col("t") / (hour * step_ms)).alias("hour")).agg(
+    g = wn.own(rows).groupBy("symbol", F.floor(F.col("t") / (hour * step_ms)).alias("hour")).agg(
         F.count("*").alias("n"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
@@ -66,17 +70,18 @@ def _ratio(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def returns_momentum(df: DataFrame, leaders: tuple[str, str], beta_hours: int = 168) -> DataFrame:
     """Log returns, the leaders' mean return (each leader against the other), beta on it, and residuals."""
-    w = wn.by_symbol()
+    w = wn.by_symbol(df)
     df = df.withColumns({"log_return_5m": F.col("ret_5"), "log_return_15m": F.col("ret_15")} | {f"log_return_{h}h": F.col("ln_close") - F.lag("ln_close", h).over(w) for h in (1, 4, 24)})
     df = wn.benchmark(df, "log_return_1h", *leaders).withColumnRenamed("bench", "benchmark_return_1h")
-    df = df.withColumn("rolling_beta", wn.rolling_beta(F.col("log_return_1h"), F.col("benchmark_return_1h"), beta_hours))
+    df = df.withColumn("rolling_beta", wn.rolling_beta(F.col("log_return_1h"), F.col("benchmark_return_1h"), beta_hours, w))
     df = df.withColumn("residual_momentum_1h", F.col("log_return_1h") - F.col("rolling_beta") * F.col("benchmark_return_1h"))
-    return df.withColumns({f"residual_momentum_{h}h": wn.trailing_sum(F.col("residual_momentum_1h"), h) for h in (4, 24)})
+    return df.withColumns({f"residual_momentum_{h}h": wn.trailing_sum(F.col("residual_momentum_1h"), h, 0, w) for h in (4, 24)})
 
 
 def volatility(df: DataFrame, leaders: tuple[str, str]) -> DataFrame:
     """Realised volatility of a day's bars, range of four hours, and the leaders' annual volatility for all symbols."""
-    w, day, range_ = wn.by_symbol(), wn.by_symbol().rowsBetween(-23, 0), wn.by_symbol().rowsBetween(-3, 0)
+    w = wn.by_symbol(df)
+    day, range_ = w.rowsBetween(-23, 0), w.rowsBetween(-3, 0)
     full = F.row_number().over(w)
     df = df.withColumns({
         "realized_volatility_24h": F.when(full >= 24, F.sqrt(F.sum("r2").over(day))),
@@ -84,15 +89,17 @@ def volatility(df: DataFrame, leaders: tuple[str, str]) -> DataFrame:
     })
     # Every symbol carries the market's return of its hours, so its own window gives the market's volatility; hours that
     # the symbol lacks would change it, so the market's series has its own rows, one an hour.
-    market = df.where(F.col("symbol").isin(*leaders)).groupBy("t").agg(F.count(only_finite(F.col("log_return_1h"))).alias("n"), F.avg("log_return_1h").alias("m"))
+    once = df.where(wn.OWN) if wn.OWN in df.columns else df
+    market = once.where(F.col("symbol").isin(*leaders)).groupBy("t").agg(F.count(only_finite(F.col("log_return_1h"))).alias("n"), F.avg("log_return_1h").alias("m"))
     market = market.withColumn("m", F.when(F.col("n") == 2, F.col("m"))).withColumn("symbol", F.lit(""))
-    regime = market.select("t", (wn.rolling_std(F.col("m"), 24) * HOURS_A_YEAR**0.5).alias("market_volatility_regime"))
-    return df.join(regime, "t", "left")
+    market = wn.with_halo(market, 24)
+    regime = (wn.rolling_std(F.col("m"), 24, wn.by_symbol(market)) * HOURS_A_YEAR**0.5).alias("market_volatility_regime")
+    return df.join(wn.own(market.select("t", regime, wn.PART, wn.OWN)), "t", "left")
 
 
 def volume(df: DataFrame) -> DataFrame:
     df = df.withColumn("quote_volume_1h", F.col("quote_volume"))
-    return df.withColumn("quote_volume_zscore_24h", wn.rolling_zscore(F.col("quote_volume_1h"), 24))
+    return df.withColumn("quote_volume_zscore_24h", wn.rolling_zscore(F.col("quote_volume_1h"), 24, wn.by_symbol(df)))
 
 
 def microstructure(df: DataFrame) -> DataFrame:
@@ -117,14 +124,14 @@ def clock_phase(df: DataFrame) -> DataFrame:
         "quarter_open_return_1h": F.col("q_return"),
     }).withColumn("quarter_flow_excess_1h", F.col("quarter_open_flow_share_1h") - F.col("non_open_flow_share_1h"))
     return df.withColumns({
-        "quarter_open_flow_z_168h": wn.rolling_zscore(F.col("quarter_open_flow_share_1h"), 168),
-        "quarter_flow_excess_z_168h": wn.rolling_zscore(F.col("quarter_flow_excess_1h"), 168),
+        "quarter_open_flow_z_168h": wn.rolling_zscore(F.col("quarter_open_flow_share_1h"), 168, wn.by_symbol(df)),
+        "quarter_flow_excess_z_168h": wn.rolling_zscore(F.col("quarter_flow_excess_1h"), 168, wn.by_symbol(df)),
     })
 
 
 def flow(df: DataFrame) -> DataFrame:
     df = df.withColumn("signed_taker_flow_share_1h", _ratio(F.col("signed"), F.col("quote_volume_1h")))
-    df = df.withColumn("signed_taker_flow_z_168h", wn.rolling_zscore(F.col("signed_taker_flow_share_1h"), 168))
+    df = df.withColumn("signed_taker_flow_z_168h", wn.rolling_zscore(F.col("signed_taker_flow_share_1h"), 168, wn.by_symbol(df)))
     df = df.withColumn("hourly_volatility_proxy", F.col("realized_volatility_24h") / 24**0.5)
     scale = F.when(F.col("hourly_volatility_proxy").isNotNull(), F.greatest("hourly_volatility_proxy", F.lit(TINY)))
     df = df.withColumn("vol_scaled_return_1h", F.col("log_return_1h") / scale)
@@ -133,9 +140,9 @@ def flow(df: DataFrame) -> DataFrame:
 
 def path_state(df: DataFrame) -> DataFrame:
     r = F.col("log_return_1h")
-    df = df.withColumns({f"realized_volatility_{n}h": wn.realized_volatility(r, n) for n in (4, 168)})
+    df = df.withColumns({f"realized_volatility_{n}h": wn.realized_volatility(r, n, wn.by_symbol(df)) for n in (4, 168)})
     base = F.greatest(F.col("realized_volatility_168h") * (4 / 168) ** 0.5, F.when(F.col("realized_volatility_168h").isNotNull(), F.lit(TINY)))
-    high, low = wn.prior_extrema(F.col("high"), F.col("low"), 72)
+    high, low = wn.prior_extrema(F.col("high"), F.col("low"), 72, wn.by_symbol(df))
     df = df.withColumns({"volatility_compression_4h_168h": F.col("realized_volatility_4h") / base, "prior_high_72h": high, "prior_low_72h": low})
     df = df.withColumn("range_position_72h", _ratio(F.col("close") - F.col("prior_low_72h"), F.col("prior_high_72h") - F.col("prior_low_72h"), TINY))
     return wn.efficiency(df, "ln_close", 24, "efficiency_ratio_24h")
@@ -148,7 +155,8 @@ def pair_state(df: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Bundle:
     """A versioned function that adds ``outputs`` and reads ``needs`` of other bundles. ``tables`` are further inputs
-    and ``parameters`` its keyword arguments; a value "$name" is taken from the plan's settings."""
+    and ``parameters`` its keyword arguments; a value "$name" is taken from the plan's settings. ``back`` is how many
+    rows of its series before a row its windows reach, one on the other; a setting's name, given so, adds its value."""
 
     name: str
     version: str
@@ -157,17 +165,21 @@ class Bundle:
     needs: tuple[str, ...] = ()
     tables: tuple[str, ...] = ()
     parameters: dict = field(default_factory=dict)
+    back: tuple[int | str, ...] = (0,)
+
+    def reach(self, settings: dict) -> int:
+        return sum(settings[x[1:]] if isinstance(x, str) else x for x in self.back)
 
 
 BUNDLES = (
-    Bundle("returns_momentum", "v1", returns_momentum, (*(f"log_return_{x}" for x in ("5m", "15m", "1h", "4h", "24h")), "benchmark_return_1h", "rolling_beta", *(f"residual_momentum_{h}h" for h in (1, 4, 24))), parameters={"leaders": "$leaders", "beta_hours": "$beta_hours"}),
-    Bundle("volatility", "v1", volatility, ("realized_volatility_24h", "intraday_range_4h", "market_volatility_regime"), ("log_return_1h",), parameters={"leaders": "$leaders"}),
-    Bundle("volume", "v1", volume, ("quote_volume_1h", "quote_volume_zscore_24h")),
+    Bundle("returns_momentum", "v1", returns_momentum, (*(f"log_return_{x}" for x in ("5m", "15m", "1h", "4h", "24h")), "benchmark_return_1h", "rolling_beta", *(f"residual_momentum_{h}h" for h in (1, 4, 24))), parameters={"leaders": "$leaders", "beta_hours": "$beta_hours"}, back=(24, "$beta_hours", 24)),
+    Bundle("volatility", "v1", volatility, ("realized_volatility_24h", "intraday_range_4h", "market_volatility_regime"), ("log_return_1h",), parameters={"leaders": "$leaders"}, back=(24,)),
+    Bundle("volume", "v1", volume, ("quote_volume_1h", "quote_volume_zscore_24h"), back=(24,)),
     Bundle("microstructure", "v1", microstructure, ("taker_buy_imbalance_1h",), ("quote_volume_1h",)),
     Bundle("funding", "v1", funding, ("funding_rate_current", "funding_rate_change"), tables=("rates",)),
-    Bundle("clock_phase", "v1", clock_phase, (*(f"quarter_open_{x}_1h" for x in ("signed_flow", "quote_volume", "flow_share", "return")), "non_open_flow_share_1h", "quarter_flow_excess_1h", "quarter_open_flow_z_168h", "quarter_flow_excess_z_168h")),
-    Bundle("flow", "v1", flow, ("signed_taker_flow_share_1h", "signed_taker_flow_z_168h", "hourly_volatility_proxy", "vol_scaled_return_1h", "flow_price_agreement_1h"), ("quote_volume_1h", "realized_volatility_24h", "log_return_1h")),
-    Bundle("path_state", "v1", path_state, ("realized_volatility_4h", "realized_volatility_168h", "volatility_compression_4h_168h", "prior_high_72h", "prior_low_72h", "range_position_72h", "efficiency_ratio_24h"), ("log_return_1h",)),
+    Bundle("clock_phase", "v1", clock_phase, (*(f"quarter_open_{x}_1h" for x in ("signed_flow", "quote_volume", "flow_share", "return")), "non_open_flow_share_1h", "quarter_flow_excess_1h", "quarter_open_flow_z_168h", "quarter_flow_excess_z_168h"), back=(168,)),
+    Bundle("flow", "v1", flow, ("signed_taker_flow_share_1h", "signed_taker_flow_z_168h", "hourly_volatility_proxy", "vol_scaled_return_1h", "flow_price_agreement_1h"), ("quote_volume_1h", "realized_volatility_24h", "log_return_1h"), back=(168,)),
+    Bundle("path_state", "v1", path_state, ("realized_volatility_4h", "realized_volatility_168h", "volatility_compression_4h_168h", "prior_high_72h", "prior_low_72h", "range_position_72h", "efficiency_ratio_24h"), ("log_return_1h",), back=(168, 2)),
     Bundle("pair_state", "v1", pair_state, ("log_close_level",)),
 )
 
@@ -216,8 +228,11 @@ class Registry:
         return hashlib.sha256(json.dumps(named).encode()).hexdigest()
 
     def compute(self, rows: DataFrame, features: list[str], settings: dict, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-        """symbol, t, the features, and the decision rows' own columns."""
-        for b in self.plan(features):
+        """symbol, t, the features, and the decision rows' own columns. Series are cut so that a part has the rows before
+        it that all bundles of the plan reach back to, one on the other."""
+        plan = self.plan(features)
+        rows = wn.with_halo(rows, sum(b.reach(settings) for b in plan), width=HALO_MS)
+        for b in plan:
             missing = [n for n in b.needs if n not in rows.columns]
             if missing:
                 raise ValueError(f"{b.name} lacks {missing}")
@@ -226,7 +241,7 @@ class Registry:
             lost = [o for o in b.outputs if o not in rows.columns]
             if lost:
                 raise ValueError(f"{b.name} did not make {lost}")
-        return rows
+        return wn.own(rows)
 
 
 def output_faults(df: DataFrame, features: list[str]) -> DataFrame:

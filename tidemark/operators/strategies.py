@@ -51,12 +51,13 @@ def trailing_return(df: DataFrame, n: int, name: str, step_ms: int = HOUR_MS) ->
 
 def sma_ratio(df: DataFrame, fast: int, slow: int, name: str = "score", step_ms: int = HOUR_MS) -> DataFrame:
     """Log ratio of the moving averages of a price compounded from returns within unbroken stretches of time."""
-    df = wn.segments(df, step_ms)
-    inner = Window.partitionBy("symbol", "seg").orderBy("t")
-    df = df.withColumn("__p", F.exp(F.sum("log_return_1h").over(inner) - F.first("log_return_1h").over(inner)))
+    cut = wn.segments(wn.with_halo(df, slow), step_ms)
+    inner = Window.partitionBy("symbol", wn.PART, "seg").orderBy("t")
+    # The ratio is the same wherever in a stretch the price begins, so a part's price begins in its halo.
+    cut = cut.withColumn("__p", F.exp(F.sum("log_return_1h").over(inner) - F.first("log_return_1h").over(inner)))
     ratio = F.ln(wn.rolling_mean(F.col("__p"), fast, inner) / wn.rolling_mean(F.col("__p"), slow, inner))
-    df = df.withColumn("__r", F.when(F.row_number().over(inner) >= slow, ratio))
-    return df.withColumn(name, F.last("__r", ignorenulls=True).over(wn.by_symbol())).drop("__p", "__r", "seg")
+    cut = cut.withColumn("__r", F.when(F.row_number().over(inner) >= slow, ratio))
+    return wn.carried(wn.own(cut), "__r", name, ["symbol"]).drop("__p", "__r", "seg")
 
 
 def sma_crossover(df: DataFrame, fast: int = 24, slow: int = 168, name: str = "score", step_ms: int = HOUR_MS) -> DataFrame:
@@ -175,8 +176,9 @@ def linear_cross_sectional(train: DataFrame, test: DataFrame, alpha: float = 1.0
 
 def quarter_hour_flow(df: DataFrame, aggregation: int = 4) -> DataFrame:
     """Adds entry: the trailing mean of the quarters' excess flow where it is 1 or more, clipped at 3."""
-    m = wn.trailing_sum(F.col("quarter_flow_excess_z_168h"), aggregation) / aggregation
-    return df.withColumn("__m", m).withColumn("entry", F.when(F.abs("__m") >= 1, clip(F.col("__m"), -3.0, 3.0)).otherwise(0.0)).drop("__m")
+    cut = wn.with_halo(df, aggregation)
+    m = wn.trailing_sum(F.col("quarter_flow_excess_z_168h"), aggregation, 0, wn.by_symbol(cut)) / aggregation
+    return wn.own(cut.withColumn("__m", m)).withColumn("entry", F.when(F.abs("__m") >= 1, clip(F.col("__m"), -3.0, 3.0)).otherwise(0.0)).drop("__m")
 
 
 def flow_absorption(df: DataFrame, threshold: float = 1.5) -> DataFrame:

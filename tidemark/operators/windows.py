@@ -7,11 +7,63 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_MS, HOUR_MS, TINY, only_finite
+from ..functions.columns import DAY_MS, HOUR_MS, TINY, epoch_ms, only_finite
 
 
-def by_symbol():
-    return Window.partitionBy("symbol").orderBy("t")
+#: Columns of with_halo(): the part of a series that a row is in, and whether it is the part's own or a neighbour's.
+PART, OWN = "__part", "__own"
+#: Rows of a part, about.
+PART_ROWS = 1 << 16
+
+
+def by_symbol(df: DataFrame | None = None):
+    """A symbol's rows in order of time; of a table cut by with_halo(), those of one part."""
+    parts = [PART] if df is not None and PART in df.columns else []
+    return Window.partitionBy("symbol", *parts).orderBy("t")
+
+
+def same(left: str, right: str, columns: list[str]) -> Column:
+    """Equality of columns of two aliased tables, nulls included."""
+    return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns], F.lit(True))
+
+
+def stretch(order: str, width: int) -> Column:
+    """Number of the stretch of ``width`` that a number is in."""
+    return F.floor(F.col(order) / F.lit(width))
+
+
+def with_halo(df: DataFrame, back: int, ahead: int = 0, width: int = DAY_MS, rows: int | None = None, by: tuple[str, ...] = ("symbol",), t: str = "t") -> DataFrame:
+    """Series cut into parts of about ``rows`` rows, each with the rows before and after it that windows of up to ``back``
+    rows before and ``ahead`` rows after a row need; a long series is then many tasks' work (see own()).
+
+    A part is a run of stretches of ``width`` of t, a number. Rows are counted by stretch first; from the counts follow
+    the parts, and for each stretch the parts whose own rows reach into it: its own, and two on either side at most, as
+    two neighbouring parts have more rows than a window (``rows`` is at least that). Windows must not look further than
+    ``back`` and ``ahead`` in sum along a chain of columns made of each other."""
+    rows = max(rows or PART_ROWS, back, ahead, 1)
+    keys = [*by]
+    counts = df.groupBy(*keys, stretch(t, width).alias("__s")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy("__s")
+    before = F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).withColumn(PART, F.floor(F.col("__before") / rows))
+    parts = counts.groupBy(*keys, PART).agg(F.min("__before").alias("__start"))
+    p = Window.partitionBy(*keys).orderBy(PART)
+    near = {f"__{side}{k}": move(F.struct(PART, "__start"), k).over(p) for side, move in (("next", F.lead), ("last", F.lag)) for k in (1, 2)}
+    placed = counts.alias("l").join(parts.withColumns(near).alias("r"), same("l", "r", [*keys, PART])).select("l.*", "r.__start", *near)
+    after = F.col("__before") + F.col("__c")
+    other = lambda number, ok: F.when(ok, F.struct(F.col(number).alias(PART), F.lit(False).alias(OWN)))
+    goes = [F.struct(F.col(PART), F.lit(True).alias(OWN))]
+    goes += [other(f"__next{k}.{PART}", F.col(f"__next{k}.__start") - after < back) for k in (1, 2)]
+    # Rows between a part's end, which is where the part after it starts, and this stretch.
+    goes += [other(f"__last{k}.{PART}", F.col("__before") - F.col(start) < ahead) for k, start in ((1, "__start"), (2, "__last1.__start"))]
+    placed = placed.select(*keys, "__s", F.array_compact(F.array(*goes)).alias("__goes"))
+    cut = df.withColumn("__s", stretch(t, width)).alias("l").join(placed.alias("r"), same("l", "r", [*keys, "__s"]))
+    return cut.select(*[F.col(f"l.{c}") for c in df.columns], F.inline("__goes"))
+
+
+def own(df: DataFrame) -> DataFrame:
+    """A table cut by with_halo() with each row once again."""
+    return df.where(OWN).drop(PART, OWN)
 
 
 def by_time():
@@ -58,9 +110,10 @@ def prior_extrema(high: Column, low: Column, n: int, by=None) -> tuple[Column, C
 
 def efficiency(df: DataFrame, price: str, n: int, name: str) -> DataFrame:
     """Net move over path length of n steps; 0 for a path that does not move."""
-    df = df.withColumn("__d", F.abs(F.col(price) - F.lag(price).over(by_symbol())))
-    path = trailing_sum(F.col("__d"), n)
-    net = F.abs(F.col(price) - F.lag(price, n).over(by_symbol()))
+    w = by_symbol(df)
+    df = df.withColumn("__d", F.abs(F.col(price) - F.lag(price).over(w)))
+    path = trailing_sum(F.col("__d"), n, 0, w)
+    net = F.abs(F.col(price) - F.lag(price, n).over(w))
     return df.withColumn(name, F.when(path <= TINY, 0.0).otherwise(net / F.when(path > TINY, path))).drop("__d")
 
 
@@ -97,24 +150,101 @@ def median_ratio(x: Column, power: float, by=None) -> Column:
 
 
 def segments(df: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
-    """Adds seg, which goes up by one wherever the symbol's times break."""
-    gap = (F.col("t") - F.lag("t").over(by_symbol()) > step_ms).cast("int")
-    return df.withColumn("__gap", F.coalesce(gap, F.lit(0))).withColumn("seg", F.sum("__gap").over(by_symbol())).drop("__gap")
-
-
-def segmented_sum(df: DataFrame, x: str, n: int, name: str, step_ms: int = HOUR_MS) -> DataFrame:
-    """Full-window sum within unbroken segments, then the last valid value carried on across breaks."""
-    df = segments(df, step_ms)
-    inner = Window.partitionBy("symbol", "seg").orderBy("t")
-    df = df.withColumn("__s", trailing_sum(F.col(x), n, 0, inner))
-    return df.withColumn(name, F.last("__s", ignorenulls=True).over(by_symbol())).drop("__s")
-
-
-def drawdown(df: DataFrame, r: str, by: list[str], order: str) -> DataFrame:
-    """equity (compounded r) and drawdown against its running peak; the starting capital is not a peak."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.exp(F.sum(F.log1p(r)).over(w)))
-    return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    """Adds seg, which goes up by one wherever the symbol's times break; within a part of with_halo(), from its first row."""
+    w = by_symbol(df)
+    gap = (F.col("t") - F.lag("t").over(w) > step_ms).cast("int")
+    return df.withColumn("__gap", F.coalesce(gap, F.lit(0))).withColumn("seg", F.sum("__gap").over(w)).drop("__gap")
+
+
+def carried(df: DataFrame, x: str, name: str, by: list[str], t: str = "t", width: int = 30 * DAY_MS) -> DataFrame:
+    """Adds the last x that is not null at or before each row, however long ago: within stretches of ``width``, and from
+    stretch to stretch."""
+    rows = df.withColumn("__b", stretch(t, width))
+    inside = F.last(x, ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy(*by, "__b").agg(F.max_by(x, F.when(F.col(x).isNotNull(), F.col(t))).alias("__end"))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(w)).drop("__end")
+    out = rows.withColumn("__in", inside).alias("l").join(ends.alias("r"), same("l", "r", [*by, "__b"]))
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("__in", "__before").alias(name))
+
+
+def segmented_sum(df: DataFrame, x: str, n: int, name: str, step_ms: int = HOUR_MS, width: int = 30 * DAY_MS, rows: int | None = None) -> DataFrame:
+    """Full-window sum within unbroken segments, then the last valid value carried on across breaks; seg numbers the
+    symbol's segments. Parts of a series (see with_halo) are summed apart, and segments and values handed on."""
+    if PART in df.columns:
+        raise ValueError("the series is cut already")
+    cut = with_halo(df, n, width=width, rows=rows)
+    w = by_symbol(cut)
+    cut = cut.withColumn("__gap", F.coalesce((F.col("t") - F.lag("t").over(w) > step_ms).cast("int"), F.lit(0))).withColumn("__seg", F.sum("__gap").over(w))
+    inner = Window.partitionBy("symbol", PART, "__seg").orderBy("t")
+    # Windows of a part's first rows see as many rows of its halo as they need, and the halo's own breaks.
+    cut = cut.withColumn("__s", trailing_sum(F.col(x), n, 0, inner))
+    one = cut.where(OWN).drop(OWN, "__seg")
+    breaks = one.groupBy("symbol", PART).agg(F.sum("__gap").alias("__breaks"))
+    before = F.sum("__breaks").over(Window.partitionBy("symbol").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    breaks = breaks.select("symbol", PART, F.coalesce(before, F.lit(0)).alias("__first"))
+    running = F.sum("__gap").over(Window.partitionBy("symbol", PART).orderBy("t"))
+    one = one.withColumn("seg", running).alias("l").join(breaks.alias("r"), same("l", "r", ["symbol", PART]))
+    one = one.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("seg") + F.col("__first")).alias("seg"), "__s")
+    return carried(one, "__s", name, ["symbol"], "t", width).drop("__s")
+
+
+#: Rows of a compounded series are scanned within stretches of so many milliseconds; a stretch hands on one row.
+SCAN_MS = 30 * DAY_MS
+
+
+def _scanned(df: DataFrame, r: str, by: list[str], order: str, width: int) -> DataFrame:
+    """Adds __b, the stretch, and within it the running sum of logs __log and its running maximum __top."""
+    number = F.col(order) if df.schema[order].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz") else epoch_ms(F.col(order))
+    w = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__b", F.floor(number / F.lit(width))).withColumn("__log", F.sum(F.log1p(r)).over(w))
+    return df.withColumn("__top", F.max("__log").over(w))
+
+
+def _handed_on(states: DataFrame, by: list[str]) -> DataFrame:
+    """Per stretch, what the stretches before it come to: sum of logs __base and the greatest running sum __peak. states:
+    by, __b, __sum, __high. The sum is a running one over stretches, so a chain of stretches is as one long scan."""
+    w = Window.partitionBy(*by).orderBy("__b")
+    all_before = w.rowsBetween(Window.unboundedPreceding, -1)
+    base = states.withColumn("__base", F.coalesce(F.sum("__sum").over(all_before), F.lit(0.0)))
+    return base.withColumn("__peak", F.max(F.col("__base") + F.col("__high")).over(all_before))
+
+
+def drawdown(df: DataFrame, r: str, by: list[str], order: str, width: int = SCAN_MS) -> DataFrame:
+    """equity (compounded r) and drawdown against its running peak; the starting capital is not a peak. Rows without r
+    have the equity before them, null at a series' start.
+
+    A scan in two levels: sums of logs and peaks within stretches of ``width`` of ``order``, and over the stretches'
+    states. So one long curve, grouped by nothing, is still the work of many tasks."""
+    rows = _scanned(df, r, by, order, width)
+    states = rows.groupBy(*by, "__b").agg(F.sum(F.log1p(r)).alias("__sum"), F.max("__log").alias("__high"))
+    out = rows.alias("l").join(_handed_on(states, by).alias("r"), same("l", "r", [*by, "__b"]))
+    started = F.col("__log").isNotNull() | F.col("__peak").isNotNull()
+    equity = F.when(started, F.exp(F.col("__base") + F.coalesce("__log", F.lit(0.0))))
+    peak = F.exp(F.greatest("__peak", F.col("__base") + F.col("__top")))
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], equity.alias("equity"), (equity / peak - 1).alias("drawdown"))
+
+
+def worst_drawdown(df: DataFrame, r: str, by: list[str], order: str, width: int = SCAN_MS) -> DataFrame:
+    """One row a group: n, log_sum and max_drawdown of the compounded rows that have r, and what else ``merge`` sums up.
+
+    No row is joined with what came before it: a stretch's state (sum of logs, greatest and least running sum, least
+    ratio to a peak within) is all that the next level needs, as the least ratio of a chain of stretches is the least of
+    those within and of each least sum against the peak of the stretches before."""
+    rows = _scanned(df.where(F.col(r).isNotNull()), r, by, order, width)
+    x = F.col(r)
+    states = rows.groupBy(*by, "__b").agg(
+        F.sum(F.log1p(x)).alias("__sum"), F.max("__log").alias("__high"), F.min("__log").alias("__low"), F.min(F.col("__log") - F.col("__top")).alias("__within"),
+        F.count("*").alias("__n"), F.sum(x).alias("__x"), F.sum(x * x).alias("__xx"), F.count_if(x > 0).alias("__up"), F.var_pop(x).alias("__var"), F.avg(x).alias("__mean"),
+    )
+    chained = _handed_on(states, by)
+    least = F.least(F.col("__within"), F.col("__base") + F.col("__low") - F.col("__peak"))
+    n, mean = F.sum("__n"), F.sum("__x") / F.sum("__n")
+    # Squared deviations of all rows: those within stretches, and those of the stretches' means, whose mean is taken
+    # from its own window so that no large squares are subtracted.
+    total = F.sum("__x").over(Window.partitionBy(*by)) / F.sum("__n").over(Window.partitionBy(*by))
+    chained = chained.withColumn("__dev", F.col("__n") * (F.col("__var") + F.pow(F.col("__mean") - total, F.lit(2.0))))
+    return chained.groupBy(*by).agg(n.alias("n"), F.sum("__sum").alias("log_sum"), F.expm1(F.min(least)).alias("max_drawdown"), mean.alias("mean"), F.when(n > 1, F.sqrt(F.sum("__dev") / (n - 1))).alias("deviation"), (F.sum("__up") / n).alias("hit_rate"))
 
 
 def drawdown_episodes(df: DataFrame, by: list[str], order: str, top: int = 5) -> DataFrame:
