@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import HOUR_MS
 from tidemark.operators import aggregates as ag
+from tidemark.operators import backtest as bt
 from tidemark.operators import features as fx
+from tidemark.operators import joins as jn
 from tidemark.operators import strategies as st
 from tidemark.operators import windows as wn
 
@@ -104,3 +106,41 @@ def test_moving_averages_of_cut_series(spark, monkeypatch):
     whole = st.sma_ratio(df, 5, 40)
     monkeypatch.setattr(wn, "PART_ROWS", 1)
     equal(whole, st.sma_ratio(df, 5, 40))
+
+
+def _asof_rows(seed, keys):
+    rng = np.random.default_rng(seed)
+    left = [(None if i % 41 == 0 else str(rng.choice(keys)), None if i % 37 == 0 else int(rng.integers(0, 1000)), i) for i in range(300)]
+    right = [(str(rng.choice(keys)), int(rng.integers(100, 900)), float(rng.integers(0, 50))) for _ in range(60)] + [(None, 500, 7.0), (keys[0], None, 1.0)]
+    return left, right
+
+
+@pytest.mark.parametrize("width", [1, 70, 10_000])
+@pytest.mark.parametrize("keys", [["hot"], ["a", "b", "c"]])
+def test_asof_by_buckets(spark, width, keys):
+    left, right = _asof_rows(len(keys), keys)
+    sums = {}
+    for k, t, v in right:
+        if t is not None:
+            sums[k, t] = sums.get((k, t), 0) + v
+    want = {}
+    for k, t, i in left:
+        have = sorted(x for kk, x in sums if kk == k and t is not None and x <= t)
+        value = sums[k, have[-1]] if have else None
+        want[i] = (k, t, value, value - sums[k, have[-2]] if len(have) > 1 else None)
+    lf, rf = spark.createDataFrame(left, "k string, at long, change int").withColumnRenamed("change", "i"), spark.createDataFrame(right, "k string, at long, v double")
+    got = jn.asof_backward(lf, rf, "k", "at", "at", "v", width).collect()
+    assert len(got) == 300 and {r.i: (r.k, r["at"], r.v, r.change) for r in got} == want
+    assert jn.asof_backward(lf, rf.where("v < 0"), "k", "at", "at", "v", width).where("v IS NOT NULL").count() == 0
+
+
+def test_fee_schedule_of_any_length(spark):
+    """Five thousand changes of fees: each row has the fee that holds at its time; gaps are an error."""
+    w = spark.range(6000).selectExpr("0 AS fold", f"id * {HOUR_MS}L AS t", "'a' AS symbol", "cast(id % 2 AS double) AS weight", "0.0 AS ret")
+    spans = spark.range(5000).selectExpr(f"id * {HOUR_MS}L AS from_t", f"CASE WHEN id < 4999 THEN (id + 1) * {HOUR_MS}L END AS to_t", "(id + 1) / 1e7 AS fee")
+    got = {r.t // HOUR_MS: r.allocated_fee / r.trade_weight for r in bt.positions(w, schedule=spans).where("trade_weight > 0").collect()}
+    assert len(got) >= 5999 and all(f == pytest.approx(min(h + 1, 5000) / 1e7) for h, f in got.items())
+    with pytest.raises(Exception, match="no fee for this time"):
+        bt.positions(w, schedule=spans.where("to_t IS NOT NULL")).agg(F.sum("allocated_fee")).collect()
+    with pytest.raises(Exception, match="no fee for this time"):
+        bt.positions(w, schedule=spans.where("from_t > 0")).agg(F.sum("allocated_fee")).collect()

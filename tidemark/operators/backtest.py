@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_MS, utc_date
+from .joins import asof
 from .windows import ranked
 
 
@@ -47,8 +48,8 @@ def positions(w: DataFrame, costs: Costs = Costs(), delay: int = 0, capital: flo
 
     w: fold, t, symbol, weight, ret, and, where there are such, funding_rate, volume, beta. Trades are changes of weight,
     from 0 at a fold's start, and positions are closed on its last row. ``delay`` shifts weights by rows. ``schedule``
-    has fees by time (from_t, to_t or null, fee), a row a change of fees, in place of the one fee; a time it does not
-    cover is an error."""
+    has fees by time (from_t, to_t or null, fee), a row a change of fees, in place of the one fee: the latest that began
+    at or before a time holds until its to_t, where a null has no end. A time that none covers is an error."""
     s = Window.partitionBy("fold", "symbol").orderBy("t")
     here = lambda c: F.col(c) if c in w.columns else F.lit(0.0)
     rows = w.withColumn("weight", F.lag("weight", delay, 0.0).over(s)) if delay else w
@@ -56,8 +57,10 @@ def positions(w: DataFrame, costs: Costs = Costs(), delay: int = 0, capital: flo
     rate = costs.rates()
     fee = F.lit(rate["fee"])
     if schedule is not None:
-        spans = schedule.select("from_t", F.coalesce("to_t", F.lit(2**62)).alias("to_t"), F.col("fee").alias("__fee"))
-        rows = rows.join(F.broadcast(spans.limit(4096)), (F.col("t") >= F.col("from_t")) & (F.col("t") < F.col("to_t")), "left").drop("from_t", "to_t")  # a fee change a row, at most 4096
+        spans = schedule.select(F.col("from_t").alias("__from"), F.col("to_t").alias("__to"), F.col("fee").alias("__fee"))
+        rows = asof(rows, spans, {}, "t", "__from", ["__to", "__fee"], "__span", 30 * DAY_MS)
+        ended = F.coalesce(F.col("t") >= F.col("__span.__to"), F.lit(False))
+        rows = rows.withColumn("__fee", F.when(~ended, F.col("__span.__fee"))).drop("__span")
         fee = F.when(F.col("__fee").isNull(), F.raise_error(F.lit("no fee for this time"))).otherwise(F.col("__fee") * costs.multiplier)
     change = F.col("weight") - F.col("previous_weight")
     rows = rows.withColumn("trade_weight", F.abs(change) + F.when(F.col("__last"), F.abs("weight")).otherwise(0.0))

@@ -6,20 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_MS
+from .windows import previous, same
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, value: str) -> DataFrame:
-    """Adds ``value`` of the latest right row with right_t <= left_t, and ``change`` against the one before it.
+def asof(left: DataFrame, right: DataFrame, keys: dict[str, str], left_t: str, right_t: str, values: list[str], name: str, width: int) -> DataFrame:
+    """Adds ``name``, the struct of ``values`` of the latest right row with right_t <= left_t; null if there is none.
 
-    One union and one window over the key, so it is a single shuffle of both sides and never a range join. At equal
-    times right rows come first. Right rows of one time are summed first. A left row without any stays, with nulls."""
-    r = right.groupBy(F.col(key).alias("__k"), F.col(right_t).alias("__t")).agg(F.sum(value).alias("__v"))
-    r = r.withColumn("__change", F.col("__v") - F.lag("__v").over(Window.partitionBy("__k").orderBy("__t"))).withColumn("__side", F.lit(0))
-    rows = left.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.col(left_t).alias("__t"), F.lit(1).alias("__side"))
+    keys: left column to right column, or none, if all rows are of one series. Times are numbers. Both sides meet by key
+    and bucket of ``width`` of time, one union and one window; a bucket is handed the last right row of those before it,
+    of which there is one row a bucket. So one key that all rows share is many tasks' work. At equal times right rows
+    come first; of right rows of one key and time the greatest (by values) counts."""
+    k = [f"__k{i}" for i in range(len(keys))]
+    bucket = lambda t: F.floor(F.col(t) / F.lit(width)).alias("__bucket")
+    item = F.struct(*values)
+    r = right.where(F.col(right_t).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys.values(), k, strict=True)], F.col(right_t).alias("__t"), bucket(right_t), item.alias("__v"), F.lit(0).alias("__side"))
+    rows = left.select(F.struct("*").alias("__row"), *[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(left_t).alias("__t"), bucket(left_t), F.lit(1).alias("__side"))
     both = r.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__side") == 0, F.struct("__v", "__change")), ignorenulls=True).over(w)
-    return both.withColumn("__last", last).where("__side = 1").select("__row.*", F.col("__last.__v").alias(value), F.col("__last.__change").alias("change"))
+    w = Window.partitionBy(*k, "__bucket").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__in", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    ends = r.groupBy(*k, "__bucket").agg(F.max(F.struct("__t", "__v")).alias("__end"))
+    # The buckets of left rows too, so that each finds what was handed on to it.
+    known = ends.unionByName(rows.select(*k, "__bucket").distinct(), allowMissingColumns=True).groupBy(*k, "__bucket").agg(F.max("__end").alias("__end"))
+    handed = F.last("__end", ignorenulls=True).over(Window.partitionBy(*k).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carry = known.withColumn("__carry", handed)
+    out = inside.alias("l").join(carry.alias("r"), same("l", "r", [*k, "__bucket"]))
+    return out.select("__row.*", F.when(F.col("__t").isNotNull(), F.coalesce("__in", "__carry.__v")).alias(name))
+
+
+def asof_backward(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, value: str, width: int = 30 * DAY_MS) -> DataFrame:
+    """Adds ``value`` of the latest right row with right_t <= left_t, and ``change`` against the one before it. Right rows
+    of one time are summed first. A left row without any stays, with nulls. Times are numbers, or timestamps for both."""
+    number = lambda df, t: F.col(t) if df.schema[t].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(t).cast("timestamp")) / 1000
+    r = right.groupBy(F.col(key).alias("__rk"), number(right, right_t).alias("__rt")).agg(F.sum(value).alias("__rv"))
+    r = previous(r.where("__rt IS NOT NULL"), ["__rk"], ["__rt"], ["__rv"], width).withColumn("__change", F.col("__rv") - F.col("prev.__rv"))
+    timed = left.withColumn("__lt", number(left, left_t))
+    out = asof(timed, r, {key: "__rk"}, "__lt", "__rt", ["__rv", "__change"], "__last", width)
+    return out.select(*left.columns, F.col("__last.__rv").alias(value), F.col("__last.__change").alias("change"))
 
 
 def interval_sum(left: DataFrame, right: DataFrame, key: str, start: str, end: str, right_t: str, value: str, name: str, width: int) -> DataFrame:
