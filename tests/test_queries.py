@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import research  # noqa: F401 (registers its queries)
+from tidemark.plans import campaign, research  # noqa: F401 (register their queries)
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources import files
 
@@ -28,13 +28,13 @@ def once(f):
 
 @pytest.fixture(scope="module", autouse=True)
 def shared_panels():
-    names = ("_pn", "_labelled", "_test_rows", "_positions", "_curve", "_two", "_trials", "_trial_table")
-    kept = {n: getattr(research, n) for n in names}
-    for n, f in kept.items():
-        setattr(research, n, once(f))
+    names = ("_pn", "_labelled", "_test_rows", "_positions", "_curve", "_two", "_trials")
+    kept = {(m, n): getattr(m, n) for m, names in ((research, names), (campaign, ("_accounts",))) for n in names}
+    for (m, n), f in kept.items():
+        setattr(m, n, once(f))
     yield
-    for n, f in kept.items():
-        setattr(research, n, f)
+    for (m, n), f in kept.items():
+        setattr(m, n, f)
 
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")

@@ -111,7 +111,7 @@ def test_validation_against_numpy(spark):
     for _ in range(60):
         starts = g.integers(0, 107, size=6)
         out.append(np.prod(1 + np.concatenate([r[s : s + 24] for s in starts])[:130]) - 1)
-    got = va.block_bootstrap(df, "r", "t", 60, 24, 42, chunk=7).orderBy("sample").collect()
+    got = va.block_bootstrap(df, "r", "t", 60, 24, 42, width=30).orderBy("sample").collect()
     assert np.allclose([x.total_return for x in got], out)
     b = va.bootstrap_summary(va.block_bootstrap(df, "r", "t", 60)).first()
     assert (b.p05, b.p50, b.p95) == pytest.approx(tuple(np.quantile(out, [0.05, 0.5, 0.95]))) and b.probability_positive == pytest.approx(np.mean(np.array(out) > 0))
@@ -130,7 +130,13 @@ def test_validation_against_numpy(spark):
             share = (8 - place) / 9
             logits.append(math.log(share / (1 - share)))
     p = va.overfitting_probability(trials, width=100).first()
-    assert p.combinations == 35 and p.trials == 8 and p.probability == pytest.approx(np.mean(np.array(logits) <= 0))
+    assert p.combinations == 35 and p.trials == 8 and p.probability == pytest.approx(np.mean(np.array(logits) <= 0)) and p.reason == ""
+    for few, segments, why in ((trials.where("trial <> 't3'"), 8, "trials"), (trials.where("t < 105"), 8, "times"), (trials, 6, "segments"), (trials, 9, "segments")):
+        none = va.overfitting_probability(few, segments=segments, width=100).first()
+        assert none.probability is None and none.reason == why
+    short = va.block_bootstrap(df.where("t < 10"), "r", "t", 3).collect()
+    assert [x.total_return for x in short] == pytest.approx([np.prod(1 + r[:10]) - 1] * 3)
+    assert va.block_bootstrap(df.where("t < 0"), "r", "t", 3).count() == 0
     d = va.deflated_sharpe_of(trials, periods_a_year=252).first()
     year = math.sqrt(252)
     sharpes = sharpe(m) * year
@@ -140,6 +146,47 @@ def test_validation_against_numpy(spark):
     assert d.trial == f"t{best}" and (d.probability, d.benchmark_sharpe) == pytest.approx(want)
 
 
+def test_rules_over_facts(spark):
+    rules = (va.Rule("a", "x", "above", 1), va.Rule("b", "x", "at_most", 2), va.Rule("c", "y", "at_least", 0.5), va.Rule("d", "z", "stated"))
+    facts = [("p", "x", 1.5), ("p", "y", 0.5), ("p", "z", None), ("q", "x", 1.0), ("q", "y", float("nan")), ("r", "x", 2.5), ("r", "y", None), ("r", "z", 0.1)]
+    got = {(x.trial, x.rule): (x.passed, x.all_passed) for x in va.judged(spark.createDataFrame(facts, "trial string, fact string, value double"), rules).collect()}
+    want = {"p": (True, True, True, True), "q": (False, True, False, False), "r": (True, False, False, True)}
+    assert got == {(t, r): (ok, all(w)) for t, w in want.items() for r, ok in zip("abcd", w, strict=True)}
+
+
+def test_campaign_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.01, (200, 9)) + np.linspace(-0.002, 0.002, 9)
+    rows = spark.createDataFrame([(f"t{j}", i % 4, i * 3_600_000, float(x[i, j])) for i in range(200) for j in range(9)], "trial string, fold int, t long, net_return double")
+    p = spark.createDataFrame([(f"t{j}", float(j // 3), float(j % 3)) for j in range(9)], "trial string, a double, b double")
+    r = va.campaign_robustness(rows, p, ["a", "b"]).first()
+    sharpe = x.mean(axis=0) / x.std(axis=0, ddof=1) * math.sqrt(8760)
+    best = int(sharpe.argmax())
+    z = (x[:, best] - x[:, best].mean()) / x[:, best].std()
+    want = va.deflated_sharpe(sharpe[best], 200, (z**3).mean(), (z**4).mean(), sharpe.tolist(), 8760)
+    assert r.best == f"t{best}" and r.trials == r.distinct_parameters == 9 and (r.deflated_sharpe, r.benchmark_sharpe) == pytest.approx(want)
+    assert r.independent_trials == pytest.approx(81 / (np.corrcoef(x.T) ** 2).sum()) and 0 <= r.overfitting <= 1 and r.overfitting_reason == ""
+    assert (r.sharpe_minimum, r.sharpe_median, r.sharpe_maximum) == pytest.approx(tuple(np.quantile(sharpe, [0, 0.5, 1])))
+    facts = {(f.trial, f.fact): f.value for f in va.campaign_facts(va.campaign_robustness(rows, p, ["a", "b"])).collect()}
+    assert set(facts) == {(r.best, n) for n in ("neighbours_positive", "deflated_sharpe", "overfitting")} and facts[r.best, "deflated_sharpe"] == r.deflated_sharpe
+    champion = spark.createDataFrame([(f"t{best}",)], "trial string")
+    for b in va.beside_champion(rows, champion).collect():
+        y = x[:, int(b.trial[1:])]
+        mix = 0.8 * x[:, best] + 0.2 * y * x[:, best].std() / y.std()
+        assert b.correlation == pytest.approx(np.corrcoef(x[:, best], y)[0, 1])
+        assert b.sharpe_increment == pytest.approx((mix.mean() / mix.std(ddof=1)) * math.sqrt(8760) - sharpe[best])
+    positions = rows.selectExpr("trial", "if(fold > 1, 'a', 'b') AS symbol", "t", "net_return AS net_contribution")
+    stressed = spark.createDataFrame([(f"t{j}", "delay_1", 0.1) for j in range(9)], "trial string, scenario string, total_return double")
+    f = {(v.trial, v.fact): v.value for v in va.trial_facts(rows, positions, stressed, F.floor(F.col("t") / 86_400_000)).collect()}
+    one = x[:, 4]
+    folds = [np.prod(1 + one[np.arange(200) % 4 == k]) - 1 for k in range(4)]
+    days = np.abs([one[i : i + 24].sum() for i in range(0, 200, 24)])
+    parts = np.abs([one[np.arange(200) % 4 > 1].sum(), one[np.arange(200) % 4 <= 1].sum()])
+    assert f["t4", "folds_won"] == sum(v > 0 for v in folds) and f["t4", "worst_fold"] == pytest.approx(min(folds)) and f["t4", "folds"] == 4
+    assert f["t4", "span_share"] == pytest.approx(days.max() / days.sum()) and f["t4", "symbol_share"] == pytest.approx(parts.max() / parts.sum())
+    assert f["t4", "place"] == 1 + sorted(range(9), key=lambda j: -sharpe[j]).index(4) and f["t4", "stress:delay_1"] == 0.1
+
+
 def test_trade_costs_and_pairs(spark):
     """Costs of trades add up to those of the positions; so do pairs' turnover and P&L."""
     rng = random.Random(5)

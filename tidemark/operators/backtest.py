@@ -167,11 +167,12 @@ def rolling_sharpe(d: DataFrame, days: int = 30) -> DataFrame:
     return d.withColumn("sharpe", F.when((F.count("net_return").over(w) == days) & (sd > 1e-15), F.avg("net_return").over(w) / F.when(sd > 1e-15, sd) * 365**0.5))
 
 
-def stress(w: DataFrame, multipliers: list[float], costs: Costs = Costs(), variants: dict[str, DataFrame] | None = None, full: bool = True) -> DataFrame:  # noqa: B008
-    """Total return and turnover by scenario: costs times each multiplier, weights one bar late, and variants of the
+def stress(w: DataFrame, multipliers: list[float], costs: Costs = Costs(), variants: dict[str, DataFrame] | None = None, full: bool = True, by: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """Total return and turnover by scenario (and by the columns ``by``, such as the trial, within which folds are told
+    apart): costs times each multiplier, weights one bar late, and variants of the
     strategy (name to weights). The delayed weights are a second column of the same rows, so the panel is read once;
     the discovery profile (full false) has the costs only."""
-    s = Window.partitionBy("fold", "symbol").orderBy("t")
+    s = Window.partitionBy(*by, "fold", "symbol").orderBy("t")
     rates = sum(costs.rates().values())
 
     def scenarios(rows: DataFrame, name: str | None) -> DataFrame:
@@ -180,15 +181,15 @@ def stress(w: DataFrame, multipliers: list[float], costs: Costs = Costs(), varia
         last = F.lead("t").over(s).isNull()
         rows = rows.withColumns({f"x{k}": F.abs(F.col(f"w{k}") - F.lag(f"w{k}", 1, 0.0).over(s)) + F.when(last, F.abs(f"w{k}")).otherwise(0.0) for k in weights})
         pnl = F.col("ret") - (F.col("funding_rate") if "funding_rate" in rows.columns else F.lit(0.0))
-        g = rows.groupBy("fold", "t").agg(*[F.struct(F.sum(F.col(f"w{k}") * pnl).alias("pnl"), F.sum(f"x{k}").alias("turnover")).alias(f"g{k}") for k in weights])
+        g = rows.groupBy(*by, "fold", "t").agg(*[F.struct(F.sum(F.col(f"w{k}") * pnl).alias("pnl"), F.sum(f"x{k}").alias("turnover")).alias(f"g{k}") for k in weights])
         each = [(f"cost_x{m:g}" if name is None else name, "g", m) for m in (multipliers if name is None else [1.0])] + ([("delay_1", "glate", 1.0)] if "late" in weights else [])
         one = [F.struct(F.lit(n).alias("scenario"), F.col(f"{k}.turnover").alias("turnover"), (F.col(f"{k}.pnl") - F.col(f"{k}.turnover") * (rates * m)).alias("net")) for n, k, m in each]
-        return g.select(F.explode(F.array(*one)).alias("s")).select("s.*")
+        return g.select(*by, F.explode(F.array(*one)).alias("s")).select(*by, "s.*")
 
     out = scenarios(w, None)
     for name, other in (variants or {}).items() if full else ():
         out = out.union(scenarios(other, name))
-    return out.groupBy("scenario").agg(F.expm1(F.sum(F.log1p("net"))).alias("total_return"), F.sum("turnover").alias("turnover"))
+    return out.groupBy(*by, "scenario").agg(F.expm1(F.sum(F.log1p("net"))).alias("total_return"), F.sum("turnover").alias("turnover"))
 
 
 def trade_events(p: DataFrame, epsilon: float = 1e-15) -> DataFrame:

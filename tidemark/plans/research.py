@@ -135,10 +135,28 @@ _USED = ["residual_momentum_1h", "residual_momentum_4h", "residual_momentum_24h"
 _FINITE = " AND ".join(f"{c} IS NOT NULL" for c in [*_USED, *_LB, "label_end_time_ms"])
 
 
-@query(f"""WITH {_FEAT}, r AS (SELECT * FROM ft WHERE {_FINITE}), c AS (SELECT * FROM r WHERE t IN (SELECT t FROM r GROUP BY t HAVING count(*) = 5))
-  SELECT count(*) AS n_rows, count(DISTINCT t) AS n_decisions, 0::BIGINT AS duplicate_keys, count_if(t > t) AS feature_after_cutoff, count_if(execution_time_ms <= t) AS execution_not_after_decision, count_if(label_end_time_ms <= execution_time_ms) AS label_not_after_execution, 0::BIGINT AS null_features, true AS complete, min(t) AS first_ms, max(t) AS last_ms FROM c""")
+#: Faults planted by the number of a row's hour: features of the future, no delay, no horizon, no value, rows twice, rows lost.
+_FAULTS = {"late": "h % 50 = 1", "eager": "h % 60 = 2", "short": "h % 70 = 3", "empty": "h % 80 = 4", "twice": "h % 90 = 5", "lost": "h % 100 = 6 AND symbol = 'view'"}
+
+
+@query(f"""WITH {_FEAT}, r AS (SELECT * FROM ft WHERE {_FINITE}),
+  c AS (SELECT symbol, t, t // {HOUR_MS} AS h, execution_time_ms, label_end_time_ms FROM r WHERE t IN (SELECT t FROM r GROUP BY t HAVING count(*) = 5)),
+  x AS (
+    SELECT symbol, t, t + CASE WHEN {_FAULTS["late"]} THEN 1 ELSE 0 END AS source, CASE WHEN {_FAULTS["eager"]} THEN t ELSE execution_time_ms END AS execution,
+      CASE WHEN {_FAULTS["short"]} THEN t ELSE label_end_time_ms END AS label, CASE WHEN {_FAULTS["empty"]} THEN 1 ELSE 0 END AS nulls, unnest(CASE WHEN {_FAULTS["twice"]} THEN [1, 2] ELSE [1] END) AS k
+    FROM c WHERE NOT ({_FAULTS["lost"]})),
+  d AS (SELECT t, symbol, count(*) AS n FROM x GROUP BY ALL), e AS (SELECT t, count(*) AS symbols FROM d GROUP BY t)
+  SELECT count(*) AS n_rows, count(DISTINCT t) AS n_decisions, (SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) FROM d) AS duplicate_keys, count_if(source > t) AS feature_after_cutoff, count_if(execution <= t) AS execution_not_after_decision,
+    count_if(label <= execution) AS label_not_after_execution, CAST(sum(nulls) AS BIGINT) AS null_features, (SELECT min(symbols) = max(symbols) FROM e) AS complete, min(t) AS first_ms, max(t) AS last_ms FROM x""")
 def point_in_time_audit(s, d):
-    return fx.point_in_time_audit(fx.dataset(_labelled(s, d), _USED, 5, 168 * HOUR_MS), _USED)
+    rows = fx.dataset(_labelled(s, d), _USED, 5, 168 * HOUR_MS).withColumn("h", F.floor(F.col("decision_time_ms") / HOUR_MS)).where(~F.expr(_FAULTS["lost"]))
+    at = F.col("decision_time_ms")
+    rows = rows.withColumns({
+        "feature_source_max_ms": F.when(F.expr(_FAULTS["late"]), at + 1).otherwise(F.col("feature_source_max_ms")), "execution_time_ms": F.when(F.expr(_FAULTS["eager"]), at).otherwise(F.col("execution_time_ms")),
+        "label_end_time_ms": F.when(F.expr(_FAULTS["short"]), at).otherwise(F.col("label_end_time_ms")), _USED[0]: F.when(~F.expr(_FAULTS["empty"]), F.col(_USED[0])),
+    })
+    rows = rows.withColumn("k", F.explode(F.when(F.expr(_FAULTS["twice"]), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return fx.point_in_time_audit(rows, _USED)
 
 
 @query(f"WITH {_FEAT} SELECT symbol, t, round(close, 6) AS close FROM ft WHERE (t + 1) % 14400000 = 0")
@@ -516,83 +534,6 @@ def deflated_sharpe(s, d):
     return va.deflated_sharpe_of(_trials(s, d))
 
 
-@query()
-def overfitting_probability(s, d):
-    return va.overfitting_probability(_trials(s, d))
-
-
-def _trial_table(s, d) -> DataFrame:
-    """Trials with made-up parameters and facts, from their names' lengths and returns."""
-    from ..operators.aggregates import return_statistics
-
-    x = staged(return_statistics(_trials(s, d), ["trial"], "net_return", "t").select("trial", "n", "total_return", F.round("sharpe", 8).alias("sharpe")))
-    k = F.length("trial").cast("double")
-    return x.withColumns({"p1": k, "p2": F.ascii("trial") % 7.0, "p3": F.lit(1.0)})
-
-
-_TT = _TRIALS + ", tt AS (SELECT trial, n, total_return, round(sharpe, 8) AS sharpe, CAST(length(trial) AS DOUBLE) AS p1, CAST(ascii(trial) % 7 AS DOUBLE) AS p2, 1.0 AS p3 FROM stt)"
-
-
-@query(f"""WITH {_TT}, b AS (SELECT * FROM tt ORDER BY sharpe DESC, trial LIMIT 1), r AS (SELECT max(p1) - min(p1) AS r1, max(p2) - min(p2) AS r2 FROM tt),
-  nb AS (SELECT tt.trial, tt.sharpe, sqrt(CASE WHEN r1 > 0 THEN pow((tt.p1 - b.p1) / r1, 2) ELSE 0 END + CASE WHEN r2 > 0 THEN pow((tt.p2 - b.p2) / r2, 2) ELSE 0 END) AS dist, b.trial AS best, b.sharpe AS bs FROM tt, b, r WHERE tt.trial <> b.trial ORDER BY dist, tt.trial LIMIT 3)
-  SELECT max(best) AS best, string_agg(trial, ',' ORDER BY dist, trial) AS nearest, count(*) AS neighbours, round(median(sharpe), 4) AS median_sharpe, round(avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END), 4) AS positive_share, round(max(bs) - median(sharpe), 4) AS gap FROM nb""")
-def parameter_neighbourhood(s, d):
-    n = va.neighbourhood(_trial_table(s, d), ["p1", "p2", "p3"])
-    return n.select("best", F.concat_ws(",", "nearest").alias("nearest"), "neighbours", *[F.round(c, 4).alias(c) for c in ("median_sharpe", "positive_share", "gap")])
-
-
-@query(f"SELECT * FROM (WITH {_TT} SELECT trial, round(sharpe, 5) AS sharpe FROM tt ORDER BY sharpe DESC, trial LIMIT 1)")
-def best_trial(s, d):
-    return va.best_trial(_trial_table(s, d)).select("trial", F.round("sharpe", 5).alias("sharpe"))
-
-
-_GATES = ("successful_run", "artifacts_integral", "experiment_clean_code", "promotion_clean_code", "preregistered_hypothesis", "positive_net_oos", "fold_stability", "month_concentration", "symbol_concentration", "cost_1_5x", "signal_delay", "parameter_neighbourhood", "multiple_testing", "overfitting_considered", "campaign_context")
-
-
-@query(f"""WITH {_TT}, g AS (SELECT trial, [n > 10, n % 2 = 0, true, p1 > 4, p1 - 4 > 0, total_return > 0, p2 >= 2, 0.1 * p2 <= 0.5, 0.1 * p1 <= 0.7, total_return - 0.01 > 0, total_return - 0.02 > 0, coalesce(CASE WHEN p2 > 0 THEN p1 / 10 END >= 0.5, false), coalesce(sharpe / 10 >= 0.95, false), true, sharpe = (SELECT max(sharpe) FROM tt)] AS v,
-  [{', '.join(repr(g) for g in _GATES)}] AS nm FROM tt) SELECT trial, unnest(nm) AS gate, unnest(v) AS passed, list_bool_and(v) AS all_passed FROM g""")
-def candidate_gates(s, d):
-    t = _trial_table(s, d)
-    top = t.agg(F.max("sharpe").alias("top"))
-    c = F.col
-    facts = t.join(F.broadcast(top)).withColumns({  # top is one row
-        "succeeded": c("n") > 10, "verified": c("n") % 2 == 0, "clean_code": F.lit(True), "promotion_clean_code": c("p1") > 4, "criteria": c("p1") - 4, "profitable_folds": c("p2"), "month_concentration": 0.1 * c("p2"), "symbol_concentration": 0.1 * c("p1"),
-        "cost_1_5x_return": c("total_return") - 0.01, "delay_return": c("total_return") - 0.02, "neighbour_positive": F.when(c("p2") > 0, c("p1") / 10), "dsr_probability": c("sharpe") / 10, "is_best": c("sharpe") == c("top"),
-    })
-    return va.candidate_gates(facts)
-
-
-@query(f"""WITH {_TT}, w AS (SELECT trial, coalesce(sharpe >= 0.5 AND -0.1 * p2 >= -0.25 AND total_return - 0.01 > 0, false) AS standalone, coalesce(abs(p1 / 10 - 0.4) <= 0.3 AND p2 - 3 > 0 AND total_return > 0, false) AS diversifier FROM tt)
-  SELECT trial, standalone, diversifier, CASE WHEN standalone THEN 'standalone' WHEN diversifier THEN 'diversifier' ELSE 'rejected' END AS class FROM w""")
-def wave_gates(s, d):
-    t = _trial_table(s, d).withColumns({"max_drawdown": -0.1 * F.col("p2"), "cost_1_5x_return": F.col("total_return") - 0.01, "correlation": F.col("p1") / 10 - 0.4, "sharpe_increment": F.col("p2") - 3})
-    return va.wave_gates(t).select("trial", "standalone", "diversifier", "class")
-
-
-@query(f"""WITH {_TT}, m AS (SELECT *, total_return - 0.01 AS stress, p1 / 100 AS cost FROM tt), j AS (SELECT a.trial AS w, b.trial AS o, a.sharpe - b.sharpe AS ds, a.total_return - b.total_return AS dr, a.p2 - b.p2 AS dt, a.cost - b.cost AS dc, a.total_return + a.cost - b.total_return - b.cost AS dg, a.stress AS stress, a.p2 AS folds FROM m a JOIN m b ON a.trial <> b.trial)
-  SELECT w AS with_trial, o AS without_trial, round(ds, 5) AS delta_sharpe, round(dr, 6) AS delta_total_return, CASE WHEN ds > 0 AND dr > 0 AND folds >= 1 AND stress > 0 THEN 'supported' WHEN dg > 0 AND dr < 0 AND (dt > 0 OR dc > 0) THEN 'rejected_costs' WHEN ds <= 0 AND dr <= 0 THEN 'rejected' ELSE 'inconclusive' END AS decision FROM j""")
-def ablation(s, d):
-    t = _trial_table(s, d)
-    cost = F.col("p1") / 100
-    m = t.select("trial", "total_return", "sharpe", F.lit(-0.1).alias("max_drawdown"), F.lit(0.0).alias("rank_ic"), F.col("p2").alias("turnover"), cost.alias("cost"), F.lit(0.0).alias("participation"), F.lit(0.2).alias("month_concentration"), (F.col("total_return") + cost).alias("gross_pnl"), (F.col("total_return") - 0.01).alias("cost_1_5x_return"))
-    a, b = t.select(F.col("trial").alias("with_trial"), F.col("p2").alias("improved_folds"), F.lit(1).alias("k")), t.select(F.col("trial").alias("without_trial"), F.lit(1).alias("k"))
-    pairs = a.join(b, "k").where("with_trial <> without_trial").drop("k").withColumn("feature", F.lit("x"))  # a trial a row
-    r = va.ablation(m, pairs)
-    return r.select("with_trial", "without_trial", F.round("delta_sharpe", 5).alias("delta_sharpe"), F.round("delta_total_return", 6).alias("delta_total_return"), "decision")
-
-
-@query(f"WITH {_TT} SELECT trial, name, round(value, 5) AS value, 'trial' AS scope FROM (SELECT trial, CAST(n AS DOUBLE) AS n, total_return, sharpe FROM tt) UNPIVOT (value FOR name IN (n, total_return, sharpe))")
-def metrics_long(s, d):
-    t = _trial_table(s, d).select("trial", "n", "total_return", "sharpe")
-    return va.metrics_long(t, ["trial"], "trial").withColumn("value", F.round("value", 5))
-
-
-@query(f"WITH {_TT} SELECT trial, round(sharpe, 5) AS sharpe, round(total_return, 5) AS total_return, CAST(row_number() OVER (ORDER BY sharpe DESC NULLS LAST, trial) AS INTEGER) AS rank FROM tt")
-def compare_trials(s, d):
-    long_ = va.metrics_long(_trial_table(s, d).select("trial", "total_return", "sharpe"), ["trial"], "trial")
-    return va.compare_trials(long_, ["sharpe", "total_return"]).select("trial", F.round("sharpe", 5).alias("sharpe"), F.round("total_return", 5).alias("total_return"), "rank")
-
-
 @query(f"""WITH {_TRIALS}, dl AS (SELECT CAST(make_date(1970, 1, 1) + CAST(t // 86400000 AS INTEGER) AS DATE) AS day, exp(sum(ln(1 + net_return)) FILTER (trial = 'click')) - 1 AS x, exp(sum(ln(1 + net_return)) FILTER (trial = 'view')) - 1 AS y FROM trials GROUP BY 1),
   sd AS (SELECT stddev_samp(x) AS a, stddev_samp(y) AS b, count(*) AS n FROM dl), mx AS (SELECT day, unnest(['champion', 'scaled', 'inverse']) AS mix, unnest([x, 0.8 * x + 0.2 * y * a / b, (x / a + y / b) / (1 / a + 1 / b)]) AS r FROM dl, sd),
   me AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY mix ORDER BY day)) AS e FROM mx), md AS (SELECT *, e / max(e) OVER (PARTITION BY mix ORDER BY day) - 1 AS dn FROM me), ms AS (SELECT mix, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS tr, avg(r) / stddev_samp(r) * sqrt(365) AS sh, min(dn) AS mdd FROM md GROUP BY mix)
@@ -660,9 +601,27 @@ def trial_plan(s, d):
     return rg.trial_plan(grid, F.abs(F.col("a") + F.col("b") - 1) <= 1e-9, ["a", "b"])
 
 
-@query(f"WITH RECURSIVE {_POS} SELECT count(*) AS n_rows, count(*) - count(DISTINCT t) AS repeated_times, 0::BIGINT AS unordered_folds, count_if(NOT isfinite(net_return)) AS not_finite, count_if(abs(net_return - (price_pnl + funding_pnl - trading_fees - spread_cost - slippage_cost)) > 1e-12) AS unreconciled FROM cv")
+#: Faults planted in a curve by the number of a row's hour: a row twice, a fold out of order, no number, a wrong sum.
+_BENT = {"twice": "h % 50 = 1", "fold": "h % 60 = 2", "nan": "h % 70 = 3", "wrong": "h % 80 = 4"}
+
+
+@query(f"""WITH RECURSIVE {_POS},
+  b0 AS (
+    SELECT t, t // {HOUR_MS} AS h, fold, price_pnl + funding_pnl - trading_fees - spread_cost - slippage_cost AS net, net_return,
+      unnest(CASE WHEN t // {HOUR_MS} % 50 = 1 THEN [1, 2] ELSE [1] END) AS k FROM cv),
+  b1 AS (
+    SELECT t, CASE WHEN {_BENT["fold"]} THEN -1 ELSE fold END AS fold, k, net_return + CASE WHEN {_BENT["wrong"]} THEN 1e-9 ELSE 0 END AS r, net, {_BENT["nan"]} AS bad FROM b0),
+  b2 AS (SELECT *, lag(t) OVER (ORDER BY t, fold, k) AS pt, lag(fold) OVER (ORDER BY t, fold, k) AS pf FROM b1)
+  SELECT count(*) AS n_rows, count_if(coalesce(t = pt, false)) AS repeated_times, count_if(coalesce(fold < pf, false)) AS unordered_folds, count_if(bad) AS not_finite,
+    count_if(bad OR abs(r - net) > 1e-12) AS unreconciled FROM b2""")
 def curve_contract(s, d):
-    return bt.curve_faults(_curve(s, d))
+    c = _curve(s, d).withColumn("h", F.floor(F.col("t") / HOUR_MS))
+    c = c.withColumns({
+        "fold": F.when(F.expr(_BENT["fold"]), -1).otherwise(F.col("fold")), "price_pnl": F.when(F.expr(_BENT["nan"]), float("nan")).otherwise(F.col("price_pnl")),
+        "net_return": F.col("net_return") + F.when(F.expr(_BENT["wrong"]), 1e-9).otherwise(0.0),
+    })
+    c = c.withColumn("k", F.explode(F.when(F.expr(_BENT["twice"]), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return bt.curve_faults(c)
 
 
 @query(f"WITH RECURSIVE {_POS} SELECT CAST(make_date(1970, 1, 1) + CAST(t // 86400000 AS INTEGER) AS DATE) AS day, symbol, round(avg(weight), 5) + 0.0 AS mean_weight, round(sum(trade), 5) + 0.0 AS turnover FROM po GROUP BY 1, 2")
