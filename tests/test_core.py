@@ -88,42 +88,13 @@ def test_replay_is_one_stream(spark):
     assert sm.replay_digest(e.withColumn("event_id", F.col("event_id") + 1)).first() != once
 
 
-def test_sink_writes_a_batch_once(spark, tmp_path):
-    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
-    schema = "event_id long, event_type string, ts timestamp, value double"
-    put = lambda ids: spark.createDataFrame([(i, "ab"[i % 2], None, 1.0) for i in ids], schema).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 4000)).coalesce(1).write.mode("append").parquet(source)
-
-    def run():
-        sm.start_sink(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), sink, state, once=True).awaitTermination()
-
-    put(range(10))
-    run()
-    put(range(10, 15))
-    put([3])  # late: an old hour
-    run()
-    assert sorted(r.event_id for r in sm.read_sink(spark, sink).collect()) == sorted([*range(15), 3])
-    # The last batch is lost from the log of commits, as in a crash between write and commit: it is written again.
-    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
-    last = int(commits[-1].name)
-    for f in (tmp_path / "state" / "commits").glob(f"*{last}*"):
-        f.unlink()
-    (tmp_path / "out" / f"batch={last}" / "_SUCCESS").unlink()
-    assert sm.recovered(spark, sink) == (list(range(last)), [last])
-    run()
-    assert sorted(r.event_id for r in sm.read_sink(spark, sink).collect()) == sorted([*range(15), 3])
-    marks = {r.event_type: r for r in sm.checkpoints(sm.read_sink(spark, sink)).collect()}
-    assert marks["a"].event_id == 14 and sum(r.n_rows for r in marks.values()) == 16
-
-
-def test_sequence_state_and_windows(spark, tmp_path):
+def test_windowed_bars(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(1, "a", 1.0, 0), (2, "a", 2.0, 10), (5, "a", 3.0, 20), (4, "a", 4.0, 30), (1, "b", 5.0, 4000)]
     df = spark.createDataFrame(rows, "event_id long, event_type string, value double, s long").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s")))
     df.coalesce(1).write.parquet(source)
     stream = lambda: spark.readStream.schema(df.schema).parquet(source)
-    for name, out, mode in (("seq", sm.sequence_state(stream(), "event_type", "event_id"), "update"), ("bars", sm.windowed_bars(stream()), "complete")):
-        out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    assert {tuple(r) for r in spark.table("seq").collect()} == {("a", 5, 2, 1), ("b", 1, 0, 0)}
+    sm.windowed_bars(stream()).writeStream.format("memory").queryName("bars").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     bars = {r.event_type: r for r in spark.table("bars").collect()}
     assert (bars["a"].open, bars["a"].high, bars["a"].close, bars["a"].trades) == (1.0, 4.0, 4.0, 4)
 

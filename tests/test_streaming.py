@@ -136,21 +136,20 @@ def test_advance_is_the_loop():
 
 
 def test_sequence_counters(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sq.ROCKSDB)
-    source = f"file://{tmp_path}/in"
-    rows = [("c1", "A", 1, 0), ("c1", "A", 2, 1), ("c1", "A", 5, 2), ("c1", "B", 9, 3), ("c2", "A", 7, 4)]
-    more = [("c1", "A", 4, 5), ("c1", "A", 5, 6), ("c1", "B", 12, 7)]
-    put = lambda x: spark.createDataFrame(x, "conn string, symbol string, id long, at long").coalesce(1).write.mode("append").parquet(source)
-    put(rows)
-
-    def run():
-        q = sq.sequence_counters(spark.readStream.schema("conn string, symbol string, id long, at long").option("maxFilesPerTrigger", 1).parquet(source), "conn", "symbol", "id", ["at"])
-        q.writeStream.format("parquet")
-        seen = []
+    """Counts go on over micro-batches; a connection without events for long is closed once and begins anew."""
+    source, schema = f"file://{tmp_path}/in", "conn string, symbol string, id long, ts timestamp"
+
+    def run(*rows):
+        df = spark.createDataFrame(rows, "conn string, symbol string, id long, at long").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at"))).drop("at")
+        df.coalesce(1).write.mode("append").parquet(source)
+        q, seen = sq.sequence_counters(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "conn", "symbol", "id", "ts", 100_000, "1 second"), []
         w = q.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").outputMode("update")
-        w.foreachBatch(lambda b, n: seen.extend(map(tuple, b.collect()))).trigger(availableNow=True).start().awaitTermination()
+        w.foreachBatch(lambda b, n: seen.extend(map(tuple, b.collect()))).trigger(availableNow=True).start().awaitTermination(60)
         return set(seen)
 
-    assert run() == {("c1", "A", 5, 2, 0, 3, False), ("c1", "B", 9, 0, 0, 1, False), ("c2", "A", 7, 0, 0, 1, False)}
-    put(more)
-    assert run() == {("c1", "A", 5, 2, 1, 5, False), ("c1", "B", 12, 2, 0, 2, False)}
+    first = run(("c1", "A", 1, 0), ("c1", "A", 2, 1), ("c1", "A", 5, 2), ("c1", "B", 9, 3), ("c2", "A", 7, 4), ("c2", None, 7, 4), ("c2", "A", None, 4))
+    assert first == {("c1", "A", 5, 2, 0, 3, False), ("c1", "B", 9, 0, 0, 1, False), ("c2", "A", 7, 0, 0, 1, False)}
+    assert run(("c1", "A", 4, 5), ("c1", "A", 5, 6), ("c1", "B", 12, 7)) == {("c1", "A", 5, 2, 1, 5, False), ("c1", "B", 12, 2, 0, 2, False)}
+    later = run(("c2", "A", 8, 90), ("c1", "A", 6, 91)) | run(("c2", "A", 9, 300))
+    assert {x for x in later if x[-1]} == {("c1", "A", 6, 2, 1, 6, True), ("c1", "B", 12, 2, 0, 2, True)} and ("c2", "A", 9, 0, 0, 3, False) in later
+    assert run(("c1", "A", 50, 301)) == {("c1", "A", 50, 0, 0, 1, False)}

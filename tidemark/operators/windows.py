@@ -235,8 +235,13 @@ def worst_drawdown(df: DataFrame, r: str, by: list[str], order: str, width: int
     x = F.col(r)
     states = rows.groupBy(*by, "__b").agg(
         F.sum(F.log1p(x)).alias("__sum"), F.max("__log").alias("__high"), F.min("__log").alias("__low"), F.min(F.col("__log") - F.col("__top")).alias("__within"),
-        F.count("*").alias("__n"), F.sum(x).alias("__x"), F.sum(x * x).alias("__xx"), F.count_if(x > 0).alias("__up"), F.var_pop(x).alias("__var"), F.avg(x).alias("__mean"),
+        F.count("*").alias("__n"), F.sum(x).alias("__x"), F.count_if(x > 0).alias("__up"), F.var_pop(x).alias("__var"), F.avg(x).alias("__mean"),
     )
+    return merged_states(states, by)
+
+
+def merged_states(states: DataFrame, by: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """One row a group from the states of its stretches: n, log_sum, max_drawdown, mean, deviation, hit_rate and ``sums``."""
     chained = _handed_on(states, by)
     least = F.least(F.col("__within"), F.col("__base") + F.col("__low") - F.col("__peak"))
     n, mean = F.sum("__n"), F.sum("__x") / F.sum("__n")
@@ -244,7 +249,10 @@ def worst_drawdown(df: DataFrame, r: str, by: list[str], order: str, width: int
     # from its own window so that no large squares are subtracted.
     total = F.sum("__x").over(Window.partitionBy(*by)) / F.sum("__n").over(Window.partitionBy(*by))
     chained = chained.withColumn("__dev", F.col("__n") * (F.col("__var") + F.pow(F.col("__mean") - total, F.lit(2.0))))
-    return chained.groupBy(*by).agg(n.alias("n"), F.sum("__sum").alias("log_sum"), F.expm1(F.min(least)).alias("max_drawdown"), mean.alias("mean"), F.when(n > 1, F.sqrt(F.sum("__dev") / (n - 1))).alias("deviation"), (F.sum("__up") / n).alias("hit_rate"))
+    return chained.groupBy(*by).agg(
+        n.alias("n"), F.sum("__sum").alias("log_sum"), F.expm1(F.min(least)).alias("max_drawdown"), mean.alias("mean"),
+        F.when(n > 1, F.sqrt(F.sum("__dev") / (n - 1))).alias("deviation"), (F.sum("__up") / n).alias("hit_rate"), *[F.sum(c).alias(c) for c in sums],
+    )
 
 
 def drawdown_episodes(df: DataFrame, by: list[str], order: str, top: int = 5) -> DataFrame:

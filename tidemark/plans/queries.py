@@ -11,10 +11,14 @@ from ..operators import aggregates as ag
 from ..operators import backtest as bt
 from ..operators import bars as br
 from ..operators import joins as jn
+from ..operators import grains as gr
 from ..operators import portfolio as pf
+from ..operators import spectra as sp
 from ..operators import windows as wn
 from ..sources import files
 from ..streaming import micro_batch as sm
+from ..streaming import sequences as sq
+from ..streaming.store import MicroBatchStore
 
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 START, END = 1_704_067_200_000, 1_706_745_600_000  # 2024-01-01 to 2024-02-01
@@ -562,3 +566,62 @@ def flagship(s, d):
     return bt.curve(bt.positions(_weights(s, d), _COSTS)).groupBy("fold").agg(F.round(F.expm1(F.sum(F.log1p("net_return"))), 5).alias("total_return"), F.count("*").alias("n"), F.round(F.sum("turnover"), 4).alias("turnover"))
 
 
+
+
+@query(f"""SELECT event_type, count(*) AS n_rows, CAST(last(event_id ORDER BY {_MS}, event_id) AS VARCHAR) AS last_id, max({_MS}) AS last_ms
+  FROM events GROUP BY event_type""")
+def store_checkpoints(s, d):
+    """Events written as two micro-batches of bounded files; the store's checkpoints by type."""
+    e = _events(s, d).withColumn("ts", F.date_trunc("millisecond", F.col("ts").cast("timestamp")))
+    store = MicroBatchStore(s, files.shared_folder(s, "store"), e.schema, ("event_type",), max_rows=20_000, hourly=False)
+    for number in (0, 1):
+        store.write(e.where(F.col("event_id") % 2 == number), number)
+    return store.checkpoints().select("event_type", "n_rows", "last_id", epoch_ms(F.col("last_ts")).alias("last_ms"))
+
+
+@query(f"""WITH g AS (SELECT event_type, CAST(user_id % 5 AS VARCHAR) AS symbol, event_id, ts, event_id - lag(event_id) OVER w AS step FROM events WINDOW w AS (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id))
+  SELECT event_type, symbol, last(event_id ORDER BY ts, event_id) AS last_id, CAST(coalesce(sum(step - 1) FILTER (step > 1), 0) AS BIGINT) AS missing, count_if(step <= 0) AS regressions, count(*) AS n_rows FROM g GROUP BY ALL""")
+def stream_sequences(s, d):
+    """The event table as a stream: each type is a connection, a fifth of the users a symbol."""
+    e = _events(s, d)
+    stream = s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
+    rows = stream.select("event_type", (F.col("user_id") % 5).cast("string").alias("symbol"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    counted = sq.sequence_counters(rows, "event_type", "symbol", "event_id", "ts", 400 * DAY_MS)
+    out, state = files.shared_folder(s, "sequences"), files.shared_folder(s, "state")
+    write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}")
+    counted.writeStream.option("checkpointLocation", state).outputMode("update").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    newest = F.max_by(F.struct("last_id", "missing", "regressions", "n_rows"), "batch")
+    return s.read.parquet(out).groupBy("event_type", "symbol").agg(newest.alias("x")).select("event_type", "symbol", "x.*")
+
+
+@query(f"""WITH {_PANEL}, k AS (SELECT symbol, t, ret, vol > 0.2 AS ok FROM panel),
+  j AS (SELECT a.symbol AS left_id, b.symbol AS right_id, count(*) AS n, corr(a.ret, b.ret) AS c, stddev_pop(a.ret) AS sa, stddev_pop(b.ret) AS sb FROM k a JOIN k b ON a.t = b.t WHERE a.ok AND b.ok GROUP BY ALL)
+  SELECT left_id, right_id, n, round(CASE WHEN n >= 30 AND sa > 1e-18 AND sb > 1e-18 THEN c END, 6) + 0.0 AS correlation FROM j""")
+def masked_correlation_matrix(s, d):
+    p = _panel(s, d).select("symbol", "t", "ret", (F.col("vol") > 0.2).alias("ok"))
+    return _round(sp.masked_correlations(p, "symbol", "t", "ret", "ok"), "correlation")
+
+
+@query(f"""WITH {_PANEL}, k AS (SELECT *, t // {7 * DAY_MS} AS week FROM panel),
+  j AS (SELECT a.week, a.symbol AS l, b.symbol AS r, count(*) AS n, corr(a.ret, b.ret) AS c FROM k a JOIN k b ON a.t = b.t GROUP BY ALL),
+  g AS (SELECT week, count(DISTINCT l) AS n, sum(c * c) AS q, sum(c) FILTER (l = r) AS trace, min(n) AS least FROM j GROUP BY week)
+  SELECT CAST(week AS BIGINT) AS week, n, round(trace, 6) AS trace, round(n * n / q, 6) AS effective_count FROM g WHERE least >= 30""")
+def correlation_spectrum(s, d):
+    """The spectrum of each week's correlations: the sum of the eigenvalues, and how many independent series they say."""
+    p = _panel(s, d).withColumn("week", F.floor(F.col("t") / (7 * DAY_MS)))
+    pairs = sp.masked_correlations(p, "symbol", "t", "ret", groups=("week",))
+    out = sp.spectrum(pairs, ["week"]).where("size(eigenvalues) > 0")
+    trace = F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + x)
+    return _round(out.select("week", F.col("n").cast("long").alias("n"), trace.alias("trace"), "effective_count"), "trace", "effective_count")
+
+
+@query(f"""WITH {_PANEL}, w AS (SELECT t, symbol, ret - 0.0001 AS x, CAST(t // {7 * DAY_MS} AS VARCHAR) AS week, CASE WHEN score > 0 THEN 'up' WHEN score <= 0 THEN 'down' END AS side, volume FROM panel JOIN bars USING (symbol, t)),
+  g AS (SELECT 'all' AS grain, 'all' AS value, * FROM w UNION ALL SELECT 'symbol', symbol, * FROM w UNION ALL SELECT 'week', week, * FROM w UNION ALL SELECT 'side', side, * FROM w),
+  e AS (SELECT *, exp(sum(ln(1 + x)) OVER (PARTITION BY grain, value ORDER BY t, symbol ROWS UNBOUNDED PRECEDING)) AS e FROM g), dd AS (SELECT *, e / max(e) OVER (PARTITION BY grain, value ORDER BY t, symbol ROWS UNBOUNDED PRECEDING) - 1 AS dn FROM e)
+  SELECT grain, value, count(*) AS n, round(exp(sum(ln(1 + x))) - 1, 6) AS total_return, round(stddev_samp(x), 8) AS deviation, round(min(dn), 6) AS max_drawdown, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(sum(volume), 4) AS volume FROM dd GROUP BY ALL""")
+def metrics_by_grains(s, d):
+    """All series together, by symbol, week and side of the score: one pass over the rows."""
+    p = _panel(s, d).join(_bars(s, d).select("symbol", "t", "volume"), ["symbol", "t"]).withColumn("x", F.col("ret") - 0.0001)
+    grains = {"all": F.lit("all"), "symbol": F.col("symbol"), "week": F.floor(F.col("t") / (7 * DAY_MS)).cast("string"), "side": F.when(F.col("score") > 0, "up").when(F.col("score") <= 0, "down")}
+    m = gr.metrics_by_grains(p, grains, "x", ["t", "symbol"], sums=("volume",))
+    return m.select("grain", "value", "n", *[F.round(c, k).alias(c) for c, k in (("total_return", 6), ("deviation", 8), ("max_drawdown", 6), ("hit_rate", 6), ("volume", 4))])

@@ -138,19 +138,24 @@ def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
     return j.select(F.sha2(F.concat_ws("\x1f", "m.stream", value), 256).alias("event_id"), symbol.alias("symbol"), F.get(parts, F.lit(1)).alias("kind"), F.col("m.data.E").alias("t"), price.cast("double").alias("price"), F.col("m.data.p").alias("price_str"), reason.alias("reject_reason"))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder of spark.checkpoint.dir and read it back, for plans that use it several times:
-    cuts the lineage and survives lost executors. Where the setting is unset, in local mode, a temporary folder serves."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, in that of spark.checkpoint.dir; where the setting is unset, in local mode, a
+    temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it back, for plans that use it several times: cuts the lineage and
+    survives lost executors."""
+    path = shared_folder(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_immutable(df: DataFrame, path: str) -> bool:

@@ -1,73 +1,14 @@
-"""Structured Streaming: partitioned micro-batch sink, sequence state, and windowed bars (an extension)."""
+"""Structured Streaming: windowed bars (an extension), replay order and digest. The sink is in store.py, counters in sequences.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import HOUR_MS, epoch_ms
 from ..operators.windows import previous
 
 
-def start_sink(stream: DataFrame, path: str, checkpoint: str, seconds: int = 30, once: bool = False):
-    """By batch, event type, date and hour; rows are sorted within files, late rows land in their own partition.
-
-    A batch overwrites the folder of its number, so one that is replayed after a failure is there once."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        b = batch.withColumn("date", F.to_date("ts")).withColumn("hour", F.hour("ts"))
-        b = b.repartition("event_type", "date").sortWithinPartitions("event_type", "date", "hour", "ts", "event_id")
-        b.write.mode("overwrite").partitionBy("event_type", "date", "hour").parquet(f"{path}/batch={number}")
-
-    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{seconds} seconds")).start()
-
-
-def recovered(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
-    """(whole batches, batches without a success mark): what a crash left half written is to be read by nobody, and the
-    stream writes it again under the same number."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")] if fs.exists(p) else []
-    done = {n.getName(): fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")) for n in names}
-    number = lambda want: sorted(int(n[6:]) for n, ok in done.items() if ok == want)
-    return number(True), number(False)
-
-
-def read_sink(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the whole batches."""
-    whole, _ = recovered(spark, path)
-    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in whole])
-
-
-def checkpoints(batches: DataFrame) -> DataFrame:
-    """Per type and symbol: rows, batches, and the last event written."""
-    last = F.max_by(F.struct("batch", "event_id", "ts"), F.struct("ts", "event_id"))
-    return batches.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.count_distinct("batch").alias("batches"), last.alias("x")).select("event_type", "n_rows", "batches", "x.*")
-
-
-def sequence_state(stream: DataFrame, key: str, ident: str) -> DataFrame:
-    """Per key, after each micro-batch: last id, ids skipped, ids not above the last one."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, gaps, back = state.get if state.exists else (None, 0, 0)
-        for f in frames:
-            for i in f[ident]:
-                if last is not None and i > last + 1:
-                    gaps += int(i - last - 1)
-                back += int(last is not None and i <= last)
-                last = int(i) if last is None else max(last, int(i))
-        state.update((last, gaps, back))
-        yield pd.DataFrame({key: [k[0]], "last_id": [last], "missing": [gaps], "regressions": [back]})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, ident).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, last_id long, missing long, regressions long", "last long, gaps long, back long", "update", GroupStateTimeout.NoTimeout)
-
-
 def windowed_bars(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Bars by event-time window with a watermark."""
     at = F.struct("ts", "event_id")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 COUNTED = "last_id long, missing long, regressions long, n_rows long"
 
@@ -18,49 +19,33 @@ def advance(last: int | None, ids: np.ndarray) -> tuple[int, int, int]:
     return int(ids[-1]), int((steps[steps > 1] - 1).sum()), int((steps <= 0).sum())
 
 
-class SequenceCounter(StatefulProcessor):
-    def __init__(self, connection: str, symbol: str, ident: str, order: list[str], silence_ms: int):
-        self.connection, self.symbol, self.ident, self.order, self.silence_ms = connection, symbol, ident, order, silence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getMapState("symbols", f"{self.symbol} string", COUNTED)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")  # a connection's rows of one micro-batch
-        out = []
-        for symbol, part in new.groupby(self.symbol, sort=True):
-            had = self.state.getValue((symbol,)) if self.state.containsKey((symbol,)) else (None, 0, 0, 0)
-            last, missing, back = advance(had[0], part[self.ident].to_numpy(np.int64))
-            now = (last, had[1] + missing, had[2] + back, had[3] + len(part))
-            self.state.updateValue((symbol,), now)
-            out.append((key[0], symbol, *now, False))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.silence_ms)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        out = [(key[0], k[0], *v, True) for k, v in self.state.iterator()]
-        self.state.clear()
-        yield self._frame(out)
-
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[self.connection, self.symbol, "last_id", "missing", "regressions", "n_rows", "closed"])
-
-    def close(self) -> None:
-        pass
-
-
-def sequence_counters(stream: DataFrame, connection: str, symbol: str, ident: str, order: list[str], silence_ms: int = 3_600_000) -> DataFrame:
+def sequence_counters(stream: DataFrame, connection: str, symbol: str, ident: str, t: str, silence_ms: int = 3_600_000, late: str = "1 minute") -> DataFrame:
     """After each micro-batch, for each symbol of it by connection: last id, ids skipped, ids not above the one before, and
-    rows, since the connection was opened. One that is silent for ``silence_ms`` is reported closed once, and forgotten.
+    rows, since the connection was opened. One without events for ``silence_ms`` of event time t (a timestamp) is reported
+    closed once, and forgotten; so a replay closes it at the same place. Rows later than ``late`` are still counted.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    A connection's state is a map of its symbols, and its rows of one micro-batch are put in order (by t, then identifier)
+    and taken by array operations, not one by one."""
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (connection, symbol)}
-    schema = f"{connection} {kinds[connection]}, {symbol} {kinds[symbol]}, {COUNTED}, closed boolean"
-    rows = stream.select(*dict.fromkeys([connection, symbol, ident, *order]))
-    return rows.groupBy(connection).transformWithStateInPandas(SequenceCounter(connection, symbol, ident, order, silence_ms), schema, "Update", "ProcessingTime")
+    names = [connection, symbol, "last_id", "missing", "regressions", "n_rows", "closed"]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        had = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], s, *v, True) for s, v in sorted(had.items())], columns=names)
+            return
+        new, out = pd.concat(list(frames), ignore_index=True).sort_values([t, ident], kind="stable"), []
+        for name, part in new.groupby(symbol, sort=True):
+            old = had.get(name, (None, 0, 0, 0))
+            last, missing, back = advance(old[0], part[ident].to_numpy(np.int64))
+            had[name] = (last, old[1] + missing, old[2] + back, old[3] + len(part))
+            out.append((key[0], name, *had[name], False))
+        state.update((json.dumps(had),))
+        newest = int(new[t].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + silence_ms)
+        yield pd.DataFrame(out, columns=names)
 
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    schema = f"{connection} {kinds[connection]}, {symbol} {kinds[symbol]}, {COUNTED}, closed boolean"
+    rows = stream.select(*dict.fromkeys([connection, symbol, ident, t])).withWatermark(t, late).where(f"{symbol} IS NOT NULL AND {ident} IS NOT NULL")
+    return rows.groupBy(connection).applyInPandasWithState(run, schema, "symbols string", "update", GroupStateTimeout.EventTimeTimeout)

@@ -25,17 +25,18 @@ LOG = "path string, batch long, bytes long, sha256 string, n_rows long, first_ts
 
 
 class MicroBatchStore:
-    """schema: of the rows; keys: its partitioning columns; t: its event time; ident: its identifier, which no row lacks."""
+    """schema: of the rows; keys: its partitioning columns, before date and (``hourly``) hour; t: its event time; ident: its identifier,
+    which no row lacks."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...] = ("event_type", "symbol"), t: str = "ts", ident: str = "event_id", max_rows: int = 1_000_000):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...] = ("event_type", "symbol"), t: str = "ts", ident: str = "event_id", max_rows: int = 1_000_000, hourly: bool = True):
         self.spark, self.path, self.keys, self.t, self.ident, self.max_rows = spark, path.rstrip("/"), keys, t, ident, max_rows
         self.jvm = spark._jvm
         self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-        whole = StructType(list(schema)).add("date", DateType()).add("hour", IntegerType())
         self.columns = schema.fieldNames()
-        self.layout = [*keys, "date", "hour"]
+        self.layout = [*keys, "date", "hour"] if hourly else [*keys, "date"]
+        whole = StructType(list(schema)).add("date", DateType()).add("hour", IntegerType())
         # Columns of folders last, as they are read.
-        self.schema = StructType([f for f in whole if f.name not in self.layout] + [whole[c] for c in self.layout])
+        self.schema = StructType([f for f in schema if f.name not in self.layout] + [whole[c] for c in self.layout])
 
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -68,7 +69,7 @@ class MicroBatchStore:
         """Write and commit a batch; False if it was committed before."""
         if number in self.batches()[0]:
             return False
-        rows = batch.withColumn("date", F.to_date(self.t)).withColumn("hour", F.hour(self.t)).persist()
+        rows = batch.withColumn("date", F.to_date(self.t)).withColumn("hour", F.hour(self.t)).select(*self.schema.fieldNames()).persist()
         try:
             counts = rows.groupBy(*self.layout).agg(F.ceil(F.count("*") / self.max_rows).alias("__parts"))
             cut = rows.alias("l").join(counts.alias("r"), same("l", "r", self.layout)).select("l.*", F.pmod(F.xxhash64(F.col(f"l.{self.ident}")), "__parts").alias("__part"))
