@@ -31,13 +31,15 @@ def concentration(x: Column) -> Column:
     return F.coalesce(F.try_divide(F.max(F.abs(x)), F.sum(F.abs(x))), F.lit(0.0))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], x: str, at: dict[str, float], cells: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], x: str, at: dict[str, float], cells: int = 1024, ends: DataFrame | None = None) -> DataFrame:
     """Linearly interpolated quantiles of x by group, named as in ``at``, of groups of any size.
 
     Values are counted in equal cells between a group's extremes; the cells that hold the wanted ranks follow from the
-    counts (at most ``cells`` rows a group), and only those cells' values are sorted. Rows without x are left out."""
+    counts (at most ``cells`` rows a group), and only those cells' values are sorted. Rows without x are left out. ``ends``:
+    the groups' __low, __high and __n, where they are known."""
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__x"))
-    ends = rows.groupBy(*by).agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.count("*").alias("__n"))
+    if ends is None:
+        ends = rows.groupBy(*by).agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"), F.count("*").alias("__n"))
     same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], F.lit(True))
     cell = F.when(F.col("__high") > F.col("__low"), F.floor((F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * cells)).otherwise(F.lit(0)).cast("int")
     placed = rows.alias("l").join(ends.alias("r"), same).select(*[F.col(f"l.{c}") for c in by], "__x", "__n", cell.alias("__cell"))
@@ -73,10 +75,14 @@ def grouping_metrics(trades: DataFrame, grains: list[str], pnl: str) -> DataFram
     all_ = (1 << len(grains)) - 1
     sets = [one(None, all_)] + [one(g, all_ - (1 << (len(grains) - 1 - i))) for i, g in enumerate(grains)]
     by = [*grains, "grain"]
-    t = trades.select(F.explode(F.array(*sets)).alias("s"), F.col(pnl).alias("__p")).select("s.*", "__p")
+    from ..sources.files import staged
+
+    one_table = staged(trades.select(*grains, pnl).where(F.col(pnl).isNotNull()))  # read for the metrics and twice for the quantiles
+    t = one_table.select(F.explode(F.array(*sets)).alias("s"), F.col(pnl).cast("double").alias("__p")).select("s.*", "__p")
     p, win, loss = F.col("__p"), F.when(F.col("__p") > 0, F.col("__p")).otherwise(0.0), F.when(F.col("__p") < 0, -F.col("__p")).otherwise(0.0)
-    g = t.groupBy(*by).agg(F.count("*").alias("n_trades"), F.sum(p).alias("total"), F.avg(p).alias("mean"), F.avg((p > 0).cast("double")).alias("win_rate"), F.try_divide(F.sum(win), F.sum(loss)).alias("profit_factor"))
-    q = exact_quantiles(t, by, "__p", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    g = t.groupBy(*by).agg(F.count("*").alias("n_trades"), F.sum(p).alias("total"), F.avg(p).alias("mean"), F.avg((p > 0).cast("double")).alias("win_rate"), F.try_divide(F.sum(win), F.sum(loss)).alias("profit_factor"), F.min("__p").alias("__low"), F.max("__p").alias("__high"))
+    g = staged(g)  # a row a value of a grain
+    q = exact_quantiles(t, by, "__p", {"median": 0.5, "p10": 0.1, "p90": 0.9}, ends=g.select(*by, "__low", "__high", F.col("n_trades").alias("__n")))
     out = g.alias("l").join(q.alias("r"), reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]))
     return out.select(*[F.col(f"l.{c}") for c in by], "n_trades", "total", "mean", "median", "p10", "p90", "win_rate", "profit_factor")
 
@@ -115,11 +121,11 @@ def row_digest(columns: list[str]) -> Column:
 
 def content_digest(df: DataFrame) -> DataFrame:
     """Digest of a table as a multiset of rows: its number of rows and, for 4 parts of the rows' SHA-256, their exact
-    sums. Order and partitioning do not matter; repeated rows, nulls and column names do."""
+    sums. Order and partitioning do not matter; repeated rows, nulls, column names and types do."""
     plain = df.select(*[F.to_json(F.struct(F.col(c))).alias(c) if f.dataType.typeName() in ("struct", "array", "map", "variant") else F.col(c) for c, f in zip(df.columns, df.schema.fields, strict=True)])
     h = plain.select(row_digest(plain.columns).alias("h"))
     parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
-    names = F.lit(json.dumps(sorted(df.columns)))
+    names = F.lit(json.dumps(sorted(df.dtypes)))
     return h.agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("|", names, *[F.coalesce(p, F.lit("0")) for p in parts]), 256).alias("digest"))
 
 

@@ -15,6 +15,7 @@ from ..operators import grains as gr
 from ..operators import portfolio as pf
 from ..operators import spectra as sp
 from ..operators import windows as wn
+from ..sources import bundles as bd
 from ..sources import files
 from ..streaming import micro_batch as sm
 from ..streaming import sequences as sq
@@ -566,8 +567,6 @@ def flagship(s, d):
     return bt.curve(bt.positions(_weights(s, d), _COSTS)).groupBy("fold").agg(F.round(F.expm1(F.sum(F.log1p("net_return"))), 5).alias("total_return"), F.count("*").alias("n"), F.round(F.sum("turnover"), 4).alias("turnover"))
 
 
-
-
 @query(f"""SELECT event_type, count(*) AS n_rows, CAST(last(event_id ORDER BY {_MS}, event_id) AS VARCHAR) AS last_id, max({_MS}) AS last_ms
   FROM events GROUP BY event_type""")
 def store_checkpoints(s, d):
@@ -625,3 +624,15 @@ def metrics_by_grains(s, d):
     grains = {"all": F.lit("all"), "symbol": F.col("symbol"), "week": F.floor(F.col("t") / (7 * DAY_MS)).cast("string"), "side": F.when(F.col("score") > 0, "up").when(F.col("score") <= 0, "down")}
     m = gr.metrics_by_grains(p, grains, "x", ["t", "symbol"], sums=("volume",))
     return m.select("grain", "value", "n", *[F.round(c, k).alias(c) for c, k in (("total_return", 6), ("deviation", 8), ("max_drawdown", 6), ("hit_rate", 6), ("volume", 4))])
+
+
+@query("""SELECT 'orders_by_status' AS name, count(DISTINCT o_orderstatus) AS n_rows, 0 AS faults FROM orders
+  UNION ALL SELECT 'customers', count(*), 0 FROM customer UNION ALL SELECT 'large_orders', count(*), 0 FROM orders WHERE o_totalprice > 200000""")
+def bundle_manifest(s, d):
+    """Three tables written as one bundle and checked: what its manifest says of them, and how many faults it has."""
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    tables = {"orders_by_status": orders.groupBy("o_orderstatus").count(), "customers": s.read.parquet(f"{d}/customer.parquet"), "large_orders": orders.where("o_totalprice > 200000")}
+    path = files.shared_folder(s, "bundle")
+    m = bd.write_bundle(s, tables, path, {"of": "orders"}, required={"customers": ("c_custkey",)})
+    rows = [(n, t["n_rows"], len(bd.bundle_faults(s, path))) for n, t in m["tables"].items()]
+    return s.createDataFrame(rows, "name string, n_rows long, faults int")

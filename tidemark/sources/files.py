@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import json
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,33 +93,11 @@ def persist_dataset(df: DataFrame, path: str, facts: dict) -> dict:
 
 
 def extract_archives(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
-    """Lines of zip archives of one flat CSV each: archive, line, and for a refused archive its fault (no line). Names
-    with folders, links, several members and members over ``most_bytes`` are refused; files are read by tasks."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines, fault = [None], None
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = z.infolist()
-                        m = members[0] if len(members) == 1 else None
-                        if m is None or m.is_dir() or "/" in m.filename or "\\" in m.filename or m.filename.startswith(".."):
-                            fault = "not one flat file"
-                        elif not m.filename.endswith(".csv") or (m.external_attr >> 16) & 0o170000 == 0o120000:
-                            fault = "not a csv file"
-                        elif m.file_size > most_bytes:
-                            fault = "too large"
-                        else:
-                            lines = z.read(m).decode().splitlines()
-                except (zipfile.BadZipFile, UnicodeDecodeError) as e:
-                    fault = type(e).__name__
-                for i in range(0, len(lines), 65_536):
-                    part = lines[i : i + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.string()), pa.array([fault] * len(part), pa.string())], ["archive", "line", "fault"])
-
-    return raw.mapInArrow(run, "archive string, line string, fault string")
+    """Lines of zip archives of one flat CSV each: archive, line, and for a refused archive its fault (no line); see
+    archives.ArchiveSource, which also checks fields."""
+    from .archives import read_archives
+
+    return read_archives(spark, path, 0, (), most_bytes).select("archive", "line", "fault")
 
 
 def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
