@@ -1,6 +1,7 @@
 """Main text on made pages with known articles, and the suffix array against sorting."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -100,3 +101,70 @@ def test_the_array_decides(spark, monkeypatch, runs):
 
     monkeypatch.setattr(html_text, "_intervals", nothing)
     assert all(r.text == f"{adverts[r.page_id % 10]}\n{want[r.page_id]}" for r in main_text(df).collect())
+
+
+def plain(pages):
+    """The rule by sets of all runs of words: (page_id, url, html) to page_id: (text, n_repeated, n_guarded)."""
+    import math
+
+    words = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t) if w]
+    low = lambda w: w.translate({c: c + 32 for c in range(65, 91)})
+    parsed = [(i, "" if u is None else u.split("/")[2], blocks_of(h or "")) for i, u, h in pages]
+    streams, runs = {}, {}
+    for _, host, blocks in parsed:
+        beside = [low(w) for t, z in blocks if z != ARTICLE for w in words(t)]
+        key = tuple(low(w) for t, _ in blocks for w in words(t))
+        if beside and key not in streams.setdefault(host, set()):
+            streams[host].add(key)
+            for run in {tuple(beside[k : k + 8]) for k in range(len(beside) - 7)}:
+                runs[host, run] = runs.get((host, run), 0) + 1
+    out = {}
+    for i, host, blocks in parsed:
+        beside = [low(w) for t, z in blocks if z != ARTICLE for w in words(t)]
+        covered, often = set(), set()
+        for k in range(len(beside) - 7):
+            n = runs.get((host, tuple(beside[k : k + 8])), 0)
+            if n >= 3:
+                covered |= set(range(k, k + 8))
+            if n >= max(3, math.ceil(len(streams[host]) * 0.3)):
+                often |= set(range(k, k + 8))
+        if all(z != ARTICLE for _, z in blocks) and len(covered) > 0.8 * len(beside):
+            covered = often
+        kept, at, repeated, guarded = [], 0, 0, 0
+        for t, z in blocks:
+            if z != ARTICLE:
+                mine = words(t)
+                left = [w for k, w in enumerate(mine) if at + k not in covered]
+                at += len(mine)
+                gone = 2 * len(left) < len(mine)
+                repeated, guarded = repeated + gone, guarded + (z == GUARDED and not gone)
+                t = "" if z == GUARDED else " ".join(left if gone else mine)
+            if t:
+                kept.append(t)
+        out[i] = ("\n".join(kept), repeated, guarded)
+    return out
+
+
+@pytest.mark.parametrize("runs", [html_text.RUNS, 0])
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_result_against_sets_of_runs(spark, monkeypatch, seed, runs):
+    """Hosts of pages with and without articles, shared and rare boilerplate, near copies, quotes and copies."""
+    monkeypatch.setattr(html_text, "RUNS", runs)
+    rng = random.Random(seed)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    pages = []
+    for host in range(4):
+        shared = [say(rng.randint(3, 25)) for _ in range(6)]
+        bodies = [say(60) for _ in range(8)]
+        for k in range(12):
+            body = rng.choice(bodies) + " " + say(rng.choice([0, 3, 40]))
+            tag = rng.choice(["article", "div", "section"])
+            around = [rng.choice(shared) for _ in range(4)] + [say(rng.randint(1, 15))]
+            rng.shuffle(around)
+            marks = [rng.choice(["<div>{}</div>", "<nav>{}</nav>", "<p class='ad'>{}</p>", "<p>{}</p>"]).format(t.title() if rng.random() < 0.2 else t) for t in around]
+            pages.append((100 * host + k, f"https://h{host}.example.com/{k}", f"<body>{marks[0]}{marks[1]}<{tag}>{body}</{tag}>{''.join(marks[2:])}"))
+        pages.append((100 * host + 50, pages[-1][1], pages[-1][2]))
+    pages += [(900, None, None), (901, "https://h0.example.com/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.text, r.n_repeated, r.n_guarded) for r in main_text(df).collect()}
+    assert got == plain(pages) and sum(x[1] for x in got.values()) > 20

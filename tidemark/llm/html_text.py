@@ -7,9 +7,10 @@ blocks outside of articles go through the host suffix array: suffixes sorted, lo
 A run of at least ``min_tokens`` that stands in PAGES of the host's different streams is repeated. A block mostly made
 of repeated runs is boilerplate and loses them, and keeps its own words; any other undecided block stays whole. Text
 inside an article is never looked at: what repeats there is a quotation or a copy. On pages without an article the text
-may be in any block, so there a run must stand in SHARE of the host's different streams, too. Guarded blocks that do
-not repeat (a menu of its own page) go by their markup; the counts of blocks that went either way are returned. Pages
-whose texts are equal, articles included, count as one, so a copied page does not erase itself.
+may be in any block; there, if more than COPY of the page's words would go, the page is a near copy of others, and what
+tells boilerplate from text is how often it repeats: a run must stand in SHARE of the host's different streams, too.
+Guarded blocks that do not repeat (a menu of its own page) go by their markup; the counts of blocks that went either way
+are returned. Pages whose texts are equal, articles included, count as one, so a copied page does not erase itself.
 
 A host can hold a third of all pages, so no host is gathered. Tasks build suffix arrays over their own pages and hand
 on, for each interval of suffixes with a common prefix of min_tokens, one row (host, prefix, streams it stands in), one
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, text_buffers, word_hashes, written
 
-MIN_TOKENS, SHARE, PAGES, RUNS = 8, 0.3, 3, 1 << 20
+MIN_TOKENS, SHARE, COPY, PAGES, RUNS = 8, 0.3, 0.8, 3, 1 << 20
 GUARDED, UNDECIDED, ARTICLE = 0, 1, 2
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -49,6 +50,7 @@ _HINT = re.compile(
     r"widget|copyright|disclaimer|skip|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 
 
@@ -226,12 +228,17 @@ def _places(size: int):
     return run
 
 
-def _kept(ts: list[str], zs: list[int], covered: set[int]) -> tuple[str, int, int]:
-    """(text, blocks that repeat, guarded blocks that do not) of a page with the covered places of its stream."""
+def _kept(ts: list[str], zs: list[int], covered: set[int], often: set[int]) -> tuple[str, int, int]:
+    """(text, blocks that repeat, guarded blocks that do not) of a page with the covered places of its stream; ``often``:
+    those of them that runs of SHARE of the host's streams cover."""
+    if ARTICLE not in zs and covered != often:
+        blocks = [t for t, z in zip(ts, zs, strict=True) if z != ARTICLE]
+        if len(covered) > COPY * sum(len(_WORD.findall(t)) for t in blocks):
+            covered = often
     kept, at, repeated, guarded = [], 0, 0, 0
     for t, z in zip(ts, zs, strict=True):
         if z != ARTICLE:
-            words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+            words = _WORD.findall(t)
             own = [w for k, w in enumerate(words) if at + k not in covered]
             gone = 2 * len(own) < len(words)
             repeated, guarded = repeated + gone, guarded + (z == GUARDED and not gone)
@@ -265,19 +272,17 @@ def _look_up(size: int, narrow: np.ndarray, wide: np.ndarray):
         for b in batches:
             words, row = _streams(b)
             texts, zones = b.column("texts").to_pylist(), b.column("zones").to_pylist()
-            places: dict[int, set[int]] = {}
+            places: tuple[dict[int, set[int]], ...] = ({}, {})  # covered, often
             at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.zeros(0, np.int64)
             if len(at) and len(narrow):
                 key = mix64(_host_hash(b.column("host"))[row[at]] ^ _prefix_hash(words, at, size).view(np.uint64))
-                article = np.array([ARTICLE in z for z in zones])
-                hit = np.zeros(len(at), bool)
-                for known, where in ((narrow, article[row[at]]), (wide, ~article[row[at]])):
-                    if len(known):
-                        hit |= where & (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
                 begin = np.searchsorted(row, np.arange(b.num_rows))
-                for r, p in zip(row[at[hit]].tolist(), (at[hit] - begin[row[at[hit]]]).tolist(), strict=True):
-                    places.setdefault(r, set()).update(range(p, p + size))
-            out = [_kept(t, z, places.get(i, set())) for i, (t, z) in enumerate(zip(texts, zones, strict=True))]
+                for known, found in zip((narrow, wide), places, strict=True):
+                    if len(known):
+                        hit = at[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key]
+                        for r, p in zip(row[hit].tolist(), (hit - begin[row[hit]]).tolist(), strict=True):
+                            found.setdefault(r, set()).update(range(p, p + size))
+            out = [_kept(t, z, *(p.get(i, set()) for p in places)) for i, (t, z) in enumerate(zip(texts, zones, strict=True))]
             yield _texts(b, out)
 
     return run
@@ -286,8 +291,9 @@ def _look_up(size: int, narrow: np.ndarray, wide: np.ndarray):
 def _compose(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("texts").to_pylist(), b.column("zones").to_pylist(), b.column("places").to_pylist(), strict=True)
-            yield _texts(b, [_kept(ts, zs, {p + k for p in places or () for k in range(size)}) for ts, zs, places in rows])
+            rows = zip(*(b.column(c).to_pylist() for c in ("texts", "zones", "places", "often")), strict=True)
+            spread = lambda places: {p + k for p in places or () for k in range(size)}
+            yield _texts(b, [_kept(ts, zs, spread(places), spread(often)) for ts, zs, places, often in rows])
 
     return run
 
@@ -310,8 +316,6 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, id_col: str = "pag
         every = found.column("wide").to_numpy()
         out = parsed.mapInArrow(_look_up(min_tokens, np.sort(key), np.sort(key[every.astype(bool)])), TEXT)
         return out.withColumn("n_chars", F.length("text").cast("long"))
-    articled = F.exists("zones", lambda z: z == ARTICLE)
     places = outside.select("row_id", "host", "beside").mapInArrow(_places(min_tokens), "row_id long, host string, prefix long, place int").join(repeated, ["host", "prefix"])
-    places = places.join(parsed.select("row_id", articled.alias("articled")), "row_id").where("wide OR articled")
-    covered = places.groupBy("row_id").agg(F.collect_set("place").alias("places"))
+    covered = places.groupBy("row_id").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("wide"), F.col("place"))).alias("often"))
     return parsed.join(covered, "row_id", "left").mapInArrow(_compose(min_tokens), TEXT).withColumn("n_chars", F.length("text").cast("long"))
