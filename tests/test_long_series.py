@@ -144,3 +144,47 @@ def test_fee_schedule_of_any_length(spark):
         bt.positions(w, schedule=spans.where("to_t IS NOT NULL")).agg(F.sum("allocated_fee")).collect()
     with pytest.raises(Exception, match="no fee for this time"):
         bt.positions(w, schedule=spans.where("from_t > 0")).agg(F.sum("allocated_fee")).collect()
+
+
+def test_similarity_is_measured_period_by_period(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(40, 4)), rng.normal(size=(40, 4))
+    a[3], b[5, 1:] = 0.0, 0.0
+    frame = lambda m: spark.createDataFrame([(t, f"s{j}", float(m[t, j])) for t in range(40) for j in range(4) if m[t, j] != 0 or t == 3], "t long, symbol string, weight double")
+    got = bt.position_similarity(frame(a), frame(b)).first()
+    cosine, same, opposite = [], [], []
+    for x, y in zip(a, b, strict=True):
+        if np.abs(x).sum() > 0 and np.abs(y).sum() > 0:
+            low, gross = np.minimum(np.abs(x), np.abs(y)), min(np.abs(x).sum(), np.abs(y).sum())
+            cosine.append(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+            same.append(low[x * y > 0].sum() / gross)
+            opposite.append(low[x * y < 0].sum() / gross)
+    assert got.n == 39 and got.both_active == pytest.approx(39 / 40)
+    assert (got.mean_cosine, got.median_cosine) == pytest.approx((np.mean(cosine), np.median(cosine)))
+    assert (got.same_direction, got.opposite_direction) == pytest.approx((np.mean(same), np.mean(opposite)))
+    assert got.conflict == pytest.approx(np.mean(opposite) / (np.mean(same) + np.mean(opposite)))
+
+
+@pytest.mark.parametrize("part", [1, 1 << 16])
+def test_rolling_at_day_ends(spark, monkeypatch, part):
+    monkeypatch.setattr(wn, "PART_ROWS", part)
+    x = np.random.default_rng(8).normal(0, 0.01, 120)
+    t = [h * HOUR_MS for h in range(130) if h % 13]  # an hour is missing now and then
+    c = spark.createDataFrame([(a, float(b)) for a, b in zip(t, x, strict=False)], "t long, net_return double").repartition(3)
+    got = {(r.t, r.window): r for r in bt.rolling_at_day_ends(c, (5, 30)).collect()}
+    t = t[:120]
+    ends = [i for i in range(len(t)) if i == len(t) - 1 or t[i] // 86_400_000 != t[i + 1] // 86_400_000]
+    assert set(got) == {(t[i], n) for i in ends for n in (5, 30) if i >= n - 1}
+    for (at, n), r in got.items():
+        v = x[t.index(at) - n + 1 : t.index(at) + 1]
+        sd = v.std(ddof=1) * 8760**0.5
+        assert (r.total_return, r.volatility, r.sharpe) == pytest.approx((np.prod(1 + v) - 1, sd, v.mean() * 8760 / sd))
+
+
+def test_netted_portfolios_pay_funding(spark):
+    rows = [(k, 0.5, 0, t, "s", w, 0.01, 0.001) for k, ws in (("a", (1.0, 1.0)), ("b", (-1.0, 1.0))) for t, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "sleeve string, share double, fold int, t long, symbol string, weight double, ret double, funding_rate double")
+    got = {r.t: r for r in bt.netted(df, bt.Costs(0.001, 0, 0)).collect()}
+    assert (got[0].price_pnl, got[0].funding_pnl, got[0].netted_turnover, got[0].sleeve_turnover) == pytest.approx((0.0, 0.0, 0.0, 1.0))
+    assert (got[1].price_pnl, got[1].funding_pnl) == pytest.approx((0.01, -0.001))
+    assert got[1].netted_net == pytest.approx(0.009 - 0.001 * 2.0)

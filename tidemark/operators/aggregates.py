@@ -31,6 +31,12 @@ def concentration(x: Column) -> Column:
     return F.coalesce(F.try_divide(F.max(F.abs(x)), F.sum(F.abs(x))), F.lit(0.0))
 
 
+def positive_concentration(x: Column) -> Column:
+    """Largest share of the sum of what is above 0; 1 where nothing is."""
+    up = F.when(x > 0, x)
+    return F.coalesce(F.max(up) / F.sum(up), F.lit(1.0))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], x: str, at: dict[str, float], cells: int = 1024, ends: DataFrame | None = None) -> DataFrame:
     """Linearly interpolated quantiles of x by group, named as in ``at``, of groups of any size.
 

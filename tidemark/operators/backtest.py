@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_MS, utc_date
+from .aggregates import exact_quantiles
 from .joins import asof
-from .windows import ranked
+from .windows import PART, own, ranked, with_halo
 
 
 def folds(times: DataFrame, train: int, test: int, embargo: int, width: int = DAY_MS) -> DataFrame:
@@ -126,13 +127,43 @@ def attribution(p: DataFrame, by: list[str]) -> DataFrame:
     return g.join(F.broadcast(total)).withColumn("share", F.coalesce(F.try_divide(F.abs("net_contribution"), F.col("__total")), F.lit(0.0))).drop("__total")  # total is one row
 
 
-def position_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two strategies' weights by time and symbol: shared rows, cosine, share of rows with the same sign, overlap of
-    gross exposure (summed lesser magnitudes of equal sign over summed greater ones)."""
-    x, y = F.col("x"), F.col("y")
-    j = a.select("t", "symbol", F.col("weight").alias("x")).join(b.select("t", "symbol", F.col("weight").alias("y")), ["t", "symbol"])
-    both = F.when(F.signum(x) == F.signum(y), F.least(F.abs(x), F.abs(y))).otherwise(0.0)
-    return j.agg(F.count("*").alias("n"), F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))).alias("cosine"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("same_sign"), F.try_divide(F.sum(both), F.sum(F.greatest(F.abs(x), F.abs(y)))).alias("overlap"))
+def position_similarity(a: DataFrame, b: DataFrame, epsilon: float = 1e-12) -> DataFrame:
+    """Two strategies' weights by time and symbol, period by period and then over the periods in which both are active:
+    n, mean and median cosine, mean shares of the smaller gross exposure that both hold (overlap) in the same and in
+    opposite directions, the opposite part of the overlap, and the share of periods in which both are active."""
+    x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    j = a.select("t", "symbol", F.col("weight").alias("x")).join(b.select("t", "symbol", F.col("weight").alias("y")), ["t", "symbol"], "full")
+    least = F.least(F.abs(x), F.abs(y))
+    g = j.groupBy("t").agg(
+        F.sum(x * y).alias("xy"), F.sqrt(F.sum(x * x)).alias("nx"), F.sqrt(F.sum(y * y)).alias("ny"), F.least(F.sum(F.abs(x)), F.sum(F.abs(y))).alias("gross"),
+        F.sum(F.when(x * y > 0, least).otherwise(0.0)).alias("same"), F.sum(F.when(x * y < 0, least).otherwise(0.0)).alias("opposite"),
+    )
+    active = (F.col("nx") > epsilon) & (F.col("ny") > epsilon) & (F.col("gross") > epsilon)
+    of = lambda c: F.when(active, c / F.when(active, F.col("gross")))
+    each = g.select(active.alias("active"), F.when(active, F.col("xy") / F.when(active, F.col("nx") * F.col("ny"))).alias("cosine"), of(F.col("same")).alias("same"), of(F.col("opposite")).alias("opposite"))
+    whole = each.agg(F.count_if("active").alias("n"), F.avg("cosine").alias("mean_cosine"), F.avg("same").alias("same_direction"), F.avg("opposite").alias("opposite_direction"), F.avg(F.col("active").cast("double")).alias("both_active"))
+    middle = exact_quantiles(each, [], "cosine", {"median_cosine": 0.5})
+    out = whole.join(F.broadcast(middle), how="left")  # one row each
+    both = F.col("same_direction") + F.col("opposite_direction")
+    return out.withColumns({"overlap": both, "conflict": F.when(both > 0, F.col("opposite_direction") / F.when(both > 0, both)).otherwise(0.0)})
+
+
+def rolling_at_day_ends(c: DataFrame, windows: tuple[int, ...], periods_a_year: float = 8760.0) -> DataFrame:
+    """Compounded return, annual volatility and Sharpe ratio (0 without spread) of the last ``window`` rows at each day's
+    last row that has as many: t, window, total_return, volatility, sharpe. c: t, net_return, one curve of any length."""
+    cut = with_halo(c.select("t", "net_return"), max(windows), 1, by=())
+    w = Window.partitionBy(PART).orderBy("t")
+    cut = cut.withColumns({"ends": F.coalesce(utc_date(F.lead("t").over(w)) != utc_date(F.col("t")), F.lit(True)), "x": F.log1p("net_return")})
+
+    def one(n: int) -> Column:
+        full = w.rowsBetween(-(n - 1), 0)
+        r = F.col("net_return")
+        sd = F.coalesce(F.stddev_samp(r).over(full), F.lit(0.0))
+        sharpe = F.when(sd > 0, F.avg(r).over(full) / F.when(sd > 0, sd) * periods_a_year**0.5).otherwise(0.0)
+        return F.struct(F.lit(n).alias("window"), F.count(r).over(full).alias("k"), F.expm1(F.sum("x").over(full)).alias("total_return"), (sd * periods_a_year**0.5).alias("volatility"), sharpe.alias("sharpe"))
+
+    rows = own(cut.withColumn("m", F.array(*map(one, windows)))).where("ends")
+    return rows.select("t", F.explode("m").alias("m")).where("m.k = m.window").select("t", "m.window", "m.total_return", "m.volatility", "m.sharpe")
 
 
 def daily(c: DataFrame) -> DataFrame:
@@ -232,22 +263,23 @@ def pair_diagnostics(p: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def netted(parts: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
     """Sleeves held apart against one netted portfolio, by fold and time. parts: sleeve, share, fold, t, symbol, weight,
-    ret. The netted portfolio trades summed weights; offset is the turnover that sleeves would trade against each
+    ret, and funding_rate where positions pay it: it is the same for both, as are prices. The netted portfolio trades summed weights; offset is the turnover that sleeves would trade against each
     other, and savings its cost."""
     rates = sum(costs.rates().values())
     scaled = parts.withColumn("weight", F.col("share") * F.col("weight"))
+    paid = F.col("funding_rate") if "funding_rate" in parts.columns else F.lit(0.0)
 
     def moved(rows: DataFrame, keys: list[str]) -> DataFrame:
         s = Window.partitionBy("fold", *keys).orderBy("t")
         trade = F.abs(F.col("weight") - F.lag("weight", 1, 0.0).over(s)) + F.when(F.lead("t").over(s).isNull(), F.abs("weight")).otherwise(0.0)
         return rows.withColumn("trade", trade)
 
-    apart = moved(scaled, ["sleeve", "symbol"]).groupBy("fold", "t").agg(F.sum("trade").alias("sleeve_turnover"), F.sum(F.col("weight") * F.col("ret")).alias("price_pnl"))
+    apart = moved(scaled, ["sleeve", "symbol"]).groupBy("fold", "t").agg(F.sum("trade").alias("sleeve_turnover"), F.sum(F.col("weight") * F.col("ret")).alias("price_pnl"), F.sum(-F.col("weight") * paid).alias("funding_pnl"))
     one = scaled.groupBy("fold", "t", "symbol").agg(F.sum("weight").alias("weight"))
     one = moved(one, ["symbol"]).groupBy("fold", "t").agg(F.sum("trade").alias("netted_turnover"), F.sum(F.abs("weight")).alias("netted_gross"))
     out = apart.join(one, ["fold", "t"])
-    saved = F.col("sleeve_turnover") - F.col("netted_turnover")
-    return out.withColumns({"offset": saved, "offset_ratio": F.coalesce(F.try_divide(saved, F.col("sleeve_turnover")), F.lit(0.0)), "savings": saved * rates, "sleeve_net": F.col("price_pnl") - F.col("sleeve_turnover") * rates, "netted_net": F.col("price_pnl") - F.col("netted_turnover") * rates})
+    saved, gross = F.col("sleeve_turnover") - F.col("netted_turnover"), F.col("price_pnl") + F.col("funding_pnl")
+    return out.withColumns({"offset": saved, "offset_ratio": F.coalesce(F.try_divide(saved, F.col("sleeve_turnover")), F.lit(0.0)), "savings": saved * rates, "sleeve_net": gross - F.col("sleeve_turnover") * rates, "netted_net": gross - F.col("netted_turnover") * rates})
 
 
 def trade_episodes(w: DataFrame, epsilon: float = 1e-9) -> DataFrame:

@@ -636,3 +636,21 @@ def bundle_manifest(s, d):
     m = bd.write_bundle(s, tables, path, {"of": "orders"}, required={"customers": ("c_custkey",)})
     rows = [(n, t["n_rows"], len(bd.bundle_faults(s, path))) for n, t in m["tables"].items()]
     return s.createDataFrame(rows, "name string, n_rows long, faults int")
+
+
+@query(f"""WITH {_PANEL}, c AS (SELECT t, avg(ret) AS r FROM panel GROUP BY t), w AS (SELECT unnest([24, 72]) AS w),
+  d AS (SELECT *, coalesce(lead(t) OVER (ORDER BY t) // {DAY_MS} <> t // {DAY_MS}, true) AS ends, {", ".join(f"count(*) OVER w{n} AS k{n}, exp(sum(ln(1 + r)) OVER w{n}) - 1 AS x{n}, stddev_samp(r) OVER w{n} AS s{n}, avg(r) OVER w{n} AS m{n}" for n in (24, 72))}
+    FROM c WINDOW {", ".join(f"w{n} AS (ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (24, 72))}),
+  e AS ({" UNION ALL ".join(f"SELECT t, {n} AS w, x{n} AS x, s{n} AS sd, m{n} AS m FROM d WHERE ends AND k{n} = {n}" for n in (24, 72))})
+  SELECT t, CAST(w AS INTEGER) AS "window", round(x, 6) + 0.0 AS total_return, round(sd * sqrt(8760), 6) AS volatility, round(m / sd * sqrt(8760), 4) + 0.0 AS sharpe FROM e""")
+def rolling_at_day_ends(s, d):
+    c = _panel(s, d).groupBy("t").agg(F.avg("ret").alias("net_return"))
+    r = bt.rolling_at_day_ends(c, (24, 72))
+    return r.select("t", "window", *[(F.round(x, k) + 0.0).alias(x) for x, k in (("total_return", 6), ("volatility", 6), ("sharpe", 4))])
+
+
+@query(f"""WITH {_PANEL}, d AS (SELECT symbol, t // {DAY_MS} AS day, sum(ret) AS x FROM panel GROUP BY ALL)
+  SELECT symbol, round(max(abs(x)) / sum(abs(x)), 6) AS absolute, round(coalesce(max(x) FILTER (x > 0) / sum(x) FILTER (x > 0), 1), 6) AS positive FROM d GROUP BY symbol""")
+def profit_concentration(s, d):
+    days = _panel(s, d).groupBy("symbol", F.floor(F.col("t") / DAY_MS).alias("day")).agg(F.sum("ret").alias("x"))
+    return _round(days.groupBy("symbol").agg(ag.concentration(F.col("x")).alias("absolute"), ag.positive_concentration(F.col("x")).alias("positive")), "absolute", "positive")

@@ -497,10 +497,17 @@ def _two(s, d) -> tuple[DataFrame, DataFrame]:
     return tuple(staged(pf.neutral_long_short(rows, ["fold"], score=c)) for c in ("score", "carry_score"))
 
 
-@query(f"WITH RECURSIVE {_TWO}, j AS (SELECT ska.weight AS x, skb.weight AS y FROM ska JOIN skb USING (fold, symbol, t)) SELECT count(*) AS n, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 5) AS cosine, round(sum(CASE WHEN sign(x) = sign(y) THEN least(abs(x), abs(y)) ELSE 0 END) / sum(greatest(abs(x), abs(y))), 5) AS overlap FROM j")
+@query(f"""WITH RECURSIVE {_TWO},
+  j AS (SELECT t, coalesce(ska.weight, 0) AS x, coalesce(skb.weight, 0) AS y FROM ska FULL JOIN skb USING (fold, symbol, t)),
+  g AS (
+    SELECT t, sum(x * y) AS xy, sqrt(sum(x * x)) AS nx, sqrt(sum(y * y)) AS ny, least(sum(abs(x)), sum(abs(y))) AS gross,
+      sum(CASE WHEN x * y > 0 THEN least(abs(x), abs(y)) ELSE 0 END) AS same, sum(CASE WHEN x * y < 0 THEN least(abs(x), abs(y)) ELSE 0 END) AS opposite FROM j GROUP BY t),
+  a AS (SELECT *, nx > 1e-12 AND ny > 1e-12 AND gross > 1e-12 AS active FROM g)
+  SELECT count_if(active) AS n, round(avg(xy / (nx * ny)) FILTER (active), 5) AS mean_cosine, round(median(xy / (nx * ny)) FILTER (active), 5) AS median_cosine,
+    round(avg(same / gross) FILTER (active), 5) AS same_direction, round(avg(opposite / gross) FILTER (active), 5) AS opposite_direction, round(avg((same + opposite) / gross) FILTER (active), 5) AS overlap FROM a""")
 def position_similarity(s, d):
     p = bt.position_similarity(*_two(s, d))
-    return p.select("n", F.round("cosine", 5).alias("cosine"), F.round("overlap", 5).alias("overlap"))
+    return p.select("n", *[F.round(c, 5).alias(c) for c in ("mean_cosine", "median_cosine", "same_direction", "opposite_direction", "overlap")])
 
 
 @query(f"""WITH RECURSIVE {_TWO}, al AS (SELECT 'a' AS sleeve, fold, symbol, t, ret, 0.6 * weight AS w FROM ska UNION ALL SELECT 'b', fold, symbol, t, ret, 0.4 * weight FROM skb),
