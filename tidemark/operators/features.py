@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_MS, MINUTE_MS, TINY, only_finite
+from ..sources.files import staged
 from . import windows as wn
 
 HOURS_A_YEAR = 8760.0
@@ -231,7 +232,7 @@ class Registry:
         """symbol, t, the features, and the decision rows' own columns. Series are cut so that a part has the rows before
         it that all bundles of the plan reach back to, one on the other."""
         plan = self.plan(features)
-        rows = wn.with_halo(rows, sum(b.reach(settings) for b in plan), width=HALO_MS)
+        rows = wn.with_halo(staged(rows), sum(b.reach(settings) for b in plan), width=HALO_MS)
         for b in plan:
             missing = [n for n in b.needs if n not in rows.columns]
             if missing:

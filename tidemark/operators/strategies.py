@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import HOUR_MS, TINY, clip
+from ..sources.files import staged
 from . import windows as wn
 from .aggregates import exact_quantiles
 from .portfolio import sparse_state
@@ -46,12 +47,12 @@ def funding_carry(df: DataFrame, rate: float = 0.6, change: float = 0.2, momentu
 
 
 def trailing_return(df: DataFrame, n: int, name: str, step_ms: int = HOUR_MS) -> DataFrame:
-    return wn.segmented_sum(df, "log_return_1h", n, name, step_ms).drop("seg")
+    return wn.segmented_sum(df, "log_return_1h", n, name, step_ms, number=False)
 
 
 def sma_ratio(df: DataFrame, fast: int, slow: int, name: str = "score", step_ms: int = HOUR_MS) -> DataFrame:
     """Log ratio of the moving averages of a price compounded from returns within unbroken stretches of time."""
-    cut = wn.segments(wn.with_halo(df, slow), step_ms)
+    cut = wn.segments(wn.with_halo(staged(df), slow), step_ms)
     inner = Window.partitionBy("symbol", wn.PART, "seg").orderBy("t")
     # The ratio is the same wherever in a stretch the price begins, so a part's price begins in its halo.
     cut = cut.withColumn("__p", F.exp(F.sum("log_return_1h").over(inner) - F.first("log_return_1h").over(inner)))

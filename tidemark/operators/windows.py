@@ -168,18 +168,24 @@ def carried(df: DataFrame, x: str, name: str, by: list[str], t: str = "t", width
     return out.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce("__in", "__before").alias(name))
 
 
-def segmented_sum(df: DataFrame, x: str, n: int, name: str, step_ms: int = HOUR_MS, width: int = 30 * DAY_MS, rows: int | None = None) -> DataFrame:
-    """Full-window sum within unbroken segments, then the last valid value carried on across breaks; seg numbers the
-    symbol's segments. Parts of a series (see with_halo) are summed apart, and segments and values handed on."""
+def segmented_sum(df: DataFrame, x: str, n: int, name: str, step_ms: int = HOUR_MS, width: int = 30 * DAY_MS, rows: int | None = None, number: bool = True) -> DataFrame:
+    """Full-window sum within unbroken segments, then the last valid value carried on across breaks; seg (if ``number``)
+    numbers the symbol's segments. Parts of a series (see with_halo) are summed apart, and segments and values handed on.
+
+    The input is written once, as it is read for counts and for rows: calls that follow each other add up, where plans
+    would multiply."""
+    from ..sources.files import staged
+
     if PART in df.columns:
         raise ValueError("the series is cut already")
-    cut = with_halo(df, n, width=width, rows=rows)
+    cut = with_halo(staged(df), n, width=width, rows=rows)
     w = by_symbol(cut)
     cut = cut.withColumn("__gap", F.coalesce((F.col("t") - F.lag("t").over(w) > step_ms).cast("int"), F.lit(0))).withColumn("__seg", F.sum("__gap").over(w))
     inner = Window.partitionBy("symbol", PART, "__seg").orderBy("t")
     # Windows of a part's first rows see as many rows of its halo as they need, and the halo's own breaks.
-    cut = cut.withColumn("__s", trailing_sum(F.col(x), n, 0, inner))
-    one = cut.where(OWN).drop(OWN, "__seg")
+    one = cut.withColumn("__s", trailing_sum(F.col(x), n, 0, inner)).where(OWN).drop(OWN, "__seg")
+    if not number:
+        return carried(one.drop(PART, "__gap"), "__s", name, ["symbol"], "t", width).drop("__s")
     breaks = one.groupBy("symbol", PART).agg(F.sum("__gap").alias("__breaks"))
     before = F.sum("__breaks").over(Window.partitionBy("symbol").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
     breaks = breaks.select("symbol", PART, F.coalesce(before, F.lit(0)).alias("__first"))

@@ -42,7 +42,7 @@ def _rates(s, d) -> DataFrame:
 
 
 def _features(s, d, names=ALL) -> DataFrame:
-    return fx.Registry().compute(fx.decision_rows(_bars15(s, d), HOUR, STEP), list(names), SETTINGS, {"rates": _rates(s, d)})
+    return fx.Registry().compute(fx.decision_rows(staged(_bars15(s, d)), HOUR, STEP), list(names), SETTINGS, {"rates": _rates(s, d)})
 
 
 def _labelled(s, d, names=ALL) -> DataFrame:
