@@ -188,3 +188,15 @@ def test_netted_portfolios_pay_funding(spark):
     assert (got[0].price_pnl, got[0].funding_pnl, got[0].netted_turnover, got[0].sleeve_turnover) == pytest.approx((0.0, 0.0, 0.0, 1.0))
     assert (got[1].price_pnl, got[1].funding_pnl) == pytest.approx((0.01, -0.001))
     assert got[1].netted_net == pytest.approx(0.009 - 0.001 * 2.0)
+
+
+def test_views_check_roles_keys_and_registry(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 2.0), ("a", 1, 1.0, 2.0), (None, 2, 1.0, 2.0)], "symbol string, t long, log_return_1h double, age double")
+    assert fx.feature_view(df, ["log_return_1h"], registry=fx.Registry()).columns == ["symbol", "t", "log_return_1h"]
+    for features, more, why in (
+        (["age"], {"roles": {"age": "target"}}, "no features"), (["age"], {"registry": fx.Registry()}, "unknown feature"), (["t"], {}, "no features"),
+        (["age", "age"], {}, "named twice"), (["none"], {}, "missing"), (["label_x"], {}, "outcomes"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            fx.feature_view(df, features, **more)
+    assert tuple(fx.key_faults(df).first()) == (3, 1, 1) and tuple(fx.key_faults(df.where("t > 5")).first()) == (0, 0, 0)

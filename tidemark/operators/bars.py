@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import HOUR_MS, epoch_ms, finite
+from ..functions.columns import DAY_MS, HOUR_MS, epoch_ms, finite
 
 
 def bars(events: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
@@ -105,13 +105,22 @@ def complete_times(b: DataFrame, n_symbols: int) -> DataFrame:
     return b.join(full, "t", "left_semi")
 
 
-def contract_faults(b: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
-    """By symbol: repeated times, steps that are not one bar, and whether its times are the grid of all symbols."""
-    w = Window.partitionBy("symbol").orderBy("t")
-    d = F.col("t") - F.lag("t").over(w)
+def contract_faults(b: DataFrame, step_ms: int = HOUR_MS, width: int = 30 * DAY_MS) -> DataFrame:
+    """By symbol: repeated times, steps longer and shorter than a bar, rows whose prices are no positive numbers, rows
+    that are not closed (where the bars say so), and whether its times are the grid of all symbols."""
+    from .windows import previous
+
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    bad = ~reduce(Column.__and__, [finite(x) & (x > 0) for x in (o, h, lo, c)])
+    still_open = ~F.coalesce(F.col("is_closed"), F.lit(False)) if "is_closed" in b.columns else F.lit(False)
+    rows = b.select("symbol", "t", F.coalesce(bad, F.lit(True)).alias("bad"), still_open.alias("still_open"))
+    d = F.col("t") - F.col("prev.t")
+    each = previous(rows, ["symbol"], ["t", "bad", "still_open"], ["t"], width).withColumn("d", d).groupBy("symbol").agg(
+        F.count_if(F.col("d") == 0).alias("repeated"), F.count_if(F.col("d") > step_ms).alias("broken_steps"), F.count_if((F.col("d") > 0) & (F.col("d") < step_ms)).alias("short_steps"),
+        F.count_if("bad").alias("bad_prices"), F.count_if("still_open").alias("still_open"), F.count_distinct("t").alias("n_times"),
+    )
     grid = b.select("t").distinct().agg(F.count("*").alias("grid"))
-    each = b.withColumn("d", d).groupBy("symbol").agg(F.count_if(F.col("d") == 0).alias("repeated"), F.count_if(F.col("d") > step_ms).alias("broken_steps"), F.count_distinct("t").alias("n_times"))
-    return each.join(F.broadcast(grid)).select("symbol", "repeated", "broken_steps", (F.col("n_times") == F.col("grid")).alias("full_grid"))  # grid is one row
+    return each.join(F.broadcast(grid)).select("symbol", "repeated", "broken_steps", "short_steps", "bad_prices", "still_open", (F.col("n_times") == F.col("grid")).alias("full_grid"))  # grid is one row
 
 
 def universe(candidates: DataFrame, snapshots: DataFrame, cap: int, contract: str = "PERPETUAL", quote: str = "USDT") -> DataFrame:

@@ -256,14 +256,32 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(Column.__and__, [only_finite(F.col(c)).isNotNull() for c in columns]))
 
 
-def feature_view(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("symbol", "t"), outcomes: tuple[str, ...] = ("future_", "outcome_", "label_")) -> DataFrame:
-    """Keys and features only; an outcome among the features is an error."""
+def feature_view(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("symbol", "t"), outcomes: tuple[str, ...] = ("future_", "outcome_", "label_"), roles: dict[str, str] | None = None, registry: Registry | None = None) -> DataFrame:
+    """Keys and features only. An error: an outcome among the features, by its name or by its role in ``roles`` (column to
+    key, feature, target or time; a column without a role is a feature), a feature that ``registry`` does not know, one
+    named twice or also a key, and a column that df lacks."""
     leaked = [f for f in features if f.startswith(outcomes)]
     if leaked:
         raise ValueError(f"outcomes are no features: {leaked}")
+    other = [f for f in features if f in keys or (roles or {}).get(f, "feature") != "feature"]
+    if other or len(set(features)) < len(features):
+        raise ValueError(f"no features, or named twice: {other or features}")
+    for f in features if registry else ():
+        registry.owner(f)
+    missing = [c for c in (*keys, *features) if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
     return df.select(*keys, *features)
 
 
+def key_faults(df: DataFrame, keys: tuple[str, ...] = ("symbol", "t")) -> DataFrame:
+    """One row: rows, rows that lack a part of their key, and rows beyond the first of a key."""
+    lacks = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    g = df.groupBy(*keys, lacks.alias("__lacks")).agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    return g.agg(zero(F.col("n"))("n_rows"), zero(F.when(F.col("__lacks"), F.col("n")))("incomplete"), zero(F.when(~F.col("__lacks"), F.col("n") - 1))("repeated"))
+
+
 def target_view(df: DataFrame, target: str, keys: tuple[str, ...] = ("symbol", "t")) -> DataFrame:
     return df.select(*keys, target)
 

@@ -118,10 +118,23 @@ def complete_cross_section(s, d):
     return br.complete_times(_bars(s, d), 5).select("symbol", "t", "close")
 
 
-@query(f"""WITH {_BARS}, x AS (SELECT symbol, t, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS d FROM bars) SELECT symbol, count_if(d = 0) AS repeated, count_if(d > 3600000) AS broken_steps,
-  count(DISTINCT t) = (SELECT count(DISTINCT t) FROM bars) AS full_grid FROM x GROUP BY symbol""")
+#: Faults planted by the number of a bar's hour: a bar a second late, one twice, one without a price, one still open.
+_BROKEN = {"late": "h % 40 = 1", "twice": "h % 50 = 2", "price": "h % 60 = 3", "open": "h % 70 = 4"}
+
+
+@query(f"""WITH {_BARS},
+  p AS (SELECT symbol, t // 3600000 AS h, t, close FROM bars),
+  q AS (SELECT symbol, t + CASE WHEN {_BROKEN["late"]} THEN 1000 ELSE 0 END AS t, {_BROKEN["price"]} AS bad, {_BROKEN["open"]} AS still, unnest(CASE WHEN {_BROKEN["twice"]} THEN [1, 2] ELSE [1] END) AS k FROM p),
+  x AS (SELECT *, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS d FROM q)
+  SELECT symbol, count_if(d = 0) AS repeated, count_if(d > 3600000) AS broken_steps, count_if(d > 0 AND d < 3600000) AS short_steps, count_if(bad) AS bad_prices, count_if(still) AS still_open,
+    count(DISTINCT t) = (SELECT count(DISTINCT t) FROM q) AS full_grid FROM x GROUP BY symbol""")
 def bar_contract(s, d):
-    return br.contract_faults(_bars(s, d))
+    b = _bars(s, d).withColumn("h", F.floor(F.col("t") / HOUR_MS))
+    b = b.withColumns({
+        "t": F.col("t") + F.when(F.expr(_BROKEN["late"]), 1000).otherwise(0), "close": F.when(F.expr(_BROKEN["price"]), float("nan")).otherwise(F.col("close")),
+        "is_closed": ~F.expr(_BROKEN["open"]), "k": F.explode(F.when(F.expr(_BROKEN["twice"]), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    })
+    return br.contract_faults(b)
 
 
 @query("""WITH n AS (SELECT event_type AS symbol, count(*) AS listed_days FROM events WHERE event_type <> 'signup' GROUP BY 1),
