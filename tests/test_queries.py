@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import campaign, research  # noqa: F401 (register their queries)
+from tidemark.plans import campaign, research, trading  # noqa: F401 (register their queries)
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources import files
 
@@ -29,7 +29,7 @@ def once(f):
 @pytest.fixture(scope="module", autouse=True)
 def shared_panels():
     names = ("_pn", "_labelled", "_test_rows", "_positions", "_curve", "_two", "_trials")
-    kept = {(m, n): getattr(m, n) for m, names in ((research, names), (campaign, ("_accounts",))) for n in names}
+    kept = {(m, n): getattr(m, n) for m, names in ((research, names), (campaign, ("_accounts",)), (trading, ("_pn", "_positions"))) for n in names}
     for (m, n), f in kept.items():
         setattr(m, n, once(f))
     yield

@@ -249,8 +249,10 @@ def trade_events(p: DataFrame, epsilon: float = 1e-15) -> DataFrame:
     return g.withColumn("net_return", F.col("price_return") + F.col("funding_return") - F.col("explicit_cost"))
 
 
-def pair_diagnostics(p: DataFrame, pairs: DataFrame) -> DataFrame:
-    """P&L and own turnover of each pair by fold. p: positions(); pairs: fold, t, symbol, other, pair_weight (dense)."""
+def pair_diagnostics(p: DataFrame, pairs: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """P&L and own turnover of each pair by fold. p: positions(); pairs: fold, t, symbol, other, pair_weight (dense).
+    With models (strategies.pair_models) each row has its pair's beta, half-life and eligibility, and a pair that never
+    traded in a fold has a row of zeros."""
     cost = F.col("allocated_fee") + F.col("allocated_spread") + F.col("allocated_slippage")
     rate = F.when(F.col("trade_weight") > 1e-15, cost / F.when(F.col("trade_weight") > 1e-15, F.col("trade_weight"))).otherwise(0.0)
     s = Window.partitionBy("fold", "other", "symbol").orderBy("t")
@@ -258,6 +260,8 @@ def pair_diagnostics(p: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = pairs.join(p.select("fold", "t", "symbol", "ret", funding.alias("funding_rate"), rate.alias("rate")), ["fold", "t", "symbol"])
     moved = F.abs(F.col("pair_weight") - F.lag("pair_weight", 1, 0.0).over(s)) + F.when(F.lead("t").over(s).isNull(), F.abs("pair_weight")).otherwise(0.0)
     g = rows.withColumn("moved", moved).groupBy("other", "fold").agg(F.sum(F.col("pair_weight") * F.col("ret")).alias("price_pnl"), F.sum(-F.col("pair_weight") * F.col("funding_rate")).alias("funding_pnl"), F.sum(F.col("moved") * F.col("rate")).alias("explicit_cost"), F.sum("moved").alias("turnover"))
+    if models is not None:
+        g = models.select("other", "fold", "beta", "half_life", "eligible").join(g, ["other", "fold"], "left").na.fill(0.0, ["price_pnl", "funding_pnl", "explicit_cost", "turnover"])
     return g.withColumn("net_pnl", F.col("price_pnl") + F.col("funding_pnl") - F.col("explicit_cost"))
 
 
@@ -291,13 +295,14 @@ def trade_episodes(w: DataFrame, epsilon: float = 1e-9) -> DataFrame:
 
 
 def trade_legs(w: DataFrame, epsilon: float = 1e-12) -> DataFrame:
-    """Every change of weight named entry, exit, flip, increase or reduce, with a forced close at each fold's end."""
+    """Every change of weight named entry, exit, flip, increase or reduce, with a forced close at each fold's end, its
+    size, and whether it buys."""
     s = Window.partitionBy("fold", "symbol").orderBy("t")
     p, c = F.col("previous"), F.col("weight")
     kind = F.when(F.abs(p) <= epsilon, "entry").when(F.abs(c) <= epsilon, "exit").when(p * c < 0, "flip").when(F.abs(c) > F.abs(p), "increase").otherwise("reduce")
     rows = w.withColumn("previous", F.lag("weight", 1, 0.0).over(s))
-    legs = rows.where(F.abs(c - p) > epsilon).select("fold", "symbol", "t", kind.alias("kind"), F.abs(c - p).alias("size"))
-    close = w.withColumn("__last", F.lead("t").over(s).isNull()).where(F.col("__last") & (F.abs(c) > epsilon)).select("fold", "symbol", "t", F.lit("fold_close").alias("kind"), F.abs(c).alias("size"))
+    legs = rows.where(F.abs(c - p) > epsilon).select("fold", "symbol", "t", kind.alias("kind"), F.abs(c - p).alias("size"), (c > p).alias("bought"))
+    close = w.withColumn("__last", F.lead("t").over(s).isNull()).where(F.col("__last") & (F.abs(c) > epsilon)).select("fold", "symbol", "t", F.lit("fold_close").alias("kind"), F.abs(c).alias("size"), (c < 0).alias("bought"))
     return legs.union(close)
 
 

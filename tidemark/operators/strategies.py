@@ -204,9 +204,10 @@ def held(df: DataFrame, hours: int, leave: str | None = None) -> DataFrame:
     return sparse_state(df, ["fold", "symbol"], "entry", hours, leave).withColumnRenamed("position", "score").drop("entry")
 
 
-def pair_models(train: DataFrame, base: str, others: list[str], fit_rows: int = 720, z_rows: int = 168) -> DataFrame:
+def pair_models(train: DataFrame, base: str, others: list[str], fit_rows: int = 720, z_rows: int = 168, betas: tuple[float, float] = (0.2, 3.0), half_lives: tuple[float, float] = (2.0, 168.0)) -> DataFrame:
     """Per fold and pair, over the last ``fit_rows`` common training rows: regression of the other's log price on the
-    base's, the residual's mean and deviation over its last ``z_rows``, half-life of its autoregression, eligibility."""
+    base's, the residual's mean and deviation over its last ``z_rows``, half-life of its autoregression. A pair is
+    eligible if all rows are there and its beta and half-life lie between the given limits."""
     x = train.where(F.col("symbol") == base).select("fold", "t", F.col("log_close_level").alias("x"))
     y = train.where(F.col("symbol").isin(others)).select("fold", "t", F.col("symbol").alias("other"), F.col("log_close_level").alias("y"))
     by = Window.partitionBy("fold", "other")
@@ -222,7 +223,7 @@ def pair_models(train: DataFrame, base: str, others: list[str], fit_rows: int =
     )
     phi = F.when(F.col("__den") > TINY, F.col("__num") / F.when(F.col("__den") > TINY, F.col("__den")))
     g = g.withColumn("half_life", F.when((phi > 0) & (phi < 1), -F.lit(float(np.log(2))) / F.ln(phi)).otherwise(float("inf")))
-    ok = (F.col("n") == fit_rows) & F.col("beta").between(0.2, 3.0) & F.col("half_life").between(2.0, 168.0) & (F.col("std") > TINY)
+    ok = (F.col("n") == fit_rows) & F.col("beta").between(*betas) & F.col("half_life").between(*half_lives) & (F.col("std") > TINY)
     return g.select("fold", "other", "alpha", "beta", "mean", "std", "half_life", F.coalesce(ok, F.lit(False)).alias("eligible"))
 
 
