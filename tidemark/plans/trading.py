@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import HOUR_MS
 from ..operators import backtest as bt
+from ..operators import features as fx
 from ..operators import strategies as st
 from ..operators import trades as tr
 from ..sources.files import staged
 from .queries import _PANEL, _W, _weights, query
-from .research import _F, _PAIR, _PN, _POS, _USED, _pn, _positions, _split
+from .research import _F, _FEAT, _FINITE, _LB, _PAIR, _POS, _USED, _held_sql, _labelled, _positions, _split
 
 _FIGURES = {
     "holding_hours_mean": 5, "holding_hours_median": 5, "holding_hours_p10": 5, "holding_hours_p90": 5, "win_rate": 6, "payoff_mean": 6, "payoff_median": 6, "profit_factor": 4, "price_pnl": 5,
@@ -75,3 +77,45 @@ def trade_leg_statistics(s, d):
     w = staged(_weights(s, d))
     m = tr.leg_statistics(bt.trade_legs(w), w.select("fold", "t"), ("fold",))
     return _places(m, ["fold", "periods", "rebalance_events", "trade_legs", *tr.LEG_COUNTS.values()], _LEG_FIGURES)
+
+
+_OTHERS = ["view", "error", "purchase", "signup"]
+_BETAS, _HALF_LIVES = (0.0, 3.0), (0.2, 168.0)
+_SIZE = 0.2
+_PAIRS_SQL = _PAIR.replace("('view', 'error')", "('view', 'error', 'purchase', 'signup')")
+
+
+@query(f"""WITH RECURSIVE {_FEAT}, pn AS (SELECT * FROM ft JOIN lb USING (symbol, t) WHERE {_FINITE} AND (t // 3600000) % 97 <> 0){_F}{_PAIRS_SQL},
+  ml AS (
+    SELECT *, CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS half_life,
+      coalesce(n = 120 AND beta BETWEEN {_BETAS[0]} AND {_BETAS[1]} AND CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END BETWEEN {_HALF_LIVES[0]} AND {_HALF_LIVES[1]}, false) AS eligible FROM md),
+  te AS (SELECT fold, symbol, t, log_close_level AS y, future_return_1h AS ret, outcome_funding_rate_1h AS rate FROM pn JOIN fd ON t BETWEEN a AND z),
+  sp AS (
+    SELECT o.fold, o.t, o.symbol, (o.y - alpha - beta * b.y - mean) / std AS zz
+    FROM te o JOIN te b ON b.fold = o.fold AND b.t = o.t AND b.symbol = 'click' AND o.symbol <> 'click' JOIN ml ON ml.fold = o.fold AND ml.other = o.symbol AND eligible),
+  se AS (SELECT *, CASE WHEN abs(zz) >= 1.5 THEN -sign(zz) ELSE 0 END AS entry FROM sp){_held_sql('se', 24, 'abs(zz) <= 0.5')},
+  lg AS (
+    SELECT fold, t, symbol AS other, symbol, {_SIZE} * pos AS w FROM hs
+    UNION ALL SELECT hs.fold, hs.t, other, 'click', -{_SIZE} * beta * pos FROM hs JOIN ml ON ml.fold = hs.fold AND ml.other = hs.symbol),
+  bk AS (SELECT te.*, coalesce(w, 0) AS weight FROM te LEFT JOIN (SELECT fold, t, symbol, sum(w) AS w FROM lg GROUP BY ALL) USING (fold, t, symbol)),
+  bt AS (SELECT *, abs(weight - lag(weight, 1, 0) OVER q) + CASE WHEN lead(t) OVER q IS NULL THEN abs(weight) ELSE 0 END AS trade FROM bk WINDOW q AS (PARTITION BY fold, symbol ORDER BY t)),
+  pd AS (
+    SELECT lg.*, bt.ret, bt.rate, CASE WHEN trade > 1e-15 THEN 0.00065 ELSE 0 END AS cost,
+      abs(w - lag(w, 1, 0) OVER q) + CASE WHEN lead(lg.t) OVER q IS NULL THEN abs(w) ELSE 0 END AS moved
+    FROM lg JOIN bt USING (fold, t, symbol) WINDOW q AS (PARTITION BY fold, other, symbol ORDER BY t)),
+  pg AS (SELECT fold, other, sum(w * ret) AS price_pnl, sum(-w * rate) AS funding_pnl, sum(moved * cost) AS explicit_cost, sum(moved) AS turnover FROM pd GROUP BY 1, 2)
+  SELECT fold, other, eligible, round(beta, 5) + 0.0 AS beta, round(half_life, 4) AS half_life, round(coalesce(price_pnl, 0), 5) + 0.0 AS price_pnl, round(coalesce(funding_pnl, 0), 7) + 0.0 AS funding_pnl,
+    round(coalesce(explicit_cost, 0), 6) AS explicit_cost, round(coalesce(turnover, 0), 4) AS turnover, round(coalesce(price_pnl + funding_pnl - explicit_cost, 0), 5) + 0.0 AS net_pnl FROM ml LEFT JOIN pg USING (fold, other)""")
+def pair_diagnostics(s, d):
+    """All pairs with the base through limits on beta and half-life that refuse some of them, held by their spread's z,
+    and what each pair earned and paid in one book."""
+    x = fx.finite_rows(_labelled(s, d, [*_USED, "log_close_level"]), [*_USED, *_LB]).where((F.floor(F.col("t") / HOUR_MS) % 97 != 0) & F.col("label_end_time_ms").isNotNull())
+    train, test = _split(x)
+    models = staged(st.pair_models(train, "click", _OTHERS, 120, 48, _BETAS, _HALF_LIVES))
+    test = staged(test.select("fold", "symbol", "t", "log_close_level", F.col("future_return_1h").alias("ret"), F.col("outcome_funding_rate_1h").alias("funding_rate")))
+    legs = st.pair_legs(st.pair_spread_reversion(models, test, "click", 1.5, 24), "click")
+    legs = staged(legs.select("fold", "t", "other", "symbol", (_SIZE * F.col("raw")).alias("pair_weight")))
+    book = test.join(legs.groupBy("fold", "t", "symbol").agg(F.sum("pair_weight").alias("weight")), ["fold", "t", "symbol"], "left").na.fill(0.0, ["weight"])
+    m = bt.pair_diagnostics(bt.positions(book), legs, models)
+    m = m.withColumn("half_life", F.when(F.col("half_life") < float("inf"), F.col("half_life")))
+    return _places(m, ["fold", "other", "eligible"], {"beta": 5, "half_life": 4, "price_pnl": 5, "funding_pnl": 7, "explicit_cost": 6, "turnover": 4, "net_pnl": 5})
