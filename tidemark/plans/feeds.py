@@ -42,8 +42,9 @@ def _messages(s, d) -> DataFrame:
         message("kline_1m", "kline", candle.alias("k")),
     ]
     chosen = reduce(lambda c, i: c.when(k % 4 == i, kinds[i]), range(1, 4), F.when(k % 4 == 0, kinds[0]))
-    times = F.explode(F.when(k % _TWICE == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))).alias("again")
-    return _events(s, d).select(chosen.alias("value"), ((sent + k % 1000) * 1_000_000).alias("first"), times).select("value", (F.col("first") + F.col("again") * 1_000_000).alias("got"))
+    rows = _events(s, d).select(chosen.alias("value"), ((sent + k % 1000) * 1_000_000).alias("first"), (k % _TWICE == 0).alias("twice"))
+    again = F.explode(F.when(F.col("twice"), F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))).alias("again")
+    return rows.select("value", "first", again).select("value", (F.col("first") + F.col("again") * 1_000_000).alias("got"))
 
 
 _KIND = "(['book_ticker', 'aggregate_trades', 'mark_price', 'kline_1m'])[event_id % 4 + 1]"
