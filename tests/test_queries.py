@@ -29,7 +29,7 @@ def once(f):
 @pytest.fixture(scope="module", autouse=True)
 def shared_panels():
     names = ("_pn", "_labelled", "_test_rows", "_positions", "_curve", "_two", "_trials")
-    kept = {(m, n): getattr(m, n) for m, names in ((research, names), (campaign, ("_accounts",)), (trading, ("_labelled", "_positions"))) for n in names}
+    kept = {(m, n): getattr(m, n) for m, names in ((research, names), (campaign, ("_accounts",)), (trading, ("_labelled", "_positions", "_two"))) for n in names}
     for (m, n), f in kept.items():
         setattr(m, n, once(f))
     yield

@@ -120,9 +120,11 @@ def month(t: Column) -> Column:
     return F.date_format(utc_date(t), "yyyy-MM")
 
 
-def attribution(p: DataFrame, by: list[str]) -> DataFrame:
-    """P&L and costs of positions by group, with each group's share of the summed magnitude of net contributions."""
-    g = p.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("price_pnl", "funding_pnl", "allocated_fee", "allocated_spread", "allocated_slippage", "net_contribution", "trade_weight")])
+def attribution(p: DataFrame, by: list[str], capital: Column | None = None) -> DataFrame:
+    """P&L and costs of positions by group, with each group's share of the summed magnitude of net contributions. Where
+    rows are of components, ``capital`` is the share of the capital that a row's component has."""
+    part = F.lit(1.0) if capital is None else capital
+    g = p.groupBy(*by).agg(*[F.sum(F.col(x) * part).alias(x) for x in ("price_pnl", "funding_pnl", "allocated_fee", "allocated_spread", "allocated_slippage", "net_contribution", "trade_weight")])
     total = g.agg(F.sum(F.abs("net_contribution")).alias("__total"))
     return g.join(F.broadcast(total)).withColumn("share", F.coalesce(F.try_divide(F.abs("net_contribution"), F.col("__total")), F.lit(0.0))).drop("__total")  # total is one row
 

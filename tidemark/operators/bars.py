@@ -40,6 +40,14 @@ def latest_revision(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return one.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
+def snapshot_as_of(df: DataFrame, keys: list[str], valid_from: str, as_of: Column, ties: list[str] = ()) -> DataFrame:
+    """One row a key: the latest that is valid at ``as_of``, by ``valid_from`` and then ``ties``; keys that have none yet are left out."""
+    rest = [c for c in df.columns if c not in keys]
+    known = df.where(F.col(valid_from) <= as_of)
+    one = known.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(valid_from, *ties)).alias("__r"))
+    return one.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+
+
 def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """rows, distinct_keys, surplus_rows, rows_in_duplicate_groups."""
     g = df.groupBy(*keys).agg(F.count("*").alias("c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,10 @@ def parameter_grid(spark, axes: dict[str, list[float]], total: float | None = No
     if total is not None:
         out = out.where(F.abs(sum(F.col(n) for n in axes) - total) <= tolerance)
     return out.withColumn("ordinal", F.row_number().over(Window.orderBy(*axes)))
+
+
+def tagged_union(frames: dict[str, DataFrame], tag: str = "tag") -> DataFrame:
+    """Rows of all frames with their names as ``tag``: columns meet by name, what a frame lacks is null, and columns of
+    different types take the type that holds both (of an integer and a double, a double)."""
+    tagged = [df.select(F.lit(name).alias(tag), "*") for name, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -1,4 +1,4 @@
-"""Registered queries of messages, instruments, digests, datasets and the catalogue of experiments."""
+"""Registered queries of messages, archives, instruments, digests, datasets and the catalogue of experiments."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch_ms
+from ..functions.columns import HOUR_MS, epoch_ms
 from ..operators import aggregates as ag
+from ..operators import bars as br
 from ..operators import registry as rg
 from ..sources import files, wire
-from .queries import _MS, _events, query
+from ..sources import normalize as nz
+from .queries import _BARS, _MS, _events, query
 
 #: Faults by the number of an event: another symbol, another event name, no time; sent twice; impossible market values.
 _ELSEWHERE, _MISNAMED, _UNTIMED, _TWICE, _IMPOSSIBLE = 13, 17, 19, 29, 31
@@ -134,3 +136,35 @@ def dataset_manifest(s, d):
         again = files.persist_dataset(table, path, {"name": name})
         rows.append((name, first["n_rows"], s.read.parquet(f"{path}/data").count(), files.describe(s, f"{path}/data")["n_rows"], first == again))
     return s.createDataFrame(rows, "name string, n_rows long, stored_rows long, footer_rows long, written_once boolean")
+
+
+#: The number of an hour that is told twice in its archive, and of one that stands after the next.
+_AGAIN, _BACK = 24, 36
+_HOURS = f"b AS (SELECT *, t // {HOUR_MS} AS h FROM bars)"
+
+
+def _lines(s, d) -> DataFrame:
+    """Bars of events as lines of an archive a symbol: archive, number, line, fault. A bar told again has another volume."""
+    b = br.bars(_events(s, d)).withColumn("h", F.floor(F.col("t") / HOUR_MS))
+    copies = F.explode(F.when(F.col("h") % _AGAIN == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    b = b.withColumn("copy", copies)
+    text = lambda c: F.col(c).cast("string")
+    fields = [text("t"), text("open"), text("high"), text("low"), text("close"), (F.col("volume") + F.col("copy")).cast("string"), (F.col("t") + HOUR_MS - 1).cast("string"), F.lit("2"), text("trades"), F.lit("0"), F.lit("1"), F.lit("0")]
+    number = F.col("h") * 10 + F.col("copy") + F.when(F.col("h") % _BACK == 1, 15).otherwise(0)
+    archive = F.concat(F.lit("/in/"), "symbol", F.lit("-1h-2024-01.zip"))
+    return b.select(archive.alias("archive"), number.alias("number"), F.concat_ws(",", *fields).alias("line"), F.lit(None).cast("string").alias("fault"))
+
+
+@query(f"""WITH {_BARS}, {_HOURS} SELECT symbol, '1h' AS "interval", t AS open_time_ms, CAST(t + {HOUR_MS - 1} AS BIGINT) AS close_time_ms, open, high, low, close, round(volume, 6) AS base_volume,
+  2.0::DOUBLE AS quote_volume, trades AS trade_count, true AS is_closed, 1 AS schema_version FROM b""")
+def canonical_bars(s, d):
+    """Archives whose bars come twice and out of order, as canonical bars: the first of each."""
+    c = nz.canonical_bars(nz.typed_lines(_lines(s, d)), "1h", 7)
+    return c.select("symbol", "interval", "open_time_ms", "close_time_ms", "open", "high", "low", "close", F.round("base_volume", 6).alias("base_volume"), "quote_volume", "trade_count", "is_closed", "schema_version")
+
+
+@query(f"""WITH {_BARS}, {_HOURS}, l AS (SELECT symbol, t, h * 10 + k + CASE WHEN h % {_BACK} = 1 THEN 15 ELSE 0 END AS number FROM (SELECT *, unnest(CASE WHEN h % {_AGAIN} = 0 THEN [0, 1] ELSE [0] END) AS k FROM b)),
+  o AS (SELECT *, lag(t) OVER (PARTITION BY symbol ORDER BY number) AS pt FROM l)
+  SELECT '/in/' || symbol || '-1h-2024-01.zip' AS archive, count(*) AS source_rows, count(*) - count(DISTINCT t) AS duplicate_rows, count_if(coalesce(t < pt, false)) AS out_of_order FROM o GROUP BY symbol""")
+def archive_quality(s, d):
+    return nz.source_quality(nz.typed_lines(_lines(s, d)))

@@ -340,7 +340,7 @@ def parameter_grid(s, d):
 @query("""SELECT 'purchase' AS tag, event_id, value, NULL AS user_id FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'click', event_id, NULL, user_id FROM events WHERE event_type = 'click'""")
 def union_by_name(s, d):
     e = _events(s, d)
-    return e.where("event_type = 'purchase'").select(F.lit("purchase").alias("tag"), "event_id", "value").unionByName(e.where("event_type = 'click'").select(F.lit("click").alias("tag"), "event_id", "user_id"), allowMissingColumns=True)
+    return jn.tagged_union({"purchase": e.where("event_type = 'purchase'").select("event_id", "value"), "click": e.where("event_type = 'click'").select("event_id", "user_id")})
 
 
 @query(f"""WITH {_PANEL}{_DD}, m AS (SELECT symbol, min(drawdown) AS mdd FROM dd GROUP BY 1), a AS (SELECT symbol, count(*) AS n, sum(ln(1 + ret)) AS l, avg(ret) AS mu, stddev_samp(ret) AS sd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM panel GROUP BY 1)
@@ -570,8 +570,8 @@ def status_counts(s, d):
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY 1""")
 def snapshot_as_of(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderdate") <= F.lit("1998-01-01").cast("timestamp_ntz"))
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey")
+    return br.snapshot_as_of(o, ["o_custkey"], "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"), ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 @query(f"WITH {_PANEL}{_ACC} SELECT fold, round(exp(sum(ln(1 + net_return))) - 1, 5) AS total_return, count(*) AS n, round(sum(turnover), 4) AS turnover FROM acc GROUP BY fold")

@@ -12,7 +12,7 @@ from ..operators import strategies as st
 from ..operators import trades as tr
 from ..sources.files import staged
 from .queries import _PANEL, _W, _weights, query
-from .research import _F, _FEAT, _FINITE, _LB, _PAIR, _POS, _USED, _held_sql, _labelled, _positions, _split
+from .research import _F, _FEAT, _FINITE, _LB, _PAIR, _POS, _USED, _held_sql, _labelled, _positions, _split, _two, _TWO
 
 _FIGURES = {
     "holding_hours_mean": 5, "holding_hours_median": 5, "holding_hours_p10": 5, "holding_hours_p90": 5, "win_rate": 6, "payoff_mean": 6, "payoff_median": 6, "profit_factor": 4, "price_pnl": 5,
@@ -119,3 +119,23 @@ def pair_diagnostics(s, d):
     m = bt.pair_diagnostics(bt.positions(book), legs, models)
     m = m.withColumn("half_life", F.when(F.col("half_life") < float("inf"), F.col("half_life")))
     return _places(m, ["fold", "other", "eligible"], {"beta": 5, "half_life": 4, "price_pnl": 5, "funding_pnl": 7, "explicit_cost": 6, "turnover": 4, "net_pnl": 5})
+
+
+_SHARES = {"momentum": 0.4, "carry": 0.6}
+
+
+@query(f"""WITH RECURSIVE {_TWO},
+  w AS (SELECT 'momentum' AS component, {_SHARES["momentum"]} AS share, * FROM ska UNION ALL BY NAME SELECT 'carry' AS component, {_SHARES["carry"]} AS share, * FROM skb),
+  x AS (SELECT *, abs(weight - lag(weight, 1, 0) OVER q) + CASE WHEN lead(t) OVER q IS NULL THEN abs(weight) ELSE 0 END AS trade FROM w WINDOW q AS (PARTITION BY component, fold, symbol ORDER BY t)),
+  g AS (
+    SELECT component, symbol, sum(share * weight * ret) AS price_pnl, sum(-share * weight * funding_rate) AS funding_pnl, sum(share * trade) AS trade_weight,
+      sum(share * (weight * ret - weight * funding_rate - 0.00065 * trade)) AS net_contribution FROM x GROUP BY 1, 2)
+  SELECT component, symbol, round(price_pnl, 5) + 0.0 AS price_pnl, round(funding_pnl, 7) + 0.0 AS funding_pnl, round(trade_weight, 4) AS trade_weight, round(net_contribution, 5) + 0.0 AS net_contribution,
+    round(abs(net_contribution) / sum(abs(net_contribution)) OVER (), 5) AS share FROM g""")
+def component_attribution(s, d):
+    """What two components of a portfolio earned and paid by symbol, by their shares of the capital."""
+    parts = zip(_SHARES.items(), _two(s, d), strict=True)
+    rows = [w.select(F.struct(F.lit(n).alias("component"), "fold").alias("fold"), F.lit(x).alias("capital"), "symbol", "t", "weight", "ret", "funding_rate") for (n, x), w in parts]
+    p = bt.positions(rows[0].unionByName(rows[1])).withColumn("component", F.col("fold.component"))
+    a = bt.attribution(p, ["component", "symbol"], F.col("capital"))
+    return _places(a, ["component", "symbol"], {"price_pnl": 5, "funding_pnl": 7, "trade_weight": 4, "net_contribution": 5, "share": 5})

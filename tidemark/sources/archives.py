@@ -24,8 +24,9 @@ class ArchiveSource(DataSource):
     """Lines of archives: archive, number (from 1), line, and a fault where there is one; options:
 
     path: a folder, or one archive, that pyarrow's file systems know; most_bytes: uncompressed, of a member; fields: how
-    many a line has; whole: places of the fields that are whole numbers (from 0, by commas). A first line whose first
-    field is no whole number is a header and left out, if ``whole`` has that field.
+    many a line has; whole: places of the fields that are whole numbers (from 0, by commas); header: what a header says.
+    A first line whose first field is no whole number is a header and left out, if ``whole`` has that field; one that
+    says something else than ``header``, where that is given, comes with its fault.
 
     An archive is refused (one row, without line) unless it has one member, in no folder, no link, a CSV within
     most_bytes; a line of other fields, and one without its whole numbers, comes with its fault. Memory is that of some
@@ -54,6 +55,7 @@ class ArchiveReader(DataSourceReader):
         self.most = int(options.get("most_bytes", 1 << 30))
         self.fields = int(options.get("fields", 0))
         self.whole = [int(x) for x in options.get("whole", "").split(",") if x]
+        self.header = options.get("header", "")
         self.batch = int(options.get("batch", 65_536))
 
     def partitions(self) -> list[Archive]:
@@ -87,7 +89,9 @@ class ArchiveReader(DataSourceReader):
                             line = line.rstrip("\n")
                             fault = self._fault(line)
                             if number == 1 and fault and 0 in self.whole and not _is_whole(line.split(",")[0]):
-                                continue
+                                if not self.header or line.rstrip("\r") == self.header:
+                                    continue
+                                fault = "unexpected header"
                             rows.append((number, line, fault))
                             if len(rows) >= self.batch:
                                 yield batch()
@@ -143,8 +147,9 @@ class Bounded(io.RawIOBase):
         return len(data)
 
 
-def read_archives(spark: SparkSession, path: str, fields: int = 12, whole: tuple[int, ...] = (0, 6, 8), most_bytes: int = 1 << 30) -> DataFrame:
-    """Lines of the bar archives in a folder, checked: 12 fields, of which the times and the number of trades are whole."""
+def read_archives(spark: SparkSession, path: str, fields: int = 12, whole: tuple[int, ...] = (0, 6, 8), most_bytes: int = 1 << 30, header: str = "") -> DataFrame:
+    """Lines of the bar archives in a folder, checked: 12 fields, of which the times and the number of trades are whole,
+    below the given header, if there is one."""
     spark.dataSource.register(ArchiveSource)
-    r = spark.read.format("flat_archives").option("fields", str(fields)).option("whole", ",".join(map(str, whole))).option("most_bytes", str(most_bytes))
+    r = spark.read.format("flat_archives").option("fields", str(fields)).option("whole", ",".join(map(str, whole))).option("most_bytes", str(most_bytes)).option("header", header)
     return r.load(path)

@@ -19,9 +19,9 @@ def read_parquet_union(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_bar_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Archive bars, with or without a header line in each file; strict casts raise on bad values. A row is a header if
-    its first field is the name of the first column. Rows of another number of fields are an error."""
+    it names all columns in their order; other names and rows of another number of fields are an error."""
     names = [c.strip() for c in KLINE_CSV.split(",")]
-    raw = spark.read.text(path).select(F.split(F.rtrim("value"), ",").alias("x")).where(F.lower(F.trim(F.get("x", F.lit(0)))) != names[0])
+    raw = spark.read.text(path).where(F.lower(F.regexp_replace("value", r"\s+", "")) != ",".join(names)).select(F.split(F.rtrim("value"), ",").alias("x"))
     whole = F.when(F.size("x") == len(names), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("a bar has 12 fields, not "), F.size("x").cast("string"))))
     raw = raw.select(whole.alias("x")).select(*[F.trim(F.get("x", F.lit(i))).alias(c) for i, c in enumerate(names)])
     number = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_volume", "taker_buy_quote_volume")]
