@@ -36,7 +36,7 @@ def typed_lines(lines: DataFrame, symbol: Column | None = None) -> DataFrame:
 def canonical_bars(typed: DataFrame, interval: str, ingested_at_ns: int, source: str = "archive") -> DataFrame:
     """One closed bar for each symbol and time of opening: the first by archive and line.
 
-    The first row of a key is an aggregate, so repeats are dropped before the shuffle, and no key is sorted."""
+    The first row of a key is an aggregate, so a task drops the repeats that it sees before the shuffle."""
     keys = ["symbol", "open_time_ms"]
     rest = [name for name, _, _ in COLUMNS if name not in keys]
     first = typed.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("archive", "number")).alias("r"))
