@@ -19,6 +19,16 @@ def only_finite(c: Column) -> Column:
     return F.when(finite(c), c)
 
 
+def log(c: Column) -> Column:
+    """Natural logarithm: of zero, minus infinity; null for numbers below."""
+    return F.when(c == 0, float("-inf")).otherwise(F.ln(c))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers have it: over zero infinite with both signs, or no number for 0 / 0, not an error."""
+    return F.when(b != 0, a / F.when(b != 0, b)).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_MS, MINUTE_MS, TINY, only_finite
+from ..functions.columns import DAY_MS, MINUTE_MS, TINY, log, only_finite, quotient
 from ..sources.files import staged
 from . import windows as wn
 
@@ -33,10 +33,11 @@ def decision_rows(bars: DataFrame, hour: int = 60, step_ms: int = MINUTE_MS) ->
     """One row per symbol and complete hour: its bars' totals, extremes and last close, and what is needed of the bars
     after it for labels (opening prices one bar and one hour and a bar later, volume of the hour between).
 
-    t is the close of the hour's last bar. An hour without all its bars gives no row."""
+    t is the close of the hour's last bar. An hour without all its bars gives no row. The logarithm of a price of zero is
+    minus infinity, so returns to and from it are infinite and so are what is summed of them."""
     bars = wn.with_halo(bars, 15, hour + 1)
     w = wn.by_symbol(bars)
-    close, start = F.ln("close"), F.ln("open")
+    close, start = log(F.col("close")), log(F.col("open"))
     signed = 2 * F.col("taker_quote_volume") - F.col("quote_volume")
     step = close - F.lag(close).over(w)
     phase = F.pmod(F.floor(F.col("t") / step_ms), F.lit(hour))
@@ -80,13 +81,14 @@ def returns_momentum(df: DataFrame, leaders: tuple[str, str], beta_hours: int =
 
 
 def volatility(df: DataFrame, leaders: tuple[str, str]) -> DataFrame:
-    """Realised volatility of a day's bars, range of four hours, and the leaders' annual volatility for all symbols."""
+    """Realised volatility of a day's bars, range of four hours (infinite if a low is zero), and the leaders' annual
+    volatility for all symbols."""
     w = wn.by_symbol(df)
     day, range_ = w.rowsBetween(-23, 0), w.rowsBetween(-3, 0)
     full = F.row_number().over(w)
     df = df.withColumns({
         "realized_volatility_24h": F.when(full >= 24, F.sqrt(F.sum("r2").over(day))),
-        "intraday_range_4h": F.when(full >= 4, F.max("high").over(range_) / F.min("low").over(range_) - 1),
+        "intraday_range_4h": F.when(full >= 4, quotient(F.max("high").over(range_), F.min("low").over(range_)) - 1),
     })
     # Every symbol carries the market's return of its hours, so its own window gives the market's volatility; hours that
     # the symbol lacks would change it, so the market's series has its own rows, one an hour.
@@ -256,6 +258,11 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(reduce(Column.__and__, [only_finite(F.col(c)).isNotNull() for c in columns]))
 
 
+def known_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose columns are all there, infinite ones included."""
+    return df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+
+
 def feature_view(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("symbol", "t"), outcomes: tuple[str, ...] = ("future_", "outcome_", "label_"), roles: dict[str, str] | None = None, registry: Registry | None = None) -> DataFrame:
     """Keys and features only. An error: an outcome among the features, by its name or by its role in ``roles`` (column to
     key, feature, target or time; a column without a role is a feature), a feature that ``registry`` does not know, one
@@ -291,10 +298,10 @@ def labels(df: DataFrame, leaders: tuple[str, str], rates: DataFrame | None = No
 
     future_return_1h, future_residual_return_1h (less beta times the leaders' mean, each leader against the other),
     outcome_quote_volume_1h, outcome_funding_rate_1h (rates in (execution, label end]), execution_time_ms,
-    label_end_time_ms. df: decision rows with rolling_beta."""
+    label_end_time_ms. df: decision rows with rolling_beta. A return from a price of zero is infinite, or no number."""
     from .joins import interval_sum
 
-    df = df.withColumn("future_return_1h", F.col("label_open") / F.col("execution_open") - 1)
+    df = df.withColumn("future_return_1h", quotient(F.col("label_open"), F.col("execution_open")) - 1)
     df = wn.benchmark(df, "future_return_1h", *leaders)
     df = df.withColumn("future_residual_return_1h", F.col("future_return_1h") - F.col("rolling_beta") * F.col("bench")).drop("bench")
     df = df.withColumns({"outcome_quote_volume_1h": F.col("ahead_volume"), "execution_time_ms": F.col("execution_t"), "label_end_time_ms": F.col("label_end_t")})
@@ -306,12 +313,13 @@ def labels(df: DataFrame, leaders: tuple[str, str], rates: DataFrame | None = No
 LABELS = ("future_return_1h", "future_residual_return_1h", "outcome_quote_volume_1h")
 
 
-def dataset(df: DataFrame, features: list[str], n_symbols: int, source_ms: int) -> DataFrame:
-    """Research rows: times, features and outcomes of rows that are all finite, at times that all symbols have."""
+def dataset(df: DataFrame, features: list[str], n_symbols: int, source_ms: int, kept: Callable[[DataFrame, list[str]], DataFrame] = finite_rows) -> DataFrame:
+    """Research rows: times, features and outcomes of rows that are all finite (or those that ``kept`` keeps), at times
+    that all symbols have."""
     from .bars import complete_times
 
     times = {"decision_time_ms": F.col("t"), "feature_source_min_ms": F.col("t") + 1 - source_ms, "feature_source_max_ms": F.col("t")}
-    rows = finite_rows(df.withColumns(times), [*features, *LABELS]).where("label_end_time_ms IS NOT NULL")
+    rows = kept(df.withColumns(times), [*features, *LABELS]).where("label_end_time_ms IS NOT NULL")
     return complete_times(rows, n_symbols).select("symbol", "t", *times, "execution_time_ms", "label_end_time_ms", *features, *LABELS, "outcome_funding_rate_1h")
 
 

@@ -149,7 +149,7 @@ _FAULTS = {"late": "h % 50 = 1", "eager": "h % 60 = 2", "short": "h % 70 = 3", "
   SELECT count(*) AS n_rows, count(DISTINCT t) AS n_decisions, (SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) FROM d) AS duplicate_keys, count_if(source > t) AS feature_after_cutoff, count_if(execution <= t) AS execution_not_after_decision,
     count_if(label <= execution) AS label_not_after_execution, CAST(sum(nulls) AS BIGINT) AS null_features, (SELECT min(symbols) = max(symbols) FROM e) AS complete, min(t) AS first_ms, max(t) AS last_ms FROM x""")
 def point_in_time_audit(s, d):
-    rows = fx.dataset(_labelled(s, d), _USED, 5, 168 * HOUR_MS).withColumn("h", F.floor(F.col("decision_time_ms") / HOUR_MS)).where(~F.expr(_FAULTS["lost"]))
+    rows = fx.dataset(_labelled(s, d), _USED, 5, 168 * HOUR_MS, fx.known_rows).withColumn("h", F.floor(F.col("decision_time_ms") / HOUR_MS)).where(~F.expr(_FAULTS["lost"]))
     at = F.col("decision_time_ms")
     rows = rows.withColumns({
         "feature_source_max_ms": F.when(F.expr(_FAULTS["late"]), at + 1).otherwise(F.col("feature_source_max_ms")), "execution_time_ms": F.when(F.expr(_FAULTS["eager"]), at).otherwise(F.col("execution_time_ms")),
@@ -169,7 +169,7 @@ _PN = _FEAT + f", pn AS (SELECT * FROM ft WHERE {' AND '.join(f'{c} IS NOT NULL'
 
 
 def _pn(s, d, names=ALL) -> DataFrame:
-    return staged(fx.finite_rows(_features(s, d, names), _USED).where(F.floor(F.col("t") / HOUR_MS) % 97 != 0))
+    return staged(fx.known_rows(_features(s, d, names), _USED).where(F.floor(F.col("t") / HOUR_MS) % 97 != 0))
 
 
 _SEG = f", g0 AS (SELECT *, CASE WHEN t - lag(t) OVER {_S} > 3600000 THEN 1 ELSE 0 END AS gap FROM pn), sg AS (SELECT *, sum(gap) OVER {_S} AS seg FROM g0)"
@@ -324,7 +324,7 @@ def strategy_pair_spread(s, d):
 def _test_rows(s, d) -> DataFrame:
     """Test rows of the momentum score with what policies and accounting read."""
     x = _labelled(s, d, _USED)
-    p = fx.finite_rows(x, [*_USED, *_LB]).where((F.floor(F.col("t") / HOUR_MS) % 97 != 0) & F.col("label_end_time_ms").isNotNull())
+    p = fx.known_rows(x, [*_USED, *_LB]).where((F.floor(F.col("t") / HOUR_MS) % 97 != 0) & F.col("label_end_time_ms").isNotNull())
     scored = staged(st.funding_carry(st.residual_momentum(p), name="carry_score"))
     _, test = _split(scored)
     return staged(test.select("fold", "symbol", "t", "score", "carry_score", F.col("rolling_beta").alias("beta"), F.col("realized_volatility_24h").alias("vol"), F.col("future_return_1h").alias("ret"), F.col("outcome_funding_rate_1h").alias("funding_rate"), F.col("outcome_quote_volume_1h").alias("volume"), F.col("market_volatility_regime").alias("regime"), F.col("future_residual_return_1h").alias("outcome")))

@@ -109,7 +109,7 @@ _PAIRS_SQL = _PAIR.replace("('view', 'error')", "('view', 'error', 'purchase', '
 def pair_diagnostics(s, d):
     """All pairs with the base through limits on beta and half-life that refuse some of them, held by their spread's z,
     and what each pair earned and paid in one book."""
-    x = fx.finite_rows(_labelled(s, d, [*_USED, "log_close_level"]), [*_USED, *_LB]).where((F.floor(F.col("t") / HOUR_MS) % 97 != 0) & F.col("label_end_time_ms").isNotNull())
+    x = fx.known_rows(_labelled(s, d, [*_USED, "log_close_level"]), [*_USED, *_LB]).where((F.floor(F.col("t") / HOUR_MS) % 97 != 0) & F.col("label_end_time_ms").isNotNull())
     train, test = _split(x)
     models = staged(st.pair_models(train, "click", _OTHERS, 120, 48, _BETAS, _HALF_LIVES))
     test = staged(test.select("fold", "symbol", "t", "log_close_level", F.col("future_return_1h").alias("ret"), F.col("outcome_funding_rate_1h").alias("funding_rate")))
