@@ -123,7 +123,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # Buckets whose members are in different components yet.
     named = members.join(found, members.doc == found.node, "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
     open_ = named.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("bucket")
-    rest = named.join(open_, "bucket").select("doc", "n", "component").distinct()
+    # Written, as is the prefix below: each is read several times, and a plan that repeats all of what they are made from
+    # starts its exchanges at once, each with a thread and memory of the driver.
+    rest = written(named.join(open_, "bucket").select("doc", "n", "component").distinct(), "rest")
     words = rest.join(sets, rest.doc == sets.doc_id).select("doc", "n", "component", F.explode("shingles").alias("w"))
     rarity = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one set alone joins nothing; it only takes a place at the front of its set's order.
@@ -132,6 +134,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     alone = F.col("n") - F.count("*").over(Window.partitionBy("doc"))
     ranked = common.withColumn("at", alone + F.row_number().over(order) - 1)
     prefix = ranked.where(F.col("n") - F.col("at") >= F.ceil(F.col("n") * percent / 100.0 - 1e-9)).select("w", "doc", "n", "component", "at")
+    prefix = written(prefix, "prefix")
     # Components are paired before members are, by bounds that hold for all their members, so that the members of a
     # large component never meet each other.
     owners = prefix.groupBy("w", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room"))
@@ -153,7 +156,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     ids = sigs.select("doc_id", "n_shingles", "fp1", "fp2")
     out = ids.where("n_shingles > 0").join(classed, ["n_shingles", "fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
     out = out.union(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    for t in (members, sets, links):
+    for t in (members, sets, links, rest, prefix):
         drop_written(t)
     if repeated:
         again = rows.select("doc_id").join(repeats, "doc_id", "left_semi").join(out, "doc_id")
